@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import neardup, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compact_window_passages": substring.op1_compact_window_passages,
     "op6_minmax_near_dedup": neardup.op6_minmax_near_dedup,
 }
 
