@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -29,7 +29,7 @@ from .words import U, Words, chunks, column_bytes, mix, shingles, signed
 
 PERMS, ROWS = 80, 5
 BANDS = 2 * PERMS // ROWS
-BLOCK = 64
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000  # classes and shingles of one block
 _RNG = np.random.default_rng(20240613)
 _MUL = _RNG.integers(1, 1 << 63, PERMS, dtype=np.uint64) * U(2) + U(1)
 _XOR = _RNG.integers(1, 1 << 63, PERMS, dtype=np.uint64)
@@ -204,9 +204,14 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int
 
     rest = Scratch(spark, unresolved(), "rest").df
     if rest.head(1):
-        per = rest.groupBy("key", "label").agg(F.count("*").alias("m"))
-        main = per.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
-        main = main.select("key", F.col("top.label").alias("main"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("c0"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int").alias("c1"))
+        rest = rest.join(classes.select("node", "n_shingles"), "node")
+        per = rest.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+        main = per.groupBy("key").agg(F.max(F.struct("m", "label", "w")).alias("top"), F.sum("m").alias("n"), F.sum("w").alias("all"))
+
+        def blocks(m: str, w: str) -> Column:
+            return F.ceil(F.greatest(F.expr(m) / BLOCK, F.expr(w) / BLOCK_SHINGLES)).cast("int")
+
+        main = main.select("key", F.col("top.label").alias("main"), blocks("top.m", "top.w").alias("c0"), blocks("n - top.m", "all - top.w").alias("c1"))
         rest = rest.join(main, "key").withColumn("major", F.col("label") == F.col("main"))
         slot = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("c0")).otherwise(F.col("c1")).cast("long")).cast("int")
         rest = rest.withColumn("s", slot)
