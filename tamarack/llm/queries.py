@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, sampling, substring
+from . import neardup, sampling, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_window_passages": substring.op1_compact_window_passages,
     "op6_minmax_near_dedup": neardup.op6_minmax_near_dedup,
+    "op7_crf_toxicity": toxicity.op7_crf_toxicity,
     "op8_gumbel_segmentations": sampling.op8_gumbel_segmentations,
 }
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 U = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -78,7 +80,8 @@ def chunks(batch: pa.RecordBatch, col: str, most: int = 4 << 20) -> Iterator[pa.
 class Words:
     """``h`` the word hashes of all texts in order, ``start``/``end`` byte places, ``first`` the index of each text's first word."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, off: np.ndarray, trim: bool = False) -> None:
+        """``trim``: hash words without ASCII punctuation at their ends (``core`` has these bounds); words of nothing else stay whole."""
         n = len(data)
         sep = _SEP[data]
         edge = np.zeros(n + 1, bool)
@@ -93,18 +96,34 @@ class Words:
         self.start = np.flatnonzero(word & before)
         self.end = np.flatnonzero(word & after) + 1
         self.first = np.searchsorted(self.start, off, "left")
-        self.h = self._hash(data)
-
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.start), U)
-        at, n = 0, len(self.start)
+        self.core = (self.start, self.end)
+        if trim:
+            self.core = self._trimmed(data)
+        self.h = self._hash(data, *self.core)
+
+    def _trimmed(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, e = self.start.copy(), self.end.copy()
+        for step, at in ((-1, e), (1, s)):
+            live = np.arange(len(s))
+            while len(live):
+                live = live[e[live] > s[live]]
+                live = live[_PUNCT[data[at[live] - (step < 0)]]]
+                at[live] += step
+        none = s >= e
+        s[none], e[none] = self.start[none], self.end[none]
+        return s, e
+
+    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash for each stretch; stretches come in order and don't overlap."""
+        out = np.empty(len(start), U)
+        at, n = 0, len(start)
         while at < n:
-            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + _SEG, "left")))
-            lo, hi = int(self.start[at]), int(self.end[to - 1])
+            to = max(at + 1, int(np.searchsorted(start, start[at] + _SEG, "left")))
+            lo, hi = int(start[at]), int(end[to - 1])
             pw, ipw = _powers(hi - lo + 1)
             total = np.zeros(hi - lo + 1, U)
             np.cumsum(_value[data[lo:hi]] * pw[: hi - lo], out=total[1:])
-            s, e = self.start[at:to] - lo, self.end[at:to] - lo
+            s, e = start[at:to] - lo, end[at:to] - lo
             out[at:to] = (total[e] - total[s]) * ipw[s] + (e - s).astype(U)
             at = to
         return mix(out)
