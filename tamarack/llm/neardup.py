@@ -195,14 +195,16 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int
 
     for turn in (1, 2):
         rest = Scratch(spark, unresolved(), "rest").df
+        if not rest.head(1):
+            break
         seat = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")
-        # seats first compete within a label, so the widest-spread label does not need one task
         pivots = rest.groupBy("key").agg(F.min(seat).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"))
         pairs = rest.join(pivots, "key").filter("label <> own").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         links = links.union(Scratch(spark, confirmed(pairs), "links").df)
         labels = Scratch(spark, connected_components(spark, links), "labels").df
 
-    rest = Scratch(spark, unresolved(), "rest").df
+    else:
+        rest = Scratch(spark, unresolved(), "rest").df
     if rest.head(1):
         rest = rest.join(classes.select("node", "n_shingles"), "node")
         per = rest.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
