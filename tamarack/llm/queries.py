@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, sampling, substring, toxicity
+from . import decontaminate, neardup, sampling, substring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_window_passages": substring.op1_compact_window_passages,
+    "op2_whole_token_counts": tokens.op2_whole_token_counts,
     "op3_template_decontamination": decontaminate.op3_template_decontamination,
     "op6_minmax_near_dedup": neardup.op6_minmax_near_dedup,
     "op7_crf_toxicity": toxicity.op7_crf_toxicity,
