@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, sampling, substring, tokens, toxicity
+from . import ann, decontaminate, neardup, sampling, sharding, substring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_window_passages": substring.op1_compact_window_passages,
     "op2_whole_token_counts": tokens.op2_whole_token_counts,
     "op3_template_decontamination": decontaminate.op3_template_decontamination,
+    "op5_collision_counting_search": ann.op5_collision_counting_search,
     "op6_minmax_near_dedup": neardup.op6_minmax_near_dedup,
     "op7_crf_toxicity": toxicity.op7_crf_toxicity,
     "op8_gumbel_segmentations": sampling.op8_gumbel_segmentations,
+    "op9_balanced_label_shards": sharding.op9_balanced_label_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
