@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import U, Words, chunks, column_bytes, mix, shingles
 
-PER_CLASS, FIT_BYTES, LONGEST, ROUNDS, ENOUGH_TOXIC = 1500, 32_768, 64, 25, 200
+PER_CLASS, FIT_BYTES, LONGEST, ROUNDS, ENOUGH_TOXIC = 1200, 16_384, 64, 25, 200
 BITS, FEATURES = 18, 3
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -218,11 +218,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     ``labels`` holds (doc_id, toxic) and only rows that may be learnt from.
     """
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").dropDuplicates(["id"])
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= FIT_BYTES).join(own, F.col("doc_id") == F.col("id"))
-    both = [rows.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(PER_CLASS).select("text", "toxic").toPandas() for c in (0, 1)]
-    texts = [x for p in both for x in p["text"].tolist()]
+    few = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
+    few = F.broadcast(few[0].union(few[1]))  # at most 2 * PER_CLASS rows, so no text is shuffled
+    rows = docs.select(F.col("doc_id").alias("id"), "text").filter(F.octet_length("text") <= FIT_BYTES).join(few, "id").select("id", "text", "toxic").toPandas()
+    rows = rows.sort_values(["id", "text"]).drop_duplicates("id")
+    rows = rows.iloc[np.argsort(mix(rows["id"].to_numpy().astype(np.int64).view(U)))]
+    texts, toxic = rows["text"].tolist(), rows["toxic"].to_numpy().astype(int)
     share = own.agg(F.avg("toxic")).first()[0]
-    return fit(texts, np.array([x for p in both for x in p["toxic"].tolist()], int), 0.5 if share is None else share)
+    return fit(texts, toxic, 0.5 if share is None else share)
 
 
 def _score(held, spans: bool):
