@@ -35,9 +35,9 @@ def propagate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, shards: i
     every = spark.range(shards).select(F.col("id").cast("int").alias("label"))
     for turn in range(rounds):
         votes = both.join(state.df.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("n"))
-        own = state.df.select("node", "label", F.lit(1).cast("long").alias("n"))
-        votes = votes.union(own).groupBy("node", "label").agg(F.sum("n").alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("label")).alias("k"))).alias("v")).select("node", (-F.col("v.k")).alias("to"))
+        own = state.df.select("node", "label", F.lit(0).cast("long").alias("n"), F.lit(1).alias("own"))  # its own shard decides ties only
+        votes = votes.withColumn("own", F.lit(0)).union(own).groupBy("node", "label").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+        best = votes.groupBy("node").agg(F.max(F.struct("n", "own", (-F.col("label")).alias("k"))).alias("v")).select("node", (-F.col("v.k")).alias("to"))
         leader = F.col("lead") == F.col("node")
         turns = leader if turn % 2 == 0 else ~leader
         movers = state.df.join(best, "node").filter(turns & (F.col("to") != F.col("label")))
