@@ -13,12 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "16m"
 _ROOTS: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; only Spark's reader touches the path, so any file system works."""
+    """One input table; only Spark's reader touches the path, so any file system works.
+
+    Arrow batches are held to BATCH bytes in this session, so that a Python worker's memory is bounded
+    by bytes and not by rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,6 +29,7 @@ from .words import U, chunks, mix
 
 MARK, SPACE = 0x2581, 32
 SAMPLES = 2
+BATCH = 5 << 19  # bytes of text whose distinct words share one lattice
 SHARPNESS = 2.0
 FADED = -45.0  # log mass of a prefix beyond which no double-precision draw lets a branch compete
 _C = U(0x9E3779B97F4A7C15)
@@ -147,15 +148,17 @@ class Lattice:
             start.append(place[lone])
             end.append(self.base[nth[lone] + 1] + rank[word[lone]])
             piece.append(-2 - which)
-        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (start, end, piece))
+        start, end, piece = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (start, end, piece))
         order = np.argsort(end, kind="stable")
         self.start, self.piece = start[order], piece[order]
+        end = end[order]
+        del start, piece, order, place, word, nth, live, h
         score = np.where(self.piece >= 0, voc.logp[np.maximum(self.piece, 0)], 0.0)
         if len(lone):
             own = self.piece <= -2
             score[own] = cost[-2 - self.piece[own]]
         self.score = score
-        self.into = np.searchsorted(end[order], np.arange(nodes + 1))  # edges into node v: into[v]..into[v+1]
+        self.into = np.searchsorted(end, np.arange(nodes + 1, dtype=np.int32))  # edges into node v: into[v]..into[v+1]
         self._forward(nodes)
 
     def _forward(self, nodes: int) -> None:
@@ -170,18 +173,17 @@ class Lattice:
             top = np.maximum.reduceat(x, first)
             alpha[a:b] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), first))
             total[lo:hi] = x - np.repeat(alpha[a:b], n)
-        self.alpha = alpha
+        del self.score, alpha
         self.logshare = total
         self.share = np.exp(total)
         # cumulative shares inside each node, added in order, so that they don't depend on the batch
-        ends = np.repeat(np.arange(nodes), np.diff(self.into))
-        self.end = ends
-        nth = np.arange(len(ends)) - self.into[ends]
+        self.end = ends = np.repeat(np.arange(nodes, dtype=np.int32), np.diff(self.into))
+        nth = (np.arange(len(ends)) - self.into[ends]).astype(np.int8)
         self.cum = self.share.copy()
         for j in range(1, int(nth.max()) + 1 if len(nth) else 0):
             e = np.flatnonzero(nth == j)
             self.cum[e] += self.cum[e - 1]
-        best = np.full(nodes, -1)
+        best = np.full(nodes, -1, np.int32)
         top = np.zeros(nodes)
         for j in range(int(nth.max()) + 1 if len(nth) else 0):
             e = np.flatnonzero(nth == j)
@@ -250,8 +252,8 @@ class Paths:
         e = np.concatenate(edges) if edges else np.zeros(0, np.int64)
         w = np.concatenate(who) if who else np.zeros(0, np.int64)
         order = np.argsort(w, kind="stable")
-        self.edge, self.word = e[order], w[order]
-        self.off = np.searchsorted(self.word, np.arange(len(word) + 1))
+        self.edge = e[order].astype(np.int32)
+        self.off = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(word)))])
 
     def _zero(self, text: np.ndarray, live: np.ndarray) -> np.ndarray:
         """The index of each text's first word, so that draws depend on places within the text only."""
@@ -269,7 +271,7 @@ def sample_batch(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int) ->
     """
     marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
     flat = "".join(marked)
-    cp = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cp = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.array([len(t) for t in marked])
     toff = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(length, out=toff[1:])
@@ -284,11 +286,17 @@ def sample_batch(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int) ->
     wend = np.append(wstart[1:], len(cp))
     wlen = wend - wstart
     wtext = np.searchsorted(toff, wstart, "right") - 1
-    # distinct words of the batch by a 128-bit hash
-    v1, v2 = mix(cp.astype(U)), mix(cp.astype(U) + U(0x51ED270B))
-    position = (np.arange(len(cp)) - np.repeat(wstart, wlen)).astype(U)
-    h = np.add.reduceat(mix(v1 + position * _C), wstart)
-    h2 = np.add.reduceat(mix(v2 ^ (position * U(0xD1342543DE82EF95))), wstart)
+    # distinct words of the batch by a 128-bit hash, some words at a time
+    h, h2 = np.empty(len(wstart), U), np.empty(len(wstart), U)
+    at = 0
+    while at < len(wstart):
+        to = max(at + 1, int(np.searchsorted(wstart, wstart[at] + (1 << 18), "left")))
+        first = wstart[at:to] - wstart[at]
+        c = cp[wstart[at] : wend[to - 1]].astype(U)
+        place = (np.arange(len(c)) - np.repeat(first, wlen[at:to])).astype(U)
+        h[at:to] = np.add.reduceat(mix(mix(c) + place * _C), first)
+        h2[at:to] = np.add.reduceat(mix(mix(c + U(0x51ED270B)) ^ (place * U(0xD1342543DE82EF95))), first)
+        at = to
     order = np.argsort(h)
     fresh = np.ones(len(order), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
@@ -297,8 +305,8 @@ def sample_batch(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int) ->
     rep = order[fresh]
     off = np.zeros(len(rep) + 1, np.int64)
     np.cumsum(wlen[rep], out=off[1:])
-    lat = Lattice(voc, cp[_ragged(wstart[rep], wlen[rep])], off)
-    del v1, v2, position, cp
+    lat = Lattice(voc, cp[_ragged(wstart[rep], wlen[rep])].astype(np.int64), off)
+    del cp, h, h2, order, fresh, marked, flat
     seed = mix(keys.astype(np.int64).view(U) + U(77))
     paths = [Paths(lat, word, wtext, seed, s) for s in range(k)]
     first = np.searchsorted(wtext, np.arange(len(texts) + 1))
@@ -413,7 +421,7 @@ def _encode(path: str, k: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for whole in batches:
-            for batch in chunks(whole, "text", 4 << 20):
+            for batch in chunks(whole, "text", BATCH):
                 ids = batch.column(batch.schema.get_field_index("doc_id"))
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 drawn = sample_batch(voc, texts, ids.fill_null(-1).to_numpy(), k)
