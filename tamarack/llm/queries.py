@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, neardup, sampling, sharding, substring, tokens, toxicity
+from . import ann, decontaminate, neardup, sampling, sharding, substring, tokens, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_window_passages": substring.op1_compact_window_passages,
     "op2_whole_token_counts": tokens.op2_whole_token_counts,
     "op3_template_decontamination": decontaminate.op3_template_decontamination,
+    "op4_path_template_tree": urlfilter.op4_path_template_tree,
     "op5_collision_counting_search": ann.op5_collision_counting_search,
     "op6_minmax_near_dedup": neardup.op6_minmax_near_dedup,
     "op7_crf_toxicity": toxicity.op7_crf_toxicity,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_balanced_label_shards": sharding.op9_balanced_label_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_path_template_tree": urlfilter.ORACLE}
