@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, neardup, sampling, sharding, substring, tokens, toxicity, urlfilter
+from . import ann, decontaminate, neardup, quality, sampling, sharding, substring, tokens, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_window_passages": substring.op1_compact_window_passages,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_crf_toxicity": toxicity.op7_crf_toxicity,
     "op8_gumbel_segmentations": sampling.op8_gumbel_segmentations,
     "op9_balanced_label_shards": sharding.op9_balanced_label_shards,
+    "op10_kneser_ney_quality": quality.op10_kneser_ney_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_path_template_tree": urlfilter.ORACLE}
