@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 DEPTH, WIDE, COMMON, PULL = 3, 8, 0.1, 2.0
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -64,12 +64,14 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     shape = ["host", *[f"s{i}" for i in range(1, DEPTH + 1)], "tail"]
     good, bad = F.count_if(F.col("own") == "allow"), F.count_if(F.col("own") == "block")
     tree = rows.groupBy(*shape).agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
-    tree = tree.withColumn("t0", F.lit(""))
-    for i in range(1, DEPTH + 1):
-        tree = _level(tree, i)
+    spark = pages.sparkSession
+    tree = Scratch(spark, tree.withColumn("t0", F.lit("")), "shapes").df
+    for i in range(1, DEPTH + 1):  # each level is written, or the plan would hold every level many times
+        tree = Scratch(spark, _level(tree, i), "shapes").df
     tree = tree.withColumn("template", F.concat(f"t{DEPTH}", "tail"))
     domain = F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)
     leaf = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("domain", domain)
+    leaf = Scratch(spark, leaf, "templates").df
     by_host = leaf.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     by_domain = leaf.groupBy("domain").agg(F.sum("good").alias("dg"), F.sum("bad").alias("db"))
     whole = leaf.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("wg"), F.coalesce(F.sum("bad"), F.lit(0)).alias("wb"))
