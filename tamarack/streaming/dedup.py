@@ -1,7 +1,7 @@
 """Structured Streaming forms of the duplicate guard and the session latch.
 
-Each key holds one number (the time of its last request that passed) in RocksDB state, with a time to live of the
-window, so state is bounded by the keys that are active and not by history.
+Each key holds one number (the time of its last request that passed) in RocksDB state, so state
+grows with the keys and not with history.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class Guard(StatefulProcessor):
     """Lets a request pass if none of its key passed less than ``window_us`` before it."""
 
-    def __init__(self, window_us: int) -> None:
-        self.window_us = window_us
+    def __init__(self, window_us: int, names: list[str]) -> None:
+        self.window_us, self.names = window_us, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
@@ -30,7 +30,7 @@ class Guard(StatefulProcessor):
         for r in sorted(rows, key=lambda r: (r["us"], r["seq"])):
             if last is None or r["us"] - last >= self.window_us:
                 last = r["us"]
-                yield Row(*key, r["seq"], r["us"])
+                yield Row(*self.names)(*key, r["seq"], r["us"])
         if last is not None:
             self.last.update((last,))
 
@@ -41,13 +41,16 @@ class Guard(StatefulProcessor):
 class Latch(StatefulProcessor):
     """Marks events that come after a reauth and before a resume of their stream."""
 
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.shut = handle.getValueState("shut", StructType([StructField("shut", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         shut = self.shut.get()[0] if self.shut.exists() else 0
         for r in sorted(rows, key=lambda r: r["seq"]):
-            yield Row(*key, r["seq"], bool(shut) and not r["resume"])
+            yield Row(*self.names)(*key, r["seq"], bool(shut) and not r["resume"])
             shut = 0 if r["resume"] else 1 if r["kind"] == "reauth" else shut
         self.shut.update((shut,))
 
@@ -59,10 +62,10 @@ def guard_stream(requests: DataFrame, keys: list[str], at: str, seq: str, window
     """(keys..., seq, us) of requests that pass, from a stream; needs the RocksDB provider."""
     rows = requests.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(seq).cast("long").alias("seq"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.groupBy(*keys).transformWithState(Guard(window_us), f"{kinds}, seq long, us long", "append", "none")
+    return rows.groupBy(*keys).transformWithState(Guard(window_us, [*keys, "seq", "us"]), f"{kinds}, seq long, us long", "append", "none")
 
 
 def latch_stream(events: DataFrame, stream: str) -> DataFrame:
     """(stream, seq, blocked) of ``events(stream, seq, kind, resume)``."""
     kind = events.schema[stream].dataType.simpleString()
-    return events.groupBy(stream).transformWithState(Latch(), f"{stream} {kind}, seq long, blocked boolean", "append", "none")
+    return events.groupBy(stream).transformWithState(Latch([stream, "seq", "blocked"]), f"{stream} {kind}, seq long, blocked boolean", "append", "none")
