@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .words import U, chunks, mix
+from .words import U, chunks, mix, release
 
 MARK, SPACE = 0x2581, 32
 SAMPLES = 2
@@ -417,11 +417,12 @@ def _ids(lat: Lattice, many: list[np.ndarray]) -> list[np.ndarray]:
     return [p[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-def _encode(path: str, k: int, digest: bool):
+def _encode(path: str, k: int, digest: bool, size: int = BATCH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
+        release()
         for whole in batches:
-            for batch in chunks(whole, "text", BATCH):
+            for batch in chunks(whole, "text", size):
                 ids = batch.column(batch.schema.get_field_index("doc_id"))
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 drawn = sample_batch(voc, texts, ids.fill_null(-1).to_numpy(), k)
@@ -438,7 +439,10 @@ def _encode(path: str, k: int, digest: bool):
                     at = np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]).astype(np.int32)
                     every = np.concatenate([x[0] for x in flat]) if flat else np.zeros(0, np.int32)
                     cols += [pa.ListArray.from_arrays(pa.array(at), pa.array(every, pa.int32())), pa.array(back, pa.string())]
+                del drawn, flat, back, texts
                 yield pa.RecordBatch.from_arrays(cols, names=[n.split()[0] for n in (_DIGEST if digest else _FULL).split(", ")])
+                del cols
+                release()
 
     return run
 
@@ -448,16 +452,17 @@ _DIGEST = _HEAD + "ids_crc32 long, round_trip boolean"
 _FULL = _HEAD + "ids array<int>, decoded string"
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, digest: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, digest: bool = False, batch: int = BATCH) -> DataFrame:
     """Up to ``k`` distinct segmentations of each whole text: (doc_id, sample, n_pieces, log_prob, perturbed, inclusion, ids, decoded).
 
     ``digest`` puts (ids_crc32, round_trip) in place of the last two. Samples count from 0 in the order of
     their perturbed log probabilities. A null or empty text has one segmentation of no pieces; a text with
     fewer than ``k`` segmentations has all it has. Rows are keyed by ``doc_id`` (null counts as -1), so
     repeated rows get the same draws. A literal U+2581 in a text decodes to a space, as in the library.
-    Other columns are ignored. ``model`` is a SentencePiece file that every executor can read.
+    Other columns are ignored. ``batch`` bytes
+    of text share a lattice: less takes less memory and more time, with the same draws. ``model`` is a SentencePiece file that every executor can read.
     """
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_encode(model, k, digest), _DIGEST if digest else _FULL)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_encode(model, k, digest, batch), _DIGEST if digest else _FULL)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -77,6 +77,17 @@ def chunks(batch: pa.RecordBatch, col: str, most: int = 4 << 20) -> Iterator[pa.
         at = to
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that later stages reuse starts small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Words:
     """``h`` the word hashes of all texts in order, ``start``/``end`` byte places, ``first`` the index of each text's first word."""
 
