@@ -25,7 +25,7 @@ from .common import table
 from .words import U, Words, chunks, column_bytes, mix, shingles
 
 PER_CLASS, FIT_BYTES, LONGEST, ROUNDS, ENOUGH_TOXIC = 1200, 16_384, 64, 25, 200
-BITS, FEATURES = 18, 3
+BITS, FEATURES, PRIOR = 18, 3, -2.0
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -185,7 +185,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     right = np.concatenate([b for _, b in pairs]) if pairs else np.zeros(0, int)
     seen = np.array([[np.sum((y[left] == i) & (y[right] == j)) for j in (0, 1)] for i in (0, 1)], float)
     weight, step = model.weight, model.step
-    weight[:] = -2.0
+    weight[:] = PRIOR  # what no text has shown stays clean
     heat = [np.full_like(weight, 1e-6), np.full_like(step, 1e-6)]
     for _ in range(ROUNDS):
         e = weight[0][slot[0]] + weight[1][slot[1]] + weight[2][slot[2]]
@@ -195,7 +195,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         z = np.stack([np.full(len(left), step[0, 0]), step[0, 1] + x, step[1, 0] + r[left], step[1, 1] + r[left] + x])
         z = np.exp(z - z.max(axis=0))
         z /= z.sum(axis=0)
-        grads = [np.stack([np.bincount(slot[f], y - p, 1 << BITS) for f in range(FEATURES)]) - 1e-3 * weight, seen - z.sum(axis=1).reshape(2, 2) - 1e-3 * step]
+        grads = [np.stack([np.bincount(slot[f], y - p, 1 << BITS) for f in range(FEATURES)]) - 1e-3 * (weight - PRIOR), seen - z.sum(axis=1).reshape(2, 2) - 1e-3 * step]
         for v, g, h in zip((weight, step), grads, heat, strict=True):  # Adagrad
             h += g * g
             v += 0.5 * g / np.sqrt(h)
