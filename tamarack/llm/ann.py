@@ -77,10 +77,11 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray
                 rest.append(i)
                 continue
             hit = hit[ids[hit] != qids[i]]
-            score = x[hit] @ q[i]
             if len(hit) > k:
-                near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-                hit, score = hit[near], score[near]
+                rough = x[hit] @ q[i]
+                kth = np.partition(rough, len(rough) - k)[len(rough) - k]
+                hit = hit[rough >= kth - 1e-9 * (1 + abs(kth))]
+            score = (x[hit] * q[i]).sum(axis=1)  # added up alike for every row, so equal vectors tie
             best = np.lexsort((ids[hit], -score))[:k]
             out.append((np.full(len(best), qids[i]), ids[hit[best]], score[best]))
         live = np.array(rest, np.int64)

@@ -141,7 +141,7 @@ def test_decontamination_without_the_filter(spark, monkeypatch):
     assert joined == {tuple(r) for r in decontaminate.contamination(spark, docs, items).collect()} != set()
 
 
-def reference_perplexity(texts, learn):
+def plain_perplexity(texts, learn):
     from collections import Counter, defaultdict
 
     def sym(x):
@@ -181,7 +181,7 @@ def test_quality_equals_a_plain_model(spark):
     for sizes in ((10**6, 10**6), (0, 0)):
         got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(spark, docs, trusted, *sizes).collect()}
         own = [(i, t) for i, t in rows if t]
-        for (i, _), want in zip(own, reference_perplexity([t for _, t in own], learn), strict=True):
+        for (i, _), want in zip(own, plain_perplexity([t for _, t in own], learn), strict=True):
             assert got[i] == pytest.approx(want, rel=1e-9)
         assert got[102] is None and got[103] is None
     out = {r["doc_id"]: r["kept"] for r in quality.quality(spark, docs, trusted).collect()}
