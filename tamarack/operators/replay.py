@@ -65,11 +65,11 @@ def usable_metadata(text: Column) -> Column:
     return F.when(parsed["method"].isNotNull() & parsed["path"].isNotNull(), parsed)
 
 
-def request_of(writes: DataFrame, token: str | None = None) -> DataFrame:
-    """The request to send: journal row first, else usable metadata; headers mark the replay and carry the stable idempotency key."""
+def request_of(writes: DataFrame, token: str | None = None, marker: str = "X-Replay") -> DataFrame:
+    """The request to send: journal row first, else usable metadata; headers mark the replay (``marker`` is the server's name for it) and carry the stable idempotency key."""
     meta = usable_metadata(F.col("metadata"))
     out = writes.withColumn("_m", meta)
-    headers = [F.lit("X-Offline-Sync-Replay"), F.lit("1"), F.lit("Idempotency-Key"), F.coalesce("journal_id", F.get_json_object("data", "$.idempotencyKey"))]
+    headers = [F.lit(marker), F.lit("1"), F.lit("Idempotency-Key"), F.coalesce("journal_id", F.get_json_object("data", "$.idempotencyKey"))]
     if token:
         headers += [F.lit("Authorization"), F.lit(f"Bearer {token}")]
     head = F.map_filter(F.create_map(*headers), lambda _, v: v.isNotNull())
