@@ -20,3 +20,18 @@ def open_issues(letters: DataFrame, resolved: DataFrame, key: str = "id") -> Dat
 
 def count_open(letters: DataFrame, resolved: DataFrame, key: str = "id") -> DataFrame:
     return letters.join(resolved.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("n"))
+
+
+def typed(letters: DataFrame) -> DataFrame:
+    """Dead letters as read back: code and time are numbers, all else is text."""
+    numbers = {"code": "int", "created_at": "long"}
+    return letters.select(*[F.col(c).cast(numbers.get(c, "string")).alias(c) for c in letters.columns])
+
+
+def event(kind: str, at: str, **detail: str) -> tuple[str, str, dict[str, str]]:
+    """An activity row (type, at, detail) for an append-only event table."""
+    return kind, at, detail
+
+
+def counts_by_type(events: DataFrame) -> DataFrame:
+    return events.groupBy("type").agg(F.count("*").alias("n"))

@@ -67,6 +67,12 @@ def read_rules(text: str) -> list[Cited]:
     return out
 
 
+def read_structure(spark, path: str) -> DataFrame:
+    """A structure file (JSON); an answer wrapped in ``data`` is unwrapped."""
+    raw = spark.read.option("multiLine", True).json(path)
+    return raw.select("data.*") if "data" in raw.columns else raw
+
+
 def flatten(structure: DataFrame) -> DataFrame:
     """(source, column, type) from ``connections[].schemas[].tables[].columns[]``; levels that are missing yield nothing."""
     s = structure.select(F.explode("connections").alias("c")).select(F.explode("c.schemas").alias("s"))

@@ -296,3 +296,28 @@ def test_tenant(spark):
     o = spark.createDataFrame([("2", "b"), ("1", "a")], "id string, tenant_id string")
     assert mutations.first_tenant(t, [o]).first()["tenant"] == "a"
     assert mutations.first_tenant(t, []).first()["tenant"] is None
+
+
+def test_upload_stream_retries_what_it_left(spark, tmp_path):
+    from tamarack.streaming.upload import acknowledged, follow
+
+    schema = "id string, tx_id long, seq long, http_status int"
+    log, path = str(tmp_path / "log"), str(tmp_path / "out")
+    spark.createDataFrame([("a", 1, 1, 200), ("a", 1, 2, 200), ("b", 2, 3, 422), ("c", 3, 4, 503), ("d", 4, 5, 200)], schema).write.parquet(log)
+    follow(log, schema, lambda rows: rows, path, spark).awaitTermination()
+    assert {tuple(r) for r in acknowledged(spark, path).collect()} == {("a", "ok"), ("b", "reject")}
+    spark.createDataFrame([("e", 5, 6, 200)], schema).write.mode("append").parquet(log)
+    follow(log, schema, lambda rows: rows.withColumn("http_status", F.when(F.col("id") == "c", 200).otherwise(F.col("http_status"))), path, spark).awaitTermination()
+    assert {r["id"] for r in acknowledged(spark, path).collect()} == {"a", "b", "c", "d", "e"}
+    assert spark.read.parquet(f"{path}/letters/*").count() == 1
+
+
+def test_structure_file_and_activity(spark, tmp_path):
+    from tamarack.operators import activity
+
+    f = tmp_path / "s.json"
+    f.write_text(json.dumps({"data": {"connections": [{"schemas": [{"name": "s", "tables": [{"name": "t", "columns": [{"name": "c", "sqlite_type": 4}]}]}]}]}}))
+    assert [tuple(r) for r in rules.flatten(rules.read_structure(spark, str(f))).collect()] == [("s.t", "c", "integer")]
+    e = spark.createDataFrame([activity.event("local-write", "2026", table="t"), activity.event("replay", "2027")], "type string, at string, detail map<string, string>")
+    assert activity.recent(e, "at", 1).first()["type"] == "replay" and activity.counts_by_type(e).count() == 2
+    assert dict(activity.typed(spark.createDataFrame([("1", "5", "7")], "id string, code string, created_at string")).dtypes) == {"id": "string", "code": "int", "created_at": "bigint"}
