@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .words import chunks
 
-LIMIT, MEMORY = 1024, 1_000_000  # over_limit bound; distinct pre-tokens whose counts a worker keeps
+LIMIT, MEMORY, LONG = 1024, 1_000_000, 1_000_000  # over_limit bound; distinct pre-tokens whose counts a worker keeps; characters of a text that is read piece by piece
 # fixed values: ranges of code points with settled classes, and the public byte-level pattern
 SETTLED = ((0x0, 0x557), (0x620, 0x64A), (0x904, 0x939), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20B5), (0x2100, 0x214D), (0x2190, 0x23CF), (0x2500, 0x26B2), (0x3000, 0x303F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E), (0x1F600, 0x1F640))
 _OTHER = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if a else "\\x00-" + chr(b) for a, b in SETTLED) + "]")
@@ -59,7 +59,7 @@ class Counter:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.each = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         plain = {chr(b): b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
         code = dict(plain)
         code.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in plain)})
@@ -78,13 +78,17 @@ class Counter:
         model, byte = self.library.model, {b: c for c, b in code.items()}
         self.counts = _Counts(known, lambda piece: len(model.tokenize("".join([byte[b] for b in piece.encode("utf-8", "replace")]))))
 
+    def _pieces(self, text: str):
+        """Pre-tokens; those of a very long text one by one."""
+        return self.find(text) if len(text) < LONG else (m.group() for m in self.each(text))
+
     def count(self, text: str) -> int:
         if not text.isascii() and _OTHER.search(text):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         if self.split is None or not self.split.search(text):
-            return sum(map(self.counts.__getitem__, self.find(text)))
+            return sum(map(self.counts.__getitem__, self._pieces(text)))
         parts = self.split.split(text)
-        return len(parts) - 1 + sum(sum(map(self.counts.__getitem__, self.find(p))) for p in parts)
+        return len(parts) - 1 + sum(sum(map(self.counts.__getitem__, self._pieces(p))) for p in parts)
 
 
 _held: dict[str, Counter] = {}

@@ -27,6 +27,8 @@ def test_token_counts_are_the_librarys(spark):
     c = tokens.counter(BPE)
     for t in ODD:
         assert c.count(t) == len(c.library.encode(t, add_special_tokens=False).ids), t
+    long = "ab c1 " * 200_000
+    assert c.count(long) == len(c.library.encode(long, add_special_tokens=False).ids)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, BPE).collect()}
     for r in docs.collect():
