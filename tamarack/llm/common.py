@@ -94,7 +94,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         large = (  # every larger neighbour of u points at the least of u's neighbourhood
             both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         )
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v")  # repeats do no harm to minima and go with the last distinct
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))

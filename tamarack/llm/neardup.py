@@ -8,7 +8,7 @@ Links are confirmed on the full shingle sets. No bucket is expanded into pairs:
 
 1. texts with equal sets are one class, kept by its smallest id;
 2. in each bucket every class is compared with the bucket's pivot, and components are formed;
-3. buckets that still hold several components get another pivot, twice;
+3. buckets that still hold several components get another pivot;
 4. what remains (classes outside their bucket's main component) is compared with all the rest of the
    bucket block by block; a block pair ships at most 2 * BLOCK sets and returns spanning links only.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components
 from .words import U, Words, chunks, column_bytes, mix, shingles, signed
 
-PERMS, ROWS = 80, 5
+PERMS, ROWS, TURNS = 80, 5, 1
 BANDS = 2 * PERMS // ROWS
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000  # classes and shingles of one block
 _RNG = np.random.default_rng(20240613)
@@ -193,7 +193,7 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int
         open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         return named.join(open_, "key")
 
-    for turn in (1, 2):
+    for turn in range(1, TURNS + 1):
         rest = Scratch(spark, unresolved(), "rest").df
         if not rest.head(1):
             break
