@@ -75,6 +75,7 @@ def chunks(batch: pa.RecordBatch, col: str, most: int = 4 << 20) -> Iterator[pa.
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def release() -> None:
