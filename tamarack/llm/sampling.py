@@ -29,7 +29,7 @@ from .words import U, chunks, mix, release
 
 MARK, SPACE = 0x2581, 32
 SAMPLES = 2
-BATCH = 5 << 19  # bytes of text whose distinct words share one lattice
+BATCH = 4 << 20  # bytes of text whose distinct words share one lattice
 SHARPNESS = 2.0
 FADED = -45.0  # log mass of a prefix beyond which no double-precision draw lets a branch compete
 _C = U(0x9E3779B97F4A7C15)
