@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kneser_ney_quality": quality.op10_kneser_ney_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_path_template_tree": urlfilter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_path_template_tree": urlfilter.ORACLE, "op6_minmax_near_dedup": neardup.ORACLE}
