@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, ROUNDS, SLACK, SEATS = 40, 4, 1.25, 1024
+SHARDS, ROUNDS, SLACK, SEATS = 40, 2, 1.25, 1024
 
 
 def propagate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -25,11 +25,11 @@ def propagate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, shards: i
     """
     start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     both = edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    both = Scratch(spark, both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges").df
+    both = Scratch(spark, both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", "snappy").df
     near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("lead"))
-    state = Scratch(spark, near.withColumn("label", start), "labels")
+    state = Scratch(spark, near.withColumn("label", start), "labels", "snappy")
     alone = nodes.select("node").distinct().join(near.select("node"), "node", "left_anti").groupBy(start.alias("label")).agg(F.count("*").alias("fixed"))
-    alone = Scratch(spark, alone, "fixed").df
+    alone = Scratch(spark, alone, "fixed", "snappy").df
     total = alone.agg(F.coalesce(F.sum("fixed"), F.lit(0))).first()[0] + state.df.count()
     room = max(1, int(total * SLACK / shards))
     every = spark.range(shards).select(F.col("id").cast("int").alias("label"))
@@ -43,17 +43,17 @@ def propagate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, shards: i
         movers = state.df.join(best, "node").filter(turns & (F.col("to") != F.col("label")))
         movers = movers.withColumn("seat", F.pmod(F.xxhash64("lead", F.lit(turn)), F.lit(SEATS)).cast("int"))
         held = state.df.groupBy("label").agg(F.count("*").alias("here"))
-        quota = every.join(held, "label", "left").join(alone, "label", "left").select(
+        quota = every.join(F.broadcast(held), "label", "left").join(F.broadcast(alone), "label", "left").select(
             F.col("label").alias("to"), F.greatest(F.lit(0), F.lit(room) - F.coalesce("here", F.lit(0)) - F.coalesce("fixed", F.lit(0))).alias("quota")
         )
-        seats = movers.groupBy("to", "seat").agg(F.count("*").alias("n")).join(quota, "to")  # at most shards x SEATS rows
+        seats = movers.groupBy("to", "seat").agg(F.count("*").alias("n")).join(F.broadcast(quota), "to")  # quota: a row for each shard; seats: at most shards x SEATS rows
         before = F.sum("n").over(Window.partitionBy("to").orderBy("seat").rowsBetween(Window.unboundedPreceding, -1))
         seats = seats.withColumn("before", F.coalesce(before, F.lit(0)))
         # a seat larger than a shard goes in whole: it has to be parted anyway, and the last cut parts it least
         share = F.when(F.col("n") > room, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("quota") - F.col("before")) / F.col("n")))) * 65536
-        admitted = movers.join(seats.select("to", "seat", share.alias("share")), ["to", "seat"]).filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(65536)) < F.col("share"))
+        admitted = movers.join(F.broadcast(seats.select("to", "seat", share.alias("share"))), ["to", "seat"]).filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(65536)) < F.col("share"))
         after = state.df.join(admitted.select("node", "to"), "node", "left").select("node", "lead", F.coalesce("to", "label").alias("label"))
-        new = Scratch(spark, after, "labels")
+        new = Scratch(spark, after, "labels", "snappy")
         state.drop()
         state = new
     return state.df.select("node", "label")
@@ -73,7 +73,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS)
         F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
         F.md5(raw).alias("text_md5"),
     )
-    rows = Scratch(spark, rows, "rows").df
+    rows = Scratch(spark, rows, "rows", "snappy").df
     linked = rows.filter("doc_id is not null and text_md5 is not null")
     hubs = linked.groupBy("text_md5").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     edges = linked.join(hubs, "text_md5").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
@@ -83,7 +83,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["label", "text_md5", "doc_id"]
     ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    ranged = Scratch(spark, ranged, "ranged").df
+    ranged = Scratch(spark, ranged, "ranged", "snappy").df
     part = F.shiftright("at", 33)
     sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row for each range
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
