@@ -111,3 +111,19 @@ def test_passages(spark):
     left = " ".join(long_words(20, 3) + long_words(20, 4))
     assert texts[2] == (left, len(left)) and texts[1][0] == rows[0][1] and texts[5][0].split() == long_words(9, 5) and texts[6] == (None, None) and texts[8][0] == rows[8][1]
     assert substring.repeated_passages(spark, empty(spark)).count() == 0 and substring.substring_dedup(spark, empty(spark)).count() == 0
+
+
+def test_passages_at_other_distances_and_in_other_order(spark):
+    rows, want = [], {}
+    for j in range(12):
+        a, b = 10 * j + 1, 10 * j + 2
+        one, two = long_words(70, 400 + j), long_words(70, 450 + j)
+        rows.append((a, " ".join(long_words(20, 500 + j) + one + long_words(15 + 3 * j, 600 + j) + two)))
+        first, second = (two, one) if j % 2 else (one, two)
+        gap = long_words(60 - 4 * j, 700 + j)
+        rows.append((b, " ".join(first + gap + second + long_words(9, 800 + j))))
+        want[b] = {(0, 70, a), (70 + len(gap), 140 + len(gap), a)}
+    got = {}
+    for r in substring.repeated_passages(spark, documents(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["start_word"], r["end_word"], r["first_doc_id"]))
+    assert got == want
