@@ -127,3 +127,29 @@ def test_passages_at_other_distances_and_in_other_order(spark):
     for r in substring.repeated_passages(spark, documents(spark, rows)).collect():
         got.setdefault(r["doc_id"], set()).add((r["start_word"], r["end_word"], r["first_doc_id"]))
     assert got == want
+
+
+def covered(rows):
+    """Words of each document that lie in 50 words which a document with a smaller id holds too."""
+    grams = {i: ["\x00".join(w[k : k + 50]) for k in range(len(w) - 49)] for i, w in ((i, t.split()) for i, t in rows)}
+    first = {}
+    for i in sorted(grams):
+        for g in grams[i]:
+            first.setdefault(g, i)
+    return {(i, k + j) for i, gs in grams.items() for k, g in enumerate(gs) if first[g] < i for j in range(50)}
+
+
+def test_exact_passages_equal_brute_force_past_the_pivot_and_in_every_copy(spark):
+    rows = []
+    for j in range(12):
+        line, tail = long_words(30, 900 + j), long_words(25, 930 + j)
+        passage, other = line + tail, long_words(55, 960 + j)
+        near = lambda n, k, j=j: long_words(n, 2000 + 40 * j + k)
+        a = 10 * j
+        rows.append((a + 1, " ".join(near(30, 1) + line + near(30, 2))))  # the pivot of the line only
+        rows.append((a + 2, " ".join(near(30, 3) + passage + near(30, 4))))
+        rows.append((a + 3, " ".join(near(20, 5) + passage + near(70, 6) + passage + near(10, 7))))  # two copies of an earlier passage
+        rows.append((a + 4, " ".join(near(60, 8) + line + near(60, 9) + line + other)))
+        rows.append((a + 5, " ".join(near(60, 10) + line + near(50, 11) + line + other + near(5, 12))))  # its centre may lie in a line that comes earlier
+    got = {(r["doc_id"], w) for r in substring.repeated_passages(spark, documents(spark, rows)).collect() for w in range(r["start_word"], r["end_word"])}
+    assert got == covered(rows)
