@@ -153,3 +153,17 @@ def test_exact_passages_equal_brute_force_past_the_pivot_and_in_every_copy(spark
         rows.append((a + 5, " ".join(near(60, 10) + line + near(50, 11) + line + other + near(5, 12))))  # its centre may lie in a line that comes earlier
     got = {(r["doc_id"], w) for r in substring.repeated_passages(spark, documents(spark, rows)).collect() for w in range(r["start_word"], r["end_word"])}
     assert got == covered(rows)
+
+
+def test_every_edited_copy_of_a_passage_goes(spark):
+    rows, want = [], {}
+    for j in range(8):
+        shared = long_words(70, 3000 + j)
+        edited = shared[:35] + ["changed"] + shared[36:]
+        rows.append((2 * j, " ".join(long_words(40, 3100 + j) + shared)))
+        rows.append((2 * j + 1, " ".join(edited + long_words(90, 3200 + j) + edited)))
+        want[2 * j + 1] = {(0, 70), (160, 230)}
+    got = {}
+    for r in substring.repeated_passages(spark, documents(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["start_word"], r["end_word"]))
+    assert got == {d: want[d] for d in got} and got  # the edit hides a few passages from all functions but one; then both copies stay
