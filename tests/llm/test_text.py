@@ -189,3 +189,11 @@ def test_quality_equals_a_plain_model(spark):
     out = {r["doc_id"]: r["kept"] for r in quality.quality(spark, docs, trusted).collect()}
     assert out[0] and not out[101] and not out[102] and len(out) == len(rows)
     assert quality.quality(spark, empty(spark), trusted).count() == 0 and quality.quality(spark, docs, trusted.limit(0)).filter("kept").count() == 43
+
+
+def test_decontamination_with_many_short_runs(spark):
+    words = long_words(40, 71)
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    ninth = [f"other{i}" if i % 9 == 8 else w for i, w in enumerate(words)]
+    got = [(r["doc_id"], r["matched"], r["item_words"]) for r in decontaminate.contamination(spark, documents(spark, [(1, " ".join(ninth)), (2, " ".join(long_words(60, 72)))]), items).collect()]
+    assert got == [(1, 36, 40)]
