@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders (``<num>``, ``<name>``, ``<unit>``), so a question whose
 values were changed keeps its template. Windows of ``WINDOW`` template tokens of the documents are
-hash-joined with those of the benchmark. Matches that lie on one diagonal form a region; its template
-tokens are compared as a whole, and the slots must be consistent: one benchmark value maps to one document
+hash-joined with those of the benchmark. Matches that lie on one diagonal, or on neighbouring ones in order,
+form a region; its template tokens are compared as a whole, and the slots must be consistent: one benchmark value maps to one document
 value all over the region, and the other way round. A document is contaminated by an item if the
 consistent region covers ``COVER`` of the item.
 
@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .words import U, Words, chunks, column_bytes, mix
 
 WINDOW, COVER, LEAST = 8, 0.6, 8
+SWITCH = 4  # tokens: what a change of shift has to win, so that chance agreements don't add up
 HELD_WINDOWS = 2_000_000  # distinct benchmark windows up to which their hashes (8 bytes each) go to every executor
 # fixed values: unit words
 UNITS = (
@@ -126,8 +127,29 @@ def _tokens(name: str):
     return run
 
 
+def _path(same: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The shift (as an index) of each item token on the best way through ``same`` (shift, token): document places only grow, and a change of shift has to win more than SWITCH tokens."""
+    many, size = same.shape
+    best = np.zeros((many, size + 1), np.int64)
+    came = np.zeros((many, size), np.int64)
+    skip = np.maximum(shifts[None, :] - shifts[:, None], 0)  # a smaller shift leaves item tokens out
+    cost = np.where(np.eye(many, dtype=bool), 0, SWITCH)
+    for j in range(size):
+        from_ = best[np.arange(many)[None, :], np.maximum(j - skip, 0)] - cost
+        from_[skip > j] = -SWITCH
+        came[:, j] = from_.argmax(axis=1)
+        best[:, j + 1] = from_.max(axis=1) + same[:, j]
+    path = np.full(size, -1, np.int64)
+    at, j = int(best[:, size].argmax()), size - 1
+    while j >= 0:
+        path[j] = at
+        before = int(came[at, j])
+        j, at = j - 1 - int(skip[at, before]), before
+    return path
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (document slice, item, shift): the stretch of the item whose template agrees with the slice and whose slots map one to one."""
+    """For each (document slice, item): the tokens of the item whose template agrees with the slice and whose slots map one to one, on each shift alone and over neighbouring shifts."""
     for batch in batches:
         rows = batch.to_pydict()
         out: list[tuple] = []
@@ -135,27 +157,36 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(rows["it"][i]) // 8
             it, dt = np.frombuffer(rows["it"][i], U), np.frombuffer(rows["dt"][i], U)
             ik, iv, dv = np.frombuffer(rows["ik"][i], np.int8), np.frombuffer(rows["iv"][i], U), np.frombuffer(rows["dv"][i], U)
-            shift = rows["shift"][i] - rows["lo"][i]  # document token = item token + shift
-            a, b = max(0, -shift), min(size, len(dt) - shift)
-            same = it[a:b] == dt[a + shift : b + shift]
-            forth: dict[int, int] = {}
-            back: dict[int, int] = {}
-            changed = 0
-            for j in np.flatnonzero(same & (ik[a:b] > 0)).tolist():
-                x, y = int(iv[a + j]), int(dv[a + j + shift])
-                if forth.setdefault(x, y) != y or back.setdefault(y, x) != x:
-                    same[j] = False
-                else:
-                    changed += x != y
-            good = int(same.sum())
-            out.append((rows["doc_id"][i], rows["item_id"][i], rows["shift"][i], good, size, changed))
+            shifts = np.array(rows["shifts"][i], np.int64)
+            place = np.arange(size) + shifts[:, None] - rows["lo"][i]  # of each item token in the slice, for each shift
+            inside = (place >= 0) & (place < len(dt))
+            place[~inside] = 0
+            agree = inside & (it == dt[place]) if len(dt) else inside
+            ways = [np.full(size, k) for k in range(len(shifts))]
+            if len(shifts) > 1:
+                ways.append(_path(agree, shifts))
+            for way in ways:
+                on = np.flatnonzero(way >= 0)
+                on = on[agree[way[on], on]]
+                if not len(on):
+                    continue
+                forth: dict[int, int] = {}
+                back: dict[int, int] = {}
+                changed, good = 0, len(on)
+                for j in on[ik[on] > 0].tolist():
+                    x, y = int(iv[j]), int(dv[place[way[j], j]])
+                    if forth.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                        good -= 1
+                    else:
+                        changed += x != y
+                out.append((rows["doc_id"][i], rows["item_id"][i], int(shifts[way[on[0]]]), good, size, changed))
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
         names = ["doc_id", "item_id", "start_word", "matched", "item_words", "changed_slots"]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slice of a document's tokens that each (item, shift) asks for."""
+    """The slice of a document's tokens that each (item, shifts) asks for."""
     for whole in batches:
         for batch in chunks(whole, "text", 2 << 20):
             t = Template(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
@@ -165,12 +196,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, asks in enumerate(asked):
                 a, b = int(t.first[i]), int(t.first[i + 1])
                 for q in asks:
-                    lo = max(0, q["shift"])
-                    x, y = a + lo, min(b, a + q["shift"] + q["size"])
-                    out.append((ids[i], q["item_id"], q["shift"], lo, t.t[x:y].tobytes(), t.h[x:y].tobytes()))
+                    lo = max(0, q["shifts"][0])
+                    x, y = a + lo, min(b, a + q["shifts"][-1] + q["size"])
+                    out.append((ids[i], q["item_id"], q["shifts"], lo, t.t[x:y].tobytes(), t.h[x:y].tobytes()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "shift", "lo", "dt", "dv"])
+            kinds = [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.int64()] + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "shifts", "lo", "dt", "dv"])
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -194,8 +225,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     sized = tokens.select("item_id", (F.length("t") / 8).cast("long").alias("size"))
     # matched tokens are no function of the hits (every broken run hides 7 of them), so each diagonal is compared
     worth = Scratch(spark, diagonals.join(sized, "item_id"), "diagonals").df
-    lists = worth.groupBy("doc_id", F.pmod(F.xxhash64("item_id", "shift"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("item_id", "shift", "size")).alias("asked"))
-    slices = docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut, "doc_id long, item_id long, shift long, lo long, dt binary, dv binary")
+    # words put in or left out part a copy into neighbouring shifts; those up to half an item apart are compared together
+    along = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    chained = worth.withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(along) > F.col("size") / 2, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(along))
+    chains = chained.groupBy("doc_id", "item_id", "size", "chain").agg(F.sort_array(F.collect_list("shift")).alias("shifts"))
+    lists = chains.groupBy("doc_id", F.pmod(F.xxhash64("item_id", "chain"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("item_id", "shifts", "size")).alias("asked"))
+    slices = docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut, "doc_id long, item_id long, shifts array<long>, lo long, dt binary, dv binary")
     named = tokens.select("item_id", F.col("t").alias("it"), F.col("kind").alias("ik"), F.col("value").alias("iv"))
     found = slices.join(named, "item_id").mapInArrow(_regions, "doc_id long, item_id long, start_word long, matched long, item_words long, changed_slots long")
     good = found.filter((F.col("matched") >= F.col("item_words") * COVER) & (F.col("matched") >= LEAST))

@@ -197,3 +197,15 @@ def test_decontamination_with_many_short_runs(spark):
     ninth = [f"other{i}" if i % 9 == 8 else w for i, w in enumerate(words)]
     got = [(r["doc_id"], r["matched"], r["item_words"]) for r in decontaminate.contamination(spark, documents(spark, [(1, " ".join(ninth)), (2, " ".join(long_words(60, 72)))]), items).collect()]
     assert got == [(1, 36, 40)]
+
+
+def test_decontamination_over_inserted_and_removed_words(spark):
+    words = long_words(60, 81)
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    pad = long_words(15, 82)
+    rows = [
+        (1, " ".join(pad + words[:30] + ["more"] + words[30:] + pad)), (2, " ".join(words[:30] + words[31:])), (3, " ".join(pad + words[:20] + ["one"] + words[20:40] + words[41:])),
+        (4, " ".join(words[30:] + words[:30])),
+    ]
+    got = {r["doc_id"]: (r["start_word"], r["matched"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
+    assert got == {1: (15, 60), 2: (0, 59), 3: (15, 59)}  # halves in swapped order are no copy
