@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, ROUNDS, SLACK, SEATS = 40, 2, 1.25, 1024
+SHARDS, ROUNDS, SLACK, SEATS = 40, 4, 1.25, 1024
 
 
 def propagate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -47,9 +47,9 @@ def propagate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, shards: i
             F.col("label").alias("to"), F.greatest(F.lit(0), F.lit(room) - F.coalesce("here", F.lit(0)) - F.coalesce("fixed", F.lit(0))).alias("quota")
         )
         seats = movers.groupBy("to", "seat").agg(F.count("*").alias("n")).join(F.broadcast(quota), "to")  # quota: a row for each shard; seats: at most shards x SEATS rows
-        before = F.sum("n").over(Window.partitionBy("to").orderBy("seat").rowsBetween(Window.unboundedPreceding, -1))
+        before = F.sum(F.when(F.col("n") > room, 0).otherwise(F.col("n"))).over(Window.partitionBy("to").orderBy("seat").rowsBetween(Window.unboundedPreceding, -1))
         seats = seats.withColumn("before", F.coalesce(before, F.lit(0)))
-        # a seat larger than a shard goes in whole: it has to be parted anyway, and the last cut parts it least
+        # a seat larger than a shard goes in whole: it has to be parted anyway, and the last cut parts it least; it takes no room from the others
         share = F.when(F.col("n") > room, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("quota") - F.col("before")) / F.col("n")))) * 65536
         admitted = movers.join(F.broadcast(seats.select("to", "seat", share.alias("share"))), ["to", "seat"]).filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(65536)) < F.col("share"))
         after = state.df.join(admitted.select("node", "to"), "node", "left").select("node", "lead", F.coalesce("to", "label").alias("label"))

@@ -102,3 +102,23 @@ def test_general_edges(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 4), (4, None), (5, 5), (0, 1)], "a long, b long")
     labels = {r["node"]: r["label"] for r in sharding.propagate(spark, nodes, edges, 3).collect()}
     assert set(labels) == {0, 1, 2, 3, 4} and all(0 <= v < 3 for v in labels.values())
+
+
+def test_few_groups_are_parted_beside_a_hot_one(spark):
+    group, node = {}, 0
+    for g in range(400):
+        for _ in range(2 + g % 10):
+            group[node] = g
+            node += 1
+    for _ in range(1300):
+        group[node] = 400
+        node += 1
+    hub = {}
+    for n, g in group.items():
+        hub.setdefault(g, n)
+    edges = spark.createDataFrame([(n, hub[g]) for n, g in group.items()], "a long, b long")
+    labels = {}
+    for r in sharding.propagate(spark, spark.createDataFrame([(n,) for n in group], "node long"), edges).collect():
+        labels.setdefault(group[r["node"]], set()).add(r["label"])
+    parted = sum(len(v) > 1 for g, v in labels.items() if g < 400)
+    assert parted <= 80  # of 400; 214 after two rounds
