@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = "16m"
+BATCH, _BATCH_KEY = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOTS: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -21,10 +21,11 @@ _MADE: list[tuple[SparkSession, str]] = []
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so any file system works.
 
-    Arrow batches are held to BATCH bytes in this session, so that a Python worker's memory is bounded
-    by bytes and not by rows.
+    Arrow batches are held to BATCH bytes, so that a Python worker's memory is bounded by bytes and not by rows.
+    DataFrames run after this returns, so the setting stays; a value the session has been given is left alone.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,7 +34,9 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:  # a session without a shared folder: local runs and tests
+        if not base:  # only a local run has a folder that driver and executors share anyway
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="tamarack-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/tamarack-{uuid.uuid4().hex}"
@@ -57,6 +60,7 @@ class Scratch:
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
+        _MADE[:] = [m for m in _MADE if m[1] != self.path]
 
 
 def scratch(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
@@ -69,8 +73,23 @@ def _clean() -> None:
     for spark, path in _MADE:
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may have gone already
-            return
+        except Exception:  # noqa: BLE001 - this session's JVM may have gone already
+            continue
+
+
+def with_nodes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, names): ``docs(doc_id, text)`` without null ids or texts as ``rows(node, text)``, one node for each (doc_id, text).
+
+    Where no id is repeated the node is the id and ``names`` is None. Else nodes are numbered in the order of
+    (doc_id, hash of the text), and ``names(node, doc_id, hash)`` tells them; then texts are shuffled once.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        return docs.withColumnRenamed("doc_id", "node"), None
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    order = docs.select("doc_id", "hash").distinct().repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    names = Scratch(spark, order.withColumn("node", F.monotonically_increasing_id()), "names").df
+    return docs.dropDuplicates(["doc_id", "hash"]).join(names, ["doc_id", "hash"]).select("node", "text"), names
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
