@@ -6,7 +6,7 @@ band. With 32 bands of 5 a pair at similarity 0.8 misses every band with probabi
 
 Links are confirmed on the full shingle sets. No bucket is expanded into pairs:
 
-1. texts with equal sets are one class, kept by its smallest id;
+1. texts with equal sets are one class with a number of its own, so rows that share an id don't mix;
 2. in each bucket every class is compared with the bucket's pivot, and components are formed;
 3. buckets that still hold several components get another pivot;
 4. what remains (classes outside their bucket's main component) is compared with all the rest of the
@@ -56,6 +56,11 @@ def _signature(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each row's set; off: only rows that have shingles."""
+    return np.add.reduceat(x, off[:-1]), np.bitwise_xor.reduceat(mix(x), off[:-1])
+
+
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,8 +72,7 @@ def _features(size: int):
                 keys = np.zeros((len(n), BANDS), U)
                 if len(has):
                     packed = np.concatenate([off[:-1][has], off[-1:]])
-                    d1[has] = np.add.reduceat(x, packed[:-1])
-                    d2[has] = np.bitwise_xor.reduceat(mix(x), packed[:-1])
+                    d1[has], d2[has] = _digests(x, packed)
                     sig = _signature(x, packed)
                     k = np.zeros((len(has), BANDS), U)
                     for r in range(ROWS):
@@ -78,21 +82,23 @@ def _features(size: int):
                     pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)),
                     pa.array(signed(keys[has].ravel())),
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n), pa.array(signed(d1)), pa.array(signed(d2)), bands],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
-                )
+                own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(signed(d1)), pa.array(signed(d2)), bands], names=["doc_id", "hash", "n_shingles", "d1", "d2", "bands"])
 
     return run
 
 
 def _sets(size: int):
+    """(node, words): the sets of rows whose text is that of their class; another text of a repeated id is not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", 1 << 20):
                 x, off = distinct_sets(batch, size)
                 b = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).tobytes()), pa.py_buffer(x.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), b.cast(pa.binary())], names=["doc_id", "words"])
+                node, hash_, own = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "hash", "own"))
+                out = pa.RecordBatch.from_arrays([node, b.cast(pa.binary())], names=["node", "words"])
+                yield out.filter(pa.array(hash_.to_numpy() == own.to_numpy()))
 
     return run
 
@@ -158,29 +164,29 @@ def _block_links(percent: int):
     return run
 
 
-def components(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs(doc_id, text)``.
-
-    ``size`` words make a shingle; two documents are linked if their sets of distinct shingles have
-    ``100 * intersection >= percent * union``. ``component_id`` is the smallest ``doc_id`` reachable.
-    Null or empty texts have no shingles and are linked with nothing; a text of fewer than ``size`` words
-    has its whole sequence as its one shingle. Rows with a null ``doc_id`` take no part and come back with
-    a null component, kept. Repeated ids stay repeated rows. Other columns of ``docs`` are ignored.
-    """
+def _classes(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, labels): ``rows(doc_id, hash, n_shingles, d1, d2)`` of all documents, one node for each set of
+    shingles in ``classes(n_shingles, d1, d2, first, node)`` and the least node reachable of those with links in ``labels(node, label)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = Scratch(spark, docs.mapInArrow(_features(size), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "minmax")
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    feats = Scratch(spark, docs.mapInArrow(_features(size), "doc_id long, hash long, n_shingles long, d1 long, d2 long, bands array<long>"), "minmax")
     alive = feats.df.filter("n_shingles > 0 and doc_id is not null")
-    classes = alive.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"))
-    # only one row of each class carries its bands on
-    bands = alive.join(classes, ["n_shingles", "d1", "d2"]).filter("doc_id = node").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    shared = Scratch(spark, bands.join(buckets, "key"), "buckets")
-    needed = shared.df.select(F.col("node").alias("doc_id")).distinct()
-    sets = Scratch(spark, docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, words binary").dropDuplicates(["doc_id"]), "sets", "none")
+    lead = F.min(F.struct("doc_id", "hash")).alias("first")
+    # nodes are numbered once, in a written table, so they stay what they are
+    classes = Scratch(spark, alive.groupBy("n_shingles", "d1", "d2").agg(lead).withColumn("node", F.monotonically_increasing_id()), "classes").df
+    own = classes.select("n_shingles", "d1", "d2", "node", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("own"))
+    # only one row of each class carries its bands on; equal rows carry equal ones
+    carriers = alive.withColumnRenamed("hash", "own").join(own, ["n_shingles", "d1", "d2", "doc_id", "own"])
+    bands = carriers.select("node", F.explode("bands").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot <> last")
+    shared = Scratch(spark, bands.join(buckets.drop("last"), "key").distinct(), "buckets")
+    needed = shared.df.select("node").distinct().join(own.select("node", "doc_id", "own"), "node")
+    texts = docs.join(needed, "doc_id").select("node", "hash", "own", "text")
+    sets = Scratch(spark, texts.mapInArrow(_sets(size), "node long, words binary").dropDuplicates(["node"]), "sets", "none")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        one = sets.df.select(F.col("doc_id").alias("a"), F.col("words").alias("x"))
-        two = sets.df.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
+        one = sets.df.select(F.col("node").alias("a"), F.col("words").alias("x"))
+        two = sets.df.select(F.col("node").alias("b"), F.col("words").alias("y"))
         rows = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
         return rows.mapInArrow(_confirm(percent), "a long, b long")
 
@@ -226,30 +232,71 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int
             "key", "node", "label", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.lit(False).alias("cross"),
             F.when(F.col("s") == F.col("o"), 2).when(F.col("s") < F.col("o"), 0).otherwise(1).alias("side"),
         )
-        units = a.union(b).union(c).join(sets.df.withColumnRenamed("doc_id", "node"), "node")
+        units = a.union(b).union(c).join(sets.df, "node")
         found = units.groupBy("key", "i", "j", "cross").applyInArrow(_block_links(percent), "a long, b long")
         links = links.union(Scratch(spark, found, "links").df)
         labels = Scratch(spark, connected_components(spark, links), "labels").df
 
-    named = classes.join(labels, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "node").alias("c"))
+    labels = Scratch(spark, labels, "labels").df
+    shared.drop()
+    sets.drop()
+    return feats.df.drop("bands"), classes, labels
+
+
+def components(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs(doc_id, text)``.
+
+    ``size`` words make a shingle; two documents are linked if their sets of distinct shingles have
+    ``100 * intersection >= percent * union``. ``component_id`` is the smallest ``doc_id`` reachable.
+    Null or empty texts have no shingles and are linked with nothing; a text of fewer than ``size`` words
+    has its whole sequence as its one shingle. Rows with a null ``doc_id`` take no part and come back with
+    a null component, kept. Repeated ids stay repeated rows; rows that share an id are one document with all their
+    texts' links. Texts are taken whole at any length. Other columns of ``docs`` are ignored.
+    """
+    rows, classes, labels = _classes(spark, docs, size, percent)
+    named = classes.join(labels, "node", "left").select("n_shingles", "d1", "d2", "first", "node", F.coalesce("label", "node").alias("label"))
+    # texts of one id that are not linked themselves
+    own = rows.filter("n_shingles > 0 and doc_id is not null").join(named, ["n_shingles", "d1", "d2"])
+    ids = own.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("doc_id", "a")
+    ties = Scratch(spark, own.join(ids, "doc_id").select("a", F.col("label").alias("b")).filter("a <> b").distinct(), "ties")
+    if ties.df.head(1):
+        joined = connected_components(spark, ties.df).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        named = named.join(joined, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
+    named = Scratch(spark, named, "named").df
+    least = named.groupBy("label").agg(F.min("first.doc_id").alias("c"))
     part = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     return (
-        feats.df.select("doc_id", "n_shingles", "d1", "d2")
-        .join(named, ["n_shingles", "d1", "d2"], "left")
+        rows.join(named.join(least, "label").select("n_shingles", "d1", "d2", "c"), ["n_shingles", "d1", "d2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), part).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that are near copies of a row with a smaller id; all columns stay.
+    """``docs`` without the rows that are near copies of an earlier row; all columns stay.
 
-    Exactly one row of each component stays, also when ids repeat. Rows without words or without an id
+    Here a row is judged by its own text: of each group of linked rows exactly one stays, that with the smallest id
+    and, of repeated ids, the smallest hash of its text; of rows equal in both any one, taken by the hash of all
+    columns. Rows that share an id and are no near copies of each other all stay. Rows without words or without an id
     have no copies and stay as they are.
     """
-    groups = components(spark, docs, size, percent)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    rows, classes, labels = _classes(spark, docs, size, percent)
+    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    winners = named.groupBy("label").agg(F.min("first").alias("w"))
+    alive = rows.filter("n_shingles > 0 and doc_id is not null")
+    judged = alive.join(named.join(winners, "label").select("n_shingles", "d1", "d2", "w"), ["n_shingles", "d1", "d2"])
+    lost = judged.filter(F.struct("doc_id", "hash") != F.col("w")).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    lost = Scratch(spark, lost, "lost").df
+    on = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    kept = docs.join(lost, on, "left_anti")
+    twice = alive.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    twice = Scratch(spark, twice, "twice").df
+    if not twice.head(1):
+        return kept
+    again = kept.join(twice, on).select(docs["*"], F.col("__id"), F.col("__hash"))
+    plain = [c for c, t in docs.dtypes if not t.startswith("map")]
+    one = again.groupBy("__id", "__hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("r")).select("r.*")
+    return kept.join(twice, on, "left_anti").unionByName(one)
 
 
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

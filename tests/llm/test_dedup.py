@@ -61,7 +61,41 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in out.collect()) == sorted([("None", "None", True)] * 2 + [("1", "1", True)] * 2 + [("2", "1", False), ("3", "3", True)])
     assert neardup.components(spark, empty(spark)).count() == 0
     kept = neardup.near_dedup(spark, documents(spark, rows), 2)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "3", "None", "None"] and kept.columns == empty(spark).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None", "None"] and kept.columns == empty(spark).columns
+
+
+def test_links_of_rows_that_share_an_id(spark):
+    a, b = long_words(40, 21), long_words(40, 22)
+    near = b[:20] + ["other"] + b[21:]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near)), (4, " ".join(a[:39])), (3, " ".join(long_words(40, 23))), (3, None), (3, "")]
+    out = neardup.components(spark, documents(spark, rows), 2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == [(1, 39, 1), (1, 39, 1), (2, 39, 1), (3, 0, 3), (3, 0, 3), (3, 39, 3), (4, 38, 1)]
+    kept = neardup.near_dedup(spark, documents(spark, rows), 2).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted([(1, rows[0][1]), (1, rows[1][1]), (3, rows[4][1]), (3, ""), (3, "")])
+    clash = [(1, "a b c"), (1, "a b c"), (5, "A b  c"), (5, "x y z")]
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.near_dedup(spark, documents(spark, clash), 2).collect()) == [(1, "a b c"), (5, "x y z")]
+
+
+def test_random_repeated_ids_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 30), t) for _, t in family(0, 20, 5) + family(0, 20, 6) + family(0, 8, 7)]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    own = [(i, sets([(0, t)], 2)[0]) for i, t in rows]
+    for i, x in own:
+        for j, y in own:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                u, v = find(i), find(j)
+                root[max(u, v)] = min(u, v)
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.components(spark, documents(spark, rows), 2).collect()}
+    assert got == {(i, find(i)) for i, _ in rows}
 
 
 def test_connected_components(spark):
