@@ -13,6 +13,12 @@ def recent(events: DataFrame, seq: str, most: int = KEPT) -> DataFrame:
     return events.orderBy(F.desc(seq)).limit(most)
 
 
+def follow_events(spark, path: str, publish, checkpoint: str):
+    """Hands the activity rows (type, at, detail) that are appended from now on to ``publish``, batch by batch; what was there at the first start belongs to it too."""
+    live = spark.readStream.schema("type string, at string, detail map<string, string>").parquet(path)
+    return live.writeStream.foreachBatch(lambda batch, _: publish(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def open_issues(letters: DataFrame, resolved: DataFrame, key: str = "id") -> DataFrame:
     """Dead letters that nobody has resolved, newest first."""
     return letters.join(resolved.select(key).distinct(), key, "left_anti").orderBy(F.desc("created_at"), key)

@@ -1,57 +1,178 @@
-"""Hand-written handlers and the interceptor's order of decisions."""
+"""Hand-written handlers and the interceptor: what one request, or a whole table of them, comes to."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import time
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
 from ..sources.declarations import Declaration, Operation
-from . import mutations, reads
+from . import activity, dedup, journal, mutations, reads, routing
 from .params import merged
-from .routing import resolve, resolve_operation
+from .routing import Resolved, resolve, resolve_operation
 
 Handler = Callable[[SparkSession, dict], DataFrame]
 
 
 class Registry:
-    """Handlers by name; a name twice or unknown is an error."""
+    """Handlers by name; a name twice or unknown is an error. An offline handler works on local tables, an online one calls the network; ``metadata`` makes a write's metadata itself."""
 
     def __init__(self) -> None:
-        self._own: dict[str, Handler] = {}
+        self._own: dict[str, tuple[Handler, str, Callable[[dict], str] | None]] = {}
 
-    def add(self, name: str, handler: Handler) -> None:
+    def add(self, name: str, handler: Handler, connectivity: str = "offline", metadata: Callable[[dict], str] | None = None) -> None:
         if name in self._own:
             raise ValueError(f"{name} is registered already")
-        self._own[name] = handler
+        self._own[name] = (handler, connectivity, metadata)
 
-    def get(self, name: str) -> Handler:
+    def get(self, name: str, connectivity: str | None = None) -> Handler:
         if name not in self._own:
-            raise KeyError(f"no handler {name}")
-        return self._own[name]
+            raise KeyError(f"no handler {name}; there are: {', '.join(self._own) or 'none'}")
+        handler, own, _ = self._own[name]
+        if connectivity is not None and own != connectivity:
+            raise ValueError(f"{name} is an {own} handler, the operation is {connectivity}")
+        return handler
+
+    def metadata(self, name: str) -> Callable[[dict], str] | None:
+        return self._own[name][2]
+
+
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
 @dataclass
 class Engine:
-    """Operations first, then composed entity requests; anything else is passed through (None)."""
+    """Operations first, then composed entity requests; anything else is passed through (None).
+
+    ``log`` is the journal's folder, without which nothing can be written. Equal requests inside the window get the answer of
+    the one that ran, failures and passed-through requests are never remembered. ``events`` holds the latest activity rows, the oldest going first.
+    """
 
     catalog: Catalog
     declaration: Declaration
     operations: list[Operation]
     handlers: Registry
+    log: str | None = None
+    guard: dedup.Guard = field(default_factory=dedup.Guard)
+    new_id: Callable[[], str] = field(default=lambda: str(uuid.uuid4()))
+    now: Callable[[], str] = _now
+    clock_ms: Callable[[], int] = field(default=lambda: time.time_ns() // 1_000_000)
+    events: list[tuple] = field(default_factory=list)
 
     def handles(self, method: str, url: str) -> bool:
         return resolve_operation(self.operations, method, url) is not None or resolve(self.declaration, method, url) is not None
 
     def run(self, method: str, url: str, body: dict | None = None) -> DataFrame | None:
-        if found := resolve_operation(self.operations, method, url):
-            op, path = found
-            return self.handlers.get(op.handle)(self.catalog.spark, merged(path, url, body))
-        entity = resolve(self.declaration, method, url)
-        if entity is None:
+        op, path = resolve_operation(self.operations, method, url) or (None, {})
+        entity = None if op else resolve(self.declaration, method, url)
+        if op is None and entity is None:
             return None
-        if mutations.kind_of(method) != "read":
-            raise mutations.MutationError("writes go through the journal")
-        return reads.read(self.catalog, entity)[0]
+        key, at = dedup.fingerprint_of(method, url, body), self.clock_ms()
+        known = self.guard.find(key, at, op.dedup_window_ms if op else None)
+        if known is not None:
+            return known
+        if op:
+            context = merged(path, url, body)
+            handler = self.handlers.get(op.handle, op.connectivity)
+            if op.connectivity == "offline":
+                own = self.handlers.metadata(op.handle)
+                context["_metadata"] = own(context) if own else metadata_of(method, url, op.operation_id, body)
+            answer = handler(self.catalog.spark, context)
+            kind = "local-write" if op.connectivity == "offline" else "request-handled"
+            self._record(kind, operation=op.operation_id, method=method.upper())
+        elif mutations.kind_of(method) == "read":
+            answer = reads.read(self.catalog, entity)[0]
+            self._record("request-handled", table=entity.table, method=method.upper(), url=url)
+        else:
+            answer = self.write(entity, method, url, body)
+            self._record("local-write", table=entity.table, method=method.upper(), url=url)
+        self.guard.remember(key, answer, at)
+        return answer
+
+    def _record(self, kind: str, **detail: str) -> None:
+        self.events.append(activity.event(kind, self.now(), **detail))
+        del self.events[: -activity.KEPT]
+
+    def tenant(self, table: str) -> str | None:
+        """The tenant of local rows: the table's own, else that of the first other table that has one."""
+        own = [t for t in [table, *(n for n in self.catalog.tables if n != table)] if "tenant_id" in self.catalog.columns(t)]
+        if table not in own:
+            return None
+        rows = [self.catalog[t] for t in own]
+        return mutations.first_tenant(rows[0], rows[1:]).first()["tenant"]
+
+    def write(self, entity: Resolved, method: str, url: str, body: dict | None = None) -> DataFrame:
+        """One append of request and steps; the answer is the row as written, for a delete the row that goes."""
+        if self.log is None:
+            raise mutations.MutationError("writes go through the journal: the engine has no folder for it")
+        row, columns = self.compose(entity, method, url, body)
+        journal.append(self.catalog.spark.createDataFrame([row], journal.COLUMNS), self.log)
+        table, row_id, steps = row[5:]
+        op, values = steps[-1]
+        if op == "insert":
+            return self.catalog.spark.createDataFrame([tuple(values.get(c) for c in columns)], ", ".join(f"{c} string" for c in columns))
+        base = self.catalog[table].filter(F.col("id") == F.lit(row_id).try_cast(self.catalog[table].schema["id"].dataType))
+        return base.withColumns({c: F.lit(v).cast(base.schema[c].dataType) for c, v in values.items()}) if values else base
+
+    def compose(self, entity: Resolved, method: str, url: str, body: dict | None) -> tuple[tuple, list[str]]:
+        """The journal row of a write and the columns of its table."""
+        request, now = self.new_id(), self.now()
+        columns = self.catalog.columns(entity.table)
+        hole = reads.id_hole(entity)
+        row_id = entity.params.get(hole) if hole else None
+        kind = mutations.kind_of(method)
+        if kind == "insert":
+            given = {c: entity.params[h] for c, h in reads.filters_of(entity, columns).items()}
+            values = mutations.insert(columns, body, given, entity.route.defaults if entity.route else {}, self.new_id(), now, self.tenant(entity.table), request)
+            row_id, steps = str(values["id"]), [("insert", values)]
+        elif kind == "update":
+            steps = [("update", mutations.update(columns, body, row_id, now, request))]
+        else:
+            steps = mutations.delete(columns, row_id, request)
+        parts = urlsplit(url)
+        path = parts.path + (f"?{parts.query}" if parts.query else "")
+        return journal.entry(request, method, path, body, now, entity.table, row_id, steps), columns
+
+
+def metadata_of(method: str, url: str, operation: str, body: object = None) -> str:
+    """A write's metadata: method, path with its query string, operation and body, if there is one."""
+    import json
+
+    parts = urlsplit(url)
+    out = {"method": method.upper(), "path": parts.path + (f"?{parts.query}" if parts.query else ""), "operationId": operation}
+    return json.dumps(out if body is None else {**out, "body": body})
+
+
+def intercept(requests: DataFrame, operations: Sequence[Operation], routes: Sequence[tuple[str, str, str]], prefixes: Mapping[str, str], window_ms: int = dedup.WINDOW_MS) -> DataFrame:
+    """A table of requests (seq, at, method, path, body), each judged as :meth:`Engine.run` would: with (source, target, by, activity).
+
+    ``source`` is operation, entity or server; ``by`` is the seq of the request whose answer it gets (its own if it runs, null
+    if it goes to the server); ``activity`` is the kind of row that a request which runs leaves.
+    """
+    ops = routing.match_batch(requests, [(o.method, o.path, o.operation_id) for o in operations], decode=True).withColumnRenamed("target", "_op").drop("status", "route_path", "params")
+    both = routing.match_batch(ops, routes).withColumnRenamed("target", "_route").drop("status", "route_path", "params")
+    both = routing.prefix_batch(both, prefixes) if prefixes else both.withColumn("table", F.lit(None).cast("string"))
+    known = F.upper("method").isin("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE")
+    entity = F.coalesce("_route", F.when(known, F.col("table")))
+    out = both.withColumn("source", F.when(F.col("_op").isNotNull(), "operation").when(entity.isNotNull(), "entity").otherwise("server")).withColumn("target", F.coalesce("_op", entity))
+    window = F.lit(window_ms)
+    read = F.upper("method").isin("GET", "HEAD")
+    kind = F.when(F.col("source") == "entity", F.when(read, "request-handled").otherwise("local-write"))
+    for o in operations:
+        if o.dedup_window_ms is not None:
+            window = F.when(F.col("_op") == o.operation_id, o.dedup_window_ms).otherwise(window)
+        kind = F.when(F.col("_op") == o.operation_id, "local-write" if o.connectivity == "offline" else "request-handled").otherwise(kind)
+    out = out.withColumn("activity", kind).withColumn("_window", window.cast("long") * 1000)
+    names = [*requests.columns, "source", "target", "activity"]
+    mine = out.filter("source <> 'server'").withColumn("_print", dedup.fingerprint(F.col("method"), F.col("path"), F.col("body")))
+    mine = dedup.answered(mine.select(*names, F.col("_window").alias("_w"), "_print"), ["_print"], "at", "seq", F.col("_w")).select(*names, "by")
+    mine = mine.withColumn("activity", F.when(F.col("by") == F.col("seq"), F.col("activity")))
+    return mine.unionByName(out.filter("source = 'server'").select(*names, F.lit(None).cast("long").alias("by")))

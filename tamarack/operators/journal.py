@@ -1,27 +1,38 @@
 """The request journal: append, pending rows, acknowledgement, and the links between writes and requests.
 
-One append carries the original request and the column mutation, so both commit together or not at all.
+A row holds the original request and the steps it means for one row of a table, so one append commits both or neither.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import checked  # noqa: F401  re-exported for writers
-
-COLUMNS = "id string, method string, path string, body string, created_at string"
+REQUEST = "id string, method string, path string, body string, created_at string"
+STEPS = "array<struct<op: string, set: map<string, string>>>"
+COLUMNS = f"{REQUEST}, table_name string, row_id string, steps {STEPS}"
 
 
 class JournalError(ValueError):
     pass
 
 
-def entry(request_id: str, method: str, path: str, body: object, created_at: str) -> tuple[str, str, str, str | None, str]:
-    """A journal row: the request as it came, query string included."""
-    return request_id, method.upper(), path, None if body is None else json.dumps(body), created_at
+def entry(request_id: str, method: str, path: str, body: object, created_at: str, table: str | None = None, row_id: str | None = None, steps: Sequence[tuple[str, Mapping[str, object]]] = ()) -> tuple:
+    """A journal row: the request as it came, query string included, and its (op, columns) steps on the row ``row_id`` of ``table``."""
+    text = lambda v: None if v is None else json.dumps(v) if isinstance(v, bool) else str(v)
+    own = [(op, {c: text(v) for c, v in values.items()}) for op, values in steps]
+    return request_id, method.upper(), path, None if body is None else json.dumps(body), created_at, table, row_id, own
+
+
+def mutations_of(journal: DataFrame, table: str, seq: Column | None = None) -> DataFrame:
+    """(id, seq, op, set) of the steps on one table, in the order they were written; a mark sets its column like an update."""
+    order = F.struct("created_at", F.col("id").alias("request")) if seq is None else seq
+    rows = journal.filter(F.col("table_name") == table).select("row_id", order.alias("at"), F.posexplode("steps").alias("nth", "step"))
+    op = F.when(F.col("step.op") == "mark", "update").otherwise(F.col("step.op"))
+    return rows.select(F.col("row_id").alias("id"), F.struct("at", "nth").alias("seq"), op.alias("op"), F.col("step.set").alias("set"))
 
 
 def append(journal: DataFrame, path: str) -> None:

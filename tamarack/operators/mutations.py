@@ -59,6 +59,14 @@ def update(columns: Sequence[str], body: Mapping | None, row_id: str | None, now
     return out
 
 
+def delete(columns: Sequence[str], row_id: str | None, metadata: str | None = None) -> list[tuple[str, dict[str, object]]]:
+    """The steps of a DELETE: a mark that leaves the request's id on the row, where the table can hold it, then the delete, which carries nothing."""
+    if row_id is None:
+        raise MutationError("a delete needs an id")
+    mark = [("mark", {"_metadata": metadata})] if "_metadata" in columns and metadata is not None else []
+    return [*mark, ("delete", {})]
+
+
 def kind_of(method: str) -> str:
     kinds = {"GET": "read", "HEAD": "read", "POST": "insert", "PUT": "update", "PATCH": "update", "DELETE": "delete"}
     if method.upper() not in kinds:
@@ -99,6 +107,16 @@ def state(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("id").agg(*latest)
 
 
+def applied(base: DataFrame, log: DataFrame) -> DataFrame:
+    """``base(id, ...)`` after ``log(id, seq, op, set)``: its rows are inserts before all others; columns keep their types."""
+    columns = [c for c in base.columns if c != "id"]
+    text = [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
+    first = base.select(F.col("id").cast("string").alias("id"), F.lit(None).cast(log.schema["seq"].dataType).alias("seq"), F.lit("insert").alias("op"), F.create_map(*text).alias("set"))
+    both = first.withColumn("seq", F.struct(F.lit(0).alias("own"), "seq")).unionByName(log.withColumn("seq", F.struct(F.lit(1).alias("own"), "seq")))
+    kinds = {f.name: f.dataType for f in base.schema}
+    return state(both, columns).select(*[F.col(c).cast(kinds[c]).alias(c) for c in base.columns])
+
+
 def returning_delete(base: DataFrame, deletes: DataFrame) -> DataFrame:
     """Before-images of the rows that deletes hit; a missing id yields nothing."""
     return base.join(deletes.select("id").distinct(), "id", "left_semi")

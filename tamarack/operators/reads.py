@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.naming import LOWER, UPPER, checked, to_camel, to_snake
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, shared_folder
 from ..sources.declarations import hole, segments
 from .params import names_in
 from .routing import Resolved
@@ -95,6 +97,21 @@ def read(catalog: Catalog, resolved: Resolved) -> tuple[DataFrame, bool]:
     return (df.limit(1) if single else df), single
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """A sorted ``df`` with ``place`` from 1: its range partitions are written once into the shared folder and their sizes added up, so no row meets all others in one task."""
+    spark = df.sparkSession
+    held = df.withColumn("_at", F.monotonically_increasing_id())
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    held.write.parquet(path)
+    held = spark.read.schema(held.schema).parquet(path)
+    part = F.shiftright("_at", 33)
+    sizes = held.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each partition
+    first = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", first.alias("first"))
+    rows = held.withColumn("part", part).join(F.broadcast(sizes), "part")
+    return rows.withColumn("place", F.col("first") + F.col("_at") - F.shiftleft(F.col("part"), 33) + 1).select(*df.columns, "place")
+
+
 def response(df: DataFrame, single: bool) -> object:
     """What a client gets: a list of rows, or the row or None."""
     rows = [r.asDict(recursive=True) for r in df.collect()]

@@ -53,27 +53,45 @@ def latch(events: DataFrame, stream: str, seq: str, kind: str = "kind", resume:
     return events.withColumn("blocked", F.coalesce(before == "shut", F.lit(False)) & ~F.col(resume))
 
 
-def metadata_json(method: Column, path: Column, operation: Column, body: Column | None = None) -> Column:
-    """The write's metadata as JSON, nulls left out."""
+def kind_of(status: int | None) -> str:
+    """The same for one answer."""
+    if status is None:
+        return RETRY
+    return OK if 200 <= status < 300 else REAUTH if status == 401 else RETRY if status in (408, 429) or status >= 500 else REJECT
+
+
+def metadata_json(method: Column, path: Column, operation: Column, body: Column | None = None, own: Column | None = None) -> Column:
+    """The write's metadata as JSON, nulls left out; ``path`` has its query string. What a handler makes itself (``own``) wins."""
+    if own is not None:
+        return F.coalesce(own, metadata_json(method, path, operation, body))
     fields = [method.alias("method"), path.alias("path"), operation.alias("operationId")]
     return F.to_json(F.struct(*fields, *([body.alias("body")] if body is not None else [])))
 
 
 def usable_metadata(text: Column) -> Column:
-    """(method, path, operationId) if the text is JSON with a method and a path, else null."""
-    parsed = F.from_json(text, "method string, path string, operationId string")
+    """(method, path, operationId, body) if the text is JSON with a method and a path, else null."""
+    parsed = F.from_json(text, "method string, path string, operationId string, body string")
     return F.when(parsed["method"].isNotNull() & parsed["path"].isNotNull(), parsed)
 
 
-def request_of(writes: DataFrame, token: str | None = None, marker: str = "X-Replay") -> DataFrame:
-    """The request to send: journal row first, else usable metadata; headers mark the replay (``marker`` is the server's name for it) and carry the stable idempotency key."""
+def request_of(writes: DataFrame, token: str | None = None, marker: str = "X-Replay", base: str | None = None) -> DataFrame:
+    """The request to send: journal row first, else usable metadata; headers mark the replay (``marker`` is the server's name for it) and carry the stable idempotency key.
+
+    Without either ``send_method`` is null: nobody can tell which service to call. The body is that of the request,
+    else the write's data; a relative path is put behind ``base``.
+    """
     meta = usable_metadata(F.col("metadata"))
     out = writes.withColumn("_m", meta)
     headers = [F.lit(marker), F.lit("1"), F.lit("Idempotency-Key"), F.coalesce("journal_id", F.get_json_object("data", "$.idempotencyKey"))]
     if token:
         headers += [F.lit("Authorization"), F.lit(f"Bearer {token}")]
     head = F.map_filter(F.create_map(*headers), lambda _, v: v.isNotNull())
-    return out.withColumn("send_method", F.coalesce("journal_method", "_m.method")).withColumn("send_path", F.coalesce("journal_path", "_m.path")).withColumn("headers", head).drop("_m")
+    out = out.withColumn("send_method", F.coalesce("journal_method", "_m.method")).withColumn("send_path", F.coalesce("journal_path", "_m.path")).withColumn("headers", head)
+    body = F.when(F.col("journal_method").isNotNull(), F.coalesce("journal_body", "data") if "journal_body" in writes.columns else F.col("data")).otherwise(F.coalesce("_m.body", "data"))
+    url = F.col("send_path")
+    if base is not None:
+        url = F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), url).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(url, "^/+", "")))
+    return out.withColumn("send_body", F.when(F.col("send_method").isNotNull(), body)).withColumn("url", url).drop("_m")
 
 
 def dead_letters(discarded: DataFrame) -> DataFrame:

@@ -92,33 +92,40 @@ def decode_column(segment: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
 
 
-def _route_array(routes: Sequence[tuple[str, str, str]]) -> Column:
-    rows = []
+def _route_map(routes: Sequence[tuple[str, str, str]]) -> Column:
+    """Routes by method and number of segments, so that a request is held against the few that can fit."""
+    rows: dict[str, list[Column]] = {}
     for i, (method, path, target) in enumerate(routes):
         own = segments(path)
         pattern = "".join("0" if hole(s) is None else "1" for s in own)
         names = [hole(s) or "" for s in own]
-        rows.append(F.struct(F.lit(pattern).alias("pattern"), F.lit(i).alias("nth"), F.lit(method).alias("method"), F.lit(path).alias("path"), F.lit(target).alias("target"), F.array(*map(F.lit, own)).alias("own"), F.array(*map(F.lit, names)).alias("names")))
-    return F.array(*rows)
+        rows.setdefault(f"{method.upper()} {len(own)}", []).append(F.struct(F.lit(pattern).alias("pattern"), F.lit(i).alias("nth"), F.lit(method).alias("method"), F.lit(path).alias("path"), F.lit(target).alias("target"), F.array(*map(F.lit, own)).alias("own"), F.array(*map(F.lit, names)).alias("names")))
+    return F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), F.array(*v))])
 
 
-def match_batch(requests: DataFrame, routes: Sequence[tuple[str, str, str]], method: str = "method", path: str = "path") -> DataFrame:
-    """``requests`` with (status, target, route_path, params) for (method, path, target) routes."""
-    parts = split_path(F.col(path))
+def match_batch(requests: DataFrame, routes: Sequence[tuple[str, str, str]], method: str = "method", path: str = "path", decode: bool = False) -> DataFrame:
+    """``requests`` with (status, target, route_path, params) for (method, path, target) routes; ``decode``: segments are percent-decoded before they are matched, as operations want it."""
+    raw = split_path(F.col(path))
+    requests = requests.withColumn("_parts", F.transform(raw, decode_column) if decode else raw)
+    parts = F.col("_parts")
 
     def fits(r: Column) -> Column:
         same = F.forall(F.arrays_zip(r["own"].alias("a"), parts.alias("b"), r["names"].alias("n")), lambda z: (z["n"] != "") | (z["a"] == z["b"]))
-        return (r["method"] == F.upper(F.col(method))) & (F.size(r["own"]) == F.size(parts)) & same
+        return same
 
-    found = F.filter(_route_array(routes), fits)
+    if not routes:
+        none = F.lit(None).cast("string")
+        return requests.drop("_parts").withColumn("status", F.lit(NOT_FOUND)).withColumn("target", none).withColumn("route_path", none).withColumn("params", F.lit(None).cast("map<string, string>"))
+    own = F.try_element_at(_route_map(routes), F.concat(F.upper(F.col(method)), F.lit(" "), F.size(parts).cast("string")))
+    found = F.filter(own, fits)  # null where no route has this method and size
     out = requests.withColumn("_found", found)
     out = out.withColumn("_found", F.filter("_found", lambda r: r["pattern"] == F.array_min(F.transform("_found", lambda x: x["pattern"]))))
-    one = F.size("_found") == 1
-    status = F.when(one, MATCHED).when(F.size("_found") == 0, NOT_FOUND).otherwise(AMBIGUOUS)
+    one = F.coalesce(F.size("_found"), F.lit(0)) == 1
+    status = F.when(one, MATCHED).when(F.coalesce(F.size("_found"), F.lit(0)) <= 0, NOT_FOUND).otherwise(AMBIGUOUS)
     first = F.get("_found", F.lit(0))
     pairs = F.filter(F.arrays_zip(first["names"].alias("n"), parts.alias("v")), lambda z: z["n"] != "")
     out = out.withColumn("status", status).withColumn("target", F.when(one, first["target"])).withColumn("route_path", F.when(one, first["path"]))
-    return out.withColumn("params", F.when(one, F.map_from_entries(pairs))).drop("_found")
+    return out.withColumn("params", F.when(one, F.map_from_entries(pairs))).drop("_found", "_parts")
 
 
 def prefix_batch(requests: DataFrame, prefixes: Mapping[str, str], path: str = "path") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import yaml
@@ -67,15 +68,46 @@ def read_rules(text: str) -> list[Cited]:
     return out
 
 
+_CONNECTIONS = "array<struct<schemas: array<struct<name: string, tables: array<struct<name: string, columns: array<struct<name: string, sqlite_type: int>>>>>>>>"
+STRUCTURE = f"connections {_CONNECTIONS}, data struct<connections: {_CONNECTIONS}>"
+
+
+class SchemaError(ValueError):
+    pass
+
+
 def read_structure(spark, path: str) -> DataFrame:
-    """A structure file (JSON); an answer wrapped in ``data`` is unwrapped."""
-    raw = spark.read.option("multiLine", True).json(path)
-    return raw.select("data.*") if "data" in raw.columns else raw
+    """A structure file (JSON)."""
+    return spark.read.schema(STRUCTURE).option("multiLine", True).json(path)
+
+
+def ask_admin(base: str, token: str, post: Callable[..., tuple[int, object]] | None = None) -> tuple[object, str]:
+    """(structure, rules text) from an admin address: one POST for each. A refused token, an unreachable or failing address and missing rules are errors of their own."""
+    from ..sources import http
+
+    def call(path: str) -> dict:
+        try:
+            status, answer = (post or http.send)(base, "POST", path, {}, {"Authorization": f"Bearer {token}"})
+        except http.NetworkError as e:
+            raise SchemaError(f"{base} is unreachable ({e})") from e
+        if status in (401, 403):
+            raise SchemaError(f"{base} refused the token ({status})")
+        if not 200 <= status < 300:
+            raise SchemaError(f"{base}{path} answered {status}")
+        inner = answer.get("data") if isinstance(answer, dict) else None
+        return inner if isinstance(inner, dict) else answer if isinstance(answer, dict) else {}
+
+    structure = call("/schema")
+    rules = (call("/diagnostics").get("active_sync_rules") or {}).get("content")
+    if not isinstance(rules, str) or not rules:
+        raise SchemaError("no active rules: nothing is replicated, so no table can be declared")
+    return structure, rules
 
 
 def flatten(structure: DataFrame) -> DataFrame:
-    """(source, column, type) from ``connections[].schemas[].tables[].columns[]``; levels that are missing yield nothing."""
-    s = structure.select(F.explode("connections").alias("c")).select(F.explode("c.schemas").alias("s"))
+    """(source, column, type) from ``connections[].schemas[].tables[].columns[]``, also inside ``data``; levels that are missing, in a row or everywhere, yield nothing."""
+    whole = structure.select(F.from_json(F.to_json(F.struct("*")), STRUCTURE).alias("r")) if structure.columns else structure.select(F.lit(None).cast(f"struct<connections: {_CONNECTIONS}, data: struct<connections: {_CONNECTIONS}>>").alias("r"))
+    s = whole.select(F.explode(F.coalesce("r.data.connections", "r.connections")).alias("c")).select(F.explode("c.schemas").alias("s"))
     t = s.select(F.coalesce("s.name", F.lit("public")).alias("schema"), F.explode("s.tables").alias("t"))
     c = t.select(F.concat_ws(".", "schema", "t.name").alias("source"), F.explode("t.columns").alias("c"))
     return c.select("source", F.col("c.name").alias("column"), type_column(F.col("c.sqlite_type").cast("int")).alias("type"))
@@ -122,8 +154,22 @@ class Schema:
 
     @classmethod
     def parse(cls, text: str) -> Schema:
-        data = json.loads(text)
-        return cls(data["tables"], data.get("localTables", {}))
+        """Strict: a file that is no JSON, has no tables or a column without a known type is refused."""
+        try:
+            data = json.loads(text)
+        except ValueError as e:
+            raise SchemaError(f"not JSON: {e}") from e
+        if not isinstance(data, dict) or not isinstance(data.get("tables"), dict):
+            raise SchemaError("no tables")
+        own = {"tables": data["tables"], "localTables": data.get("localTables", {})}
+        known = {name for _, name in FLAGS}
+        for kind, tables in own.items():
+            if not isinstance(tables, dict):
+                raise SchemaError(f"{kind} is no mapping")
+            for table, columns in tables.items():
+                if not isinstance(columns, dict) or any(t not in known for t in columns.values()):
+                    raise SchemaError(f"{kind}.{table}: columns are names with one of {', '.join(sorted(known))}")
+        return cls(own["tables"], own["localTables"])
 
     def renewed(self, tables: dict[str, dict[str, str]]) -> Schema:
         return Schema(tables, self.local)

@@ -6,6 +6,8 @@ are what the operator is for.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..operators import activity, dedup, journal, mutations, params, reads, replay, routing, rules
-from ..operators.handlers import Engine, Registry
-from ..sources.catalog import VIEWS, Catalog, view_sql
+from ..operators.handlers import Engine, Registry, intercept
+from ..sources.catalog import VIEWS, Catalog, shared_folder, view_sql
 from ..sources.declarations import check_operations, load
 
 DECLARATION = load((Path(__file__).parent / "declaration.yaml").read_text())
@@ -93,7 +95,7 @@ def _(cat):
     return get(cat, "/api/sales/purchases-by-area")
 
 
-@query("Q09_theta_join", "SELECT client.id AS id, area.name AS \"areaName\" FROM client JOIN area ON area.id < client.id AND client.id <= 40")
+@query("Q09_theta_join", "SELECT client.id AS id, area.name AS \"areaName\" FROM client JOIN area ON area.id < client.id")
 def _(cat):
     return get(cat, "/api/sales/pairs")
 
@@ -105,7 +107,7 @@ def _(cat):
 
 @query(
     "Q11_nested_two",
-    "SELECT id, name, area_id AS \"areaId\", coalesce((SELECT to_json(list(struct_pack(id := c.id, segment := c.segment) ORDER BY c.id))::varchar FROM client c WHERE c.country_id = country.id AND c.id <= 300), '[]') AS clients, "
+    "SELECT id, name, area_id AS \"areaId\", coalesce((SELECT to_json(list(struct_pack(id := c.id, segment := c.segment) ORDER BY c.id))::varchar FROM client c WHERE c.country_id = country.id), '[]') AS clients, "
     "coalesce((SELECT to_json(list(struct_pack(id := a.id, name := a.name) ORDER BY a.id))::varchar FROM area a WHERE a.id = country.area_id), '[]') AS areas FROM country",
 )
 def _(cat):
@@ -409,3 +411,175 @@ def _(cat):
     own = Registry()
     own.add("capacity", lambda spark, p: cat["purchase_line"].groupBy("item_id").agg(F.min("quantity").alias("capacity"), F.count("*").alias("lines")))
     return Engine(cat, DECLARATION, ops, own).run("GET", "/api/production/capacity?x=1")
+
+
+# -- orders, with the place of each row ---------------------------------------------------------------------------------------
+@query("Q48_list_order", "SELECT id, row_number() OVER (ORDER BY translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id) AS place FROM item")
+def _(cat):
+    """Names come in folded order; equal names are in order of id here only to have one answer."""
+    rows = get(cat, "/api/catalog/items").orderBy(F.translate("name", naming.UPPER, naming.LOWER), "id")
+    return reads.numbered(rows).select("id", "place")
+
+
+@query("Q49_created_order", "SELECT place, created_at AS \"createdAt\" FROM (SELECT created_at, row_number() OVER (ORDER BY created_at DESC) AS place FROM purchase)")
+def _(cat):
+    return reads.numbered(get(cat, "/api/sales/purchases")).select("place", "createdAt")
+
+
+@query("Q50_pending_order", "SELECT 'req-' || request_id AS id, row_number() OVER (ORDER BY requested_at, 'req-' || request_id) AS place FROM request_log WHERE method <> 'GET' AND NOT (http_status >= 200 AND http_status < 300)")
+def _(cat):
+    log = cat["request_log"].filter("method <> 'GET'").withColumn("id", F.concat(F.lit("req-"), "request_id"))
+    rows = journal.pending(log, log.filter("http_status between 200 and 299"), order=("requested_at", "id"))
+    return reads.numbered(rows).select("id", "place")
+
+
+@query("Q51_issue_order", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM letters WHERE id::bigint % 3 <> 0", _LETTERS)
+def _(cat):
+    solved = cat["request_log"].filter("client_id % 3 = 0").select(F.col("client_id").cast("string").alias("id"))
+    return reads.numbered(activity.open_issues(letters(cat), solved)).select("id", "place")
+
+
+# -- the write path ----------------------------------------------------------------------------------------------------------------
+def engine(cat: Catalog, path: str, times: list[str] | None = None) -> Engine:
+    """An engine with its own journal and counted ids and times."""
+    ids, clock = itertools.count(1), itertools.count(1)
+    return Engine(cat, DECLARATION, [], Registry(), path, new_id=lambda: f"n{next(ids):03d}", now=lambda: f"2026-01-01T00:00:{next(clock):02d}Z", clock_ms=lambda: 0)
+
+
+def marked(cat: Catalog) -> Catalog:
+    """The catalog with a metadata column on items, as tables have it whose writes are to be replayed."""
+    return Catalog(cat.spark, {**cat.tables, "item": cat["item"].withColumn("id", F.col("id").cast("string")).withColumn("_metadata", F.lit(None).cast("string"))})
+
+
+def written(cat: Catalog) -> tuple[Catalog, DataFrame]:
+    own = marked(cat)
+    path = f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}"
+    e = engine(own, path)
+    e.run("POST", "/api/catalog/promos?from=app", {"name": "new", "packSize": 3, "nothing": 1})
+    e.run("PUT", "/api/catalog/items/5", {"brand": "other", "name": None})
+    e.run("PUT", "/api/catalog/items/5", {"name": None, "brand": "other"})  # the same request again
+    e.run("DELETE", "/api/catalog/items/7")
+    e.run("PATCH", "/api/catalog/items/n002", {"packSize": 4})
+    return own, cat.spark.read.schema(journal.COLUMNS).parquet(path)
+
+
+_WRITES = """(VALUES
+('n001', 'POST', '/api/catalog/promos?from=app', 'n002', 'insert:_metadata=n001,id=n002,item_type=PROMO,name=new,pack_size=3'),
+('n003', 'PUT', '/api/catalog/items/5', '5', 'update:_metadata=n003,brand=other,name='),
+('n004', 'DELETE', '/api/catalog/items/7', '7', 'mark:_metadata=n004;delete:'),
+('n005', 'PATCH', '/api/catalog/items/n002', 'n002', 'update:_metadata=n005,pack_size=4')) t(id, method, path, row_id, steps)"""
+
+
+@query("Q52_write_journal", f"SELECT * FROM {_WRITES}")
+def _(cat):
+    """Composed writes: one row each with request and steps; an equal request inside the window writes nothing."""
+    _, log = written(cat)
+    pairs = lambda s: F.array_join(F.transform(F.array_sort(F.map_keys(s["set"])), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(s["set"], k), F.lit("")))), ",")
+    return log.select("id", "method", "path", "row_id", F.array_join(F.transform("steps", lambda s: F.concat(s["op"], F.lit(":"), pairs(s))), ";").alias("steps"))
+
+
+@query(
+    "Q53_state_after_writes",
+    "SELECT id::varchar AS id, CASE WHEN id = 5 THEN NULL ELSE name END AS name, CASE WHEN id = 5 THEN 'other' ELSE brand END AS brand, item_type, pack_size, CASE WHEN id = 5 THEN 'n003' END AS _metadata FROM item WHERE id <> 7 "
+    "UNION ALL SELECT 'n002', 'new', NULL, 'PROMO', 4, 'n005'",
+)
+def _(cat):
+    own, log = written(cat)
+    return mutations.applied(own["item"], journal.mutations_of(log, "item")).drop("retail_price")
+
+
+@query("Q54_delete_answer", "SELECT id::varchar AS id, name FROM item WHERE id = 7")
+def _(cat):
+    """What a DELETE answers: the row that goes."""
+    return engine(marked(cat), f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}").run("DELETE", "/api/catalog/items/7").select("id", "name")
+
+
+_METADATA = "CASE k % 4 WHEN 0 THEN 'req-' || (request_id // 2) WHEN 1 THEN '{\"method\":\"' || method || '\",\"path\":\"' || path || '\"}' WHEN 2 THEN '' ELSE '{bad' END"
+
+
+def journal_writes(cat: Catalog) -> DataFrame:
+    """Writes that point at a journal of the even requests, carry metadata of their own, or neither."""
+    log = cat["request_log"]
+    meta = F.when(F.col("k") % 4 == 0, F.concat(F.lit("req-"), F.expr("request_id div 2"))).when(F.col("k") % 4 == 1, replay.metadata_json(F.col("method"), F.col("path"), F.lit(None).cast("string"))).when(F.col("k") % 4 == 2, "").otherwise("{bad")
+    rows = log.select("request_id", "client_id", "k", meta.alias("metadata"), F.to_json(F.struct("k")).alias("data"))
+    own = log.filter("request_id % 2 = 0").select(F.concat(F.lit("req-"), "request_id").alias("id"), "method", "path", F.when(F.col("method") == "POST", '{"full":1}').alias("body"))
+    return journal.linked(rows, own)
+
+
+_LINKED = f"writes AS (SELECT request_id, k, method, path, {_METADATA} AS metadata FROM request_log), kept AS (SELECT 'req-' || request_id AS jid, method AS jm, path AS jp FROM request_log WHERE request_id % 2 = 0), linked AS (SELECT w.*, j.* FROM writes w LEFT JOIN kept j ON w.metadata = j.jid)"
+
+
+@query("Q55_journal_link", "SELECT request_id, jid AS journal_id, jm AS journal_method FROM linked", _LINKED)
+def _(cat):
+    return journal_writes(cat).select("request_id", "journal_id", "journal_method")
+
+
+@query(
+    "Q56_replay_request",
+    "SELECT request_id, coalesce(jm, CASE WHEN k % 4 = 1 THEN method END) AS send_method, 'https://host' || coalesce(jp, CASE WHEN k % 4 = 1 THEN path END) AS url, CASE WHEN jm = 'POST' THEN '{\"full\":1}' WHEN jm IS NOT NULL OR k % 4 = 1 THEN '{\"k\":' || k || '}' END AS send_body, jid AS key FROM linked",
+    _LINKED,
+)
+def _(cat):
+    return replay.request_of(journal_writes(cat), "T", base="https://host/").select("request_id", "send_method", "url", "send_body", F.try_element_at("headers", F.lit("Idempotency-Key")).alias("key"))
+
+
+# -- the interceptor over a table of requests ---------------------------------------------------------------------------------------
+_JUDGED = """asked AS (SELECT request_id AS seq, requested_at AS t, method, path, CASE WHEN method = 'GET' THEN NULL ELSE k % 3 END AS body,
+  CASE WHEN method = 'PUT' AND path LIKE '/api/catalog/items/%' THEN 'operation' WHEN client_id % 9 = 0 THEN 'server' ELSE 'entity' END AS source, CASE WHEN client_id % 9 = 0 THEN '/elsewhere' ELSE path END AS at_path FROM request_log),
+known AS (SELECT * REPLACE (CASE WHEN at_path = '/elsewhere' THEN 'server' ELSE source END AS source) FROM asked),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY method, path, body ORDER BY t, seq) AS rn FROM known WHERE source <> 'server'),
+fold AS (SELECT *, t AS last, seq AS answer FROM numbered WHERE rn = 1
+UNION ALL SELECT o.*, CASE WHEN o.t - f.last >= (CASE WHEN o.source = 'operation' THEN INTERVAL 1 HOUR ELSE INTERVAL 6 HOUR END) THEN o.t ELSE f.last END,
+  CASE WHEN o.t - f.last >= (CASE WHEN o.source = 'operation' THEN INTERVAL 1 HOUR ELSE INTERVAL 6 HOUR END) THEN o.seq ELSE f.answer END
+FROM fold f JOIN numbered o ON o.method = f.method AND o.path = f.path AND o.body IS NOT DISTINCT FROM f.body AND o.rn = f.rn + 1)"""
+
+
+@query(
+    "Q57_intercepted",
+    "SELECT seq, source, CASE source WHEN 'operation' THEN 'put_item' ELSE 'item' END AS target, answer AS by, CASE WHEN answer = seq THEN CASE WHEN method = 'GET' THEN 'request-handled' ELSE 'local-write' END END AS activity FROM fold UNION ALL SELECT seq, source, NULL, NULL, NULL FROM known WHERE source = 'server'",
+    _JUDGED,
+    recursive=True,
+)
+def _(cat):
+    """Operation before entity, windows by operation, duplicates answered, the rest passed through. Bodies hold their keys in either order."""
+    ops = check_operations([{"operation_id": "put_item", "method": "PUT", "path": "/api/catalog/items/{id}", "connectivity": "offline", "handle": "h", "dedup_window_ms": 3_600_000}])
+    b = (F.col("k") % 3).cast("string")
+    body = F.when(F.col("request_id") % 2 == 0, F.concat(F.lit('{"a":{"y":1,"x":'), b, F.lit('},"b":2}'))).otherwise(F.concat(F.lit('{"b":2,"a":{"x":'), b, F.lit(',"y":1}}')))
+    rows = cat["request_log"].select(F.col("request_id").alias("seq"), F.col("requested_at").alias("at"), "method", F.when(F.col("client_id") % 9 == 0, "/elsewhere").otherwise(F.col("path")).alias("path"), F.when(F.col("method") != "GET", body).alias("body"))
+    return intercept(rows, ops, ROUTES, {}, 6 * 3_600_000).select("seq", "source", "target", "by", "activity")
+
+
+@query("Q58_decoded_segments", "SELECT request_id, 'Matched' AS status, 'a ' || k || '+' AS id FROM request_log")
+def _(cat):
+    rows = cat["request_log"].withColumn("path", F.concat(F.lit("/api/x%2Fy/%69tems/a%20"), F.col("k").cast("string"), F.lit("+?q=1"))).withColumn("method", F.lit("get"))
+    out = routing.match_batch(rows, [("GET", "/api/{group}/items/{id}", "item")], decode=True)
+    return out.select("request_id", "status", F.element_at("params", F.lit("id")).alias("id"))
+
+
+@query("Q59_named_parameters", "SELECT id FROM item WHERE (pack_size < 20 OR pack_size = 20) AND item_type <> ':kind' AND brand <> 'none'")
+def _(cat):
+    """Named parameters bound by place: a name in a literal is none, one used twice comes twice."""
+    sql, values = params.positional("SELECT id FROM {item} WHERE (pack_size < :size OR pack_size = :size) AND item_type <> ':kind' AND brand <> :brand -- :none", {"size": 20, "brand": "none"})
+    return cat.spark.sql(sql, args=values, item=cat["item"])
+
+
+@query("Q60_structure_flatten", "SELECT DISTINCT brand || '.' || item_type AS source, 'c' || (pack_size % 4) AS \"column\", CASE pack_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'integer' WHEN 2 THEN 'real' ELSE 'integer' END AS type FROM item")
+def _(cat):
+    flags = F.element_at(F.array(*map(F.lit, (0, 4, 8, 6))), (F.col("pack_size") % 4 + 1).cast("int"))
+    column = F.struct(F.concat(F.lit("c"), (F.col("pack_size") % 4).cast("string")).alias("name"), flags.alias("sqlite_type"))
+    tables = cat["item"].groupBy("brand", "item_type").agg(F.collect_set(column).alias("columns")).withColumn("tables", F.array(F.struct(F.col("item_type").alias("name"), "columns")))
+    structure = tables.select(F.struct(F.array(F.struct(F.array(F.struct(F.col("brand").alias("name"), "tables")).alias("schemas"))).alias("connections")).alias("data"))
+    return rules.flatten(structure)
+
+
+@query("Q61_typed_letters", "SELECT id, code::int AS code, created_at + 1 AS next FROM letters", _LETTERS)
+def _(cat):
+    """Letters read back from text columns have numbers again."""
+    text = letters(cat).select(*[F.col(c).cast("string").alias(c) for c in ("id", "operation_id", "payload", "code", "reason", "created_at")])
+    return activity.typed(text).select("id", "code", (F.col("created_at") + 1).alias("next"))
+
+
+@query("Q62_replay_flags", f"SELECT request_id, k % 2 = 0 AS is_replay, method <> 'GET' OR k % 2 = 0 OR {_ITEM_ID} AS is_forbidden FROM request_log")
+def _(cat):
+    rows = cat["request_log"].withColumn("mark", F.when(F.col("k") % 2 == 0, "1"))
+    return routing.cache_flags(rows, [], ["/api/catalog/items/"], replay="mark").withColumn("own", F.col("path") == "/api/catalog/items").select("request_id", "is_replay", (F.col("is_forbidden") & ~(F.col("own") & (F.col("method") == "GET") & ~F.col("is_replay"))).alias("is_forbidden"))

@@ -34,7 +34,7 @@ def send(base: str, method: str, path: str, body: object = None, headers: dict[s
             head.setdefault("Content-Type", "application/json")
             body = json.dumps(body)
         data = body.encode()
-    req = urllib.request.Request(f"{base.rstrip('/')}/{path.lstrip('/')}", data=data, method=method, headers=head)
+    req = urllib.request.Request(f"{base.rstrip('/')}/{path.lstrip('/')}" if base else path, data=data, method=method, headers=head)
     try:
         with urllib.request.urlopen(req, timeout=timeout) as r:
             return r.status, parse_body(r.read().decode(), "json" in r.headers.get("Content-Type", ""))

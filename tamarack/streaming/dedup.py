@@ -1,7 +1,8 @@
 """Structured Streaming forms of the duplicate guard and the session latch.
 
-Each key holds one number (the time of its last request that passed) in RocksDB state, so state
-grows with the keys and not with history.
+Each key holds one number (the time of its last request that passed) in RocksDB state. A timer takes it away when the
+watermark has left the window behind, so the guard's state is bounded by the requests of that time and not by history; the
+latch keeps one flag for each stream.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ class Guard(StatefulProcessor):
         self.window_us, self.names = window_us, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
 
+    def _over(self, us: int) -> int:
+        """The first millisecond at which no request can fall into the window that ``us`` opened."""
+        return (us + self.window_us) // 1000 + 1
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
         for r in sorted(rows, key=lambda r: (r["us"], r["seq"])):
@@ -33,6 +39,12 @@ class Guard(StatefulProcessor):
                 yield Row(*self.names)(*key, r["seq"], r["us"])
         if last is not None:
             self.last.update((last,))
+            self.handle.registerTimer(self._over(last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        if self.last.exists() and self._over(self.last.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -58,11 +70,15 @@ class Latch(StatefulProcessor):
         pass
 
 
-def guard_stream(requests: DataFrame, keys: list[str], at: str, seq: str, window_us: int) -> DataFrame:
-    """(keys..., seq, us) of requests that pass, from a stream; needs the RocksDB provider."""
-    rows = requests.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(seq).cast("long").alias("seq"))
+def guard_stream(requests: DataFrame, keys: list[str], at: str, seq: str, window_us: int, late: str = "1 hour") -> DataFrame:
+    """(keys..., seq, us) of requests that pass, from a stream; needs the RocksDB provider.
+
+    Requests that come more than ``late`` behind the newest are not judged any more; keys are forgotten that much after their window.
+    """
+    timed = requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    rows = timed.select(*keys, F.col(at), F.unix_micros(at).alias("us"), F.col(seq).cast("long").alias("seq"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.groupBy(*keys).transformWithState(Guard(window_us, [*keys, "seq", "us"]), f"{kinds}, seq long, us long", "append", "none")
+    return rows.groupBy(*keys).transformWithState(Guard(window_us, [*keys, "seq", "us"]), f"{kinds}, seq long, us long", "append", "eventTime")
 
 
 def latch_stream(events: DataFrame, stream: str) -> DataFrame:

@@ -1,50 +1,131 @@
 """Uploading the journal: every micro-batch wakes one pass over all that is pending.
 
-A pass that a retry or reauth stops leaves its rows without an acknowledgement, so the next pass starts with them
-again; rejected rows are acknowledged and become dead letters. Acknowledgements and letters are written into a
-folder of their pass with overwrite, so a pass that is run again leaves the same files.
+A pass sends each stream's requests in order from one task and stops the stream at the first retry or reauth, before
+anything behind it goes out. Every answer is written down first; what is acknowledged, discarded or left follows from
+that table, so nothing is sent again to find out what came of it. A task that is lost sends its requests again
+under the same idempotency keys. A reauth shuts its stream until :func:`resume`.
+Writes that nobody can tell a service for are rejected unsent. Rejected writes become dead letters and let their transaction go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import replay
 
-Answers = Callable[[DataFrame], DataFrame]
+#: (method, url, body, headers) to the answer's status, None without an answer; runs in the executors
+Send = Callable[[str, str, str | None, dict[str, str]], int | None]
 
 ACKS = "id string, kind string"
+ANSWERS = "stream string, tx_id long, seq long, id string, http_status int, kind string"
+SHUT = "stream string, at long, shut boolean"
 
 
-def acknowledged(spark: SparkSession, path: str) -> DataFrame:
-    """(id, kind) of all passes so far; none yet is an empty table."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/acks")
-    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-        return spark.createDataFrame([], ACKS)
-    return spark.read.schema(ACKS).parquet(f"{path}/acks/*")
+def http_sender(timeout: float = 10.0) -> Send:
+    """Sends over HTTP; no connection is no answer."""
 
+    def send(method: str, url: str, body: str | None, headers: dict[str, str]) -> int | None:
+        from ..sources import http
 
-def one_pass(spark: SparkSession, journal: DataFrame, answers: Answers, path: str, name: str, stream: str | None = None) -> DataFrame:
-    """Send what is pending once and write what came of it; returns the judged rows.
+        try:
+            return http.send("", method, url, body, {"Content-Type": "application/json", **headers}, timeout)[0]
+        except http.NetworkError:
+            return None
+
+    return send
 
-    ``journal`` has (id, tx_id, seq, ...); ``answers`` adds ``http_status`` (null without an answer) to the rows it is given.
-    """
-    pending = journal.join(acknowledged(spark, path).select("id"), "id", "left_anti")
-    judged = replay.outcomes(answers(replay.send_once(pending, key="id")), stream).persist()
-    done = judged.filter(F.col("attempted") & F.col("completed"))
-    done.select("id", "kind").write.mode("overwrite").parquet(f"{path}/acks/{name}")
-    done.filter(F.col("kind") == replay.REJECT).write.mode("overwrite").parquet(f"{path}/letters/{name}")
-    return judged
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All passes' files of a kind; none yet is an empty table."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/*")
 
 
-def follow(journal_path: str, schema: str, answers: Answers, path: str, spark: SparkSession, stream: str | None = None):
+def acknowledged(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind) of all passes so far."""
+    return _table(spark, f"{path}/acks", ACKS)
+
+
+def shut_streams(spark: SparkSession, path: str) -> DataFrame:
+    """(stream) of streams whose last event is a reauth."""
+    rows = _table(spark, f"{path}/latch", SHUT)
+    return rows.groupBy("stream").agg(F.max_by("shut", "at").alias("shut")).filter("shut").select("stream")
+
+
+def resume(spark: SparkSession, path: str, streams: DataFrame | None = None) -> None:
+    """A valid session exists again: open the given streams (``stream``), or all."""
+    rows = shut_streams(spark, path) if streams is None else streams.select("stream")
+    at = time.time_ns() // 1000
+    rows.select("stream", F.lit(at).alias("at"), F.lit(False).alias("shut")).write.mode("overwrite").parquet(f"{path}/latch/open-{at}")
+
+
+def _deliver(send: Send):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = None  # rows of a stream come together and in order
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.stream == stopped:
+                    continue
+                if r.send_method is None:
+                    status, kind = None, replay.REJECT
+                else:
+                    status = send(r.send_method, r.url, r.send_body, dict(r.headers or {}))
+                    kind = replay.kind_of(status)
+                if kind in (replay.RETRY, replay.REAUTH):
+                    stopped = r.stream
+                out.append((r.stream, r.tx_id, r.seq, r.id, status, kind))
+            df = pd.DataFrame(out, columns=["stream", "tx_id", "seq", "id", "http_status", "kind"])
+            yield df.astype({"http_status": "Int32"})
+
+    return run
+
+
+def one_pass(spark: SparkSession, writes: DataFrame, send: Send, path: str, name: str, stream: str | None = None, token: str | None = None, base: str | None = None, handlers: replay.ErrorHandlers | None = None) -> DataFrame:
+    """Send what is pending once and write what came of it; returns the answers (see ANSWERS).
+
+    ``writes`` has (id, tx_id, seq) and the columns of :func:`replay.request_of`; ``stream`` names the column that parts independent
+    uploaders, each of which is sent in order by one task. ``handlers`` hear of every rejected write, in the executors.
+    """
+    own = F.col(stream).cast("string") if stream else F.lit("")
+    rows = writes.join(acknowledged(spark, path).select("id"), "id", "left_anti").withColumn("stream", own)
+    rows = rows.join(shut_streams(spark, path), "stream", "left_anti")
+    rows = replay.request_of(replay.send_once(rows, key="id"), token, base=base)
+    rows = rows.select("stream", "tx_id", "seq", "id", "send_method", "url", "send_body", "headers")
+    ready = rows.repartition("stream").sortWithinPartitions("stream", "tx_id", "seq")
+    ready.mapInPandas(_deliver(send), ANSWERS).write.mode("overwrite").parquet(f"{path}/answers/{name}")
+    answers = spark.read.schema(ANSWERS).parquet(f"{path}/answers/{name}")
+    stops = answers.filter(F.col("kind").isin(replay.RETRY, replay.REAUTH)).select("stream", F.col("tx_id").alias("stop"), F.col("kind").alias("why"))
+    # a transaction with a stop in it waits as a whole
+    done = answers.join(stops, "stream", "left").filter("stop is null or tx_id < stop")
+    done.select("id", "kind").write.mode("overwrite").parquet(f"{path}/acks/{name}")
+    letters = writes.join(done.filter(F.col("kind") == replay.REJECT).select("id", "http_status"), "id")
+    reason = F.when(F.col("http_status").isNull(), "no usable metadata: nobody can tell which service to call").otherwise("rejected")
+    letters.withColumn("reason", reason).write.mode("overwrite").parquet(f"{path}/letters/{name}")
+    at = F.lit(time.time_ns() // 1000)
+    shut = stops.filter(F.col("why") == replay.REAUTH).select("stream", at.alias("at"), F.lit(True).alias("shut"))
+    shut.write.mode("overwrite").parquet(f"{path}/latch/{name}")
+    kept = spark.read.parquet(f"{path}/letters/{name}")
+    events = kept.select(F.lit("dead-letter").alias("type"), F.col("id").cast("string").alias("subject"), at.alias("at"))
+    events = events.union(shut.select(F.lit("reauth-required"), "stream", "at"))
+    events.write.mode("overwrite").parquet(f"{path}/activity/{name}")
+    if handlers is not None:
+        kept.foreach(lambda r: handlers.handle(r.asDict().get("operation_id") or r.asDict().get("table_name"), r.asDict(recursive=True)))
+    return answers
+
+
+def follow(journal_path: str, schema: str, send: Send, path: str, spark: SparkSession, stream: str | None = None):
     """A running query that makes a pass whenever the journal grows."""
     live = spark.readStream.schema(schema).parquet(journal_path)
 
     def wake(batch: DataFrame, epoch: int) -> None:
-        one_pass(batch.sparkSession, batch.sparkSession.read.schema(schema).parquet(journal_path), answers, path, f"pass-{epoch}", stream).unpersist()
+        one_pass(batch.sparkSession, batch.sparkSession.read.schema(schema).parquet(journal_path), send, path, f"pass-{epoch}", stream)
 
     return live.writeStream.foreachBatch(wake).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

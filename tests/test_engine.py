@@ -171,13 +171,14 @@ def test_state_equals_a_sequential_model(spark, log):
 
 
 def test_journal(spark, tmp_path):
-    rows = [journal.entry("r1", "post", "/a?x=1", {"a": 1}, "2"), journal.entry("r2", "put", "/a", None, "1")]
+    rows = [journal.entry("r1", "post", "/a?x=1", {"a": 1}, "2", "t", "1", [("mark", {"b": True}), ("delete", {})]), journal.entry("r2", "put", "/a", None, "1")]
     path = str(tmp_path / "j")
     for r in rows:
         journal.append(spark.createDataFrame([r], journal.COLUMNS), path)
     log = spark.read.parquet(path)
     assert [r["id"] for r in journal.pending(log, log.limit(0)).collect()] == ["r2", "r1"]
     assert [r["id"] for r in journal.pending(log, log.filter("id = 'r2'")).collect()] == ["r1"]
+    assert [(r["id"], r["op"], r["set"]) for r in journal.mutations_of(log, "t").orderBy("seq").collect()] == [("1", "update", {"b": "true"}), ("1", "delete", {})]
     w = spark.createDataFrame([(1, "r1"), (2, ""), (3, "{}"), (4, None), (5, "gone")], "seq int, metadata string")
     assert {r["seq"]: r["journal_id"] for r in journal.linked(w, log).collect()} == {1: "r1", 2: None, 3: None, 4: None, 5: None}
     assert journal.body_of(rows[0][3]) == {"a": 1} and journal.body_of(None) is None
@@ -298,18 +299,141 @@ def test_tenant(spark):
     assert mutations.first_tenant(t, []).first()["tenant"] is None
 
 
+WRITES = "id string, tx_id long, seq long, user string, journal_id string, journal_method string, journal_path string, journal_body string, metadata string, data string, operation_id string"
+
+
+def writes(rows):
+    """(id, tx, seq, user): journal requests to /<id>; a null journal row where ``id`` starts with x."""
+    return [(i, t, q, u, i, *((None, None) if i[0] == "x" else ("POST", f"/{i}")), None, "", "{}", "op") for i, t, q, u in rows]
+
+
+def recorder(folder, **status):
+    """A sender that notes its calls in files, as it runs in workers."""
+
+    def send(method, url, body, headers):
+        import time
+
+        name = url.strip("/").split("/")[-1]
+        with open(f"{folder}/{time.time_ns()}-{name}", "w") as f:
+            f.write(headers["Idempotency-Key"])
+        got = status.get(name, 200)
+        return got if got >= 0 else None
+
+    return send
+
+
+def calls(folder):
+    return [p.name.split("-", 1)[1] for p in sorted(folder.iterdir())]
+
+
+def test_upload_stops_where_the_server_does(spark, tmp_path):
+    from tamarack.streaming.upload import acknowledged, one_pass, resume, shut_streams
+
+    called, path = tmp_path / "called", str(tmp_path / "out")
+    called.mkdir()
+    df = spark.createDataFrame(writes([("a", 1, 1, "u"), ("a", 1, 2, "u"), ("b", 2, 3, "u"), ("c", 3, 4, "u"), ("d", 4, 5, "u"), ("x1", 5, 6, "v"), ("e", 5, 7, "v"), ("f", 6, 8, "v"), ("g", 7, 9, "v")]), WRITES)
+    heard = replay.ErrorHandlers(lambda e: (called / "0-letter").write_text(e["id"]))
+    one_pass(spark, df, recorder(called, b=503, e=422, f=401), path, "p0", "user", handlers=heard)
+    assert sorted(calls(called)) == sorted(["a", "b", "e", "f", "letter"])  # c, d and g were not handed over
+    assert {tuple(r) for r in acknowledged(spark, path).collect()} == {("a", "ok"), ("x1", "reject"), ("e", "reject")}
+    letters = spark.read.parquet(f"{path}/letters/*").collect()
+    assert {(r["id"], r["http_status"], r["reason"][:6]) for r in letters} == {("x1", None, "no usa"), ("e", 422, "reject")}
+    assert [r["stream"] for r in shut_streams(spark, path).collect()] == ["v"]
+    assert {r["type"] for r in spark.read.parquet(f"{path}/activity/*").collect()} == {"dead-letter", "reauth-required"}
+    again = tmp_path / "again"
+    again.mkdir()
+    one_pass(spark, df, recorder(again, c=-1), path, "p1", "user")
+    assert calls(again) == ["b", "c"]  # v is shut; c has no answer and stops u
+    resume(spark, path)
+    last = tmp_path / "last"
+    last.mkdir()
+    one_pass(spark, df, recorder(last), path, "p2", "user", base="http://h")
+    assert sorted(calls(last)) == ["c", "d", "f", "g"] and one_pass(spark, df, recorder(last), path, "p3", "user").count() == 0
+
+
 def test_upload_stream_retries_what_it_left(spark, tmp_path):
     from tamarack.streaming.upload import acknowledged, follow
 
-    schema = "id string, tx_id long, seq long, http_status int"
-    log, path = str(tmp_path / "log"), str(tmp_path / "out")
-    spark.createDataFrame([("a", 1, 1, 200), ("a", 1, 2, 200), ("b", 2, 3, 422), ("c", 3, 4, 503), ("d", 4, 5, 200)], schema).write.parquet(log)
-    follow(log, schema, lambda rows: rows, path, spark).awaitTermination()
+    log, path, called = str(tmp_path / "log"), str(tmp_path / "out"), tmp_path / "called"
+    called.mkdir()
+    spark.createDataFrame(writes([("a", 1, 1, "u"), ("b", 2, 3, "u"), ("c", 3, 4, "u"), ("d", 4, 5, "u")]), WRITES).write.parquet(log)
+    follow(log, WRITES, recorder(called, b=422, c=503), path, spark).awaitTermination()
     assert {tuple(r) for r in acknowledged(spark, path).collect()} == {("a", "ok"), ("b", "reject")}
-    spark.createDataFrame([("e", 5, 6, 200)], schema).write.mode("append").parquet(log)
-    follow(log, schema, lambda rows: rows.withColumn("http_status", F.when(F.col("id") == "c", 200).otherwise(F.col("http_status"))), path, spark).awaitTermination()
+    spark.createDataFrame(writes([("e", 5, 6, "u")]), WRITES).write.mode("append").parquet(log)
+    follow(log, WRITES, recorder(called), path, spark).awaitTermination()
     assert {r["id"] for r in acknowledged(spark, path).collect()} == {"a", "b", "c", "d", "e"}
-    assert spark.read.parquet(f"{path}/letters/*").count() == 1
+    assert calls(called) == ["a", "b", "c", "c", "d", "e"]
+
+
+def test_composed_writes_are_one_append(spark, tmp_path):
+    tag = spark.createDataFrame([("1", "b", None, None)], "id string, name string, tenant_id string, _metadata string")
+    other = spark.createDataFrame([("9", "t9")], "id string, tenant_id string")
+    c = Catalog(spark, {"tag": tag, "other": other})
+    e = handlers.Engine(c, d.load("entities: {tag: /api/tags}"), [], handlers.Registry(), str(tmp_path / "j"))
+    got = e.run("POST", "/api/tags?x=1", {"name": "n", "tenantId": "no"}).first()
+    assert got["tenant_id"] == "t9" and got["name"] == "n" and len(got["id"]) == 36
+    assert e.run("POST", "/api/tags?x=1", {"tenantId": "no", "name": "n"}).first()["id"] == got["id"]  # the same request: the same answer
+    assert e.run("PUT", "/api/tags/1", {"name": "new"}).first()["name"] == "new"
+    assert e.run("DELETE", "/api/tags/1").first()["name"] == "b"
+    for method, url in (("DELETE", "/api/tags"), ("PUT", "/api/tags")):
+        with pytest.raises(mutations.MutationError):
+            e.run(method, url, {"name": "x"})
+    log = spark.read.schema(journal.COLUMNS).parquet(str(tmp_path / "j")).orderBy("created_at").collect()
+    assert [(r["method"], [s["op"] for s in r["steps"]]) for r in log] == [("POST", ["insert"]), ("PUT", ["update"]), ("DELETE", ["mark", "delete"])]
+    assert log[0]["path"] == "/api/tags?x=1" and log[0]["steps"][0]["set"]["_metadata"] == log[0]["id"] and json.loads(log[0]["body"]) == {"name": "n", "tenantId": "no"}
+    assert [x[0] for x in e.events] == ["local-write"] * 3
+
+
+def test_operations_online_and_metadata(spark):
+    seen = []
+    own = handlers.Registry()
+    own.add("net", lambda s, p: seen.append(p) or s.range(1), "online")
+    own.add("local", lambda s, p: seen.append(p) or s.range(2))
+    own.add("self", lambda s, p: seen.append(p) or s.range(2), metadata=lambda p: "mine")
+    rows = [("a", "/n/{id}", "online", "net"), ("b", "/l", "offline", "local"), ("c", "/s", "offline", "self"), ("e", "/bad", "offline", "net")]
+    ops = d.check_operations([{"operation_id": o, "method": "POST", "path": p, "connectivity": c, "handle": h, "dedup_window_ms": 10 if o == "a" else None} for o, p, c, h in rows])
+    now = [0]
+    e = handlers.Engine(catalog(spark), DECL, ops, own, clock_ms=lambda: now[0])
+    e.run("POST", "/n/1", {"x": 1})
+    now[0] = 9
+    e.run("POST", "/n/1", {"x": 1})
+    now[0] = 10
+    e.run("POST", "/n/1", {"x": 1})
+    e.run("POST", "/l?q=1", {"_metadata": "no"})
+    e.run("POST", "/s")
+    assert len(seen) == 4 and json.loads(seen[2]["_metadata"]) == {"method": "POST", "path": "/l?q=1", "operationId": "b", "body": {"_metadata": "no"}} and seen[3]["_metadata"] == "mine"
+    with pytest.raises(ValueError):
+        e.run("POST", "/bad")
+
+
+def test_guard_forgets_and_is_bounded():
+    g = dedup.Guard(window_ms=10, most=2)
+    g.remember("a", 1, 0)
+    assert g.find("a", 9) == 1 and g.find("a", 9, 5) is None and g.find("a", 9) is None
+    for i, k in enumerate("abc"):
+        g.remember(k, k, i)
+    assert g.find("a", 3) is None and g.find("b", 3) == "b"
+    assert dedup.fingerprint_of("get", "/a", {"x": {"b": 1, "a": 2}}) == dedup.fingerprint_of("GET", "/a", {"x": {"a": 2, "b": 1}}) != dedup.fingerprint_of("GET", "/a")
+
+
+def test_admin_source_and_strict_schema():
+    answers = {"/schema": (200, {"data": {"connections": []}}), "/diagnostics": (200, {"active_sync_rules": {"content": "streams: {}"}})}
+    assert rules.ask_admin("http://h", "t", lambda b, m, p, body, head: answers[p]) == ({"connections": []}, "streams: {}")
+    for bad in ((401, None), (500, None), (200, {})):
+        with pytest.raises(rules.SchemaError):
+            rules.ask_admin("http://h", "t", lambda b, m, p, body, head, bad=bad: bad)
+    with pytest.raises(rules.SchemaError):
+        rules.ask_admin("http://127.0.0.1:9", "t")
+    for text in ("{", "[]", '{"tables": []}', '{"tables": {"a": {"x": "blob"}}}', '{"tables": {}, "localTables": 1}'):
+        with pytest.raises(rules.SchemaError):
+            rules.Schema.parse(text)
+
+
+def test_structure_levels_missing_everywhere(spark, tmp_path):
+    for i, doc in enumerate(({}, {"connections": None}, {"connections": [{"schemas": [{"name": "s"}]}]}, {"data": {}})):
+        f = tmp_path / f"{i}.json"
+        f.write_text(json.dumps(doc))
+        assert rules.flatten(rules.read_structure(spark, str(f))).count() == 0 and rules.flatten(spark.read.option("multiLine", True).json(str(f))).count() == 0
 
 
 def test_structure_file_and_activity(spark, tmp_path):
