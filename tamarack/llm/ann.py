@@ -4,11 +4,13 @@ Each of ``LINES`` random directions gives one sorted array of the vectors' proje
 window around its own projection on every line; a vector collides once for each window that holds it.
 Windows widen step by step (virtual rehashing: same arrays, larger radius) until enough vectors have
 collided on at least ``LEAST`` of the lines; those are verified by exact inner products in double
-precision. Inner products become distances by one added coordinate that makes all norms equal.
+precision, most collisions first. Inner products become distances by one added coordinate that makes all norms equal. Windows are wide,
+so their outsides are what is counted first, and rings are added.
 
+Enough are ``VERIFY`` times the square root of the number of vectors, so the share that is verified falls as the table grows.
 Vectors are indexed in blocks of about ``BLOCK`` rows, all of them; queries visit every block in groups of
 ``QUERIES``, so a task holds one block and one group, whatever the table's size. The best of all blocks
-are merged by rank.
+are merged by rank. Each block verifies its part of the candidates.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-LINES, LEAST, VERIFY, FIRST, WIDEN = 64, 0.5, 0.25, 0.72, 1.1  # radii in standard deviations of a line's projections
-SMALL = 1024  # vectors that are verified at least
+LINES, LEAST, VERIFY, FIRST, WIDEN = 128, 0.8, 6.0, 1.3, 1.06  # radii in standard deviations of a line's projections
 BLOCK, QUERIES, NEAREST, EVERY = 8192, 1024, 20, 20
 
 
+def candidates(n: int) -> int:
+    """How many of ``n`` vectors a query verifies at least."""
+    return int(np.ceil(VERIFY * np.sqrt(n)))
+
+
 def directions(dim: int, lines: int = LINES) -> np.ndarray:
     """``lines`` unit directions in stacked random orthonormal bases, the same in every task."""
     rng = np.random.default_rng(7919 + dim)
@@ -32,8 +38,8 @@ def directions(dim: int, lines: int = LINES) -> np.ndarray:
     return np.concatenate(bases, axis=1)[:, :lines]
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score): for each query its best ``k`` verified vectors of this block, its own id aside."""
+def search_block(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, qrows: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score, verified): places of queries and of their best ``k`` verified vectors of this block, the query's own row aside."""
     n = len(ids)
     norm = np.sqrt((x * x).sum(axis=1))
     top = norm.max()
@@ -41,20 +47,19 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray
     line = directions(lift.shape[1])
     proj = lift @ line
     order = np.argsort(proj, axis=0, kind="stable").astype(np.int32)
-    value = np.take_along_axis(proj, order, axis=0)
+    base = np.ascontiguousarray(np.take_along_axis(proj, order, axis=0).T)
+    flat = np.ascontiguousarray(order.T)
     qn = np.sqrt((q * q).sum(axis=1))
     mine = (np.concatenate([q * (top / qn)[:, None], np.zeros((len(q), 1))], axis=1)) @ line
     m = line.shape[1]
-    enough = min(n, max(SMALL, k + 1 + int(np.ceil(VERIFY * n))))
+    enough = min(n, max(enough, k + 1))
     spread = proj.std(axis=0)
     least = int(np.ceil(LEAST * m))
-    flat = np.ascontiguousarray(order.T)
-    base = np.ascontiguousarray(value.T)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     radius = [FIRST * WIDEN**step for step in range(200)]
     live = np.arange(len(q))
     lo, hi = np.zeros((len(q), m), np.int64), np.zeros((len(q), m), np.int64)
-    count = np.zeros((len(q), n), np.uint16)
+    count = np.full((len(q), n), m, np.int16)
     for step in range(len(radius) + 1):
         if not len(live):
             break
@@ -63,73 +68,88 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray
         for j in range(m):  # the window of every live query on this line
             left[:, j] = np.searchsorted(base[j], mine[live, j] - wide[j], "left")
             right[:, j] = np.searchsorted(base[j], mine[live, j] + wide[j], "right")
-        if step == 0:
-            lo[:] = hi[:] = left  # nothing is counted yet
         rest = []
         for i, a, b in zip(live.tolist(), left, right, strict=True):
-            new = [flat[j, u:v] for j, (u, v) in enumerate(zip(a.tolist(), lo[i].tolist(), strict=True)) if u < v]
-            new += [flat[j, u:v] for j, (u, v) in enumerate(zip(hi[i].tolist(), b.tolist(), strict=True)) if u < v]
+            if step:  # what the windows have gained on either side
+                new = [flat[j, u:v] for j, (u, v) in enumerate(zip(a.tolist(), lo[i].tolist(), strict=True)) if u < v]
+                new += [flat[j, u:v] for j, (u, v) in enumerate(zip(hi[i].tolist(), b.tolist(), strict=True)) if u < v]
+            else:  # what lies outside of them
+                new = [flat[j, :u] for j, u in enumerate(a.tolist()) if u] + [flat[j, v:] for j, v in enumerate(b.tolist()) if v < n]
             if new:
-                count[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.uint16)
+                seen = np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                count[i] += seen if step else -seen
             lo[i], hi[i] = a, b
             hit = np.flatnonzero(count[i] >= least)
             if len(hit) < enough and step < len(radius):
                 rest.append(i)
                 continue
-            hit = hit[ids[hit] != qids[i]]
+            # the last step may have brought far more: the threshold rises as long as enough are left, ties at it stay
+            most = count[i][hit]
+            hit = hit[most >= np.partition(most, len(most) - min(enough, len(most)))[len(most) - min(enough, len(most))]]
+            many = len(hit)
+            hit = hit[rows[hit] != qrows[i]]
             if len(hit) > k:
                 rough = x[hit] @ q[i]
                 kth = np.partition(rough, len(rough) - k)[len(rough) - k]
                 hit = hit[rough >= kth - 1e-9 * (1 + abs(kth))]
             score = (x[hit] * q[i]).sum(axis=1)  # added up alike for every row, so equal vectors tie
-            best = np.lexsort((ids[hit], -score))[:k]
-            out.append((np.full(len(best), qids[i]), ids[hit[best]], score[best]))
+            best = np.lexsort((rows[hit], ids[hit], -score))[:k]
+            out.append((np.full(len(best), i), hit[best], score[best], np.full(len(best), many)))
         live = np.array(rest, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _pairs(k: int):
+_FOUND = "query_id long, query_row long, vec_id long, vec_row long, score double, verified long"
+
+
+def _pairs(k: int, enough: int):
     def run(t: pa.Table) -> pa.Table:
-        ids, isq = t.column("vec_id").to_numpy(), t.column("query").to_numpy().astype(bool)
+        ids, rows, isq = t.column("vec_id").to_numpy(), t.column("row").to_numpy(), t.column("query").to_numpy().astype(bool)
         flat = t.column("v").combine_chunks()
         if isinstance(flat, pa.ChunkedArray):
             flat = pa.concat_arrays(flat.chunks)
         v = flat.flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
-        names = ["query_id", "vec_id", "score"]
+        names = [c.split()[0] for c in _FOUND.split(", ")]
         if isq.all() or not isq.any():
-            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64())], names=names)
+            return pa.table([pa.array([], pa.float64() if c == "score" else pa.int64()) for c in names], names=names)
         # rows in order of id, so results don't hang on how they came
         x, q = np.flatnonzero(~isq), np.flatnonzero(isq)
-        x, q = x[np.argsort(ids[x], kind="stable")], q[np.argsort(ids[q], kind="stable")]
-        return pa.table([pa.array(c) for c in search_block(v[x], ids[x], v[q], ids[q], k)], names=names)
+        x, q = x[np.lexsort((rows[x], ids[x]))], q[np.lexsort((rows[q], ids[q]))]
+        i, j, score, many = search_block(v[x], ids[x], rows[x], v[q], rows[q], k, enough)
+        return pa.table([pa.array(c) for c in (ids[q][i], rows[q][i], ids[x][j], rows[x][j], score, many)], names=names)
 
     return run
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` best inner products found for each row whose id ``every`` divides.
+    """(query_id, rank, vec_id, score, verified): the ``k`` best inner products found for each row whose id ``every`` divides.
 
-    Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
-    part, neither do rows with a null id. A query with fewer than ``k`` candidates gets all of them;
-    ties go to the smaller id. Repeated ids are rows of their own among the candidates, one of them asks. Other columns are ignored.
+    Vectors that are null, zero, or hold a null or non-finite component take no part, neither do rows with a null
+    id; a query meets the vectors of its own length. A query with fewer than ``k`` candidates gets all of them;
+    ties go to the smaller id. Repeated ids are rows of their own: each that ``every`` divides asks, and meets the
+    others of its id. ``verified`` counts the vectors of all blocks that the query was compared with, as far as they had a row among
+    the best. Other columns are ignored.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     v = v.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))).filter(F.exists("v", lambda c: c != 0))
-    v = Scratch(spark, v, "vectors").df
-    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
-    most = sizes.orderBy(F.desc("n"), "dim").first()
-    if most is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    v = v.filter(F.size("v") == most["dim"])
-    blocks, groups = max(1, -(-most["n"] // BLOCK)), max(1, -(-most["q"] // QUERIES))
-    own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
-    group = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(groups)).cast("int")
-    data = v.select("vec_id", "v", F.lit(False).alias("query"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    asks = v.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asks = asks.select("vec_id", "v", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group.alias("grp"))
-    found = data.union(asks).groupBy("block", "grp").applyInArrow(_pairs(k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    v = Scratch(spark, v.withColumn("row", F.monotonically_increasing_id()), "vectors").df  # rows are numbered once
+    n, q = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
+    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-q // QUERIES))
+    own = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(blocks)).cast("int")
+    group = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(groups)).cast("int")
+    data = v.select("vec_id", "row", "v", F.lit(False).alias("query"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    asks = v.filter(F.col("vec_id") % every == 0)
+    asks = asks.select("vec_id", "row", "v", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group.alias("grp"))
+    enough = -(-candidates(n) // blocks) + (k if blocks > 1 else 0)
+    found = data.union(asks).withColumn("dim", F.size("v")).groupBy("block", "grp", "dim").applyInArrow(_pairs(k, enough), _FOUND)
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
+    total = F.sum(F.when(F.col("nth") == 1, F.col("verified"))).over(Window.partitionBy("query_id", "query_row"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "query_row", "vec_block").orderBy(F.desc("score"), "vec_id", "vec_row"))
+    found = found.withColumn("vec_block", F.pmod(F.xxhash64("vec_row", F.lit(3)), F.lit(blocks)).cast("int"))
+    found = found.withColumn("nth", nth).withColumn("verified", total).withColumn("rank", F.row_number().over(best))
+    return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def op5_collision_counting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
