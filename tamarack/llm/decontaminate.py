@@ -9,7 +9,11 @@ consistent region covers ``COVER`` of the item.
 
 Canonical rules, the same on both sides: a token of digits (with ``.,:/%+-`` inside or currency signs) is a
 number; a fixed list of unit words behind a number are units; a capitalised word that doesn't start a
-sentence or a line is a name. Case and punctuation at the ends are dropped.
+sentence or a line is a name, with the names behind it one token, and with the word in front of it that opens the
+sentence unless that is a function word. Case and punctuation at the ends are dropped.
+
+A window of slots alone says nothing about a template, so its values are its hash. An item of fewer than WINDOW tokens is
+too short a template to be told by its shape: it is found where all its words stand in a row.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, with_nodes
 from .words import U, Words, chunks, column_bytes, mix
 
 WINDOW, COVER, LEAST = 8, 0.6, 8
 SWITCH = 4  # tokens: what a change of shift has to win, so that chance agreements don't add up
+REQUESTS = 2000  # slices that one copy of a document serves
 HELD_WINDOWS = 2_000_000  # distinct benchmark windows up to which their hashes (8 bytes each) go to every executor
 # fixed values: unit words
 UNITS = (
@@ -33,6 +38,11 @@ UNITS = (
     "month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams "
     "kilogram kilograms pound pounds liter liters litre litres dollar dollars cent cents euro euros percent degree degrees mph kmh"
 ).split()
+# fixed values: words that open a sentence without being part of a name
+FUNCTION = (
+    "a an and are as at but by can could did do does for from had has have he her his how i if in is it its my no not of on or our she should so "
+    "some that the their then there these they this those to was we were what when where which while who whom whose why will with would yes you your"
+).split()
 _NUM, _NAME, _UNIT = (mix(np.array([i], U) * U(0xA24BAED4963EE407))[0] for i in (1, 2, 3))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -42,19 +52,28 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 
 
-def _unit_hashes() -> np.ndarray:
-    data, off = column_bytes(pa.array(UNITS, pa.large_string()))
-    return np.sort(Words(data, off, trim=True).h)
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.sort(Words(*column_bytes(pa.array(words, pa.large_string())), trim=True).h)
+
+
+_known: dict[str, np.ndarray] = {}
+
+
+def _is(name: str, words: list[str], h: np.ndarray) -> np.ndarray:
+    """Whether each hash is that of one of ``words``."""
+    own = _known.setdefault(name, _hashes(words))
+    return own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
 
 
 class Template:
-    """Template token hashes ``t``, slot kinds (0 none, 1 number, 2 name, 3 unit), value hashes ``h`` and each text's first token."""
+    """Template token hashes ``t``, slot kinds (0 none, 1 number, 2 name, 3 unit), value hashes ``h``, each text's first token and each token's first word, counted from its text's start."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
         w = Words(data, off, trim=True)
-        self.words, self.h, self.first = w, w.h, w.first
-        n = len(w.h)
+        first, h = w.first, w.h
+        n = len(h)
         kind = np.zeros(n, np.int8)
+        word = np.arange(n) - np.repeat(first[:-1], np.diff(first))
         if n:
             s, e = w.core
             digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
@@ -65,55 +84,84 @@ class Template:
             capital = (head >= 65) & (head <= 90)
             opens = np.ones(n, bool)
             opens[1:] = _STOP[data[w.end[:-1] - 1]]
-            opens[w.first[:-1][w.first[:-1] < n]] = True
-            between = np.zeros(n, bool)  # a line break in front also starts a sentence
+            opens[first[:-1][first[:-1] < n]] = True
             lines = np.concatenate([[0], np.cumsum(data == 10)])
-            between[1:] = lines[w.start[1:]] > lines[w.end[:-1]]
-            kind[capital & ~opens & ~between] = 2
-            units = _unit_hashes()
-            at = np.minimum(np.searchsorted(units, w.h), len(units) - 1)
-            unit = units[at] == w.h
+            opens[1:] |= lines[w.start[1:]] > lines[w.end[:-1]]  # a line break in front also starts a sentence
+            kind[capital & ~opens] = 2
+            # a capitalised word that opens a sentence in front of a name is part of it
+            leads = np.zeros(n, bool)
+            leads[:-1] = capital[:-1] & opens[:-1] & (kind[1:] == 2) & (e[:-1] == w.end[:-1])
+            kind[leads & ~_is("function", FUNCTION, h)] = 2
             behind = np.zeros(n, bool)
             behind[1:] = number[:-1]
-            kind[unit & behind] = 3
-        self.kind = kind
-        self.t = np.where(kind == 1, _NUM, np.where(kind == 2, _NAME, np.where(kind == 3, _UNIT, w.h)))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, index of first token) of all windows inside a text; a text of LEAST tokens or more but fewer than WINDOW has none."""
-        n = len(self.t) - WINDOW + 1
+            kind[_is("units", UNITS, h) & behind] = 3
+            # names in a row, without a mark between them, are one
+            more = np.zeros(n, bool)
+            more[1:] = (kind[1:] == 2) & (kind[:-1] == 2) & (e[:-1] == w.end[:-1]) & ~opens[1:]
+            if more.any():
+                at = np.flatnonzero(~more)
+                nth = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+                h = np.add.reduceat(mix(h + nth.astype(U) * U(0xD1342543DE82EF95)) * (nth > 0) + h * (nth == 0), at)
+                kind, word = kind[at], word[at]
+                first = np.searchsorted(at, first)
+        self.h, self.first, self.kind, self.word = h, first, kind, word
+        self.t = np.where(kind == 1, _NUM, np.where(kind == 2, _NAME, np.where(kind == 3, _UNIT, h)))
+
+    def windows(self, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, index of first token) of all windows inside a text; those of fewer than WINDOW tokens, or of slots alone, are of values."""
+        n = len(self.t) - size + 1
         if n <= 0:
             return np.zeros(0, U), np.zeros(0, np.int64)
-        h = np.zeros(n, U)
-        for j in range(WINDOW):
+        h, plain = np.zeros(n, U), np.zeros(n, U)
+        literal = np.zeros(n, bool)
+        for j in range(size):
             h = h * U(0xD1342543DE82EF95) + self.t[j : j + n]
+            plain = plain * U(0xD1342543DE82EF95) + self.h[j : j + n]
+            literal |= self.kind[j : j + n] == 0
+        h = np.where(literal, h, plain + U(1)) if size == WINDOW else plain + U(size + 1)
         text = np.searchsorted(self.first, np.arange(n), "right") - 1
-        ok = np.flatnonzero(np.arange(n) + WINDOW <= self.first[text + 1])
+        ok = np.flatnonzero(np.arange(n) + size <= self.first[text + 1])
         return mix(h[ok]), ok
 
 
-def _doc_windows(held):
-    """Windows of documents, (doc_id, place, hash): those whose hash ``held`` has, or all if it is None."""
+def _doc_windows(held, sizes: list[int]):
+    """Windows of documents, (doc_id, place, word, h): those whose hash ``held`` has, or all if it is None. ``sizes``: lengths of items under WINDOW."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if held is None else held.value
         for whole in batches:
             for batch in chunks(whole, "text", 2 << 20):
                 t = Template(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
-                h, at = t.windows()
-                if keep is not None:
-                    if not len(keep):
-                        continue
-                    near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                    ok = keep[near] == h
-                    h, at = h[ok], at[ok]
-                text = np.searchsorted(t.first, at, "right") - 1
-                ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at - t.first[text]), pa.array(h.view(np.int64))], names=["doc_id", "place", "h"])
+                for size in [*sizes, WINDOW]:
+                    h, at = t.windows(size)
+                    if keep is not None:
+                        if not len(keep):
+                            continue
+                        near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
+                        ok = keep[near] == h
+                        h, at = h[ok], at[ok]
+                    text = np.searchsorted(t.first, at, "right") - 1
+                    ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(text))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at - t.first[text]), pa.array(t.word[at]), pa.array(h.view(np.int64))], names=["doc_id", "place", "word", "h"])
 
     return run
 
 
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, ip, h, short): the windows of items; a short item is one window of its own length."""
+    for whole in batches:
+        for batch in chunks(whole, "text", 2 << 20):
+            t = Template(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
+            size = np.diff(t.first)
+            for n in range(1, WINDOW + 1):
+                h, at = t.windows(n)
+                text = np.searchsorted(t.first, at, "right") - 1
+                ok = (size[text] == n) | (n == WINDOW)
+                h, at, text = h[ok], at[ok], text[ok]
+                ids = batch.column(batch.schema.get_field_index("item_id")).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at - t.first[text]), pa.array(h.view(np.int64)), pa.array(np.full(len(h), n if n < WINDOW else 0))], names=["item_id", "ip", "h", "short"])
+
+
 def _tokens(name: str):
     """Template tokens, kinds and values of whole texts as binaries."""
 
@@ -179,7 +227,9 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         good -= 1
                     else:
                         changed += x != y
-                out.append((rows["doc_id"][i], rows["item_id"][i], int(shifts[way[on[0]]]), good, size, changed))
+                words = np.frombuffer(rows["dw"][i], np.int32)
+                begin = int(words[min(max(int(shifts[way[on[0]]]) - rows["lo"][i], 0), len(words) - 1)])
+                out.append((rows["doc_id"][i], rows["item_id"][i], begin, good, size, changed))
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
         names = ["doc_id", "item_id", "start_word", "matched", "item_words", "changed_slots"]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
@@ -198,51 +248,75 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for q in asks:
                     lo = max(0, q["shifts"][0])
                     x, y = a + lo, min(b, a + q["shifts"][-1] + q["size"])
-                    out.append((ids[i], q["item_id"], q["shifts"], lo, t.t[x:y].tobytes(), t.h[x:y].tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.int64()] + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "shifts", "lo", "dt", "dv"])
-
-
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, matched, item_words, changed_slots): for each document and benchmark item the best consistent region that covers COVER of the item.
-
-    Items with fewer than WINDOW words, null texts and null ids on either side match nothing; of a
-    repeated ``doc_id`` the best text counts, of a repeated ``item_id`` one is read. ``changed_slots`` counts values that differ, so
-    0 is a copy. Other columns are ignored.
-    """
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").filter("doc_id is not null and text is not null")
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    own = Scratch(spark, items.withColumnRenamed("item_id", "doc_id").mapInArrow(_doc_windows(None), "doc_id long, place long, h long").selectExpr("doc_id item_id", "place ip", "h"), "items").df
+                    if x < y:
+                        out.append((ids[i], q["item_id"], q["shifts"], lo, t.t[x:y].tobytes(), t.h[x:y].tobytes(), t.word[x:y].astype(np.int32).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.int64()] + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "shifts", "lo", "dt", "dv", "dw"])
+
+
+def _found(spark: SparkSession, rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(node, item_id, start_word, matched, item_words, changed_slots) of ``rows(node, text)``: see :func:`contamination`."""
+    docs = rows.withColumnRenamed("node", "doc_id")
+    texts = benchmark.selectExpr("cast(item_id as long) own_id", "cast(text as string) text").filter("own_id is not null and text is not null").distinct()
+    # texts that share an item's id are items of their own until the end
+    items = Scratch(spark, texts.withColumn("item_id", F.xxhash64("own_id", "text")), "benchmark").df
+    own = Scratch(spark, items.mapInArrow(_item_windows, "item_id long, ip long, h long, short long"), "items").df
+    sizes = sorted(r[0] for r in own.filter("short > 0").select("short").distinct().collect())  # at most WINDOW - 1
     hashes = own.select("h").distinct()
     held = None
     if hashes.count() <= HELD_WINDOWS:  # a bounded filter before the join; above it the join alone decides
-        known = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(U))
+        known = np.sort(hashes.toArrow().column("h").to_numpy().view(U))
         held = spark.sparkContext.broadcast(known)
-    hits = docs.mapInArrow(_doc_windows(held), "doc_id long, place long, h long").join(own, "h")
-    diagonals = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("ip")).alias("shift")).agg(F.count("*").alias("n"))
+    hits = docs.mapInArrow(_doc_windows(held, sizes), "doc_id long, place long, word long, h long").join(own, "h")
+    hits = Scratch(spark, hits.groupBy("doc_id", "item_id", "short", (F.col("place") - F.col("ip")).alias("shift")).agg(F.min("word").alias("word")), "diagonals").df
+    whole = hits.filter("short > 0").groupBy("doc_id", "item_id").agg(F.min("word").alias("start_word"), F.max("short").alias("matched"))
     tokens = Scratch(spark, items.mapInArrow(_tokens("item_id"), "item_id long, t binary, kind binary, value binary"), "templates").df
     sized = tokens.select("item_id", (F.length("t") / 8).cast("long").alias("size"))
     # matched tokens are no function of the hits (every broken run hides 7 of them), so each diagonal is compared
-    worth = Scratch(spark, diagonals.join(sized, "item_id"), "diagonals").df
+    worth = hits.filter("short = 0").join(sized, "item_id")
     # words put in or left out part a copy into neighbouring shifts; those up to half an item apart are compared together
     along = Window.partitionBy("doc_id", "item_id").orderBy("shift")
     chained = worth.withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(along) > F.col("size") / 2, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(along))
     chains = chained.groupBy("doc_id", "item_id", "size", "chain").agg(F.sort_array(F.collect_list("shift")).alias("shifts"))
-    lists = chains.groupBy("doc_id", F.pmod(F.xxhash64("item_id", "chain"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("item_id", "shifts", "size")).alias("asked"))
-    slices = docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut, "doc_id long, item_id long, shifts array<long>, lo long, dt binary, dv binary")
+    many = chains.groupBy("doc_id").agg(F.ceil(F.sum(F.size("shifts")) / REQUESTS).alias("parts"))
+    lists = chains.join(many, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("item_id", "chain"), "parts").alias("part")).agg(F.collect_list(F.struct("item_id", "shifts", "size")).alias("asked"))
+    slices = docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut, "doc_id long, item_id long, shifts array<long>, lo long, dt binary, dv binary, dw binary")
     named = tokens.select("item_id", F.col("t").alias("it"), F.col("kind").alias("ik"), F.col("value").alias("iv"))
     found = slices.join(named, "item_id").mapInArrow(_regions, "doc_id long, item_id long, start_word long, matched long, item_words long, changed_slots long")
     good = found.filter((F.col("matched") >= F.col("item_words") * COVER) & (F.col("matched") >= LEAST))
-    order = F.struct(-F.col("matched"), "changed_slots", "start_word")
-    best = good.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("start_word", "matched", "item_words", "changed_slots"), order).alias("b"))
-    return best.select("doc_id", "item_id", F.greatest(F.lit(0).cast("long"), "b.start_word").alias("start_word"), "b.matched", "b.item_words", "b.changed_slots")
+    good = good.unionByName(whole.select("doc_id", "item_id", "start_word", "matched", F.col("matched").alias("item_words"), F.lit(0).cast("long").alias("changed_slots")))
+    good = good.join(items.select("item_id", "own_id"), "item_id")
+    order = F.struct(-F.col("matched"), "changed_slots", "start_word", "item_words")
+    best = good.groupBy("doc_id", "own_id").agg(F.min_by(F.struct("start_word", "matched", "item_words", "changed_slots"), order).alias("b"))
+    return best.select(F.col("doc_id").alias("node"), F.col("own_id").alias("item_id"), "b.start_word", "b.matched", "b.item_words", "b.changed_slots")
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start_word, matched, item_words, changed_slots): for each document and benchmark item the best consistent region that covers COVER of the item.
+
+    Counts are of template tokens, ``start_word`` is a word of the text. An item of fewer than WINDOW tokens is found where all
+    its words stand in a row, with no value changed; items without words, null texts and null ids on either side match nothing. Of
+    repeated ids, on either side, every text is compared and the best counts. Texts are taken whole at any length.
+    ``changed_slots`` counts values that differ, so 0 is a copy. Other columns are ignored.
+    """
+    rows, names = with_nodes(spark, docs)
+    found = _found(spark, rows, benchmark)
+    if names is None:
+        return found.withColumnRenamed("node", "doc_id")
+    order = F.struct(-F.col("matched"), "changed_slots", "start_word", "item_words")
+    best = found.join(names, "node").groupBy("doc_id", "item_id").agg(F.min_by(F.struct("start_word", "matched", "item_words", "changed_slots"), order).alias("b"))
+    return best.select("doc_id", "item_id", "b.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay, rows with a null id or text stay."""
-    bad = contamination(spark, docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """``docs`` without contaminated rows; all columns stay, rows with a null id or text stay. Of rows that share an id only those go whose own text holds an item."""
+    rows, names = with_nodes(spark, docs)
+    bad = _found(spark, rows, benchmark).select("node").distinct()
+    if names is None:
+        return docs.join(bad, docs["doc_id"] == bad["node"], "left_anti")
+    bad = bad.join(names, "node").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    return docs.join(bad, (docs["doc_id"] == bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
 
 
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,17 +119,20 @@ def test_chain_marginals_equal_enumeration():
 
 def test_decontamination(spark):
     q = "Tom Baker bought 12 apples for 3 dollars each and then sold 12 apples again at 5 dollars."
-    items = spark.createDataFrame([(1, q), (1, q), (2, None), (None, q), (3, "too short to count")], "item_id long, text string")
+    items = spark.createDataFrame([(1, q), (1, q), (2, None), (None, q), (3, "too short to count"), (4, "What is the capital of France"), (4, "the other text of item four"), (5, " ")], "item_id long, text string")
     other = " ".join(long_words(30, 4))
     rows = [
         (1, q), (2, f"{other} Ann Miller bought 40 apples for 7 dollars each and then sold 40 apples again at 9 dollars. {other}"), (3, other), (4, None), (5, ""), (None, q),
         (6, " ".join(q.split()[:8])), (7, "Ann Miller bought 1 apples for 1 dollars each and then sold 2 apples again at 3 dollars."),
+        (8, f"{other} what is the capital of france? {other}"), (9, f"{other} what is the capital of Spain? {other}"), (10, "The OTHER text of item four"), (11, other), (11, q),
     ]
     docs = documents(spark, rows)
     got = {r["doc_id"]: (r["item_id"], r["start_word"], r["matched"], r["changed_slots"]) for r in decontaminate.contamination(spark, docs, items).collect()}
-    assert got[1] == (1, 0, 18, 0) and got[2][:2] == (1, 30) and got[2][3] > 0 and set(got) >= {1, 2} and not set(got) & {3, 4, 5, 6, None}
+    assert got[8] == (4, 30, 6, 0) and got[10] == (4, 0, 6, 0) and got[11][0] == 1 and 9 not in got
+    assert got[1] == (1, 0, 17, 0) and got[2][:2] == (1, 30) and got[2][3] > 0 and set(got) >= {1, 2} and not set(got) & {3, 4, 5, 6, None}
     assert got.get(7, (0, 0, 0))[2] < 17  # its values don't map one to one
     left = decontaminate.decontaminate(spark, docs, items)
+    assert [(r["doc_id"]) for r in left.collect() if r["doc_id"] in (8, 9, 11)] in ([9, 11], [11, 9]) and other in [r["text"] for r in left.collect() if r["doc_id"] == 11]
     assert {r["doc_id"] for r in left.collect()} >= {3, 4, 5, 6, None} and left.columns == docs.columns
     assert decontaminate.contamination(spark, empty(spark), items).count() == 0 and decontaminate.contamination(spark, docs, items.limit(0)).count() == 0
 
@@ -209,3 +212,38 @@ def test_decontamination_over_inserted_and_removed_words(spark):
     ]
     got = {r["doc_id"]: (r["start_word"], r["matched"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
     assert got == {1: (15, 60), 2: (0, 59), 3: (15, 59)}  # halves in swapped order are no copy
+
+
+def test_names_of_any_length_are_one_slot(spark):
+    tail = "went by train with 7 friends and paid 30 dollars for the whole trip in the end"
+    items = spark.createDataFrame([(1, f"Last week Paris {tail}."), (2, "1 2 3 4 5 6 7 8 9 10")], "item_id long, text string")
+    other = " ".join(long_words(20, 9))
+    rows = [(1, f"{other} last week New York City {tail}"), (2, f"{other} Last week Ann, Bob {tail}"), (3, "9 9 9 9 9 9 9 9 9 9"), (4, f"{other} 1 2 3 4 5 6 7 8 9 10")]
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["matched"], r["item_words"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
+    assert got[1, 1] == (20, 20, 20) and (3, 2) not in got and got[4, 2] == (20, 10, 10) and (2, 1) in got
+
+
+def aligned(item, text):
+    """Most tokens of ``item`` that agree with ``text`` on one shift."""
+    return max((sum(a == b for a, b in zip(item, text[s:], strict=False)) for s in range(len(text))), default=0)
+
+
+def test_random_copies_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    bank = {j: long_words(rng.randint(3, 40), 300 + j) for j in range(12)}
+    rows = []
+    for i in range(60):
+        words = list(bank[rng.randrange(12)])
+        for k in range(len(words)):
+            if rng.random() < rng.choice([0, 0.05, 0.12]):
+                words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(long_words(rng.randint(0, 30), 800 + i) + words + long_words(rng.randint(0, 30), 900 + i))))
+    items = spark.createDataFrame([(j, " ".join(w)) for j, w in bank.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
+    for i, t in rows:
+        for j, w in bank.items():
+            n = aligned(w, t.split())
+            seeded = any(" ".join(w[k : k + 8]) in t for k in range(len(w) - 7)) if len(w) >= 8 else n == len(w)
+            assert ((i, j) in got) == (seeded and n >= max(0.6 * len(w), min(len(w), 8))), (i, j, n, len(w))
