@@ -4,8 +4,8 @@ Each of ``LINES`` random directions gives one sorted array of the vectors' proje
 window around its own projection on every line; a vector collides once for each window that holds it.
 Windows widen step by step (virtual rehashing: same arrays, larger radius) until enough vectors have
 collided on at least ``LEAST`` of the lines; those are verified by exact inner products in double
-precision, most collisions first. Inner products become distances by one added coordinate that makes all norms equal. Windows are wide,
-so their outsides are what is counted first, and rings are added.
+precision, most collisions first. Inner products become distances by one added coordinate that makes all norms equal. A window
+is a stretch of ranks, so collisions are counted by comparing each vector's ranks with the windows' ends.
 
 Enough are ``VERIFY`` times the square root of the number of vectors, so the share that is verified falls as the table grows.
 Vectors are indexed in blocks of about ``BLOCK`` rows, all of them; queries visit every block in groups of
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-LINES, LEAST, VERIFY, FIRST, WIDEN = 128, 0.8, 6.0, 1.3, 1.06  # radii in standard deviations of a line's projections
+LINES, LEAST, VERIFY, FIRST, WIDEN = 128, 0.8, 6.0, 1.6, 1.1  # radii in standard deviations of a line's projections
 BLOCK, QUERIES, NEAREST, EVERY = 8192, 1024, 20, 20
 
 
@@ -48,7 +48,8 @@ def search_block(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray
     proj = lift @ line
     order = np.argsort(proj, axis=0, kind="stable").astype(np.int32)
     base = np.ascontiguousarray(np.take_along_axis(proj, order, axis=0).T)
-    flat = np.ascontiguousarray(order.T)
+    rank = np.empty((proj.shape[1], n), np.uint16 if n < 65536 else np.uint32)
+    np.put_along_axis(rank, order.T, np.arange(n, dtype=rank.dtype)[None, :], axis=1)
     qn = np.sqrt((q * q).sum(axis=1))
     mine = (np.concatenate([q * (top / qn)[:, None], np.zeros((len(q), 1))], axis=1)) @ line
     m = line.shape[1]
@@ -58,33 +59,23 @@ def search_block(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray
     out: list[tuple[np.ndarray, ...]] = []
     radius = [FIRST * WIDEN**step for step in range(200)]
     live = np.arange(len(q))
-    lo, hi = np.zeros((len(q), m), np.int64), np.zeros((len(q), m), np.int64)
-    count = np.full((len(q), n), m, np.int16)
     for step in range(len(radius) + 1):
         if not len(live):
             break
         wide = spread * (radius[step] if step < len(radius) else np.inf)
-        left, right = np.empty((len(live), m), np.int64), np.empty((len(live), m), np.int64)
+        left, size = np.empty((len(live), m, 1), rank.dtype), np.empty((len(live), m, 1), rank.dtype)
         for j in range(m):  # the window of every live query on this line
-            left[:, j] = np.searchsorted(base[j], mine[live, j] - wide[j], "left")
-            right[:, j] = np.searchsorted(base[j], mine[live, j] + wide[j], "right")
+            left[:, j, 0] = np.searchsorted(base[j], mine[live, j] - wide[j], "left")
+            size[:, j, 0] = np.searchsorted(base[j], mine[live, j] + wide[j], "right") - left[:, j, 0]
         rest = []
-        for i, a, b in zip(live.tolist(), left, right, strict=True):
-            if step:  # what the windows have gained on either side
-                new = [flat[j, u:v] for j, (u, v) in enumerate(zip(a.tolist(), lo[i].tolist(), strict=True)) if u < v]
-                new += [flat[j, u:v] for j, (u, v) in enumerate(zip(hi[i].tolist(), b.tolist(), strict=True)) if u < v]
-            else:  # what lies outside of them
-                new = [flat[j, :u] for j, u in enumerate(a.tolist()) if u] + [flat[j, v:] for j, v in enumerate(b.tolist()) if v < n]
-            if new:
-                seen = np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
-                count[i] += seen if step else -seen
-            lo[i], hi[i] = a, b
-            hit = np.flatnonzero(count[i] >= least)
+        for i, a, b in zip(live.tolist(), left, size, strict=True):
+            count = (rank - a < b).sum(axis=0, dtype=np.uint16)  # whole numbers without a sign: what lies in front is large
+            hit = np.flatnonzero(count >= least)
             if len(hit) < enough and step < len(radius):
                 rest.append(i)
                 continue
             # the last step may have brought far more: the threshold rises as long as enough are left, ties at it stay
-            most = count[i][hit]
+            most = count[hit]
             hit = hit[most >= np.partition(most, len(most) - min(enough, len(most)))[len(most) - min(enough, len(most))]]
             many = len(hit)
             hit = hit[rows[hit] != qrows[i]]
