@@ -3,12 +3,13 @@
 Documents carry labels, tokens do not, so a fitting step labels tokens first: in toxic documents those
 words are toxic whose document counts differ between the classes beyond chance (log-likelihood ratio).
 A two-state chain with emissions from the word, its first and its last bytes is fitted to these sequences
-(sentences, at most ``LONGEST`` tokens each). Forward-backward marginals give each token's probability;
+(whole sentences). Forward-backward marginals give each token's probability;
 a logistic layer over their maximum, sum and density gives the document's score, and runs of likely tokens
-give offending offsets.
+give offending offsets. The layer learns from marginals that a chain gives to texts it wasn't fitted to: two
+chains, each fitted to one half, score the other half; the chain that is kept is fitted to all.
 
-The fit sees at most ``PER_CLASS`` labelled rows of each class, chosen by a hash of their ids, with texts of
-at most ``FIT_BYTES``; scoring reads every text whole. Weights have a fixed size (2^18 floats a feature).
+The fit sees whole texts, at most ``PER_CLASS`` labelled rows of each class with ``FIT_BYTES`` together, drawn by a
+hash of their ids among the labelled rows that have a text; scoring reads every text whole, however long. Weights have a fixed size (2^18 floats a feature).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import U, Words, chunks, column_bytes, mix, shingles
 
-PER_CLASS, FIT_BYTES, LONGEST, ROUNDS, ENOUGH_TOXIC = 1200, 16_384, 64, 25, 200
+PER_CLASS, FIT_BYTES, ROUNDS = 1200, 16 << 20, 25
 BITS, FEATURES, PRIOR = 18, 3, -2.0
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -54,9 +55,6 @@ class Tokens:
         new = np.ones(n, bool)
         if n:
             new[1:] = (self.text[1:] != self.text[:-1]) | _STOP[data[w.end[:-1] - 1]]
-            begin = np.flatnonzero(new)
-            since = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-            new |= since % LONGEST == 0
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, n))
         order = np.argsort(-size, kind="stable")
@@ -156,26 +154,12 @@ def originals(texts: list[str]) -> np.ndarray:
     return np.array(keep, int)
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
-    """A model from labelled texts; ``share`` is the part of toxic rows among all labelled ones.
-
-    The chain is fitted to every other text, the logistic layer to the rest. Without texts of both
-    classes every text gets ``share``.
-    """
-    share = min(max(share, 1e-3), 1 - 1e-3)
-    model = Model(np.zeros((FEATURES, 1 << BITS)), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    if not (0 < toxic.sum() < len(toxic)):
-        return model
-    keep = np.concatenate([np.flatnonzero(toxic == c)[originals([texts[i] for i in np.flatnonzero(toxic == c)])] for c in (0, 1)])
-    # with few toxic texts both parts see all of them
-    one, two = (keep[::2], keep[1::2]) if toxic[keep].sum() >= ENOUGH_TOXIC else (keep, keep)
-    if not (0 < toxic[one].sum() < len(one) and 0 < toxic[two].sum() < len(two)):
-        return model
-    data, off = column_bytes(pa.array([texts[i] for i in one], pa.large_string()))
-    t = Tokens(data, off)
+def fit_chain(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, step) of a chain fitted to labelled texts; what no text has shown stays clean."""
+    weight, step = np.full((FEATURES, 1 << BITS), PRIOR), np.zeros((2, 2))
+    t = Tokens(*column_bytes(pa.array(texts, pa.large_string())))
     if not len(t.h):
-        return model
-    aside, toxic = toxic[two], toxic[one]
+        return weight, step
     y = np.empty(len(t.h))
     y[t.at] = token_labels(t, toxic)
     slot = np.empty_like(t.slot)
@@ -184,8 +168,6 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     left = np.concatenate([a for a, _ in pairs]) if pairs else np.zeros(0, int)
     right = np.concatenate([b for _, b in pairs]) if pairs else np.zeros(0, int)
     seen = np.array([[np.sum((y[left] == i) & (y[right] == j)) for j in (0, 1)] for i in (0, 1)], float)
-    weight, step = model.weight, model.step
-    weight[:] = PRIOR  # what no text has shown stays clean
     heat = [np.full_like(weight, 1e-6), np.full_like(step, 1e-6)]
     for _ in range(ROUNDS):
         e = weight[0][slot[0]] + weight[1][slot[1]] + weight[2][slot[2]]
@@ -193,17 +175,41 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         p = _sigmoid(r + b)
         x = e[right] + b[right]
         z = np.stack([np.full(len(left), step[0, 0]), step[0, 1] + x, step[1, 0] + r[left], step[1, 1] + r[left] + x])
-        z = np.exp(z - z.max(axis=0))
+        z = np.exp(z - z.max(axis=0)) if len(left) else z
         z /= z.sum(axis=0)
         grads = [np.stack([np.bincount(slot[f], y - p, 1 << BITS) for f in range(FEATURES)]) - 1e-3 * (weight - PRIOR), seen - z.sum(axis=1).reshape(2, 2) - 1e-3 * step]
         for v, g, h in zip((weight, step), grads, heat, strict=True):  # Adagrad
             h += g * g
             v += 0.5 * g / np.sqrt(h)
-    t = Tokens(*column_bytes(pa.array([texts[i] for i in two], pa.large_string())))
-    s = summary(t, marginals(t, model), len(two))
-    layer, target = np.zeros(4), aside.astype(float)
+    return weight, step
+
+
+def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
+    """A model from labelled texts; ``share`` is the part of toxic rows among all labelled ones.
+
+    Without texts of both classes every text gets ``share``. With one text of a class, which can't be in both halves, the
+    half without it knows no toxic words and scores the other as clean.
+    """
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    model = Model(np.zeros((FEATURES, 1 << BITS)), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
+    if not (0 < toxic.sum() < len(toxic)):
+        return model
+    kept = [np.flatnonzero(toxic == c)[originals([texts[i] for i in np.flatnonzero(toxic == c)])] for c in (0, 1)]
+    halves = [np.concatenate([k[h::2] for k in kept]) for h in (0, 1)]
+    rows, target = [], []
+    for own, other in (halves, halves[::-1]):
+        if not len(other):
+            continue
+        chain = Model(*fit_chain([texts[i] for i in own], toxic[own]), model.layer)
+        t = Tokens(*column_bytes(pa.array([texts[i] for i in other], pa.large_string())))
+        rows.append(summary(t, marginals(t, chain), len(other)))
+        target.append(toxic[other])
+    every = np.concatenate(kept)
+    model.weight, model.step = fit_chain([texts[i] for i in every], toxic[every])
+    s, target = np.concatenate(rows), np.concatenate(target).astype(float)
+    layer = np.zeros(4)
     # each class weighs as much as among all labelled rows
-    heavy = np.where(aside == 1, share / aside.mean(), (1 - share) / (1 - aside.mean()))
+    heavy = np.where(target == 1, share / target.mean(), (1 - share) / (1 - target.mean()))
     for _ in range(30):  # Newton with a small ridge
         q = _sigmoid(s @ layer)
         hess = (s * (heavy * q * (1 - q))[:, None]).T @ s + 0.01 * np.eye(4)
@@ -213,17 +219,28 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most PER_CLASS labelled rows of each class; rows with a null label or text, and of two labels for an id all but one, are left out.
+    """Fit on at most PER_CLASS labelled rows of each class with FIT_BYTES of text together.
 
-    ``labels`` holds (doc_id, toxic) and only rows that may be learnt from.
+    ``labels`` holds (doc_id, toxic) and only rows that may be learnt from. An id that has both labels is toxic; of its
+    texts, if there are several, the smallest counts. Rows with a null label, id or text are left out before the draw, so
+    are texts over FIT_BYTES.
     """
-    own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").dropDuplicates(["id"])
-    few = [own.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
-    few = F.broadcast(few[0].union(few[1]))  # at most 2 * PER_CLASS rows, so no text is shuffled
-    rows = docs.select(F.col("doc_id").alias("id"), "text").filter(F.octet_length("text") <= FIT_BYTES).join(few, "id").select("id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["id", "text"]).drop_duplicates("id")
-    rows = rows.iloc[np.argsort(mix(rows["id"].to_numpy().astype(np.int64).view(U)))]
-    texts, toxic = rows["text"].tolist(), rows["toxic"].to_numpy().astype(int)
+    own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    sizes = rows.select("id", F.octet_length("text").alias("n")).filter(F.col("n") <= FIT_BYTES).groupBy("id").agg(F.max("n").alias("n"))
+    known = sizes.join(own, "id")
+    drawn = []
+    for c in (0, 1):
+        room = FIT_BYTES
+        for r in known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS).collect():  # at most PER_CLASS rows of numbers
+            if r["n"] <= room:
+                room -= r["n"]
+                drawn.append((r["id"], c))
+    few = F.broadcast(docs.sparkSession.createDataFrame(drawn, "id long, toxic int"))  # at most 2 * PER_CLASS rows, so no text is shuffled
+    got = rows.filter(F.octet_length("text") <= FIT_BYTES).join(few, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas()
+    got = got.sort_values("id")
+    got = got.iloc[np.argsort(mix(got["id"].to_numpy().astype(np.int64).view(U)), kind="stable")]
+    texts, toxic = got["text"].tolist(), got["toxic"].to_numpy().astype(int)
     share = own.agg(F.avg("toxic")).first()[0]
     return fit(texts, toxic, 0.5 if share is None else share)
 

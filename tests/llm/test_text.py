@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,46 @@ def test_toxicity(spark):
     assert all(r["score"] == pytest.approx(0.5) for r in toxicity.score(docs, none).collect()) and toxicity.score(empty(spark), none).count() == 0
 
 
+def test_long_texts_teach_and_labels_settle(spark):
+    rows, labels = [], []
+    for i in range(120):
+        w = long_words(2500, 5000 + i)  # no full stop: one sentence of 2,500 tokens, 16 KB and more
+        if i % 3 == 0:
+            w[100 + 7 * i] = "vile"
+            w[101 + 7 * i] = "scum"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = documents(spark, rows + [(0, "aaa"), (500, None)])
+    ldf = spark.createDataFrame(labels + [(0, 0), (500, 1), (None, 1), (501, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, ldf)
+    assert model.layer[1:].any()
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, rows[1:] + [(900, "clean words only"), (901, "so vile scum")]), model).collect()}
+    assert got[901] > 0.5 > got[900] and sum((got[i] >= 0.5) == bool(y) for i, y in labels[1:]) >= 115
+
+
+def test_scores_equal_a_plain_model():
+    rng = np.random.default_rng(2)
+    texts = ["a b. c d", "b", "", "x y z! a", "b " * 30]
+    model = toxicity.Model(rng.normal(size=(3, 1 << toxicity.BITS)), rng.normal(size=(2, 2)), np.array([0.1, 1.0, 0.5, -0.2]))
+    t = toxicity.Tokens(*column_bytes(pa.array(texts)))
+    got = toxicity.summary(t, toxicity.marginals(t, model), len(texts))
+    for i, text in enumerate(texts):
+        p = []
+        for sentence in [s for s in re.split(r"(?<=[.!?])\s", text) if s.split()]:
+            one = toxicity.Tokens(*column_bytes(pa.array([sentence])))
+            e = sum(model.weight[f][one.slot[f]] for f in range(3))
+            f = [np.array([1.0, np.exp(e[0])])]
+            for x in e[1:]:
+                f.append((f[-1] @ np.exp(model.step)) * np.array([1.0, np.exp(x)]))
+            b = [np.ones(2)]
+            for x in e[:0:-1]:
+                b.append(np.exp(model.step) @ (np.array([1.0, np.exp(x)]) * b[-1]))
+            for u, v in zip(f, b[::-1], strict=True):
+                p.append((u * v)[1] / (u * v).sum())
+        want = [1, max(p, default=0), math.log1p(sum(p)), 20 * sum(p) / max(len(p), 1)]
+        assert np.allclose(got[i], want)
+
+
 def test_chain_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     e, step = rng.normal(size=6), rng.normal(size=(2, 2))
