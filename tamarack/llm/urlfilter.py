@@ -3,13 +3,13 @@
 Rules give verdicts first: host and all its subdomains, path prefix, the longest rule wins. Pages under a rule are also
 the labelled pages from which all others are judged:
 
-1. per host, path segments with a digit become ``#``; a level with more than ``WIDE`` different values
-   turns the rarer ones (under ``COMMON`` of their parent's pages) into ``*``. Segments past level
-   ``DEPTH`` are one tail ``**``;
-2. sibling branches whose labelled purity doesn't differ from that of all siblings together by more
-   than two standard errors are merged into ``*`` as well;
-3. a template's purity is its share of allowed pages, smoothed by its host's, that by the last two labels
-   of the host, that by the whole table's (``PULL`` pages each); templates under 0.5 are blocked.
+1. digits of path segments become ``#``. Per host and level, when there are more than ``WIDE`` different segments, the rarer
+   ones (under ``COMMON`` of their parent's pages) become ``*``; what is behind level ``DEPTH`` is one last segment, whole;
+2. sibling branches are merged into ``*`` as well that are alike in structure (the shares of the segments below them
+   are those of all siblings together, by a chi-square test at three standard deviations) and not unlike in labels (no labels, or
+   a purity within two standard errors of that of all siblings together), so branches without labels share those of the others;
+3. a template's purity is its share of allowed pages, smoothed by that of the same path shape on all hosts, that by its host's, that by
+   the last two labels of the host, that by the whole table's (``PULL`` pages each); templates under 0.5 are blocked.
 
 Everything after the first count works on distinct (host, path shape) rows, so a hot host is counted
 before it is shuffled.
@@ -47,55 +47,66 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template), one row for each page.
+    """(page_id, host, path, rule, verdict, template, labelled), one row for each page.
 
-    Null urls and urls without ``://`` have an empty host and path. Repeated and null ids stay rows of their
+    ``labelled`` counts the pages with labels that the template or its path shape has: with none, only host, domain and table
+    decide. Null urls and urls without ``://`` have an empty host and path. Repeated and null ids stay rows of their
     own; other columns are ignored. With no labelled page at all everything without a rule is allowed.
     """
     host, path = parsed(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("own"))
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
+    parts = F.split(F.regexp_replace(F.regexp_replace("path", "^/", ""), "[0-9]+", "#"), "/")
     for i in range(1, DEPTH + 1):
-        seg = F.coalesce(F.get(parts, F.lit(i - 1)), F.lit(""))
-        rows = rows.withColumn(f"s{i}", F.when(seg.rlike("[0-9]"), "#").otherwise(seg))
-    rows = rows.withColumn("tail", F.when(F.size(parts) > DEPTH, "**").otherwise(""))
-    shape = ["host", *[f"s{i}" for i in range(1, DEPTH + 1)], "tail"]
+        rows = rows.withColumn(f"s{i}", F.coalesce(F.get(parts, F.lit(i - 1)), F.lit("")))
+    rows = rows.withColumn(f"s{DEPTH + 1}", F.when(F.size(parts) > DEPTH, F.array_join(F.slice(parts, DEPTH + 1, 1 << 30), "/")).otherwise(""))
+    segs = [f"s{i}" for i in range(1, DEPTH + 2)]
+    shape = ["host", *segs]
     good, bad = F.count_if(F.col("own") == "allow"), F.count_if(F.col("own") == "block")
     tree = rows.groupBy(*shape).agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
     spark = pages.sparkSession
     tree = Scratch(spark, tree.withColumn("t0", F.lit("")), "shapes").df
-    for i in range(1, DEPTH + 1):  # each level is written, or the plan would hold every level many times
+    for i in range(1, DEPTH + 2):  # each level is written, or the plan would hold every level many times
         tree = Scratch(spark, _level(tree, i), "shapes").df
-    tree = tree.withColumn("template", F.concat(f"t{DEPTH}", "tail"))
+    tree = tree.withColumn("template", F.col(f"t{DEPTH + 1}"))
     domain = F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)
     leaf = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("domain", domain)
     leaf = Scratch(spark, leaf, "templates").df
+    by_shape = tree.groupBy(*segs).agg(F.sum("good").alias("sg"), F.sum("bad").alias("sb"))
     by_host = leaf.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     by_domain = leaf.groupBy("domain").agg(F.sum("good").alias("dg"), F.sum("bad").alias("db"))
     whole = leaf.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("wg"), F.coalesce(F.sum("bad"), F.lit(0)).alias("wb"))
     p = (F.col("wg") + 1.0) / (F.col("wg") + F.col("wb") + 1.0)
-    for g, b in (("dg", "db"), ("hg", "hb"), ("good", "bad")):
+    for g, b in (("dg", "db"), ("hg", "hb"), ("sg", "sb"), ("good", "bad")):
         p = (F.col(g) + PULL * p) / (F.col(g) + F.col(b) + PULL)
-    judged = leaf.join(by_host, "host").join(by_domain, "domain").join(F.broadcast(whole)).withColumn("purity", p)  # whole has one row
-    shapes = tree.select(*shape, "template").join(judged.select("host", "template", "purity"), ["host", "template"])
+    judged = leaf.join(by_host, "host").join(by_domain, "domain").join(F.broadcast(whole))  # whole has one row
+    judged = tree.select(*shape, "template").join(judged, ["host", "template"]).join(by_shape, segs)
+    judged = judged.select(*shape, "template", p.alias("purity"), (F.col("good") + F.col("bad") + F.col("sg") + F.col("sb")).alias("labelled"))
     method = F.when(F.col("purity") >= 0.5, "allow").otherwise("block")
-    return rows.join(shapes, shape).select("page_id", "host", "path", "rule", F.coalesce("own", method).alias("verdict"), "template")
+    return rows.join(judged, shape).select("page_id", "host", "path", "rule", F.coalesce("own", method).alias("verdict"), "template", "labelled")
 
 
 def _level(tree: DataFrame, i: int) -> DataFrame:
     """Adds t<i>, the template down to level i, by the two generalising steps."""
     up, seg = f"t{i - 1}", f"s{i}"
-    kids = tree.groupBy("host", up, seg).agg(F.sum("n").alias("kn"), F.sum("good").alias("kg"), F.sum("bad").alias("kb"))
+    below = F.col(f"s{i + 1}") if i <= DEPTH else F.lit("")
+    cells = tree.groupBy("host", up, seg, below.alias("below")).agg(F.sum("n").alias("cn"), F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
+    kids = cells.groupBy("host", up, seg).agg(F.sum("cn").alias("kn"), F.sum("cg").alias("kg"), F.sum("cb").alias("kb"))
+    pool = cells.groupBy("host", up, "below").agg(F.sum("cn").alias("bn"))
     parent = kids.groupBy("host", up).agg(F.count("*").alias("many"), F.sum("kn").alias("pn"), F.sum("kg").alias("pg"), F.sum("kb").alias("pb"))
-    kids = kids.join(parent, ["host", up])
+    parent = parent.join(pool.groupBy("host", up).agg((F.count("*") - 1).alias("free")), ["host", up])
+    fit = cells.join(pool, ["host", up, "below"]).groupBy("host", up, seg).agg(F.sum(F.col("cn").cast("double") * F.col("cn") / F.col("bn")).alias("fit"))
+    kids = kids.join(fit, ["host", up, seg]).join(parent, ["host", up])
     rare = (F.col("many") > WIDE) & (F.col("kn") < COMMON * F.col("pn"))
+    # chi-square of the segments below: sum of observed^2 / expected, less their number
+    chi = F.col("fit") * F.col("pn") / F.col("kn") - F.col("kn")
+    built = chi <= F.col("free") + 3.0 * F.sqrt(2.0 * F.col("free")) + 1e-9
     # (kg / kl - pg / pl)^2 <= 4 * q * (1 - q) / kl with q = pg / pl, without divisions
     kl, pl = F.col("kg") + F.col("kb"), F.col("pg") + F.col("pb")
     gap = (F.col("kg") * pl - F.col("pg") * kl).cast("double")
-    alike = (kl > 0) & (F.col("many") > 1) & (gap * gap <= 4.0 * F.col("pg").cast("double") * F.col("pb") * kl)
-    name = F.when(F.col(seg) == "#", "#").when(F.col(seg) == "", "").when(rare | alike, "*").otherwise(F.col(seg))
+    alike = (F.col("many") > 1) & built & ((kl == 0) | (gap * gap <= 4.0 * F.col("pg").cast("double") * F.col("pb") * kl))
+    name = F.when((F.col(seg) == "") | F.col(seg).contains("#"), F.col(seg)).when(rare | alike, "*").otherwise(F.col(seg))
     kids = kids.select("host", up, seg, F.concat(up, F.lit("/"), name).alias(f"t{i}"))
     return tree.join(kids, ["host", up, seg])
 
@@ -112,35 +123,45 @@ def _oracle() -> str:
         cut = text.index("/")
         fits = f"(host = '{text[:cut]}' OR ends_with(host, '.{text[:cut]}')) AND starts_with(path, '{text[cut:]}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{word}' ELSE {verdict} END"
-    segs = ", ".join(f"CASE WHEN regexp_matches(coalesce(parts[{i}], ''), '[0-9]') THEN '#' ELSE coalesce(parts[{i}], '') END AS s{i}" for i in range(1, DEPTH + 1))
-    shape = ", ".join(["host", *[f"s{i}" for i in range(1, DEPTH + 1)], "tail"])
+    last = DEPTH + 1
+    segs = ", ".join([*(f"coalesce(parts[{i}], '') AS s{i}" for i in range(1, last)), f"CASE WHEN len(parts) > {DEPTH} THEN array_to_string(parts[{last}:], '/') ELSE '' END AS s{last}"])
+    names = ", ".join(f"s{i}" for i in range(1, last + 1))
+    shape = "host, " + names
     levels = ""
-    for i in range(1, DEPTH + 1):
+    for i in range(1, last + 1):
+        below = f"s{i + 1}" if i < last else "''"
         levels += f"""
-k{i} AS (SELECT host, t{i - 1}, s{i}, sum(n) AS kn, sum(good) AS kg, sum(bad) AS kb FROM tree{i - 1} GROUP BY ALL),
+c{i} AS (SELECT host, t{i - 1}, s{i}, {below} AS below, sum(n) AS cn, sum(good) AS cg, sum(bad) AS cb FROM tree{i - 1} GROUP BY ALL),
+k{i} AS (SELECT host, t{i - 1}, s{i}, sum(cn) AS kn, sum(cg) AS kg, sum(cb) AS kb FROM c{i} GROUP BY ALL),
+b{i} AS (SELECT host, t{i - 1}, below, sum(cn) AS bn FROM c{i} GROUP BY ALL),
 p{i} AS (SELECT host, t{i - 1}, count(*) AS many, sum(kn) AS pn, sum(kg) AS pg, sum(kb) AS pb FROM k{i} GROUP BY ALL),
-n{i} AS (SELECT host, t{i - 1}, s{i}, t{i - 1} || '/' || CASE WHEN s{i} IN ('#', '') THEN s{i}
+f{i} AS (SELECT host, t{i - 1}, count(*) - 1 AS free FROM b{i} GROUP BY ALL),
+x{i} AS (SELECT host, t{i - 1}, s{i}, sum(cn::double * cn / bn) AS fit FROM c{i} JOIN b{i} USING (host, t{i - 1}, below) GROUP BY ALL),
+n{i} AS (SELECT host, t{i - 1}, s{i}, t{i - 1} || '/' || CASE WHEN s{i} = '' OR contains(s{i}, '#') THEN s{i}
   WHEN (many > {WIDE} AND kn < {COMMON} * pn)
-    OR (kg + kb > 0 AND many > 1 AND power(CAST(kg * (pg + pb) - pg * (kg + kb) AS DOUBLE), 2) <= 4.0::DOUBLE * CAST(pg AS DOUBLE) * pb * (kg + kb)) THEN '*'
-  ELSE s{i} END AS t{i} FROM k{i} JOIN p{i} USING (host, t{i - 1})),
+    OR (many > 1 AND fit * pn / kn - kn <= free + 3.0::DOUBLE * sqrt(2.0::DOUBLE * free) + 1e-9
+      AND (kg + kb = 0 OR power(CAST(kg * (pg + pb) - pg * (kg + kb) AS DOUBLE), 2) <= 4.0::DOUBLE * CAST(pg AS DOUBLE) * pb * (kg + kb))) THEN '*'
+  ELSE s{i} END AS t{i} FROM k{i} JOIN x{i} USING (host, t{i - 1}, s{i}) JOIN p{i} USING (host, t{i - 1}) JOIN f{i} USING (host, t{i - 1})),
 tree{i} AS (SELECT * FROM tree{i - 1} JOIN n{i} USING (host, t{i - 1}, s{i})),"""
     p = "((wg + 1.0::DOUBLE) / (wg + wb + 1.0::DOUBLE))"
-    for g, b in (("dg", "db"), ("hg", "hb"), ("good", "bad")):
+    for g, b in (("dg", "db"), ("hg", "hb"), ("sg", "sb"), ("good", "bad")):
         p = f"(({g} + {PULL}::DOUBLE * {p}) / ({g} + {b} + {PULL}::DOUBLE))"
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-rows_ AS (SELECT *, {rule} AS rule, {verdict} AS own, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM named),
-flat AS (SELECT page_id, host, path, rule, own, {segs}, CASE WHEN len(parts) > {DEPTH} THEN '**' ELSE '' END AS tail FROM rows_),
+rows_ AS (SELECT *, {rule} AS rule, {verdict} AS own, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS parts FROM named),
+flat AS (SELECT page_id, host, path, rule, own, {segs} FROM rows_),
 tree0 AS (SELECT {shape}, count(*) AS n, count(*) FILTER (WHERE own = 'allow') AS good, count(*) FILTER (WHERE own = 'block') AS bad, '' AS t0 FROM flat GROUP BY {shape}),{levels}
-named_ AS (SELECT *, t{DEPTH} || tail AS template FROM tree{DEPTH}),
+named_ AS (SELECT *, t{last} AS template FROM tree{last}),
 leaf AS (SELECT host, template, sum(good) AS good, sum(bad) AS bad, regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain FROM named_ GROUP BY host, template),
+by_shape AS (SELECT {names}, sum(good) AS sg, sum(bad) AS sb FROM named_ GROUP BY {names}),
 by_host AS (SELECT host, sum(good) AS hg, sum(bad) AS hb FROM leaf GROUP BY host),
 by_domain AS (SELECT domain, sum(good) AS dg, sum(bad) AS db FROM leaf GROUP BY domain),
 whole AS (SELECT coalesce(sum(good), 0) AS wg, coalesce(sum(bad), 0) AS wb FROM leaf),
-judged AS (SELECT host, template, {p} AS purity FROM leaf JOIN by_host USING (host) JOIN by_domain USING (domain) CROSS JOIN whole)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, template
-FROM flat JOIN named_ USING ({shape}) JOIN judged USING (host, template)
+shapes AS (SELECT {shape}, template FROM named_),
+judged AS (SELECT {shape}, template, {p} AS purity, (good + bad + sg + sb)::bigint AS labelled FROM shapes JOIN leaf USING (host, template) JOIN by_host USING (host) JOIN by_domain USING (domain) JOIN by_shape USING ({names}) CROSS JOIN whole)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, template, labelled
+FROM flat JOIN judged USING ({shape})
 """
 
 

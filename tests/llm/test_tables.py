@@ -39,6 +39,21 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in urlfilter.judge(df).collect()} <= {"allow", "block"}
 
 
+def test_unlabelled_branches_share_templates_with_labelled_ones(spark):
+    """A host whose sections are built alike: those without labels are judged with those that have some; another host by the same shapes."""
+    rules = (("block", "bad.com/a/"), ("block", "bad.com/b/"), ("allow", "good.com/x/"))
+    urls = [f"http://bad.com/{s}/{i}.html" for s in "abc" for i in range(6)] + [f"http://bad.com/odd/{w}/{i}" for w in ("p", "q") for i in range(9)]
+    urls += [f"http://good.com/{s}/{i}/{'t' * k}" for s in "xy" for i in range(5) for k in range(3)] + [f"http://new.org/a/{i}.html" for i in range(3)] + ["http://deep.org/" + "/".join(f"s{i % 3}" for i in range(2000))]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(df, rules).collect()}
+    of = lambda start: [got[i] for i, u in enumerate(urls) if u.startswith(start)]
+    assert all(r["verdict"] == "block" and r["template"] == "/*/#.html//" and r["labelled"] for r in of("http://bad.com/c/"))
+    assert all(r["verdict"] == "allow" and r["labelled"] for r in of("http://good.com/y/"))
+    assert all(r["verdict"] == "block" and r["labelled"] for r in of("http://new.org/"))
+    assert all(r["template"].startswith("/odd") and not r["labelled"] for r in of("http://bad.com/odd/"))
+    assert of("http://deep.org/")[0]["labelled"] == 0
+
+
 def brute_nearest(rows, k, every):
     v = {i: np.array(x, float) for i, x in rows}
     out = {}
