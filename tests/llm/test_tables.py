@@ -139,6 +139,17 @@ def test_shards(spark):
     assert sharding.shard_documents(spark, empty(spark)).count() == 0
 
 
+def test_links_cut_fewer_edges_than_a_hash_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, groups, edges = sharding.text_groups(spark, docs)
+    crc = rows.select("text_md5", "text_crc32").distinct().join(groups, "text_md5").select("node", "text_crc32")
+    cuts = []
+    for labels in (sharding.propagate(spark, groups, edges), spark.createDataFrame([], "node long, label int, lead long")):
+        placed = sharding._cut_even(spark, rows, groups, labels, 40).select("text_crc32", "shard").groupBy("text_crc32").agg({"shard": "min"}).withColumnRenamed("min(shard)", "shard")
+        cuts.append(sharding.cut_edges(edges, crc.join(placed, "text_crc32")).first())
+    assert cuts[0]["edges"] == cuts[1]["edges"] > 0 and cuts[0]["cut"] < 0.5 * cuts[1]["cut"], cuts
+
+
 def test_general_edges(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "node long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 4), (4, None), (5, 5), (0, 1)], "a long, b long")
