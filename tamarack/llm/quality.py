@@ -1,7 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-Grams are runs of ``ORDER`` characters (A-Z as a-z, white space as one blank), packed 12 bits a symbol into a
-long, so contexts and suffixes are shifts and masks. The model is trained on trusted documents (quality 1)
+Grams are runs of ``ORDER`` characters (A-Z as a-z, white space as one blank, every other code point as itself), named by a
+64-bit polynomial over their symbols. A row of a distinct gram carries the names of its suffixes and of their contexts, so the
+orders below it are groupings of the same table. The model is trained on trusted documents (quality 1)
 outside a held-out fold; counts of the highest order and continuation counts below it are Spark tables,
 sharded by hash, of any size: nothing of the model is capped or sent to the driver but 3 discounts
 an order.
@@ -12,8 +13,8 @@ to every executor; beyond that each input task writes its texts as compressed bl
 distinct grams, and each block meets the log probabilities of its own grams in a join. Both ways give
 the same numbers. The trusted ids likewise mark rows from memory up to ``HELD_IDS``, else by a join.
 
-A document is kept unless its perplexity is over its language's quantile, taken over the held-out trusted
-documents from a histogram of exact counts.
+A document is kept unless its perplexity is over its language's threshold: the quantile of the language's held-out trusted
+documents, from a histogram of exact counts, drawn towards that of all languages as if ``PRIOR`` documents had it.
 """
 
 from __future__ import annotations
@@ -28,18 +29,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .words import U, chunks, column_bytes, mix
 
-ORDER, BITS, QUANTILE, BINS, FEW = 5, 12, 0.99, 1000, 20
+ORDER, QUANTILE, BINS, PRIOR = 5, 0.99, 1000, 20
 BLOCK = 24 << 20  # bytes of text in a block
 HELD_GRAMS, HELD_IDS = 4_000_000, 4_000_000  # 16 and 8 bytes each
-FIRST = 1  # the symbol in front of every text
+FIRST = 1  # the symbol in front of every text; a code point is its number and 2
+_MUL = 0x9E3779B97F4A7C15 - (1 << 64)  # odd
 _SPACE = (32, 9, 10, 11, 12, 13)
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, offsets) of UTF-8 texts, each with ORDER - 1 starting symbols in front.
-
-    A symbol is the code point plus 1 if it is below 3072, else one of 1023 classes it falls in.
-    """
+    """(symbols, offsets) of UTF-8 texts, each with ORDER - 1 starting symbols in front."""
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
     b = data[at].astype(np.int64)
@@ -50,7 +49,7 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cp[more] = (cp[more] << 6) | (data[np.minimum(at[more] + j, len(data) - 1)] & 0x3F)
     cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
     cp[np.isin(cp, _SPACE)] = 32
-    s = np.where(cp < 3072, cp + 1, 3073 + cp % 1023)
+    s = cp + FIRST + 1
     count = np.searchsorted(at, off)
     n = np.diff(count)
     out_off = np.concatenate([[0], np.cumsum(n + ORDER - 1)])
@@ -60,46 +59,57 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, out_off
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed grams, offsets by text): one gram of ORDER symbols for each character, last symbol lowest."""
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(names, offsets by text): for each order n the names of the n symbols that end in each character, and offsets of the characters."""
     s, o = symbols(data, off)
-    n = len(s) - ORDER + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    g = np.zeros(n, np.int64)
-    for j in range(ORDER):
-        g = (g << BITS) | s[j : j + n]
     keep = np.diff(o) - ORDER + 1
     out = np.concatenate([[0], np.cumsum(keep)])
-    at = np.arange(out[-1]) - np.repeat(out[:-1], keep) + np.repeat(o[:-1], keep)
-    return g[at], out
+    at = np.arange(out[-1]) - np.repeat(out[:-1], keep) + np.repeat(o[:-1], keep) + ORDER - 1  # each character among the symbols
+    names = [s]
+    for _ in range(1, ORDER):
+        g = s.copy()
+        g[1:] += names[-1][:-1] * np.int64(_MUL)
+        names.append(g)
+    # contexts are the names one place earlier
+    return [g[at] for g in names] + [g[at - 1] for g in names[:-1]], out
+
+
+def columns(n: int) -> list[str]:
+    """Names of a gram of order ``n``: g<k> its last k symbols, c<k> the first k - 1 of these."""
+    return [f"g{k}" for k in range(1, n + 1)] + [f"c{k}" for k in range(2, n + 1)]
+
+
+TOP = columns(ORDER)
+_TOP = ", ".join(f"{c} long" for c in [*TOP, "n"])
 
 
 def _count(held):
-    """(gram, n): how often trusted rows hold a gram, 0 if only others do; summed over each task's rows as far as its memory goes."""
+    """(names, n): how often trusted rows hold a gram, 0 if only others do; summed over each task's rows as far as its memory goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []  # names of distinct grams, a row each, and their counts
         size = 0
 
         def out() -> pa.RecordBatch:
-            u, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([x for _, x in kept]), len(u)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["gram", "n"])
+            rows = np.concatenate([x for x, _ in kept], axis=1)
+            _, first, at = np.unique(rows[ORDER - 1], return_index=True, return_inverse=True)
+            n = np.bincount(at, np.concatenate([x for _, x in kept]), len(first)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows[:, first]), pa.array(n)], names=[*TOP, "n"])
 
         for whole in batches:
             for batch in chunks(whole, "text", 2 << 20):
-                g, off = grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
+                names, off = grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
                 if held is None:
                     own = batch.column(batch.schema.get_field_index("trusted")).to_numpy() == 1
                 else:
                     own = np.isin(batch.column(batch.schema.get_field_index("doc_id")).fill_null(-(1 << 62)).to_numpy(), held.value)
                 mine = np.repeat(own, np.diff(off))
-                u, c = np.unique(g[mine], return_counts=True)
-                rest = np.unique(g[~mine])
-                kept += [(u, c), (rest, np.zeros(len(rest), np.int64))]
-                size += len(u) + len(rest)
-                if size > 4_000_000:
+                _, first, at = np.unique(names[ORDER - 1], return_index=True, return_inverse=True)
+                if not len(first):
+                    continue
+                kept.append((np.stack([c[first] for c in names]), np.bincount(at[mine], minlength=len(first))))
+                size += len(first)
+                if size > 1_000_000:
                     yield out()
                     kept, size = [], 0
         if kept:
@@ -108,43 +118,38 @@ def _count(held):
     return run
 
 
-def suffix(gram: Column, n: int) -> Column:
-    """The last ``n`` symbols of a gram."""
-    return gram.bitwiseAND(F.lit((1 << (BITS * n)) - 1)) if n < ORDER else gram
-
-
 def model_tables(spark: SparkSession, top: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For each order 1..ORDER: (gram, disc: the discounted count over its context's sum) and (ctx, gamma: what the context leaves to the order below), from ``top(gram, c)``."""
+    """For each order 1..ORDER: (gram, disc: the discounted count over its context's sum) and (ctx, gamma: what the context leaves to the order below), from ``top(names, c)``."""
     counts = {ORDER: top}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols stand in front
-        counts[n] = Scratch(spark, counts[n + 1].groupBy(suffix(F.col("gram"), n).alias("gram")).agg(F.count("*").alias("c")), "grams").df
+        counts[n] = Scratch(spark, counts[n + 1].groupBy(*columns(n)).agg(F.count("*").alias("c")), "grams").df
     probs, gammas = [], []
     for n in range(1, ORDER + 1):
-        t = counts[n]
+        t = counts[n].select(F.col(f"g{n}").alias("gram"), (F.col(f"c{n}") if n > 1 else F.lit(0).cast("long")).alias("ctx"), "c")
         n1, n2, n3, n4 = (int(x or 0) for x in t.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first())
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         d = [min(max(v, 0.0), k) for k, v in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
         c = F.col("c")
         disc = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        ctx = F.shiftright("gram", BITS)
-        sums = t.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(disc).alias("off"))
+        sums = t.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(disc).alias("off"))
         sums = Scratch(spark, sums, "contexts").df
-        probs.append(t.withColumn("ctx", ctx).join(sums, "ctx").select("gram", (F.greatest(F.lit(0.0), c - disc) / F.col("total")).alias("disc")))
+        probs.append(t.join(sums, "ctx").select("gram", (F.greatest(F.lit(0.0), c - disc) / F.col("total")).alias("disc")))
         gammas.append(sums.select("ctx", (F.col("off") / F.col("total")).alias("gamma")))
     return probs, gammas
 
 
 def log_probs(wanted: DataFrame, probs: list[DataFrame], gammas: list[DataFrame], letters: int) -> DataFrame:
-    """(gram, logp) of every distinct gram of ``wanted(gram)``: interpolated from order 1 up; below it all is uniform over ``letters`` symbols."""
+    """(gram, logp) of every distinct gram of ``wanted(names)``: interpolated from order 1 up; below it all is uniform over ``letters`` symbols."""
     last = None
     for n in range(1, ORDER + 1):
-        g = wanted.select(suffix(F.col("gram"), n).alias("gram")).distinct() if n < ORDER else wanted
-        g = g.withColumn("ctx", F.shiftright("gram", BITS))
+        g = wanted.select(*columns(n))
+        g = g.distinct() if n < ORDER else g
+        g = g.select(F.col(f"g{n}").alias("gram"), (F.col(f"c{n}") if n > 1 else F.lit(0).cast("long")).alias("ctx"), *([F.col(f"g{n - 1}").alias("low")] if n > 1 else []))
         g = g.join(gammas[n - 1], "ctx", "left").join(probs[n - 1], "gram", "left")
         if last is None:
             g = g.withColumn("below", F.lit(1.0 / letters))
         else:
-            g = g.withColumn("low", suffix(F.col("gram"), n - 1)).join(last.select(F.col("gram").alias("low"), F.col("p").alias("below")), "low")
+            g = g.join(last.select(F.col("gram").alias("low"), F.col("p").alias("below")), "low")
         last = g.select("gram", (F.coalesce("disc", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
     return last.select("gram", F.log("p").alias("logp"))
 
@@ -177,7 +182,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(whole, "text", 4 << 20):
             data, off = column_bytes(batch.column(batch.schema.get_field_index("text")))
             rows.append(batch)
-            seen.append(np.unique(grams(data, off)[0]))
+            seen.append(np.unique(grams(data, off)[0][ORDER - 1]))
             size += len(data)
             if size >= BLOCK:
                 yield out()
@@ -198,11 +203,13 @@ class Lookup:
 
     def __init__(self, g: np.ndarray, p: np.ndarray) -> None:
         self.bits = max(4, int(2 * len(g)).bit_length())
-        self.key, self.val = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64)
+        self.key, self.val = np.zeros((1 << self.bits) + 64, np.int64), np.zeros((1 << self.bits) + 64)
+        used = np.zeros(len(self.key), bool)
         todo, at = np.arange(len(g)), self._slot(g)
         while len(todo):  # all at once: of those that want a free slot one has it, the others go on
-            free = self.key[at] == -1
+            free = ~used[at]
             self.key[at[free]] = g[todo[free]]
+            used[at[free]] = True
             won = self.key[at] == g[todo]
             self.val[at[won]] = p[todo[won]]
             todo, at = todo[~won], (at[~won] + 1) % len(self.key)
@@ -214,7 +221,9 @@ class Lookup:
         """(sum of log probabilities, number of characters) of each text; all its grams must be in the table."""
         total, count = [], []
         for batch in chunks(rows, "text", 2 << 20):
-            q, off = grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
+            names, off = grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
+            q = names[ORDER - 1]
+            del names
             at = self._slot(q)
             score = self.val[at]
             todo = np.flatnonzero(self.key[at] != q)
@@ -292,15 +301,16 @@ def perplexities(spark: SparkSession, docs: DataFrame, trusted: DataFrame, held_
     own = Scratch(spark, own, "trusted").df
     learn = own.filter("fold = 1").select("id")
     if learn.count() <= held_ids:
-        ids = np.sort(np.array([r[0] for r in learn.collect()], np.int64))
-        counted = rows.mapInArrow(_count(spark.sparkContext.broadcast(ids)), "gram long, n long")
+        ids = np.sort(learn.toArrow().column("id").to_numpy())
+        counted = rows.mapInArrow(_count(spark.sparkContext.broadcast(ids)), _TOP)
     else:
         marks = rows.join(learn.withColumn("trusted", F.lit(1)), F.col("doc_id") == F.col("id"), "left")
-        counted = marks.select("text", F.coalesce("trusted", F.lit(0)).alias("trusted")).mapInArrow(_count(None), "gram long, n long")
-    every = Scratch(spark, counted.groupBy("gram").agg(F.sum("n").alias("c")), "grams").df
+        counted = marks.select("text", F.coalesce("trusted", F.lit(0)).alias("trusted")).mapInArrow(_count(None), _TOP)
+    # the other names are functions of the gram's
+    every = Scratch(spark, counted.groupBy(*TOP).agg(F.sum("n").alias("c")), "grams").df
     probs, gammas = model_tables(spark, every.filter("c > 0"))
     letters = max(1, probs[0].count()) + 1
-    lp = Scratch(spark, log_probs(every.select("gram"), probs, gammas, letters), "logp").df
+    lp = Scratch(spark, log_probs(every.select(*TOP), probs, gammas, letters), "logp").df
     if lp.count() <= held_grams:
         t = lp.toArrow()
         order = np.argsort(t.column("gram").to_numpy())
@@ -319,8 +329,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, trusted: DataFrame, held_
 def quality(spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, threshold, kept): see :func:`perplexities`.
 
-    Thresholds come from the held-out trusted rows of a language, or of all languages where it has fewer than
-    FEW; rows without perplexity are not kept. Without any held-out trusted row everything with text is kept.
+    Thresholds come from the held-out trusted rows of a language and of all languages; rows without perplexity are not kept. Without any held-out trusted row everything with text is kept.
     """
     p = Scratch(spark, perplexities(spark, docs, trusted), "perplexity").df
     held = p.filter("trusted = 2 and perplexity is not null").withColumn("bin", F.floor(F.log("perplexity") * BINS))
@@ -333,9 +342,10 @@ def quality(spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile:
         return rows.groupBy(*keys).agg(F.exp((F.min("bin") + 1) / F.lit(float(BINS))).alias("t"), F.max("all").alias("all"))
 
     whole = cut(bins.groupBy("bin").agg(F.sum("n").alias("n")), []).select(F.col("t").alias("t0"))
-    own = cut(bins, ["lang"]).filter(F.col("all") >= FEW).select(F.col("lang").alias("l"), F.col("t").alias("t1"))
+    own = cut(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("t").alias("t1"), "all")
     joined = p.join(own, p["lang"].eqNullSafe(F.col("l")), "left").join(F.broadcast(whole), how="cross")  # whole has one row
-    threshold = F.coalesce("t1", "t0", F.lit(float("inf")))
+    mean = F.exp((F.col("all") * F.log("t1") + PRIOR * F.log("t0")) / (F.col("all") + PRIOR))
+    threshold = F.coalesce(mean, "t0", F.lit(float("inf")))
     return joined.select("doc_id", "lang", "n_chars", "perplexity", threshold.alias("threshold"), (F.coalesce(F.col("perplexity"), F.lit(float("nan"))) <= threshold).alias("kept"))
 
 

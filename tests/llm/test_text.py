@@ -192,7 +192,7 @@ def plain_perplexity(texts, learn):
 
     def sym(x):
         code = lambda c: 32 if c in (32, 9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c
-        return [1] * 4 + [c + 1 if c < 3072 else 3073 + c % 1023 for c in map(code, map(ord, x))]
+        return [1] * 4 + [c + 2 for c in map(code, map(ord, x))]
 
     counts = {5: Counter(g for x in learn for g in zip(*(sym(x)[i:] for i in range(5)), strict=False))}
     for n in (4, 3, 2, 1):
@@ -220,7 +220,7 @@ def plain_perplexity(texts, learn):
 def test_quality_equals_a_plain_model(spark):
     import zlib
 
-    rows = [(i, " ".join(long_words(8, i % 7))) for i in range(40)] + [(100, "Zürich 日本 \U0001f600"), (101, "zzzz qqqq"), (102, None), (103, ""), (None, "w1")]
+    rows = [(i, " ".join(long_words(8, i % 7))) for i in range(40)] + [(100, "Zürich 日本 \U0001f600"), (104, "a" + chr(0) + "日"), (101, "zzzz qqqq"), (102, None), (103, ""), (None, "w1")]
     docs = documents(spark, rows)
     trusted = spark.createDataFrame([(i,) for i in range(0, 30)], "doc_id long")
     learn = [t for i, t in rows if i is not None and i < 30 and zlib.crc32(str(i).encode()) % 5]
@@ -232,7 +232,7 @@ def test_quality_equals_a_plain_model(spark):
         assert got[102] is None and got[103] is None
     out = {r["doc_id"]: r["kept"] for r in quality.quality(spark, docs, trusted).collect()}
     assert out[0] and not out[101] and not out[102] and len(out) == len(rows)
-    assert quality.quality(spark, empty(spark), trusted).count() == 0 and quality.quality(spark, docs, trusted.limit(0)).filter("kept").count() == 43
+    assert quality.quality(spark, empty(spark), trusted).count() == 0 and quality.quality(spark, docs, trusted.limit(0)).filter("kept").count() == 44
 
 
 def test_decontamination_with_many_short_runs(spark):
