@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .words import U, chunks, mix, release
@@ -242,8 +243,9 @@ class Paths:
         v, live = lat.last[word], np.arange(len(word))
         at = np.arange(len(word)).astype(U)
         edges, who, j = [], [], 0
+        own = mix(seed + U(turn + 1) * U(0x632BE59BD9B4E019))  # each turn has draws of its own, however many places a word has
         while len(live):
-            e = lat.draw(v[live], uniform(seed[text[live]], at[live] - self._zero(text, live), turn * 4096 + j))
+            e = lat.draw(v[live], uniform(own[text[live]], at[live] - self._zero(text, live), j))
             edges.append(e)
             who.append(live)
             v[live] = lat.start[e]
@@ -459,12 +461,33 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, digest:
     their perturbed log probabilities. A null or empty text has one segmentation of no pieces; a text with
     fewer than ``k`` segmentations has all it has. Rows are keyed by ``doc_id`` (null counts as -1), so
     repeated rows get the same draws. A literal U+2581 in a text decodes to a space, as in the library.
-    Other columns are ignored. ``batch`` bytes
+    Texts are taken whole at any length. Other columns are ignored. ``batch`` bytes
     of text share a lattice: less takes less memory and more time, with the same draws. ``model`` is a SentencePiece file that every executor can read.
     """
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_encode(model, k, digest, batch), _DIGEST if digest else _FULL)
 
 
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary(path)
+        for batch in batches:
+            i = batch.schema.get_field_index("ids")
+            ids = batch.column(i)
+            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            texts = voc.decode_all([flat[a:b].astype(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)])
+            texts = [t if ok else None for t, ok in zip(texts, ids.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c for j, c in enumerate(batch.columns) if j != i), pa.array(texts, pa.string())], names=[*(n for n in batch.schema.names if n != "ids"), "text"])
+
+    return run
+
+
+def decode_segmentations(rows: DataFrame, model: str) -> DataFrame:
+    """``rows`` with ``text`` in place of ``ids`` (array<int>): pieces and byte pieces joined, marks as spaces, the added first space off. Null ids give a null text."""
+    rows = rows.drop("text")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
+    return rows.withColumn("ids", F.col("ids").cast("array<int>")).mapInArrow(_decode(model), f"{out}, text string" if out else "text string")
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 

@@ -4,7 +4,7 @@ Documents carry labels, tokens do not, so a fitting step labels tokens first: in
 words are toxic whose document counts differ between the classes beyond chance (log-likelihood ratio).
 A two-state chain with emissions from the word, its first and its last bytes is fitted to these sequences
 (whole sentences). Forward-backward marginals give each token's probability;
-a logistic layer over their maximum, sum and density gives the document's score, and runs of likely tokens
+a logistic layer over their maximum and the sum and density of likely ones gives the document's score, and runs of likely tokens
 give offending offsets. The layer learns from marginals that a chain gives to texts it wasn't fitted to: two
 chains, each fitted to one half, score the other half; the chain that is kept is fitted to all.
 
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import U, Words, chunks, column_bytes, mix, shingles
+from .words import U, Words, chunks, column_bytes, mix, release, shingles
 
-PER_CLASS, FIT_BYTES, ROUNDS = 1200, 16 << 20, 25
+PER_CLASS, FIT_BYTES, ROUNDS = 1200, 4 << 20, 25
 BITS, FEATURES, PRIOR = 18, 3, -2.0
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -109,13 +109,16 @@ def marginals(t: Tokens, model: Model) -> np.ndarray:
 
 
 def summary(t: Tokens, p: np.ndarray, n: int) -> np.ndarray:
-    """(1, max, log(1 + sum), density) of the marginals of each of ``n`` texts; an empty text has (1, 0, 0, 0)."""
+    """(1, max, log(1 + sum), density) of the marginals of each of ``n`` texts; an empty text has (1, 0, 0, 0).
+
+    Sum and density are of tokens at 0.5 or more: the many small marginals of a long clean text must not add up.
+    """
     top, total = np.zeros(n), np.zeros(n)
     count = t.words.counts()
     has = np.flatnonzero(count)
     if len(has):
         first = t.words.first[:-1][has]
-        top[has], total[has] = np.maximum.reduceat(p, first), np.add.reduceat(p, first)
+        top[has], total[has] = np.maximum.reduceat(p, first), np.add.reduceat(np.where(p >= 0.5, p, 0.0), first)
     return np.stack([np.ones(n), top, np.log1p(total), 20 * total / np.maximum(count, 1)], axis=1)
 
 
@@ -160,24 +163,29 @@ def fit_chain(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
     t = Tokens(*column_bytes(pa.array(texts, pa.large_string())))
     if not len(t.h):
         return weight, step
-    y = np.empty(len(t.h))
+    n, base = len(t.h), t.base
+    y = np.empty(n, np.float32)
     y[t.at] = token_labels(t, toxic)
     slot = np.empty_like(t.slot)
     slot[:, t.at] = t.slot
-    pairs = [(np.arange(lo, lo + hi - mid), np.arange(mid, hi)) for lo, mid, hi in zip(t.base[:-2], t.base[1:-1], t.base[2:], strict=True)]
-    left = np.concatenate([a for a, _ in pairs]) if pairs else np.zeros(0, int)
-    right = np.concatenate([b for _, b in pairs]) if pairs else np.zeros(0, int)
-    seen = np.array([[np.sum((y[left] == i) & (y[right] == j)) for j in (0, 1)] for i in (0, 1)], float)
+    del t
+    # in layout order all tokens behind the first of their sentence come last, each as far behind its predecessor as a step is wide
+    right = int(base[1]) if len(base) > 1 else n
+    left = (np.arange(right, n) - np.repeat(np.diff(base[:-1]), np.diff(base[1:]))).astype(np.int32)
+    seen = np.array([[np.sum((y[left] == i) & (y[right:] == j)) for j in (0, 1)] for i in (0, 1)], float)
     heat = [np.full_like(weight, 1e-6), np.full_like(step, 1e-6)]
     for _ in range(ROUNDS):
         e = weight[0][slot[0]] + weight[1][slot[1]] + weight[2][slot[2]]
-        r, b = forward_backward(e, t.base, step)
-        p = _sigmoid(r + b)
-        x = e[right] + b[right]
-        z = np.stack([np.full(len(left), step[0, 0]), step[0, 1] + x, step[1, 0] + r[left], step[1, 1] + r[left] + x])
-        z = np.exp(z - z.max(axis=0)) if len(left) else z
-        z /= z.sum(axis=0)
-        grads = [np.stack([np.bincount(slot[f], y - p, 1 << BITS) for f in range(FEATURES)]) - 1e-3 * (weight - PRIOR), seen - z.sum(axis=1).reshape(2, 2) - 1e-3 * step]
+        r, b = forward_backward(e, base, step)
+        pairs = np.zeros(4)
+        for at in range(0, n - right, 1 << 17):
+            x = (e[right:] + b[right:])[at : at + (1 << 17)]
+            before = r[left[at : at + (1 << 17)]]
+            z = np.stack([np.full(len(x), step[0, 0]), step[0, 1] + x, step[1, 0] + before, step[1, 1] + before + x])
+            z = np.exp(z - z.max(axis=0))
+            pairs += (z / z.sum(axis=0)).sum(axis=1)
+        p = y - _sigmoid(r + b)
+        grads = [np.stack([np.bincount(slot[f], p, 1 << BITS) for f in range(FEATURES)]) - 1e-3 * (weight - PRIOR), seen - pairs.reshape(2, 2) - 1e-3 * step]
         for v, g, h in zip((weight, step), grads, heat, strict=True):  # Adagrad
             h += g * g
             v += 0.5 * g / np.sqrt(h)
@@ -204,6 +212,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         t = Tokens(*column_bytes(pa.array([texts[i] for i in other], pa.large_string())))
         rows.append(summary(t, marginals(t, chain), len(other)))
         target.append(toxic[other])
+        del t, chain
+        release()
     every = np.concatenate(kept)
     model.weight, model.step = fit_chain([texts[i] for i in every], toxic[every])
     s, target = np.concatenate(rows), np.concatenate(target).astype(float)
@@ -242,7 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     got = got.iloc[np.argsort(mix(got["id"].to_numpy().astype(np.int64).view(U)), kind="stable")]
     texts, toxic = got["text"].tolist(), got["toxic"].to_numpy().astype(int)
     share = own.agg(F.avg("toxic")).first()[0]
-    return fit(texts, toxic, 0.5 if share is None else share)
+    model = fit(texts, toxic, 0.5 if share is None else share)
+    release()
+    return model
 
 
 def _score(held, spans: bool):

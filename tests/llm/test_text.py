@@ -66,6 +66,8 @@ def test_samples_are_distinct_and_decode(spark):
     out = sampling.sample_segmentations(documents(spark, rows), path, 3)
     assert all((r["decoded"] or "") in ("", "ab", "the a", "x") for r in out.collect()) and out.filter("doc_id = 1").count() == 1
     assert sampling.sample_segmentations(empty(spark), path).count() == 0
+    back = sampling.decode_segmentations(out.select("doc_id", "decoded", "ids").union(spark.createDataFrame([(9, None, None)], "doc_id long, decoded string, ids array<int>")), path).collect()
+    assert all((r["text"] or "") == (r["decoded"] or "") for r in back) and [r["text"] for r in back if r["doc_id"] == 9] == [None]
 
 
 def test_samples_follow_the_distribution():
@@ -80,6 +82,54 @@ def test_samples_follow_the_distribution():
         assert abs(count / n - p[ids]) < 4 * math.sqrt(p[ids] / n) + 1e-3
 
 
+def every_way(voc, text):
+    """Log probability of each segmentation of a text, by enumeration over the pieces that the sampler itself has drawn or could draw."""
+    index = {p: i for i, p in enumerate(voc.piece) if i not in voc.byte_of}
+    out = {}
+
+    def go(at, ids, logp):
+        if at == len(text):
+            out[tuple(ids)] = logp
+        for end in range(at + 1, min(len(text), at + voc.longest) + 1):
+            i = index.get(text[at:end])
+            if i is not None and voc.logp[i] > -1e9:
+                go(end, [*ids, i], logp + voc.logp[i])
+
+    go(0, [], 0.0)
+    top = max(out.values())
+    total = top + math.log(sum(math.exp(v - top) for v in out.values()))
+    return {k: v - total for k, v in out.items()}
+
+
+def test_second_draws_and_inclusion_follow_the_law():
+    """Draws without replacement: the second follows the renormalised rest; inverse inclusion scores give the masses back without bias."""
+    voc = sampling.vocabulary(sampling.model_path())
+    n, text = 6000, "house"
+    law = {k: math.exp(v) for k, v in every_way(voc, "\u2581" + text).items()}
+    drawn = sampling.sample_batch(voc, [text] * n, np.arange(n), 2)
+    first, second, weight = {}, {}, {}
+    for one in drawn:
+        a, b = tuple(one[0][0].tolist()), tuple(one[1][0].tolist())
+        first[a] = first.get(a, 0) + 1 / n
+        second[b] = second.get(b, 0) + 1 / n
+        for x in one:
+            k = tuple(x[0].tolist())
+            weight[k] = weight.get(k, 0) + math.exp(x[1]) / x[3] / n
+    assert set(first) | set(second) <= set(law)
+    for k, p in law.items():
+        want = sum(q * p / (1 - q) for j, q in law.items() if j != k)
+        assert abs(first.get(k, 0) - p) < 5 * math.sqrt(p / n) + 1e-3 and abs(second.get(k, 0) - want) < 5 * math.sqrt(want / n) + 1e-3
+        if p > 0.02:
+            assert abs(weight.get(k, 0) - p) < 0.25 * p
+
+
+def test_draws_of_a_very_long_word_are_independent():
+    voc = sampling.vocabulary(sampling.model_path())
+    one, two = sampling.sample_batch(voc, ["the" * 9000], np.array([5]), 2)[0]
+    a, b = one[0].tolist(), two[0].tolist()
+    assert a != b and voc.decode_all([one[0], two[0]]) == ["the" * 9000] * 2
+
+
 def test_toxicity(spark):
     bad = ["vile", "scum", "rot"]
     rows, labels = [], []
@@ -141,7 +191,8 @@ def test_scores_equal_a_plain_model():
                 b.append(np.exp(model.step) @ (np.array([1.0, np.exp(x)]) * b[-1]))
             for u, v in zip(f, b[::-1], strict=True):
                 p.append((u * v)[1] / (u * v).sum())
-        want = [1, max(p, default=0), math.log1p(sum(p)), 20 * sum(p) / max(len(p), 1)]
+        hot = sum(x for x in p if x >= 0.5)
+        want = [1, max(p, default=0), math.log1p(hot), 20 * hot / max(len(p), 1)]
         assert np.allclose(got[i], want)
 
 
