@@ -59,12 +59,29 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, out_off
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(names, offsets by text): for each order n the names of the n symbols that end in each character, and offsets of the characters."""
-    s, o = symbols(data, off)
+def _places(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each character's place among the symbols, offsets of the characters) for the symbols' offsets."""
     keep = np.diff(o) - ORDER + 1
     out = np.concatenate([[0], np.cumsum(keep)])
-    at = np.arange(out[-1]) - np.repeat(out[:-1], keep) + np.repeat(o[:-1], keep) + ORDER - 1  # each character among the symbols
+    return np.arange(out[-1]) - np.repeat(out[:-1], keep) + np.repeat(o[:-1], keep) + ORDER - 1, out
+
+
+def top_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, offsets by text) of the grams of ORDER symbols that end in each character."""
+    s, o = symbols(data, off)
+    at, out = _places(o)
+    g = s
+    for _ in range(1, ORDER):
+        longer = s.copy()
+        longer[1:] += g[:-1] * np.int64(_MUL)
+        g = longer
+    return g[at], out
+
+
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(names, offsets by text): for each order n the names of the n symbols that end in each character, then those of their contexts."""
+    s, o = symbols(data, off)
+    at, out = _places(o)
     names = [s]
     for _ in range(1, ORDER):
         g = s.copy()
@@ -97,7 +114,7 @@ def _count(held):
             return pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows[:, first]), pa.array(n)], names=[*TOP, "n"])
 
         for whole in batches:
-            for batch in chunks(whole, "text", 2 << 20):
+            for batch in chunks(whole, "text", 1 << 20):
                 names, off = grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
                 if held is None:
                     own = batch.column(batch.schema.get_field_index("trusted")).to_numpy() == 1
@@ -109,7 +126,7 @@ def _count(held):
                     continue
                 kept.append((np.stack([c[first] for c in names]), np.bincount(at[mine], minlength=len(first))))
                 size += len(first)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield out()
                     kept, size = [], 0
         if kept:
@@ -182,7 +199,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(whole, "text", 4 << 20):
             data, off = column_bytes(batch.column(batch.schema.get_field_index("text")))
             rows.append(batch)
-            seen.append(np.unique(grams(data, off)[0][ORDER - 1]))
+            seen.append(np.unique(top_grams(data, off)[0]))
             size += len(data)
             if size >= BLOCK:
                 yield out()
@@ -221,9 +238,7 @@ class Lookup:
         """(sum of log probabilities, number of characters) of each text; all its grams must be in the table."""
         total, count = [], []
         for batch in chunks(rows, "text", 2 << 20):
-            names, off = grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
-            q = names[ORDER - 1]
-            del names
+            q, off = top_grams(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
             at = self._slot(q)
             score = self.val[at]
             todo = np.flatnonzero(self.key[at] != q)
