@@ -7,6 +7,7 @@ are what the operator is for.
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..operators import activity, dedup, journal, mutations, params, reads, replay, routing, rules
 from ..operators.handlers import Engine, Registry, intercept
+from ..sources import http
 from ..sources.catalog import VIEWS, Catalog, shared_folder, view_sql
 from ..sources.declarations import check_operations, load
+from ..streaming import dedup as guards
+from ..streaming import upload
 
 DECLARATION = load((Path(__file__).parent / "declaration.yaml").read_text())
 ROUTES = [(r.method, r.path, r.table) for r in DECLARATION.routes]
@@ -583,3 +587,198 @@ def _(cat):
 def _(cat):
     rows = cat["request_log"].withColumn("mark", F.when(F.col("k") % 2 == 0, "1"))
     return routing.cache_flags(rows, [], ["/api/catalog/items/"], replay="mark").withColumn("own", F.col("path") == "/api/catalog/items").select("request_id", "is_replay", (F.col("is_forbidden") & ~(F.col("own") & (F.col("method") == "GET") & ~F.col("is_replay"))).alias("is_forbidden"))
+
+
+# -- passes of the upload ---------------------------------------------------------------------------------------------------------------
+_CODES = (200, 201, 401, 403, 408, 409, 422, 429, 500, 503)  # what the server answers, by the body
+
+
+def answer(method: str, url: str, body: str | None, headers: dict[str, str]) -> int | None:
+    return _CODES[json.loads(body)["k"] % 10]
+
+
+def accept(method: str, url: str, body: str | None, headers: dict[str, str]) -> int | None:
+    return 200
+
+
+def uploads(cat: Catalog) -> DataFrame:
+    """All requests as writes; every seventh value of k comes without usable metadata."""
+    meta = F.when(F.col("k") % 7 != 0, replay.metadata_json(F.col("method"), F.col("path"), F.lit("op")))
+    none = [F.lit(None).cast("string").alias(c) for c in ("journal_id", "journal_method", "journal_path")]
+    return cat["request_log"].select(F.col("request_id").cast("string").alias("id"), "tx_id", F.col("request_id").alias("seq"), "client_id", meta.alias("metadata"), F.to_json(F.struct("k")).alias("data"), *none)
+
+
+def uploaded(cat: Catalog, again: bool = False) -> tuple[str, DataFrame]:
+    """(folder, answers) of one pass, or of a second one, in which the server takes everything."""
+    path = f"{shared_folder(cat.spark)}/upload-{uuid.uuid4().hex}"
+    answers = upload.one_pass(cat.spark, uploads(cat), answer, path, "first", stream="client_id")
+    return path, upload.one_pass(cat.spark, uploads(cat), accept, path, "second", stream="client_id") if again else answers
+
+
+_SENT = f"""sent AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'reject' ELSE {_KIND} END AS kind FROM request_log),
+halts AS (SELECT client_id, min((tx_id, request_id, kind)) FILTER (WHERE kind IN ('retry', 'reauth')) AS stop FROM sent GROUP BY 1),
+first AS (SELECT s.*, stop, stop IS NULL OR (tx_id, request_id) <= (stop[1], stop[2]) AS attempted, stop IS NULL OR tx_id < stop[1] AS done FROM sent s JOIN halts USING (client_id))"""
+
+
+@query("Q63_upload_answers", "SELECT client_id::varchar AS stream, request_id AS seq, CASE WHEN k % 7 <> 0 THEN http_status END AS http_status, kind FROM first WHERE attempted", _SENT)
+def _(cat):
+    """What reaches the server: each client's requests in order, up to the first retry or reauth; unusable writes are rejected unsent."""
+    return uploaded(cat)[1].select("stream", "seq", "http_status", "kind")
+
+
+@query("Q64_upload_letters", "SELECT request_id::varchar AS id, CASE WHEN k % 7 <> 0 THEN http_status END AS http_status, k % 7 = 0 AS unsent FROM first WHERE done AND kind = 'reject'", _SENT)
+def _(cat):
+    """Dead letters of a pass: rejected writes of transactions that are through."""
+    path, _ = uploaded(cat)
+    return cat.spark.read.parquet(f"{path}/letters/first").select("id", "http_status", F.col("reason").startswith("no usable metadata").alias("unsent"))
+
+
+@query("Q65_upload_activity", "SELECT 'dead-letter' AS type, request_id::varchar AS subject FROM first WHERE done AND kind = 'reject' UNION ALL SELECT 'reauth-required', client_id::varchar FROM halts WHERE stop[3] = 'reauth'", _SENT)
+def _(cat):
+    path, _ = uploaded(cat)
+    return cat.spark.read.parquet(f"{path}/activity/first").select("type", "subject")
+
+
+@query(
+    "Q66_upload_second_pass",
+    "SELECT client_id::varchar AS stream, coalesce(stop[3] = 'reauth', false) AS shut, count(*) FILTER (WHERE done OR stop[3] = 'retry')::bigint AS acked, count(*) FILTER (WHERE (done AND kind = 'reject') OR (stop[3] = 'retry' AND NOT done AND k % 7 = 0))::bigint AS rejected FROM first GROUP BY ALL",
+    _SENT,
+)
+def _(cat):
+    """A stream that met a retry goes on with what is left, one that met a reauth is shut until it is resumed."""
+    path, _ = uploaded(cat, again=True)
+    acks = upload.acknowledged(cat.spark, path)
+    rows = uploads(cat).select("id", F.col("client_id").cast("string").alias("stream")).join(acks, "id", "left")
+    shut = upload.shut_streams(cat.spark, path).withColumn("shut", F.lit(True))
+    rows = rows.groupBy("stream").agg(F.count("kind").alias("acked"), F.count_if(F.col("kind") == replay.REJECT).alias("rejected"))
+    return rows.join(shut, "stream", "left").select("stream", F.coalesce("shut", F.lit(False)).alias("shut"), "acked", "rejected")
+
+
+# -- streams --------------------------------------------------------------------------------------------------------------------------
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def streamed(cat: Catalog, rows: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``f`` of a stream over ``rows`` has written once all of them are through."""
+    path = f"{shared_folder(cat.spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/in")
+    before = cat.spark.conf.get(_STORE, None)
+    cat.spark.conf.set(_STORE, guards.PROVIDER)
+    try:
+        out = f(cat.spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        live = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        live.awaitTermination()
+    finally:
+        cat.spark.conf.unset(_STORE) if before is None else cat.spark.conf.set(_STORE, before)
+    return cat.spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("Q67_guard_stream", "SELECT client_id, count(*)::bigint AS n FROM fold WHERE kept = 1 GROUP BY 1", _FOLD.replace(", method, path", "").replace(" AND o.method = f.method AND o.path = f.path", ""), recursive=True)
+def _(cat):
+    """The streaming guard lets the same requests pass as the batch fold."""
+    rows = cat["request_log"].select("client_id", "requested_at", "request_id")
+    kept = streamed(cat, rows, lambda live: guards.guard_stream(live, ["client_id"], "requested_at", "request_id", 12 * HOUR_US))
+    return kept.groupBy("client_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "Q68_latch_stream",
+    "SELECT request_id AS seq, coalesce(before = 'shut', false) AND NOT resume AS blocked FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marks)",
+    f"marks AS (SELECT *, k % 25 = 24 AS resume, CASE WHEN k % 25 = 24 THEN 'open' WHEN {_KIND} = 'reauth' THEN 'shut' END AS mark FROM request_log)",
+)
+def _(cat):
+    rows = cat["request_log"].select("client_id", F.col("request_id").alias("seq"), replay.classify(F.col("http_status")).alias("kind"), (F.col("k") % 25 == 24).alias("resume"))
+    return streamed(cat, rows, lambda live: guards.latch_stream(live, "client_id")).select("seq", "blocked")
+
+
+@query("Q69_activity_stream", "SELECT CASE WHEN method = 'GET' THEN 'request-handled' ELSE 'local-write' END AS type, count(*)::bigint AS n FROM request_log GROUP BY 1")
+def _(cat):
+    """Activity rows reach a subscriber batch by batch."""
+    path = f"{shared_folder(cat.spark)}/activity-{uuid.uuid4().hex}"
+    kind = F.when(F.col("method") == "GET", "request-handled").otherwise("local-write")
+    cat["request_log"].select(kind.alias("type"), F.col("requested_at").cast("string").alias("at"), F.create_map(F.lit("path"), "path").alias("detail")).write.parquet(f"{path}/events")
+    activity.follow_events(cat.spark, f"{path}/events", lambda batch: batch.write.mode("append").parquet(f"{path}/seen"), f"{path}/checkpoint").awaitTermination()
+    return activity.counts_by_type(cat.spark.read.parquet(f"{path}/seen"))
+
+
+# -- bodies, answers, schema files ---------------------------------------------------------------------------------------------------
+@query("Q70_cache_key", "SELECT request_id, path || CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '?a=' || k ELSE '?a=' || k || '&b=%3F' END AS key FROM request_log")
+def _(cat):
+    k = F.col("k").cast("string")
+    query_ = F.when(F.col("k") % 4 == 0, "?_rsc=x").when(F.col("k") % 4 == 1, F.concat(F.lit("?_rsc=1&&a="), k)).otherwise(F.concat(F.lit("?a="), k, F.lit("&_rsc=y=z&b=%3F")))
+    return cat["request_log"].select("request_id", http.without_param(F.concat("path", query_)).alias("key"))
+
+
+@query("Q71_body_reader", "SELECT request_id, CASE k % 5 WHEN 0 THEN '{\"k\":' || k || '}' END AS value, CASE k % 5 WHEN 0 THEN '{\"k\": ' || k || '}' WHEN 1 THEN '{\"k\":' WHEN 2 THEN '[1]' END AS text FROM request_log")
+def _(cat):
+    """Parsed JSON beside the text; broken JSON and other types stay text, an empty body is none."""
+    kind = F.col("k") % 5
+    text = F.when(kind == 0, F.concat(F.lit('{"k": '), F.col("k").cast("string"), F.lit("}"))).when(kind == 1, '{"k":').when(kind == 2, "[1]").when(kind == 3, "")
+    rows = cat["request_log"].select("request_id", http.parsed_body(text, kind != 2).alias("b"))
+    return rows.select("request_id", F.to_json("b.value").alias("value"), "b.text")
+
+
+@query("Q72_envelopes", f"SELECT '/api/geo/areas/' || id AS url, to_json(struct_pack(ok := true, source := 'local', data := struct_pack(id := id, name := name)))::varchar AS answer FROM area UNION ALL SELECT '/api/geo/areas/x', '{{\"ok\":true,\"source\":\"local\",\"data\":null}}' UNION ALL SELECT '/api/geo/areas', to_json(struct_pack(ok := true, source := 'local', data := list(struct_pack(id := id, name := name, countries := (SELECT list(struct_pack(id := c.id, name := c.name, areaId := c.area_id) ORDER BY c.id) FROM country c WHERE c.area_id = area.id)) ORDER BY name)))::varchar FROM area")
+def _(cat):
+    """What a client gets for a row, a missing row and a list with nested children."""
+    urls = ["/api/geo/areas", "/api/geo/areas/x", *(f"/api/geo/areas/{i}" for i in range(5))]
+    found = [(u, reads.envelope(reads.response(*reads.read(cat, routing.resolve(DECLARATION, "GET", u))))) for u in urls]
+    return cat.spark.createDataFrame([(u, json.dumps(e, separators=(",", ":"))) for u, e in found], "url string, answer string")
+
+
+@query("Q73_insert_ids", "SELECT * FROM (VALUES ('n001', 'own', 'own'), ('n003', 'n004', '{\"id\": 5, \"name\": \"b\"}'), ('n005', 'n006', NULL)) t(id, row_id, other)")
+def _(cat):
+    """An id comes from the body only if it is text; every request has a row of its own in the journal, its body as it came. Two ids are drawn for each."""
+    path = f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}"
+    e = engine(marked(cat), path)
+    for body in ({"id": "own", "name": "a"}, {"id": 5, "name": "b"}, None):
+        e.run("POST", "/api/catalog/promos", body)
+    log = cat.spark.read.schema(journal.COLUMNS).parquet(path)
+    return log.select("id", "row_id", F.when(F.col("row_id") == "own", "own").otherwise(F.col("body")).alias("other"))
+
+
+@query("Q74_schema_file", "SELECT DISTINCT replace(item_type, ' ', '_') AS \"table\", 'c' || (pack_size % 3) AS \"column\", CASE pack_size % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'integer' ELSE 'real' END AS type FROM item UNION ALL SELECT 'draft', 'body', 'text'")
+def _(cat):
+    """A structure written as a schema file and read back; local tables survive a new derivation."""
+    flags = F.element_at(F.array(*map(F.lit, (0, 4, 8))), (F.col("pack_size") % 3 + 1).cast("int"))
+    column = F.struct(F.concat(F.lit("c"), (F.col("pack_size") % 3).cast("string")).alias("name"), flags.alias("sqlite_type"))
+    tables = cat["item"].groupBy(F.replace("item_type", F.lit(" "), F.lit("_")).alias("name")).agg(F.collect_set(column).alias("columns"))
+    structure = tables.select(F.array(F.struct(F.array(F.struct(F.lit("public").alias("name"), F.array(F.struct("name", "columns")).alias("tables"))).alias("schemas"))).alias("connections"))
+    own = rules.flatten(structure)
+    named = own.join(rules.device_names(own), "source").select("name", "column", "type")
+    derived: dict[str, dict[str, str]] = {}
+    for table, name, kind in named.collect():  # a row for each replicated column
+        derived.setdefault(table, {})[name] = kind
+    kept = rules.Schema.parse(rules.Schema({"old": {"x": "text"}}, {"draft": {"body": "text"}}).text())
+    again = rules.Schema.parse(kept.renewed(derived).text())
+    rows = [(t, c, k) for tables_ in (again.tables, again.local) for t, columns in tables_.items() for c, k in columns.items()]
+    return cat.spark.createDataFrame(rows, "`table` string, `column` string, type string")
+
+
+@query("Q75_admin_answers", "SELECT * FROM (VALUES ('good', 'balance:by_item'), ('refused', '401'), ('forbidden', '403'), ('failing', '500'), ('no rules', 'no active rules')) t(\"case\", answer)")
+def _(cat):
+    """Both admin requests; a refused token, a failing address and missing rules are told apart."""
+    good = {"/schema": {"data": {"connections": []}}, "/diagnostics": {"data": {"active_sync_rules": {"content": "bucket_definitions: {by_item: {data: SELECT id FROM balance}}"}}}}
+
+    def post(status: int, answers: dict):
+        return lambda base, method, path, body, headers: (status, answers.get(path, {}))
+
+    out = []
+    for case, status, answers in (("good", 200, good), ("refused", 401, good), ("forbidden", 403, good), ("failing", 500, good), ("no rules", 200, {"/schema": good["/schema"]})):
+        try:
+            text = rules.ask_admin("https://admin", "token", post(status, answers))[1]
+            out.append((case, ",".join(f"{c.source.removeprefix('public.')}:{c.bucket}" for c in rules.read_rules(text))))
+        except rules.SchemaError as e:
+            out.append((case, next((w for w in ("401", "403", "500", "no active rules") if w in str(e)), str(e))))
+    return cat.spark.createDataFrame(out, "`case` string, answer string")
+
+
+@query(
+    "Q76_declared_paths",
+    "SELECT * FROM (VALUES ('path', 1, '/api/geo/areas'), ('path', 2, '/api/geo/bare-areas'), ('path', 3, '/api/geo/areas/{id}'), ('path', 4, '/api/geo/countries'), ('path', 5, '/api/sales/clients'), ('path', 6, '/api/sales/clients-with-country'), ('path', 7, '/api/sales/pairs'), ('path', 8, '/api/catalog/items'), "
+    "('path', 9, '/api/catalog/items/{id}'), ('path', 10, '/api/catalog/by-type/{type}'), ('path', 11, '/api/{locale}/typed/{type}'), ('path', 12, '/api/catalog/promos'), ('path', 13, '/api/sales/clients/{clientId}/purchases/{id}'), ('path', 14, '/api/sales/purchases'), ('path', 15, '/api/sales/purchases-by-area'), "
+    "('table', 1, 'area'), ('table', 2, 'client'), ('table', 3, 'country'), ('table', 4, 'item'), ('table', 5, 'purchase')) t(kind, place, name)",
+)
+def _(cat):
+    rows = [("path", i, p) for i, p in enumerate(DECLARATION.paths(), 1)] + [("table", i, t) for i, t in enumerate(DECLARATION.tables(), 1)]
+    return cat.spark.createDataFrame(rows, "kind string, place int, name string")

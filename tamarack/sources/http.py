@@ -6,6 +6,9 @@ import json
 import urllib.error
 import urllib.request
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 TIMEOUT_S = 10
 
 
@@ -25,6 +28,11 @@ def parse_body(text: str | None, is_json: bool) -> object:
     return text
 
 
+def parsed_body(text: Column, is_json: Column) -> Column:
+    """:func:`parse_body` of a column: (value, text), the value as a variant where JSON parses, the text unless the body is empty."""
+    return F.struct(F.when(is_json, F.try_parse_json(text)).alias("value"), F.when(text != "", text).alias("text"))
+
+
 def send(base: str, method: str, path: str, body: object = None, headers: dict[str, str] | None = None, timeout: float = TIMEOUT_S) -> tuple[int, object]:
     """(status, body). A JSON header goes with bodies that aren't text."""
     head = dict(headers or {})
@@ -49,3 +57,10 @@ def strip_param(url: str, name: str = "_rsc") -> str:
     head, _, query = url.partition("?")
     kept = [p for p in query.split("&") if p and p.split("=")[0] != name]
     return head + ("?" + "&".join(kept) if kept else "")
+
+
+def without_param(url: Column, name: str = "_rsc") -> Column:
+    """:func:`strip_param` of a column."""
+    parts = F.split(url, r"\?", 2)
+    kept = F.filter(F.split(F.try_element_at(parts, F.lit(2)), "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != name))
+    return F.concat(parts[0], F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
