@@ -9,6 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 BATCH, _BATCH_KEY = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOTS: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
+_OPEN: ContextVar[list[Scratch] | None] = ContextVar("_OPEN", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +61,35 @@ class Scratch:
         df.write.option("compression", codec).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         _MADE.append((spark, self.path))
+        if _OPEN.get() is not None:
+            _OPEN.get().append(self)
 
     def drop(self) -> None:
         _delete(self.spark, self.path)
         _MADE[:] = [m for m in _MADE if m[1] != self.path]
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[Scratch], DataFrame]]:
+    """Scratch tables written inside are deleted at its end, but those handed to the function it gives, which returns their DataFrame."""
+    mine: list[Scratch] = []
+    outer = _OPEN.get()
+
+    def keep(one: Scratch) -> DataFrame:
+        mine.remove(one)
+        if outer is not None:
+            outer.append(one)
+        return one.df
+
+    token = _OPEN.set(mine)
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(token)
+        for one in mine:
+            one.drop()
+
+
 def scratch(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` into the shared folder and return a DataFrame over the files."""
     return Scratch(spark, df, tag).df

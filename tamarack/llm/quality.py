@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, passing, table
 from .words import U, chunks, column_bytes, mix
 
 ORDER, QUANTILE, BINS, PRIOR = 5, 0.99, 1000, 20
@@ -346,7 +346,8 @@ def quality(spark: SparkSession, docs: DataFrame, trusted: DataFrame, quantile:
 
     Thresholds come from the held-out trusted rows of a language and of all languages; rows without perplexity are not kept. Without any held-out trusted row everything with text is kept.
     """
-    p = Scratch(spark, perplexities(spark, docs, trusted), "perplexity").df
+    with passing() as keep:  # the counts and the model go as soon as all texts are scored
+        p = keep(Scratch(spark, perplexities(spark, docs, trusted), "perplexity"))
     held = p.filter("trusted = 2 and perplexity is not null").withColumn("bin", F.floor(F.log("perplexity") * BINS))
     bins = held.groupBy("lang", "bin").agg(F.count("*").alias("n"))  # counts, not rows, are put in order
 

@@ -175,3 +175,19 @@ def test_few_groups_are_parted_beside_a_hot_one(spark):
         labels.setdefault(group[r["node"]], set()).add(r["label"])
     parted = sum(len(v) > 1 for g, v in labels.items() if g < 400)
     assert parted <= 80  # of 400; 214 after two rounds
+
+
+def test_passing_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from tamarack.llm.common import Scratch, passing
+
+    with passing() as keep_outer:
+        outer = Scratch(spark, spark.range(1), "outer")
+        with passing() as keep:
+            gone, kept = Scratch(spark, spark.range(2), "gone"), Scratch(spark, spark.range(3), "kept")
+            df = keep(kept)
+        here = lambda s: os.path.exists(s.path.removeprefix("file://"))
+        assert not here(gone) and here(kept) and here(outer) and df.count() == 3
+        df = keep_outer(kept)  # what is kept belongs to the scope around
+    assert not here(outer) and df.count() == 3
