@@ -14,6 +14,7 @@ two blocks has are not sent: they add one number each, known from the sizes of t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +138,8 @@ def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (lang, i, j, salt, term, source, n, total) to partial values of all pairs of a block's sources (see _PAIRS).
+def _pair_sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (lang, i, j, salt, term, source, n, total) to partial values of all pairs of two blocks of ``size`` sources (see _PAIRS).
 
     Each stretch of (lang, i, j, salt) begins with a row without a term for each of its sources.
     """
@@ -168,7 +169,7 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         if "sum" not in state:
             i, j = state["blocks"]
-            state["left"], state["right"] = (state["sources"][state["sources"] // SOURCES == x] for x in (i, j))
+            state["left"], state["right"] = (state["sources"][state["sources"] // size == x] for x in (i, j))
             state["sum"] = np.zeros((len(state["left"]), len(state["right"])), np.int64)
         t, source, n = t.filter(pa.array(~seed)), source[~seed], n[~seed]
         runs = _starts(t, ["term"])
@@ -228,7 +229,7 @@ def _value(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def audit(spark: SparkSession, docs: DataFrame, least: int = DOCS, top: int = TOP) -> DataFrame:
+def audit(spark: SparkSession, docs: DataFrame, least: int = DOCS, top: int = TOP, block: int = SOURCES) -> DataFrame:
     """(lang, source, part, item, value, rank) over ``docs(text, lang, source)``; see the module for the method.
 
     Part ``pair`` has a row for every other source of the language, part ``term`` the ``top`` terms that the source uses more than its
@@ -254,16 +255,16 @@ def audit(spark: SparkSession, docs: DataFrame, least: int = DOCS, top: int = TO
     groups = scratch(spark, groups, "groups")
 
     # the sources of a language in blocks; a source meets every block, the pair of blocks is named with the smaller first
-    block = F.expr(f"no div {SOURCES}")
-    sizes = groups.groupBy("lang").agg((F.max(block) + 1).alias("blocks"))
-    placed = groups.filter("v > 0").join(sizes, "lang").withColumn("own", block)
+    own_block = F.expr(f"no div {block}")
+    sizes = groups.groupBy("lang").agg((F.max(own_block) + 1).alias("blocks"))
+    placed = groups.filter("v > 0").join(sizes, "lang").withColumn("own", own_block)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     unit = [F.col("lang"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seeds = placed.select(*unit, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("string").alias("term"), F.col("no").alias("source"), F.lit(0).cast("long").alias("n"), "total")
     counts = kept.join(placed, ["lang", "source"]).select(*unit, F.pmod(F.xxhash64("term"), F.lit(salts)).cast("long").alias("salt"), "term", F.col("no").alias("source"), "n", "total")
     dealt = counts.union(seeds).repartition(salts, "lang", "i", "j", "salt").sortWithinPartitions("lang", "i", "j", "salt", F.asc_nulls_first("term"), "source")
-    sums = dealt.mapInArrow(_pair_sums, _PAIRS).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    sums = dealt.mapInArrow(partial(_pair_sums, block), _PAIRS).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
 
     one = groups.select("lang", "source", F.col("no").alias("x"), F.col("total").alias("p_total"), "v")
     two = groups.select("lang", F.col("source").alias("item"), F.col("no").alias("y"), F.col("total").alias("q_total"))
