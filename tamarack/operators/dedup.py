@@ -95,6 +95,11 @@ class Guard:
             return None
         return answer
 
+    def copy(self) -> Guard:
+        out = Guard(self.window_ms, self.most)
+        out._seen.update(self._seen)
+        return out
+
     def remember(self, key: str, answer: object, now_ms: int) -> None:
         self._seen.pop(key, None)
         self._seen[key] = (now_ms, answer)

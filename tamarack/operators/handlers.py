@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
+from ..sources.commits import CommitLog
 from ..sources.declarations import Declaration, Operation
 from . import activity, dedup, journal, mutations, reads, routing
+from .overlay import Overlay
 from .params import merged
 from .routing import Resolved, resolve, resolve_operation
 
@@ -52,7 +55,8 @@ def _now() -> str:
 class Engine:
     """Operations first, then composed entity requests; anything else is passed through (None).
 
-    ``log`` is the journal's folder, without which nothing can be written. Equal requests inside the window get the answer of
+    ``log`` is the journal's folder, without which nothing can be written. Every read sees what was committed before it
+    (:class:`~tamarack.operators.overlay.Overlay`); an answer stays that of its version, whenever it is read. Equal requests inside the window get the answer of
     the one that ran, failures and passed-through requests are never remembered. ``events`` holds the latest activity rows, the oldest going first.
     """
 
@@ -66,6 +70,65 @@ class Engine:
     now: Callable[[], str] = _now
     clock_ms: Callable[[], int] = field(default=lambda: time.time_ns() // 1_000_000)
     events: list[tuple] = field(default_factory=list)
+    _overlay: Overlay | None = None
+    _open: list[tuple] | None = None
+
+    @property
+    def overlay(self) -> Overlay:
+        """The tables with the journal's commits on them."""
+        if self.log is None:
+            raise mutations.MutationError("writes go through the journal: the engine has no folder for it")
+        if self._overlay is None:
+            self._overlay = Overlay(self.catalog, CommitLog(self.catalog.spark, self.log))
+        return self._overlay
+
+    def _more(self, version: int) -> DataFrame | None:
+        """The rows of the open transaction as they would follow ``version``."""
+        if not self._open:
+            return None
+        rows = [(*r, ((version + 1) << journal.PLACES) + i) for i, r in enumerate(self._open)]
+        return self.catalog.spark.createDataFrame(rows, journal.NUMBERED)
+
+    def view(self, only: dict[str, str] | None = None) -> Catalog:
+        """The catalog as it is now: base tables, commits and the open transaction's writes."""
+        if self.log is None:
+            return self.catalog
+        version = self.overlay.log.last()
+        return self.overlay.view(version, only, self._more(version))
+
+    @contextmanager
+    def transaction(self) -> Iterator[Engine]:
+        """The writes inside are one commit: all of them, or none if anything raises. Reads inside see them."""
+        if self._open is not None:
+            raise mutations.MutationError("a transaction is open already")
+        self._open, events, guard = [], list(self.events), self.guard.copy()
+        try:
+            yield self
+            if self._open:
+                self._commit(self._open)
+        except BaseException:
+            self.events[:], self.guard = events, guard
+            raise
+        finally:
+            self._open = None
+
+    def _commit(self, rows: list[tuple]) -> int:
+        """One commit of journal rows; an insert whose id is there by then, also by another writer's commit, refuses them all."""
+        overlay = self.overlay
+
+        def check(version: int) -> None:
+            for i, (_, _, _, _, _, table, row_id, steps) in enumerate(rows):
+                if steps[-1][0] == "insert":
+                    before = [(*r, ((version + 1) << journal.PLACES) + k) for k, r in enumerate(rows[:i]) if r[5] == table and r[6] == row_id]
+                    more = overlay.spark.createDataFrame(before, journal.NUMBERED) if before else None
+                    if overlay.exists(table, row_id, version, more):
+                        raise mutations.MutationError(f"{table} has a row {row_id!r} already")
+
+        return overlay.log.append(lambda number: journal.commit_bytes(rows, number), check)
+
+    def compact(self) -> int:
+        """Fold the commits so far into a snapshot; nothing that can be read changes."""
+        return self.overlay.compact()
 
     def handles(self, method: str, url: str) -> bool:
         return resolve_operation(self.operations, method, url) is not None or resolve(self.declaration, method, url) is not None
@@ -89,7 +152,7 @@ class Engine:
             kind = "local-write" if op.connectivity == "offline" else "request-handled"
             self._record(kind, operation=op.operation_id, method=method.upper())
         elif mutations.kind_of(method) == "read":
-            answer = reads.read(self.catalog, entity)[0]
+            answer = reads.read(self.view(self._one(entity)), entity)[0]
             self._record("request-handled", table=entity.table, method=method.upper(), url=url)
         else:
             answer = self.write(entity, method, url, body)
@@ -101,38 +164,58 @@ class Engine:
         self.events.append(activity.event(kind, self.now(), **detail))
         del self.events[: -activity.KEPT]
 
+    def _one(self, entity: Resolved) -> dict[str, str] | None:
+        """{table: id} where a read wants one row and its table comes in no other role."""
+        own, route = reads.id_hole(entity), entity.route
+        twice = route is not None and (any(a.table == entity.table for a in route.aggregates) or any(entity.table in j for j in route.joins))
+        if own is None or twice or self.log is None:
+            return None
+        return {entity.table: self.overlay.canonical(entity.table, entity.params[own])}
+
     def tenant(self, table: str) -> str | None:
         """The tenant of local rows: the table's own, else that of the first other table that has one."""
         own = [t for t in [table, *(n for n in self.catalog.tables if n != table)] if "tenant_id" in self.catalog.columns(t)]
         if table not in own:
             return None
-        rows = [self.catalog[t] for t in own]
+        now = self.view()
+        rows = [now[t] for t in own]
         return mutations.first_tenant(rows[0], rows[1:]).first()["tenant"]
 
     def write(self, entity: Resolved, method: str, url: str, body: dict | None = None) -> DataFrame:
-        """One append of request and steps; the answer is the row as written, for a delete the row that goes."""
-        if self.log is None:
-            raise mutations.MutationError("writes go through the journal: the engine has no folder for it")
+        """One commit of request and steps, or a part of the open transaction's; the answer is the row as written, for a delete the row that goes.
+
+        An insert of an id that is there raises and leaves nothing, neither a row nor a request to replay.
+        """
+        overlay = self.overlay
         row, columns = self.compose(entity, method, url, body)
-        journal.append(self.catalog.spark.createDataFrame([row], journal.COLUMNS), self.log)
         table, row_id, steps = row[5:]
         op, values = steps[-1]
+        version = overlay.log.last()
+        gone = overlay.table(table, version, row_id, self._more(version)) if op == "delete" else None
+        if self._open is None:
+            version = self._commit([row])
+        else:
+            if op == "insert" and overlay.exists(table, row_id, version, self._more(version)):
+                raise mutations.MutationError(f"{table} has a row {row_id!r} already")
+            self._open.append(row)
         if op == "insert":
             return self.catalog.spark.createDataFrame([tuple(values.get(c) for c in columns)], ", ".join(f"{c} string" for c in columns))
-        base = self.catalog[table].filter(F.col("id") == F.lit(row_id).try_cast(self.catalog[table].schema["id"].dataType))
-        return base.withColumns({c: F.lit(v).cast(base.schema[c].dataType) for c, v in values.items()}) if values else base
+        return gone if op == "delete" else overlay.table(table, version, row_id, self._more(version))
 
     def compose(self, entity: Resolved, method: str, url: str, body: dict | None) -> tuple[tuple, list[str]]:
         """The journal row of a write and the columns of its table."""
         request, now = self.new_id(), self.now()
         columns = self.catalog.columns(entity.table)
         hole = reads.id_hole(entity)
-        row_id = entity.params.get(hole) if hole else None
+        row_id = self.overlay.canonical(entity.table, entity.params.get(hole)) if hole else None
         kind = mutations.kind_of(method)
         if kind == "insert":
             given = {c: entity.params[h] for c, h in reads.filters_of(entity, columns).items()}
             values = mutations.insert(columns, body, given, entity.route.defaults if entity.route else {}, self.new_id(), now, self.tenant(entity.table), request)
-            row_id, steps = str(values["id"]), [("insert", values)]
+            row_id = self.overlay.canonical(entity.table, values["id"])
+            if not self.overlay.holds(entity.table, row_id):
+                raise mutations.MutationError(f"{values['id']!r} is no id of {entity.table}")
+            steps = [("insert", {**values, "id": row_id})]
         elif kind == "update":
             steps = [("update", mutations.update(columns, body, row_id, now, request))]
         else:

@@ -5,15 +5,23 @@ A row holds the original request and the steps it means for one row of a table,
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.commits import CommitLog
+
 REQUEST = "id string, method string, path string, body string, created_at string"
 STEPS = "array<struct<op: string, set: map<string, string>>>"
 COLUMNS = f"{REQUEST}, table_name string, row_id string, steps {STEPS}"
+#: rows as commits hold them: ``seq`` is the commit's number and the row's place in it
+NUMBERED = f"{COLUMNS}, seq long"
+PLACES = 32  # bits of a place in a commit
 
 
 class JournalError(ValueError):
@@ -40,6 +48,41 @@ def append(journal: DataFrame, path: str) -> None:
     journal.write.mode("append").parquet(path)
 
 
+def commit_bytes(rows: Sequence[tuple], number: int) -> bytes:
+    """The Parquet file of one commit: the rows of one write, or of one transaction in their order."""
+    if len(rows) >> PLACES:
+        raise JournalError(f"{len(rows)} rows are too many for one commit")
+    step = pa.struct([("op", pa.string()), ("set", pa.map_(pa.string(), pa.string()))])
+    text = ["id", "method", "path", "body", "created_at", "table_name", "row_id"]
+    schema = pa.schema([*((c, pa.string()) for c in text), ("steps", pa.list_(step)), ("seq", pa.int64())])
+    full = [(*r[:7], [{"op": op, "set": list(values.items())} for op, values in r[7]], (number << PLACES) + i) for i, r in enumerate(rows)]
+    out = io.BytesIO()
+    pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in full], schema=schema), out)
+    return out.getvalue()
+
+
+def append_table(rows: DataFrame, log: CommitLog) -> int:
+    """A table of requests (see COLUMNS) as one commit, in the order of (created_at, id); returns its number."""
+    from .reads import numbered
+
+    placed = numbered(rows.orderBy("created_at", "id"))
+
+    def write(number: int, path: str) -> None:
+        seq = F.lit(number << PLACES).cast("long") + F.col("place") - 1
+        placed.select(*rows.columns, seq.alias("seq")).write.parquet(path)
+
+    return log.append_table(write)
+
+
+def committed(spark: SparkSession, log: CommitLog, after: int = 0, upto: int | None = None) -> DataFrame:
+    """Journal rows (see NUMBERED) of the commits in (after, upto]; only their files are read."""
+    files = log.files(after, upto)
+    if not files:
+        return spark.createDataFrame([], NUMBERED)
+    rows = spark.read.schema(NUMBERED).parquet(*files).filter(F.col("seq") >= (after + 1) << PLACES)
+    return rows if upto is None else rows.filter(F.col("seq") < (upto + 1) << PLACES)
+
+
 def pending(journal: DataFrame, acks: DataFrame, key: str = "id", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """Journal rows that nobody has acknowledged, oldest first; no acknowledgement means all rows."""
     return journal.join(acks.select(key).distinct(), key, "left_anti").orderBy(*order)

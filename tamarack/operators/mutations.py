@@ -108,13 +108,13 @@ def state(log: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def applied(base: DataFrame, log: DataFrame) -> DataFrame:
-    """``base(id, ...)`` after ``log(id, seq, op, set)``: its rows are inserts before all others; columns keep their types."""
+    """``base(id, ...)`` after ``log(id, seq, op, set)``: its rows are inserts before all others; columns keep their types, text that a column's type can't hold is null."""
     columns = [c for c in base.columns if c != "id"]
     text = [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
     first = base.select(F.col("id").cast("string").alias("id"), F.lit(None).cast(log.schema["seq"].dataType).alias("seq"), F.lit("insert").alias("op"), F.create_map(*text).alias("set"))
     both = first.withColumn("seq", F.struct(F.lit(0).alias("own"), "seq")).unionByName(log.withColumn("seq", F.struct(F.lit(1).alias("own"), "seq")))
     kinds = {f.name: f.dataType for f in base.schema}
-    return state(both, columns).select(*[F.col(c).cast(kinds[c]).alias(c) for c in base.columns])
+    return state(both, columns).select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in base.columns])
 
 
 def returning_delete(base: DataFrame, deletes: DataFrame) -> DataFrame:
