@@ -72,17 +72,17 @@ def _sums(dim: int):
 
 
 def _product(dim: int, n: int, sums: list[int], q: np.ndarray | None, scale: np.ndarray | None = None):
-    """Cells of V q (of V itself without q; with ``scale`` of the covariance of the rows' scaled coordinates on q)."""
+    """Cells of V q (of V itself without q; with ``scale`` of the covariance of the rows' scaled coordinates on q), then V's trace."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, squares = None, 0.0
         for x in _blocks(batches, dim):
             c = centred(x, n, sums)
             left = c if scale is None else c @ q / scale
             part = left.T @ (left if scale is not None or q is None else c @ q)
-            total = part if total is None else total + part
+            total, squares = part if total is None else total + part, squares + float((c * c).sum())
         if total is not None:
-            flat = total.ravel() / n
+            flat = np.append(total.ravel(), squares) / n
             for at in range(0, len(flat), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, min(len(flat), at + (1 << 16)))), pa.array(flat[at : at + (1 << 16)])], names=["cell", "value"])
         release()
@@ -90,12 +90,12 @@ def _product(dim: int, n: int, sums: list[int], q: np.ndarray | None, scale: np.
     return run
 
 
-def _gather(fit: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
-    """The matrix whose cells the tasks have added up; rows x columns numbers come to the driver, however many rows there are."""
-    out = np.zeros(shape[0] * shape[1])
-    for cell, value in fit.mapInArrow(run, _CELLS).groupBy("cell").agg(F.sum("value")).toLocalIterator():
+def _gather(fit: DataFrame, run, shape: tuple[int, int]) -> tuple[np.ndarray, float]:
+    """(the matrix whose cells the tasks have added up, V's trace); rows x columns numbers come to the driver, however many rows there are."""
+    out = np.zeros(shape[0] * shape[1] + 1)
+    for cell, value in fit.mapInArrow(run, _CELLS).groupBy("cell").agg(F.sum("value")).collect():
         out[cell] = value
-    return out.reshape(shape)
+    return out[:-1].reshape(shape), float(out[-1])
 
 
 def range_finder(product, dim: int, wanted: int, over: int = OVER, passes: int = PASSES, residual: float = RESIDUAL) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -162,21 +162,25 @@ def whiten(spark: SparkSession, vectors: DataFrame, wanted: int = WANTED) -> Dat
     rows = scratch(spark, v.select("vec_id", whole_entries(F.col("v")).alias("x")).withColumn("dim", F.size("x")), "whole")
     fits = scratch(spark, rows.select("dim", "x").distinct(), "fit")
     out = []
-    for dim in sorted(r["dim"] for r in fits.select("dim").distinct().toLocalIterator()):
+    for dim in sorted(r["dim"] for r in fits.select("dim").distinct().collect()):
         fit = fits.filter(F.col("dim") == dim).select("x")
-        cells = {r[0]: int(r[1]) for r in fit.mapInArrow(_sums(dim), "cell long, value long").groupBy("cell").agg(F.sum(F.col("value").cast("decimal(38,0)"))).toLocalIterator()}
+        cells = {r[0]: int(r[1]) for r in fit.mapInArrow(_sums(dim), "cell long, value long").groupBy("cell").agg(F.sum(F.col("value").cast("decimal(38,0)"))).collect()}
         n, sums = cells[0], [(cells[1 + i] << 32) + cells[1 + dim + i] for i in range(dim)]
 
-        def product(q: np.ndarray | None, fit=fit, dim=dim, n=n, sums=sums) -> np.ndarray:
-            return _gather(fit, _product(dim, n, sums, q), (dim, dim if q is None else q.shape[1]))
+        traces: list[float] = []
+
+        def product(q: np.ndarray | None, fit=fit, dim=dim, n=n, sums=sums, traces=traces) -> np.ndarray:
+            v, trace = _gather(fit, _product(dim, n, sums, q), (dim, dim if q is None else q.shape[1]))
+            traces.append(trace)
+            return v
 
         e, c, _ = range_finder(product, dim, min(wanted, dim))
-        trace = _trace(fit, dim, n, sums)
+        trace = traces[-1]
         real = e > max(trace, 0) * 1e-14  # what lies below is rounding
         e, c = e[real], c[:, real]
         if not len(e):
             continue
-        white = _gather(fit, _product(dim, n, sums, c, np.sqrt(e)), (len(e), len(e)))
+        white, _ = _gather(fit, _product(dim, n, sums, c, np.sqrt(e)), (len(e), len(e)))
         error = float(np.abs(white - np.eye(len(e))).max())
         mine = rows.filter(F.col("dim") == dim).select("vec_id", "x").mapInArrow(_whitened(dim, n, sums, c, e, e / trace), OUT)
         out.append(mine.withColumn("identity_error", F.lit(error)))
@@ -188,16 +192,6 @@ def whiten(spark: SparkSession, vectors: DataFrame, wanted: int = WANTED) -> Dat
     return both
 
 
-def _trace(fit: DataFrame, dim: int, n: int, sums: list[int]) -> float:
-    """The covariance's trace: its own pass, as the basis may be smaller than the dimension."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(float((centred(x, n, sums) ** 2).sum()) for x in _blocks(batches, dim))
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total / n])], names=["cell", "value"])
-
-    return float(_gather(fit, run, (1, 1))[0, 0])
-
-
 def op12_randomised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four whitened components of all rows of ``embeddings``."""
     return whiten(spark, table(spark, sf_dir, "embeddings"))
