@@ -6,6 +6,7 @@ are what the operator is for.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import json
 import uuid
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..operators import activity, dedup, journal, mutations, params, reads, replay, routing, rules
 from ..operators.handlers import Engine, Registry, intercept
+from ..operators.overlay import Overlay
 from ..sources import http
 from ..sources.catalog import VIEWS, Catalog, shared_folder, view_sql
+from ..sources.commits import CommitLog
 from ..sources.declarations import check_operations, load
 from ..streaming import dedup as guards
 from ..streaming import upload
@@ -498,6 +501,75 @@ def _(cat):
     return engine(marked(cat), f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}").run("DELETE", "/api/catalog/items/7").select("id", "name")
 
 
+@query(
+    "Q77_read_own_writes",
+    "SELECT id::varchar AS id, CASE WHEN id = 5 THEN NULL ELSE name END AS name, CASE WHEN id = 5 THEN 'other' ELSE brand END AS brand, item_type AS \"itemType\", pack_size AS \"packSize\", retail_price AS \"retailPrice\" FROM item WHERE id <> 7 "
+    "UNION ALL SELECT 'n002', 'new', NULL, 'PROMO', 4, NULL",
+)
+def _(cat):
+    """A list read through the engine that wrote: inserted, updated, deleted and updated anew."""
+    own, path = marked(cat), f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}"
+    e = engine(own, path)
+    e.run("POST", "/api/catalog/promos", {"name": "new", "packSize": 3})
+    e.run("PUT", "/api/catalog/items/5", {"brand": "other", "name": None})
+    e.run("DELETE", "/api/catalog/items/7")
+    e.run("PATCH", "/api/catalog/items/n002", {"packSize": 4})
+    return e.run("GET", "/api/catalog/items")
+
+
+@query("Q78_refused_insert", "SELECT 'row' AS kind, id::varchar AS id, name FROM item WHERE id IN (5, 6) UNION ALL SELECT 'request', 'fresh', 'first' UNION ALL SELECT 'row', 'fresh', 'first'")
+def _(cat):
+    """An insert of an id that is there is refused, of a base row as of one just made, and leaves neither row nor request; so does a transaction that holds one."""
+    e = engine(marked(cat), f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}")
+    e.overlay.index("item")
+    for body in ({"id": "5", "name": "again"}, {"id": "fresh", "name": "first"}, {"id": "fresh", "name": "second"}):
+        with contextlib.suppress(mutations.MutationError):
+            e.run("POST", "/api/catalog/promos", body)
+    with contextlib.suppress(mutations.MutationError), e.transaction():
+        e.run("PATCH", "/api/catalog/items/6", {"name": "lost"})
+        e.run("POST", "/api/catalog/promos", {"id": "6", "name": "refused"})
+    rows = e.overlay.table("item").filter(F.col("id").isin("5", "6", "fresh")).select(F.lit("row").alias("kind"), "id", "name")
+    asked = journal.committed(cat.spark, e.overlay.log).select(F.lit("request"), "row_id", F.get_json_object("body", "$.name"))
+    return rows.union(asked)
+
+
+@query("Q79_one_millisecond", "SELECT id::varchar AS id, 'second' AS name, brand FROM item WHERE id = 5")
+def _(cat):
+    """Two updates in one millisecond, the later one with the smaller request id: the later one holds."""
+    ids = iter(["z9", "a1"])
+    e = engine(marked(cat), f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}")
+    e.new_id, e.now = lambda: next(ids), lambda: "2026-01-01T00:00:00.000Z"
+    for name in ("first", "second"):
+        e.run("PATCH", "/api/catalog/items/5", {"name": name})
+    return e.run("GET", "/api/catalog/items/5").select("id", "name", "brand")
+
+
+_ON_ITEMS = _log_ctes(["POST", "PUT", "PATCH", "DELETE"]).replace("SELECT range, -1, 'insert', true, 'base', true, '0' FROM range(20)", "SELECT id, -1, 'insert', true, name, true, pack_size::varchar FROM item WHERE id < 20")
+
+
+@query("Q80_snapshot_and_tail", f"SELECT id::varchar AS id, name, pack_size::int AS pack_size FROM ({_STATE}) UNION ALL SELECT id::varchar, name, pack_size FROM item WHERE id >= 20", _ON_ITEMS)
+def _(cat):
+    """All requests as two commits, the first of them folded into a snapshot: base table, snapshot and tail read as one."""
+    own, log = marked(cat), cat["request_log"]
+    op = F.when(F.col("method") == "POST", "insert").when(F.col("method") == "DELETE", "delete").otherwise("update")
+    k = F.col("k").cast("string")
+    empty = F.create_map().cast("map<string,string>")
+    name = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("name"), F.when(F.col("k") % 7 != 0, F.concat(F.lit("v"), k)))).otherwise(empty)
+    size = F.when(F.col("k") % 3 == 0, F.create_map(F.lit("pack_size"), k)).otherwise(empty)
+    values = F.when(op == "insert", F.create_map(F.lit("name"), F.concat(F.lit("ins"), k), F.lit("pack_size"), k)).when(op == "update", F.map_concat(name, size)).otherwise(empty)
+    text = lambda c: F.col(c).cast("string")
+    rows = log.filter("method <> 'GET'").select(
+        "request_id", text("request_id").alias("id"), "method", "path", F.lit(None).cast("string").alias("body"), F.lpad(text("request_id"), 12, "0").alias("created_at"), F.lit("item").alias("table_name"),
+        (F.col("client_id") % 20).cast("string").alias("row_id"), F.array(F.struct(op.alias("op"), values.alias("set"))).alias("steps"),
+    )
+    half = log.agg(F.max("request_id")).first()[0] // 2
+    over = Overlay(own, CommitLog(cat.spark, f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}"))
+    journal.append_table(rows.filter(F.col("request_id") <= half).drop("request_id"), over.log)
+    over.compact()
+    journal.append_table(rows.filter(F.col("request_id") > half).drop("request_id"), over.log)
+    return over.table("item").select("id", "name", "pack_size")
+
+
 _METADATA = "CASE k % 4 WHEN 0 THEN 'req-' || (request_id // 2) WHEN 1 THEN '{\"method\":\"' || method || '\",\"path\":\"' || path || '\"}' WHEN 2 THEN '' ELSE '{bad' END"
 
 
@@ -630,13 +702,13 @@ def _(cat):
 def _(cat):
     """Dead letters of a pass: rejected writes of transactions that are through."""
     path, _ = uploaded(cat)
-    return cat.spark.read.parquet(f"{path}/letters/first").select("id", "http_status", F.col("reason").startswith("no usable metadata").alias("unsent"))
+    return upload.letters(cat.spark, path, "first").select("id", "http_status", F.col("reason").startswith("no usable metadata").alias("unsent"))
 
 
 @query("Q65_upload_activity", "SELECT 'dead-letter' AS type, request_id::varchar AS subject FROM first WHERE done AND kind = 'reject' UNION ALL SELECT 'reauth-required', client_id::varchar FROM halts WHERE stop[3] = 'reauth'", _SENT)
 def _(cat):
     path, _ = uploaded(cat)
-    return cat.spark.read.parquet(f"{path}/activity/first").select("type", "subject")
+    return upload.activity(cat.spark, path, "first").select("type", "subject")
 
 
 @query(
@@ -646,7 +718,10 @@ def _(cat):
 )
 def _(cat):
     """A stream that met a retry goes on with what is left, one that met a reauth is shut until it is resumed."""
-    path, _ = uploaded(cat, again=True)
+    return second_pass(cat, uploaded(cat, again=True)[0])
+
+
+def second_pass(cat: Catalog, path: str) -> DataFrame:
     acks = upload.acknowledged(cat.spark, path)
     rows = uploads(cat).select("id", F.col("client_id").cast("string").alias("stream")).join(acks, "id", "left")
     shut = upload.shut_streams(cat.spark, path).withColumn("shut", F.lit(True))
@@ -654,6 +729,19 @@ def _(cat):
     return rows.join(shut, "stream", "left").select("stream", F.coalesce("shut", F.lit(False)).alias("shut"), "acked", "rejected")
 
 
+@query(
+    "Q81_epochs_twice",
+    "SELECT client_id::varchar AS stream, coalesce(stop[3] = 'reauth', false) AS shut, count(*) FILTER (WHERE done OR stop[3] = 'retry')::bigint AS acked, count(*) FILTER (WHERE (done AND kind = 'reject') OR (stop[3] = 'retry' AND NOT done AND k % 7 = 0))::bigint AS rejected FROM first GROUP BY ALL",
+    _SENT,
+)
+def _(cat):
+    """Each epoch run twice, as after a failure, comes to what two epochs come to: what is acknowledged stays so and nothing is sent again."""
+    path = f"{shared_folder(cat.spark)}/upload-{uuid.uuid4().hex}"
+    for send, epoch in ((answer, "first"), (accept, "first"), (accept, "second"), (answer, "second")):
+        upload.one_pass(cat.spark, uploads(cat), send, path, epoch, stream="client_id")
+    return second_pass(cat, path)
+
+
 # -- streams --------------------------------------------------------------------------------------------------------------------------
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 

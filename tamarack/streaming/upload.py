@@ -5,11 +5,16 @@ anything behind it goes out. Every answer is written down first; what is acknowl
 that table, so nothing is sent again to find out what came of it. A task that is lost sends its requests again
 under the same idempotency keys. A reauth shuts its stream until :func:`resume`.
 Writes that nobody can tell a service for are rejected unsent. Rejected writes become dead letters and let their transaction go on.
+
+A pass belongs to an epoch. Each attempt writes its tables into folders of its own; they count from the moment that the epoch's
+manifest names them, which one attempt alone can put there. An epoch that is run again after that sends nothing and answers what was answered;
+one that died before it left nothing that readers see.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import replay
+from ..sources.commits import Folder
 
 #: (method, url, body, headers) to the answer's status, None without an answer; runs in the executors
 Send = Callable[[str, str, str | None, dict[str, str]], int | None]
@@ -24,6 +30,7 @@ Send = Callable[[str, str, str | None, dict[str, str]], int | None]
 ACKS = "id string, kind string"
 ANSWERS = "stream string, tx_id long, seq long, id string, http_status int, kind string"
 SHUT = "stream string, at long, shut boolean"
+ACTIVITY = "type string, subject string, at long"
 
 
 def http_sender(timeout: float = 10.0) -> Send:
@@ -40,22 +47,53 @@ def http_sender(timeout: float = 10.0) -> Send:
     return send
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All passes' files of a kind; none yet is an empty table."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/*")
+class Passes:
+    """The passes below a folder, by their manifests."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.epochs = Folder(spark, f"{self.path}/epochs")
+
+    def attempt_of(self, epoch: str) -> str | None:
+        return self.epochs.read(epoch).decode() if epoch in self.epochs.names() else None
+
+    def commit(self, epoch: str, attempt: str) -> str:
+        """Make the attempt count unless another one does already; returns the one that does."""
+        return attempt if self.epochs.create(epoch, attempt.encode()) else self.attempt_of(epoch)
+
+    def table(self, kind: str, schema: str | None = None, epoch: str | None = None) -> DataFrame:
+        """Rows of a kind of one epoch, or of all; with no epoch yet there are none, of the schema given."""
+        if epoch is not None:
+            attempts = [self.attempt_of(epoch)]
+        elif self.epochs.names():  # a small file for each pass
+            attempts = [r[0] for r in self.spark.read.text(self.epochs.path, wholetext=True).collect()]
+        else:
+            return self.spark.createDataFrame([], schema or "id string")
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*[f"{self.path}/{kind}/{a}" for a in attempts])
 
 
 def acknowledged(spark: SparkSession, path: str) -> DataFrame:
     """(id, kind) of all passes so far."""
-    return _table(spark, f"{path}/acks", ACKS)
+    return Passes(spark, path).table("acks", ACKS)
+
+
+def letters(spark: SparkSession, path: str, epoch: str | None = None) -> DataFrame:
+    """Dead letters of an epoch, or of all: the writes with (http_status, reason)."""
+    return Passes(spark, path).table("letters", None, epoch)
+
+
+def activity(spark: SparkSession, path: str, epoch: str | None = None) -> DataFrame:
+    """(type, subject, at) of what an epoch, or all, had to tell."""
+    return Passes(spark, path).table("activity", ACTIVITY, epoch)
 
 
 def shut_streams(spark: SparkSession, path: str) -> DataFrame:
     """(stream) of streams whose last event is a reauth."""
-    rows = _table(spark, f"{path}/latch", SHUT)
+    rows = Passes(spark, path).table("latch", SHUT)
+    opened = Folder(spark, f"{path}/opened").names()
+    if opened:
+        rows = rows.union(spark.read.schema(SHUT).parquet(*[f"{path}/opened/{n}" for n in opened]))
     return rows.groupBy("stream").agg(F.max_by("shut", "at").alias("shut")).filter("shut").select("stream")
 
 
@@ -63,7 +101,7 @@ def resume(spark: SparkSession, path: str, streams: DataFrame | None = None) ->
     """A valid session exists again: open the given streams (``stream``), or all."""
     rows = shut_streams(spark, path) if streams is None else streams.select("stream")
     at = time.time_ns() // 1000
-    rows.select("stream", F.lit(at).alias("at"), F.lit(False).alias("shut")).write.mode("overwrite").parquet(f"{path}/latch/open-{at}")
+    rows.select("stream", F.lit(at).alias("at"), F.lit(False).alias("shut")).write.parquet(f"{path}/opened/open-{at}-{uuid.uuid4().hex}")
 
 
 def _deliver(send: Send):
@@ -89,36 +127,39 @@ def _deliver(send: Send):
 
 
 def one_pass(spark: SparkSession, writes: DataFrame, send: Send, path: str, name: str, stream: str | None = None, token: str | None = None, base: str | None = None, handlers: replay.ErrorHandlers | None = None) -> DataFrame:
-    """Send what is pending once and write what came of it; returns the answers (see ANSWERS).
+    """Send what is pending once and write what came of it; returns the answers (see ANSWERS). ``name`` is the epoch.
 
     ``writes`` has (id, tx_id, seq) and the columns of :func:`replay.request_of`; ``stream`` names the column that parts independent
     uploaders, each of which is sent in order by one task. ``handlers`` hear of every rejected write, in the executors.
     """
+    passes = Passes(spark, path)
+    if passes.attempt_of(name) is not None:
+        return passes.table("answers", ANSWERS, name)
+    attempt = f"{name}.{uuid.uuid4().hex}"
     own = F.col(stream).cast("string") if stream else F.lit("")
     rows = writes.join(acknowledged(spark, path).select("id"), "id", "left_anti").withColumn("stream", own)
     rows = rows.join(shut_streams(spark, path), "stream", "left_anti")
     rows = replay.request_of(replay.send_once(rows, key="id"), token, base=base)
     rows = rows.select("stream", "tx_id", "seq", "id", "send_method", "url", "send_body", "headers")
     ready = rows.repartition("stream").sortWithinPartitions("stream", "tx_id", "seq")
-    ready.mapInPandas(_deliver(send), ANSWERS).write.mode("overwrite").parquet(f"{path}/answers/{name}")
-    answers = spark.read.schema(ANSWERS).parquet(f"{path}/answers/{name}")
+    ready.mapInPandas(_deliver(send), ANSWERS).write.parquet(f"{path}/answers/{attempt}")
+    answers = spark.read.schema(ANSWERS).parquet(f"{path}/answers/{attempt}")
     stops = answers.filter(F.col("kind").isin(replay.RETRY, replay.REAUTH)).select("stream", F.col("tx_id").alias("stop"), F.col("kind").alias("why"))
     # a transaction with a stop in it waits as a whole
     done = answers.join(stops, "stream", "left").filter("stop is null or tx_id < stop")
-    done.select("id", "kind").write.mode("overwrite").parquet(f"{path}/acks/{name}")
-    letters = writes.join(done.filter(F.col("kind") == replay.REJECT).select("id", "http_status"), "id")
+    done.select("id", "kind").write.parquet(f"{path}/acks/{attempt}")
+    rejected = writes.join(done.filter(F.col("kind") == replay.REJECT).select("id", "http_status"), "id")
     reason = F.when(F.col("http_status").isNull(), "no usable metadata: nobody can tell which service to call").otherwise("rejected")
-    letters.withColumn("reason", reason).write.mode("overwrite").parquet(f"{path}/letters/{name}")
+    rejected.withColumn("reason", reason).write.parquet(f"{path}/letters/{attempt}")
     at = F.lit(time.time_ns() // 1000)
     shut = stops.filter(F.col("why") == replay.REAUTH).select("stream", at.alias("at"), F.lit(True).alias("shut"))
-    shut.write.mode("overwrite").parquet(f"{path}/latch/{name}")
-    kept = spark.read.parquet(f"{path}/letters/{name}")
+    shut.write.parquet(f"{path}/latch/{attempt}")
+    kept = spark.read.parquet(f"{path}/letters/{attempt}")
     events = kept.select(F.lit("dead-letter").alias("type"), F.col("id").cast("string").alias("subject"), at.alias("at"))
-    events = events.union(shut.select(F.lit("reauth-required"), "stream", "at"))
-    events.write.mode("overwrite").parquet(f"{path}/activity/{name}")
-    if handlers is not None:
+    events.union(shut.select(F.lit("reauth-required"), "stream", "at")).write.parquet(f"{path}/activity/{attempt}")
+    if passes.commit(name, attempt) == attempt and handlers is not None:
         kept.foreach(lambda r: handlers.handle(r.asDict().get("operation_id") or r.asDict().get("table_name"), r.asDict(recursive=True)))
-    return answers
+    return passes.table("answers", ANSWERS, name)
 
 
 def follow(journal_path: str, schema: str, send: Send, path: str, spark: SparkSession, stream: str | None = None):

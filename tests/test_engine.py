@@ -351,6 +351,51 @@ def test_upload_stops_where_the_server_does(spark, tmp_path):
     assert sorted(calls(last)) == ["c", "d", "f", "g"] and one_pass(spark, df, recorder(last), path, "p3", "user").count() == 0
 
 
+def test_an_epoch_that_runs_again_keeps_its_answers(spark, tmp_path):
+    from tamarack.streaming.upload import acknowledged, letters, one_pass
+
+    path, called = str(tmp_path / "out"), tmp_path / "called"
+    called.mkdir()
+    df = spark.createDataFrame(writes([("a", 1, 1, "u"), ("b", 2, 2, "u"), ("c", 3, 3, "u"), ("d", 4, 4, "u")]), WRITES)
+    first = one_pass(spark, df, recorder(called, b=422, c=503), path, "pass-0", "user").collect()
+    again = one_pass(spark, df, recorder(called), path, "pass-0", "user").collect()  # as Spark does after a failure
+    assert sorted(first) == sorted(again) and calls(called) == ["a", "b", "c"]
+    assert {tuple(r) for r in acknowledged(spark, path).collect()} == {("a", "ok"), ("b", "reject")}
+    assert [r["id"] for r in letters(spark, path).collect()] == ["b"]
+    one_pass(spark, df, recorder(called), path, "pass-1", "user")
+    assert calls(called) == ["a", "b", "c", "c", "d"] and acknowledged(spark, path).count() == 4
+
+
+@pytest.mark.parametrize("dies_at", ["answers", "acks", "letters", "latch", "activity", "epochs"])
+def test_a_pass_killed_after_any_write_acknowledges_everything_once(spark, tmp_path, monkeypatch, dies_at):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tamarack.sources.commits import Folder
+    from tamarack.streaming.upload import acknowledged, letters, one_pass, shut_streams
+
+    path, called = str(tmp_path / "out"), tmp_path / "called"
+    called.mkdir()
+    df = spark.createDataFrame(writes([("a", 1, 1, "u"), ("b", 2, 2, "u"), ("c", 3, 3, "v")]), WRITES)
+    parquet, create = DataFrameWriter.parquet, Folder.create
+
+    def dying(self, where, *more, **options):
+        parquet(self, where, *more, **options)
+        if f"/{dies_at}/" in where:
+            raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", dying)
+        if dies_at == "epochs":
+            m.setattr(Folder, "create", lambda self, *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            one_pass(spark, df, recorder(called, b=422, c=401), path, "pass-0", "user")
+    assert Folder.create is create and acknowledged(spark, path).count() == 0 and shut_streams(spark, path).count() == 0
+    one_pass(spark, df, recorder(called, b=422, c=401), path, "pass-0", "user")
+    assert sorted(tuple(r) for r in acknowledged(spark, path).collect()) == [("a", "ok"), ("b", "reject")]
+    assert [r["id"] for r in letters(spark, path).collect()] == ["b"] and [r[0] for r in shut_streams(spark, path).collect()] == ["v"]
+    assert sorted(calls(called)) == ["a", "a", "b", "b", "c", "c"]  # sent again under the same keys
+
+
 def test_upload_stream_retries_what_it_left(spark, tmp_path):
     from tamarack.streaming.upload import acknowledged, follow
 
@@ -374,7 +419,7 @@ def test_composed_writes_are_one_append(spark, tmp_path):
     assert got["tenant_id"] == "t9" and got["name"] == "n" and len(got["id"]) == 36
     assert e.run("POST", "/api/tags?x=1", {"tenantId": "no", "name": "n"}).first()["id"] == got["id"]  # the same request: the same answer
     assert e.run("PUT", "/api/tags/1", {"name": "new"}).first()["name"] == "new"
-    assert e.run("DELETE", "/api/tags/1").first()["name"] == "b"
+    assert e.run("DELETE", "/api/tags/1").first()["name"] == "new"  # the row that goes, as the update before has left it
     for method, url in (("DELETE", "/api/tags"), ("PUT", "/api/tags")):
         with pytest.raises(mutations.MutationError):
             e.run(method, url, {"name": "x"})
