@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tamarack.llm import neardup, substring
 from tamarack.llm.common import connected_components
 
@@ -236,3 +238,75 @@ def test_a_passage_behind_65535_words(spark):
     tail = long_words(60, 8001)
     rows = [(1, " ".join(tail)), (2, " ".join(long_words(70_000, 8002) + tail + long_words(5, 8003)))]
     assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in substring.repeated_passages(spark, documents(spark, rows)).collect()] == [(2, 70_000, 70_060)]
+
+
+def exact_words(docs, least=50):
+    """Words of each document that lie in a run of 50 words which a smaller document holds."""
+    seen, out = set(), {}
+    for i, words in sorted(docs.items()):
+        own = [tuple(words[k : k + least]) for k in range(len(words) - least + 1)]
+        out[i] = {k + j for k, run in enumerate(own) if run in seen for j in range(least)}
+        seen.update(own)
+    return out
+
+
+def found_words(rows, exact=None):
+    out = {}
+    for r in rows:
+        if exact is None or r["exact"] == exact:
+            out.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    return out
+
+
+def test_pieces_in_other_order_are_no_passage(spark):
+    w = long_words(100, 7)
+    other = [long_words(20, 50 + i) for i in range(4)]
+    one = sum((other[i] + w[s : s + 30] for i, s in enumerate((70, 46, 23, 0))), [])
+    df = documents(spark, [(1, " ".join(one)), (2, " ".join(long_words(50, 91) + w + long_words(50, 92)))])
+    assert substring.repeated_passages(spark, df).count() == 0
+    assert {r["doc_id"]: len(r["text"].split()) for r in substring.substring_dedup(spark, df).collect()} == {1: 200, 2: 200}
+
+
+def test_an_edit_at_every_place_of_a_short_passage_is_found(spark):
+    rows = []
+    for place in range(50):
+        w = long_words(50, 1000 + place)
+        edited = w[:place] + ["edited"] + w[place + 1 :]
+        rows += [(2 * place, " ".join(long_words(30, 2000 + place) + w + long_words(30, 3000 + place))), (2 * place + 1, " ".join(long_words(40, 4000 + place) + edited + long_words(20, 5000 + place)))]
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark, documents(spark, rows)).collect()}
+    assert sorted(got) == [2 * p + 1 for p in range(50)]  # 49 of 50 words stay in order, wherever the edit lies
+    for r in got.values():  # nothing outside of the passage, at most an edited end is left
+        assert 40 <= r["start_word"] <= 45 and 85 <= r["end_word"] <= 90 and not r["exact"]
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_texts_of_shuffled_pieces_equal_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pieces = [long_words(rng.randint(8, 90), 100 * seed + i) for i in range(14)]
+    docs = {}
+    for i in range(40):
+        words = []
+        for _ in range(rng.randint(1, 7)):
+            piece = list(rng.choice(pieces))
+            if rng.random() < 0.3:
+                piece[rng.randrange(len(piece))] = f"e{rng.random()}"
+            if rng.random() < 0.15:
+                del piece[rng.randrange(len(piece))]
+            words += piece + (long_words(rng.randint(1, 30), rng.randrange(10**6)) if rng.random() < 0.5 else [])
+        docs[i] = words
+    rows = substring.repeated_passages(spark, documents(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()
+    want, got = exact_words(docs), found_words(rows)
+    for i in docs:
+        assert want[i] <= got.get(i, set())  # every word of a run that an earlier document holds
+        if not want[i] and i not in {r["doc_id"] for r in rows if not r["exact"]}:
+            assert i not in got
+    shingles_of = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for r in rows:
+        own = docs[r["doc_id"]][r["start_word"] : r["end_word"]]
+        if r["exact"]:
+            assert set(range(r["start_word"], r["end_word"])) <= want[r["doc_id"]]
+        else:  # four fifths of what is cut are shingles of earlier documents
+            earlier = set().union(*(shingles_of(docs[k]) for k in docs if k < r["doc_id"]))
+            assert len(shingles_of(own) & earlier) >= 0.8 * len(shingles_of(own)) and len(own) >= 45
