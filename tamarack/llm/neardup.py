@@ -181,7 +181,7 @@ def _classes(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> t
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot <> last")
     shared = Scratch(spark, bands.join(buckets.drop("last"), "key").distinct(), "buckets")
     needed = shared.df.select("node").distinct().join(own.select("node", "doc_id", "own"), "node")
-    texts = docs.join(needed, "doc_id").select("node", "hash", "own", "text")
+    texts = docs.join(needed.withColumn("hash", F.col("own")), ["doc_id", "hash"]).select("node", "hash", "own", "text")  # by text, so that rows of one id meet their own class alone
     sets = Scratch(spark, texts.mapInArrow(_sets(size), "node long, words binary").dropDuplicates(["node"]), "sets", "none")
 
     def confirmed(pairs: DataFrame) -> DataFrame:

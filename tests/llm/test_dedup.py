@@ -310,3 +310,9 @@ def test_texts_of_shuffled_pieces_equal_brute_force(spark, seed):
         else:  # four fifths of what is cut are shingles of earlier documents
             earlier = set().union(*(shingles_of(docs[k]) for k in docs if k < r["doc_id"]))
             assert len(shingles_of(own) & earlier) >= 0.8 * len(shingles_of(own)) and len(own) >= 45
+
+
+def test_many_texts_of_one_id_join_once_each(spark):
+    rows = [(7, f"common words of text {i} " + " ".join(long_words(12, i // 2))) for i in range(3000)]
+    out = neardup.components(spark, documents(spark, rows), size=2, percent=80)
+    assert {tuple(r) for r in out.select("doc_id", "component_id", "kept").distinct().collect()} == {(7, 7, True)} and out.count() == 3000
