@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -225,6 +226,19 @@ class Engine:
         return journal.entry(request, method, path, body, now, entity.table, row_id, steps), columns
 
 
+class Written(NamedTuple):
+    """What a write answers: its rows and how many there are; none of either for a request that nobody handles."""
+
+    rows: list[dict]
+    rows_affected: int
+
+
+def written(answer: DataFrame | None) -> Written:
+    """The answer of a write read once; an update or delete of a row that isn't there affects none."""
+    rows = [] if answer is None else [r.asDict(recursive=True) for r in answer.collect()]
+    return Written(rows, len(rows))
+
+
 def metadata_of(method: str, url: str, operation: str, body: object = None) -> str:
     """A write's metadata: method, path with its query string, operation and body, if there is one."""
     import json

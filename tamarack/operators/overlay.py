@@ -167,6 +167,21 @@ class Overlay:
         log, ids = self.mutations(table, version, row_id, more), self._ids(table, row_id)
         return bool((ids if log is None else folded(log, ids).filter("alive")).head(1))
 
+    def affected(self, table: str, version: int) -> DataFrame:
+        """(op, rows): how many rows of ``table`` the commit ``version`` has made, changed or taken away; what it finds in no row counts nothing.
+
+        The two versions are read at the ids that the commit names alone.
+        """
+        asked = journal.committed(self.spark, self.log, version - 1, version).filter(F.col("table_name") == table).select(F.col("row_id").alias("_id")).distinct()
+
+        def at(v: int, flag: str) -> DataFrame:
+            own = self.table(table, v)
+            return own.join(asked, F.col("id").cast("string") == F.col("_id"), "left_semi").select(F.col("id").cast("string").alias("_id"), F.lit(True).alias(flag))
+
+        both = asked.join(at(version - 1, "was"), "_id", "left").join(at(version, "stays"), "_id", "left")
+        op = F.when(F.col("was").isNull(), "insert").when(F.col("stays").isNull(), "delete").otherwise("update")
+        return both.filter("was or stays").groupBy(op.alias("op")).agg(F.count("*").alias("rows"))
+
     def compact(self) -> int:
         """Write a snapshot of everything committed so far and roll the commits' files into one; returns the version.
 

@@ -13,10 +13,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.naming import LOWER, UPPER, checked, to_camel, to_snake
 from ..sources.catalog import Catalog, shared_folder
 from ..sources.declarations import hole, segments
+from . import bands
 from .params import names_in
 from .routing import Resolved
 
@@ -55,8 +57,10 @@ def compose(catalog: Catalog, resolved: Resolved) -> tuple[str, dict[str, object
         m = _JOIN.match(text)
         if not m:
             raise ValueError(f"not a join clause: {text!r}")
-        used[m[2]] = catalog[m[2]]
-        joins.append(f"{m[1]} {{{m[2]}}} {m[3] or m[2]} {m[4] or ''}")
+        on, name = m[4] or "", m[3] or m[2]
+        used[m[2]] = used[m[2]] if m[2] in used else catalog[m[2]]
+        on = _banded(used, root, m[1], m[2], name, on)
+        joins.append(f"{m[1]} {{{m[2]}}} {name} {on}")
     dot = f"{root}." if joins else ""
     if route and route.select:
         items = [route.select]
@@ -90,6 +94,24 @@ def compose(catalog: Catalog, resolved: Resolved) -> tuple[str, dict[str, object
     return sql, args, used, own is not None
 
 
+def _banded(used: dict[str, DataFrame], root: str, how: str, table: str, name: str, on: str) -> str:
+    """The clause of an inner join; where it is a band between the root and this table, both get bins and the clause compares these too."""
+    band = bands.clause(on)
+    if band is None or table == root or " ".join(how.upper().split()) not in ("JOIN", "INNER JOIN"):
+        return on
+    sides = bands.aliases(band[0]), bands.aliases(*band[1:])
+    if sides not in (({root}, {name}), ({name}, {root})) or any(c in used[t].columns for t in (root, table) for c in (bands.LEVEL, bands.BIN)):
+        return on
+    frames = {root: used[root].alias(root), name: used[table].alias(name)}
+    point, interval = next(iter(sides[0])), next(iter(sides[1]))
+    kinds = [frames[t].select(F.expr(e)).schema[0].dataType for t, e in ((point, band[0]), (interval, band[1]), (interval, band[2]))]
+    if not all(isinstance(k, NumericType) for k in kinds):
+        return on
+    got = bands.binned(frames[point], F.expr(band[0]), frames[interval], F.expr(band[1]), F.expr(band[2]))
+    used[root], used[table] = got if point == root else got[::-1]
+    return f"{on} AND {root}.{bands.LEVEL} = {name}.{bands.LEVEL} AND {root}.{bands.BIN} = {name}.{bands.BIN}"
+
+
 def read(catalog: Catalog, resolved: Resolved) -> tuple[DataFrame, bool]:
     """The rows a GET means, and whether it means one row (then at most one comes)."""
     sql, args, used, single = compose(catalog, resolved)

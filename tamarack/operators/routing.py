@@ -82,6 +82,9 @@ def resolve_operation(operations: Sequence, method: str, url: str) -> tuple[obje
     return (op, params) if status == MATCHED else None
 
 
+_HOLE = r"(?s)^\{(.+)\}$"
+
+
 def split_path(path: Column) -> Column:
     """Non-empty segments of a path, without its query string."""
     return F.filter(F.split(F.regexp_extract(path, r"^[^?#]*", 0), "/"), lambda s: s != "")
@@ -128,6 +131,37 @@ def match_batch(requests: DataFrame, routes: Sequence[tuple[str, str, str]], met
     return out.withColumn("params", F.when(one, F.map_from_entries(pairs))).drop("_found", "_parts")
 
 
+def match_table(requests: DataFrame, routes: DataFrame, method: str = "method", path: str = "path", decode: bool = False) -> DataFrame:
+    """:func:`match_batch` with the routes in a table (method, path, target), however many there are.
+
+    A request meets only routes that have its segments where they have no holes: it asks once for each shape (method, size, places of
+    holes) that routes of its method and size have, by an equi-join on the literal segments. Each (method, path) is matched once.
+    """
+    own = F.filter(F.split("path", "/"), lambda s: s != "")
+    names = F.transform(own, lambda s: F.regexp_extract(s, _HOLE, 1))
+    pattern = F.array_join(F.transform(names, lambda n: F.when(n == "", "0").otherwise("1")), "")
+    literal = F.array_join(F.transform(F.arrays_zip(own.alias("s"), names.alias("n")), lambda z: F.when(z["n"] == "", z["s"]).otherwise("")), "/")
+    table = routes.select(F.upper("method").alias("_m"), pattern.alias("_pattern"), literal.alias("_literal"), names.alias("_names"), F.col("path").alias("route_path"), "target")
+    shapes = table.select("_m", "_pattern").distinct().withColumn("_n", F.length("_pattern"))
+    raw = split_path(F.col("_path"))
+    asked = requests.select(F.upper(method).alias("_m"), F.col(path).alias("_path")).distinct()
+    asked = asked.withColumn("_parts", F.transform(raw, decode_column) if decode else raw).withColumn("_n", F.size("_parts"))
+    tried = asked.join(shapes, ["_m", "_n"])
+    masked = F.transform("_parts", lambda s, i: F.when(F.substr(F.col("_pattern"), i + 1, F.lit(1)) == "0", s).otherwise(""))
+    found = tried.withColumn("_literal", F.array_join(masked, "/")).join(table, ["_m", "_pattern", "_literal"])
+    one = F.struct("target", "route_path", "_names", "_parts")
+    per = found.groupBy("_m", "_path", "_pattern").agg(F.count("*").alias("_count"), F.min(one).alias("_route"))
+    best = per.groupBy("_m", "_path").agg(F.min(F.struct("_pattern", "_count", "_route")).alias("_best"))
+    alone = F.col("_best._count") == 1
+    pairs = F.filter(F.arrays_zip(F.col("_best._route._names").alias("n"), F.col("_best._route._parts").alias("v")), lambda z: z["n"] != "")
+    best = best.select(
+        "_m", "_path", F.when(alone, MATCHED).otherwise(AMBIGUOUS).alias("status"), F.when(alone, F.col("_best._route.target")).alias("target"),
+        F.when(alone, F.col("_best._route.route_path")).alias("route_path"), F.when(alone, F.map_from_entries(pairs)).alias("params"),
+    )
+    out = requests.withColumn("_m", F.upper(method)).withColumn("_path", F.col(path)).join(best, ["_m", "_path"], "left").drop("_m", "_path")
+    return out.withColumn("status", F.coalesce("status", F.lit(NOT_FOUND))).select(*requests.columns, "status", "target", "route_path", "params")
+
+
 def prefix_batch(requests: DataFrame, prefixes: Mapping[str, str], path: str = "path") -> DataFrame:
     """``requests`` with (table, prefix, id, collection) by the longest prefix: no further segment is the collection, one is a decoded id, more are nothing."""
     parts = split_path(F.col(path))

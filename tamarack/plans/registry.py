@@ -107,6 +107,16 @@ def _(cat):
     return get(cat, "/api/sales/pairs")
 
 
+@query("Q82_band_join", 'SELECT purchase.id AS id, item.id AS "itemId" FROM purchase JOIN item ON purchase.total_price BETWEEN item.retail_price * 100 AND item.retail_price * 100 + item.pack_size')
+def _(cat):
+    """A declared band between two tables becomes an equi-join on levels and bins."""
+    own = load(
+        "entities: {purchase: [{path: /bands, method: GET, select: 'purchase.id AS id, item.id AS itemId', "
+        "joins: ['JOIN item ON purchase.total_price BETWEEN item.retail_price * 100 AND item.retail_price * 100 + item.pack_size']}]}"
+    )
+    return reads.read(cat, routing.resolve(own, "GET", "/bands"))[0]
+
+
 @query("Q10_nested_empty", "SELECT id, name, '[]' AS countries FROM area")
 def _(cat):
     return as_json(get(cat, "/api/geo/bare-areas"), "countries")
@@ -148,6 +158,25 @@ def _(cat):
     return routing.match_batch(cat["request_log"], routes).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def many_routes(cat: Catalog) -> DataFrame:
+    """Routes from tables: one for each client's path with its id spelled out, two with holes, one of them twice."""
+    own = cat["client"].select(F.lit("get").alias("method"), F.concat(F.lit("/api/catalog/items/"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("client-"), F.col("id").cast("string")).alias("target"))
+    rest = cat.spark.createDataFrame([("GET", "/api/catalog/items", "list"), ("PUT", "/api/catalog/items/{id}", "put"), ("GET", "/api/catalog/items/{id}", "get"), ("PATCH", "/api/catalog/{kind}/{id}", "a"), ("PATCH", "/api/catalog/{type}/{id}", "b")], "method string, path string, target string")
+    return own.union(rest)
+
+
+@query(
+    "Q83_routes_from_tables",
+    f"SELECT request_id, CASE WHEN {_ITEM_ID} AND method = 'PATCH' THEN 'Ambiguous' WHEN {_ITEM_ID} AND method IN ('GET', 'PUT') OR NOT ({_ITEM_ID}) AND method = 'GET' THEN 'Matched' ELSE 'NotFound' END AS status, "
+    f"CASE WHEN NOT ({_ITEM_ID}) THEN CASE method WHEN 'GET' THEN 'list' END WHEN method = 'PUT' THEN 'put' WHEN method = 'GET' THEN coalesce('client-' || client.id, 'get') END AS target, "
+    f"CASE WHEN {_ITEM_ID} AND (method = 'PUT' OR method = 'GET' AND client.id IS NULL) THEN split_part(path, '/', 5) END AS id FROM request_log LEFT JOIN client ON split_part(path, '/', 5) = client.id::varchar",
+)
+def _(cat):
+    """As many routes as clients: literal segments win over holes, two equal shapes are ambiguous."""
+    out = routing.match_table(cat["request_log"], many_routes(cat))
+    return out.select("request_id", "status", "target", F.try_element_at("params", F.lit("id")).alias("id"))
+
+
 @query("Q16_cache_flags", f"SELECT request_id, method <> 'GET' AS is_write, path = '/api/catalog/items/7' AS is_always_online, {_ITEM_ID} OR path = '/api/catalog/items' AS of_module, method <> 'GET' OR path LIKE '/api/catalog/items%' AS is_forbidden FROM request_log")
 def _(cat):
     flags = routing.cache_flags(cat["request_log"], ["/api/catalog/items/7"], ["/api/catalog/items"])
@@ -779,6 +808,37 @@ def _(cat):
     return streamed(cat, rows, lambda live: guards.latch_stream(live, "client_id")).select("seq", "blocked")
 
 
+@query("Q84_recent_stream", "SELECT client_id, request_id AS seq, method AS value FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY request_id DESC) AS nth FROM request_log) WHERE nth <= 5")
+def _(cat):
+    """The five latest requests of each client, held by a stream over all of them in several batches."""
+    rows = cat["request_log"].select("client_id", "request_id", "method").repartitionByRange(6, F.pmod(F.xxhash64("request_id"), F.lit(1000)))
+    path = f"{shared_folder(cat.spark)}/changes-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/in")
+    before = cat.spark.conf.get(_STORE, None)
+    cat.spark.conf.set(_STORE, guards.PROVIDER)
+    try:
+        live = cat.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        changes = guards.recent_stream(live, "client_id", "request_id", "method", 5)
+        keep = lambda batch, n: batch.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{path}/out/n={n}")
+        changes.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        cat.spark.conf.unset(_STORE) if before is None else cat.spark.conf.set(_STORE, before)
+    return guards.held_rows(cat.spark.read.parquet(f"{path}/out"), "client_id").select("client_id", "seq", "value")
+
+
+@query("Q85_rows_affected", "SELECT 'update' AS op, count(*)::bigint AS rows FROM item WHERE id IN (SELECT client_id % 20 FROM request_log WHERE method = 'PUT') UNION ALL SELECT 'delete', count(*) FROM item WHERE id IN (SELECT 20 + client_id % 20 FROM request_log WHERE method = 'DELETE')")
+def _(cat):
+    """What one commit of all updates and deletes has found in the table; ids that aren't there count nothing."""
+    own = marked(cat)
+    text = lambda c: F.col(c).cast("string")
+    gone = F.col("method") == "DELETE"
+    row_id = (F.col("client_id") % 20 + F.when(gone, 20).otherwise(0)).cast("string")
+    step = F.struct(F.when(gone, "delete").otherwise("update").alias("op"), F.when(gone, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("brand"), F.lit("x"))).alias("set"))
+    rows = cat["request_log"].filter(F.col("method").isin("PUT", "DELETE")).select(text("request_id").alias("id"), "method", "path", F.lit(None).cast("string").alias("body"), text("requested_at").alias("created_at"), F.lit("item").alias("table_name"), row_id.alias("row_id"), F.array(step).alias("steps"))
+    over = Overlay(own, CommitLog(cat.spark, f"{shared_folder(cat.spark)}/journal-{uuid.uuid4().hex}"))
+    return over.affected("item", journal.append_table(rows, over.log))
+
+
 @query("Q69_activity_stream", "SELECT CASE WHEN method = 'GET' THEN 'request-handled' ELSE 'local-write' END AS type, count(*)::bigint AS n FROM request_log GROUP BY 1")
 def _(cat):
     """Activity rows reach a subscriber batch by batch."""

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the duplicate guard and the session latch.
+"""Structured Streaming forms of the duplicate guard, the session latch and the bounded activity list.
 
 Each key holds one number (the time of its last request that passed) in RocksDB state. A timer takes it away when the
 watermark has left the window behind, so the guard's state is bounded by the requests of that time and not by history; the
@@ -7,12 +7,15 @@ latch keeps one flag for each stream.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from ..operators.activity import KEPT
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,6 +73,58 @@ class Latch(StatefulProcessor):
         pass
 
 
+class Recent(StatefulProcessor):
+    """Holds the ``most`` latest rows of each key and tells what comes and goes."""
+
+    def __init__(self, most: int, names: list[str]) -> None:
+        self.most, self.names = most, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getMapState("rows", StructType([StructField("seq", LongType())]), StructType([StructField("value", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = {k[0]: v[0] for k, v in self.rows.iterator()}
+        held = dict(before)
+        heap = list(held)
+        heapq.heapify(heap)
+        for r in rows:  # at most ``most`` rows are held, however many come
+            seq = r["seq"]
+            if seq in held:
+                held[seq] = r["value"]
+            elif len(heap) < self.most:
+                heapq.heappush(heap, seq)
+                held[seq] = r["value"]
+            elif seq > heap[0]:
+                held.pop(heapq.heappushpop(heap, seq))
+                held[seq] = r["value"]
+        for seq in sorted(before.keys() - held.keys()):
+            self.rows.removeKey((seq,))
+            yield Row(*self.names)(*key, seq, before[seq], False)
+        for seq in sorted(s for s in held if held[s] != before.get(s) or s not in before):
+            self.rows.updateValue((seq,), (held[seq],))
+            yield Row(*self.names)(*key, seq, held[seq], True)
+
+    def close(self) -> None:
+        pass
+
+
+def recent_stream(events: DataFrame, key: str, seq: str, value: str, most: int = KEPT) -> DataFrame:
+    """(key, seq, value, held) of a stream: rows that come among the ``most`` latest of their key (held) and rows that are no longer (not held), batch by batch.
+
+    What a key holds after any number of batches is what :func:`~tamarack.operators.activity.recent` takes of all its rows. A row of a ``seq``
+    that is held already takes its place; rows without ``seq`` are left out.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(key, F.col(seq).cast("long").alias("seq"), F.col(value).cast("string").alias("value")).filter("seq is not null")
+    return rows.groupBy(key).transformWithState(Recent(most, [key, "seq", "value", "held"]), f"{key} {kind}, seq long, value string, held boolean", "append", "none")
+
+
+def held_rows(changes: DataFrame, key: str) -> DataFrame:
+    """(key, seq, value) that are held after the ``changes`` (with ``batch``, their order) of :func:`recent_stream`."""
+    last = changes.groupBy(key, "seq").agg(F.max_by(F.struct("value", "held"), "batch").alias("r"))
+    return last.filter("r.held").select(key, "seq", "r.value")
+
+
 def guard_stream(requests: DataFrame, keys: list[str], at: str, seq: str, window_us: int, late: str = "1 hour") -> DataFrame:
     """(keys..., seq, us) of requests that pass, from a stream; needs the RocksDB provider.
 

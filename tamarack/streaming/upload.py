@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import replay
@@ -104,33 +106,78 @@ def resume(spark: SparkSession, path: str, streams: DataFrame | None = None) ->
     rows.select("stream", F.lit(at).alias("at"), F.lit(False).alias("shut")).write.parquet(f"{path}/opened/open-{at}-{uuid.uuid4().hex}")
 
 
-def _deliver(send: Send):
+def _deliver(send: Send, streams: int, waiting: int):
+    """Answers of a partition's requests. Up to ``streams`` requests are out at a time, one of each stream, so a slow stream keeps nobody else waiting.
+
+    Rows come by their place in their stream, all first ones first; what has to wait for the answer before it is held, ``waiting`` rows at most.
+    """
+
+    def attempt(r) -> tuple[int | None, str]:
+        if r.send_method is None:
+            return None, replay.REJECT
+        status = send(r.send_method, r.url, r.send_body, dict(r.headers or {}))
+        return status, replay.kind_of(status)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stopped = None  # rows of a stream come together and in order
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.stream == stopped:
-                    continue
-                if r.send_method is None:
-                    status, kind = None, replay.REJECT
-                else:
-                    status = send(r.send_method, r.url, r.send_body, dict(r.headers or {}))
-                    kind = replay.kind_of(status)
-                if kind in (replay.RETRY, replay.REAUTH):
-                    stopped = r.stream
-                out.append((r.stream, r.tx_id, r.seq, r.id, status, kind))
-            df = pd.DataFrame(out, columns=["stream", "tx_id", "seq", "id", "http_status", "kind"])
-            yield df.astype({"http_status": "Int32"})
+        queues: dict[str, deque] = {}  # of streams with a request out
+        flying: dict[Future, object] = {}
+        stopped: set[str] = set()
+        held = 0
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["stream", "tx_id", "seq", "id", "http_status", "kind"]).astype({"http_status": "Int32"})
+
+        with ThreadPoolExecutor(streams) as pool:
+
+            def launch(r) -> None:
+                flying[pool.submit(attempt, r)] = r
+
+            def land() -> list[tuple]:
+                """Wait for an answer or more; the streams they belong to go on."""
+                nonlocal held
+                out = []
+                for done in wait(flying, return_when=FIRST_COMPLETED)[0]:
+                    r = flying.pop(done)
+                    status, kind = done.result()
+                    out.append((r.stream, r.tx_id, r.seq, r.id, status, kind))
+                    queue = queues[r.stream]
+                    if kind in (replay.RETRY, replay.REAUTH):
+                        stopped.add(r.stream)
+                        held -= len(queue)
+                        queue.clear()
+                    if queue:
+                        held -= 1
+                        launch(queue.popleft())
+                    else:
+                        del queues[r.stream]
+                return out
+
+            for batch in batches:
+                out: list[tuple] = []
+                for r in batch.itertuples(index=False):
+                    while r.stream not in stopped and (held >= waiting if r.stream in queues else len(flying) >= streams):
+                        out += land()
+                    if r.stream in stopped:
+                        continue
+                    if r.stream in queues:
+                        queues[r.stream].append(r)
+                        held += 1
+                    else:
+                        queues[r.stream] = deque()
+                        launch(r)
+                yield frame(out)
+            while flying:
+                yield frame(land())
 
     return run
 
 
-def one_pass(spark: SparkSession, writes: DataFrame, send: Send, path: str, name: str, stream: str | None = None, token: str | None = None, base: str | None = None, handlers: replay.ErrorHandlers | None = None) -> DataFrame:
+def one_pass(spark: SparkSession, writes: DataFrame, send: Send, path: str, name: str, stream: str | None = None, token: str | None = None, base: str | None = None, handlers: replay.ErrorHandlers | None = None, at_once: int = 16, waiting: int = 10_000) -> DataFrame:
     """Send what is pending once and write what came of it; returns the answers (see ANSWERS). ``name`` is the epoch.
 
     ``writes`` has (id, tx_id, seq) and the columns of :func:`replay.request_of`; ``stream`` names the column that parts independent
-    uploaders, each of which is sent in order by one task. ``handlers`` hear of every rejected write, in the executors.
+    uploaders, each of which is sent in order by one task, with one request out at a time; a task has requests of up to ``at_once`` streams out and
+    holds up to ``waiting`` rows whose stream isn't ready, so ``send`` is called from several threads. Without ``stream`` all writes are one stream and go through one task. ``handlers`` hear of every rejected write, in the executors.
     """
     passes = Passes(spark, path)
     if passes.attempt_of(name) is not None:
@@ -141,8 +188,9 @@ def one_pass(spark: SparkSession, writes: DataFrame, send: Send, path: str, name
     rows = rows.join(shut_streams(spark, path), "stream", "left_anti")
     rows = replay.request_of(replay.send_once(rows, key="id"), token, base=base)
     rows = rows.select("stream", "tx_id", "seq", "id", "send_method", "url", "send_body", "headers")
-    ready = rows.repartition("stream").sortWithinPartitions("stream", "tx_id", "seq")
-    ready.mapInPandas(_deliver(send), ANSWERS).write.parquet(f"{path}/answers/{attempt}")
+    place = F.row_number().over(Window.partitionBy("stream").orderBy("tx_id", "seq"))
+    ready = rows.withColumn("_place", place).repartition("stream").sortWithinPartitions("_place", "stream").drop("_place")
+    ready.mapInPandas(_deliver(send, at_once, waiting), ANSWERS).write.parquet(f"{path}/answers/{attempt}")
     answers = spark.read.schema(ANSWERS).parquet(f"{path}/answers/{attempt}")
     stops = answers.filter(F.col("kind").isin(replay.RETRY, replay.REAUTH)).select("stream", F.col("tx_id").alias("stop"), F.col("kind").alias("why"))
     # a transaction with a stop in it waits as a whole

@@ -490,3 +490,63 @@ def test_structure_file_and_activity(spark, tmp_path):
     e = spark.createDataFrame([activity.event("local-write", "2026", table="t"), activity.event("replay", "2027")], "type string, at string, detail map<string, string>")
     assert activity.recent(e, "at", 1).first()["type"] == "replay" and activity.counts_by_type(e).count() == 2
     assert dict(activity.typed(spark.createDataFrame([("1", "5", "7")], "id string, code string, created_at string")).dtypes) == {"id": "string", "code": "int", "created_at": "bigint"}
+
+
+def test_band_joins_equal_a_nested_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    points = [(i, rng.choice([None, float("nan"), 0.0, -5.5]) if i % 20 == 0 else rng.uniform(-100, 100) * 10 ** rng.randint(-3, 3)) for i in range(300)]
+    spans = [(i, *([None, 1.0] if i % 30 == 0 else sorted((p := rng.choice(points)[1] or 1.0, p + rng.choice([0, 1e-9, 1, -20, 5e4])))[:: -1 if i % 29 == 0 else 1])) for i in range(200)] + [(900, -1e9, 1e9), (901, 0.0, 0.0)]
+    c = Catalog(spark, {"p": spark.createDataFrame(points, "id long, v double"), "s": spark.createDataFrame(spans, "id long, lo double, hi double")})
+    decl = d.load("entities: {p: [{path: /b, method: GET, joins: ['JOIN s ON p.v BETWEEN s.lo AND s.hi'], select: 'p.id AS a, s.id AS b'}], s: [{path: /r, method: GET, joins: ['INNER JOIN p t ON t.v BETWEEN s.lo AND s.hi'], select: 't.id AS a, s.id AS b'}]}")
+    spark.sql("select 1")
+    want = {tuple(r) for r in spark.sql("SELECT p.id, s.id FROM {p} p JOIN {s} s ON p.v BETWEEN s.lo AND s.hi WHERE NOT isnan(p.v) AND NOT isnan(s.lo) AND NOT isnan(s.hi)", p=c["p"], s=c["s"]).collect()}
+    for url in ("/b", "/r"):
+        df = reads.read(c, routing.resolve(decl, "GET", url))[0]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        rows = [tuple(r) for r in df.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    other = d.load("entities: {p: [{path: /b, method: GET, joins: ['LEFT JOIN s ON p.v BETWEEN s.lo AND s.hi'], select: 'p.id AS a, s.id AS b'}]}")
+    assert reads.read(c, routing.resolve(other, "GET", "/b"))[0].select("a").distinct().count() == 300
+
+
+def test_routes_in_a_table_equal_routes_in_the_plan(spark):
+    routes = [("get", "/a/{x}", "ax"), ("GET", "/a/b", "ab"), ("GET", "/{y}/b", "yb"), ("POST", "/a/{x}/c", "axc"), ("POST", "/a/{z}/c", "azc"), ("GET", "/", "root"), ("GET", "/{}/b", "braces"), ("GET", "/a/{x}/{y}/d", "deep")]
+    asked = [("GET", p) for p in ("/a/b", "/a/q", "//a//q/", "/x/b", "/{}/b", "/", "", "/a/1/2/d", "/a/1/2/e", "/A/q?x=/b", None)] + [("post", "/a/1/c"), (None, "/a/b"), ("GET", "/%61/b"), ("GET", "/a/q")]
+    df = spark.createDataFrame([(i, m, p) for i, (m, p) in enumerate(asked)], "i int, method string, path string")
+    table = spark.createDataFrame(routes, "method string, path string, target string")
+    for decode in (False, True):
+        one, two = (f(df, r, decode=decode).select("i", "status", "target", "route_path", F.to_json("params").alias("p")).orderBy("i").collect() for f, r in ((routing.match_batch, routes), (routing.match_table, table)))
+        assert one == two
+
+
+def test_a_slow_stream_keeps_nobody_waiting(spark, tmp_path):
+    import time
+
+    from tamarack.streaming.upload import acknowledged, one_pass
+
+    rows = [(f"s{u}-{i}", u * 100 + i, i, f"u{u}") for u in range(6) for i in range(5)]
+    df = spark.createDataFrame([(i, t, q, u, i, "POST", f"/{i}", None, "", "{}", "op") for i, t, q, u in rows], WRITES).coalesce(1)
+    called = tmp_path / "called"
+    called.mkdir()
+
+    def send(method, url, body, headers):
+        time.sleep(0.4 if url.startswith("/s0") else 0.1)
+        (called / f"{time.time_ns()}-{url[1:]}").write_text("")
+        return 503 if url == "/s1-2" else 200
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        began = time.time()
+        answers = one_pass(spark, df, send, str(tmp_path / "out"), "p", "user", waiting=4)
+        took = time.time() - began
+        answers = answers.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = calls(called)
+    for u in range(6):  # order inside a stream, up to its stop
+        assert [c for c in order if c.startswith(f"s{u}-")] == [f"s{u}-{i}" for i in range(3 if u == 1 else 5)]
+    assert order.index("s5-0") < order.index("s0-0") and len(answers) == 28
+    assert acknowledged(spark, str(tmp_path / "out")).count() == 27 and took < 30

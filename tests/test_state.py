@@ -210,3 +210,11 @@ def test_names_are_taken_once(spark, tmp_path):
     f = Folder(spark, str(tmp_path / "f"))
     assert f.names() == [] and f.create("a", b"1") and not f.create("a", b"2") and f.names() == ["a"] and f.read("a") == b"1"
     assert json.loads(f.read("a")) == 1 and not [p for p in (tmp_path / "f").iterdir() if p.name.startswith("_tmp")]
+
+
+def test_answers_count_their_rows(spark, tmp_path):
+    e = engine(spark, tmp_path / "j")
+    count = lambda *a: handlers.written(e.run(*a)).rows_affected
+    assert [count("PATCH", "/api/tags/1", {"name": "x"}), count("PATCH", "/api/tags/none", {"name": "x"}), count("DELETE", "/api/tags/2"), count("DELETE", "/api/tags/2"), count("POST", "/api/tags", {"name": "n"})] == [1, 0, 1, 0, 1]
+    assert handlers.written(e.run("POST", "/nowhere", {})) == ([], 0)
+    assert [[tuple(r) for r in e.overlay.affected("tag", v).collect()] for v in (1, 2, 3, 5)] == [[("update", 1)], [], [("delete", 1)], [("insert", 1)]]
