@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers, ``n`` or more, of the hashes' base and of its inverse."""
     global _pw, _ipw, _value
     if _pw is None or len(_pw) < n:
         n = max(n, _SEG + 4096)
@@ -132,7 +133,7 @@ class Words:
         while at < n:
             to = max(at + 1, int(np.searchsorted(start, start[at] + _SEG, "left")))
             lo, hi = int(start[at]), int(end[to - 1])
-            pw, ipw = _powers(hi - lo + 1)
+            pw, ipw = powers(hi - lo + 1)
             total = np.zeros(hi - lo + 1, U)
             np.cumsum(_value[data[lo:hi]] * pw[: hi - lo], out=total[1:])
             s, e = start[at:to] - lo, end[at:to] - lo
