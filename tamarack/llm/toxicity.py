@@ -3,7 +3,7 @@
 Documents carry labels, tokens do not, so a fitting step labels tokens first: in toxic documents those
 words are toxic whose document counts differ between the classes beyond chance (log-likelihood ratio).
 A two-state chain with emissions from the word, its first and its last bytes is fitted to these sequences
-(whole sentences). Forward-backward marginals give each token's probability;
+(whole sentences, however long; the cost of a token doesn't hang on its sentence). Forward-backward marginals give each token's probability;
 a logistic layer over their maximum and the sum and density of likely ones gives the document's score, and runs of likely tokens
 give offending offsets. The layer learns from marginals that a chain gives to texts it wasn't fitted to: two
 chains, each fitted to one half, score the other half; the chain that is kept is fitted to all.
@@ -27,6 +27,7 @@ from .words import U, Words, chunks, column_bytes, mix, release, shingles
 
 PER_CLASS, FIT_BYTES, ROUNDS = 1200, 4 << 20, 25
 BITS, FEATURES, PRIOR = 18, 3, -2.0
+PIECE = 64  # tokens of a sentence that are walked one by one; longer sentences are pieces whose products are linked
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -55,8 +56,13 @@ class Tokens:
         new = np.ones(n, bool)
         if n:
             new[1:] = (self.text[1:] != self.text[:-1]) | _STOP[data[w.end[:-1] - 1]]
+        self.behind = np.flatnonzero(~new)  # tokens with one before them in their sentence
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, n))
+        pieces = -(-size // PIECE)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(begin, pieces) + nth * PIECE
+        size = np.diff(np.append(begin, n))
         order = np.argsort(-size, kind="stable")
         count = len(size) - np.searchsorted(np.sort(size), np.arange(1, int(size.max() if n else 0) + 1))
         self.base = np.concatenate([[0], np.cumsum(count)])
@@ -64,6 +70,8 @@ class Tokens:
         rank[order] = np.arange(len(size))
         seq = np.repeat(np.arange(len(size)), size)
         self.at = self.base[np.arange(n) - begin[seq]] + rank[seq]  # each token's place in the layout
+        # pieces that go on a sentence, the second ones first, each with the piece before it; those are whole and come first in the layout
+        self.links = [(rank[k], rank[k - 1]) for j in range(1, int(pieces.max(initial=0))) if len(k := np.flatnonzero(nth == j))]
 
     @staticmethod
     def _bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -85,16 +93,64 @@ class Tokens:
         return out
 
 
-def forward_backward(e: np.ndarray, base: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(r, b) in layout order: forward log odds with the token's own emission, and backward log odds without it."""
+def _odds(x: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(x, -30, 30))
+
+
+def _product(e: np.ndarray, base: np.ndarray, many: int, matrix) -> np.ndarray:
+    """What the tokens behind the first of each of the first ``many`` pieces make of odds that come in, as 2 x 2 matrices; ``matrix`` gives a token's."""
+    out = None
+    for lo in base[1:PIECE]:
+        m = matrix(_odds(e[lo : lo + many]))
+        out = m if out is None else np.einsum("ijn,jkn->ikn", m, out)
+        out = out / out.max(axis=(0, 1))
+    return out
+
+
+def _through(m: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (m[0, 0, at] * x + m[0, 1, at]) / (m[1, 0, at] * x + m[1, 1, at])
+
+
+def forward_backward(e: np.ndarray, base: np.ndarray, step: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(r, b) in layout order: forward log odds with the token's own emission, and backward log odds without it.
+
+    Of sentences in several pieces (``links``) the odds that enter each piece are found first, from the products of whole pieces, so the
+    steps one after another are PIECE and the number of pieces, and not the sentence's tokens.
+    """
     (a, b), (c, d) = np.exp(step)  # from clean: to clean, to toxic; from toxic: to clean, to toxic
     r, back = e.copy(), np.zeros(len(e))
+    many = 1 + max((int(before.max()) for _, before in links), default=-1)
+    flat = lambda *rows: np.array([[np.broadcast_to(v, many) for v in row] for row in rows])
+    if links:
+        ahead = _product(e, base, many, lambda x: flat((d * x, b * x), (c, a)))
+        for piece, before in links:
+            x = _through(ahead, before, _odds(r[before]))
+            r[piece] += np.log((b + d * x) / (a + c * x))
     for lo, mid, hi in zip(base[:-2], base[1:-1], base[2:], strict=True):
-        x = np.exp(np.clip(r[lo : lo + hi - mid], -30, 30))
+        x = _odds(r[lo : lo + hi - mid])
         r[mid:hi] += np.log((b + d * x) / (a + c * x))
-    for lo, mid, hi in zip(base[:-2][::-1], base[1:-1][::-1], base[2:][::-1], strict=True):
-        x = np.exp(np.clip(e[mid:hi] + back[mid:hi], -30, 30))
-        back[lo : lo + hi - mid] = np.log((c + d * x) / (a + b * x))
+
+    def walk(width: int | None = None) -> None:
+        for lo, mid, hi in zip(base[:-2][::-1], base[1:-1][::-1], base[2:][::-1], strict=True):
+            hi = hi if width is None else min(hi, mid + width)
+            x = _odds(e[mid:hi] + back[mid:hi])
+            back[lo : lo + hi - mid] = np.log((c + d * x) / (a + b * x))
+
+    walk()
+    if links:
+        behind = None  # the same from the last token to the first
+        for lo in base[1:PIECE][::-1]:
+            x = _odds(e[lo : lo + many])
+            m = flat((d * x, c), (b * x, a))
+            behind = m if behind is None else np.einsum("ijn,jkn->ikn", m, behind)
+            behind = behind / behind.max(axis=(0, 1))
+        last = int(base[PIECE - 1])
+        for piece, before in links[::-1]:
+            x = _odds(e[piece] + back[piece])
+            y = (c + d * x) / (a + b * x)
+            back[last + before] = np.log(y)
+            back[before] = np.log(_through(behind, before, y))
+        walk(many)
     return r, back
 
 
@@ -104,7 +160,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def marginals(t: Tokens, model: Model) -> np.ndarray:
     e = t.emissions(model.weight)
-    r, b = forward_backward(e, t.base, model.step)
+    r, b = forward_backward(e, t.base, model.step, t.links)
     return _sigmoid(r + b)[t.at]
 
 
@@ -163,23 +219,22 @@ def fit_chain(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
     t = Tokens(*column_bytes(pa.array(texts, pa.large_string())))
     if not len(t.h):
         return weight, step
-    n, base = len(t.h), t.base
+    n, base, links = len(t.h), t.base, t.links
     y = np.empty(n, np.float32)
     y[t.at] = token_labels(t, toxic)
     slot = np.empty_like(t.slot)
     slot[:, t.at] = t.slot
+    right, left = t.at[t.behind].astype(np.int32), t.at[t.behind - 1].astype(np.int32)  # tokens and those before them
     del t
-    # in layout order all tokens behind the first of their sentence come last, each as far behind its predecessor as a step is wide
-    right = int(base[1]) if len(base) > 1 else n
-    left = (np.arange(right, n) - np.repeat(np.diff(base[:-1]), np.diff(base[1:]))).astype(np.int32)
-    seen = np.array([[np.sum((y[left] == i) & (y[right:] == j)) for j in (0, 1)] for i in (0, 1)], float)
+    seen = np.array([[np.sum((y[left] == i) & (y[right] == j)) for j in (0, 1)] for i in (0, 1)], float)
     heat = [np.full_like(weight, 1e-6), np.full_like(step, 1e-6)]
     for _ in range(ROUNDS):
         e = weight[0][slot[0]] + weight[1][slot[1]] + weight[2][slot[2]]
-        r, b = forward_backward(e, base, step)
+        r, b = forward_backward(e, base, step, links)
         pairs = np.zeros(4)
-        for at in range(0, n - right, 1 << 17):
-            x = (e[right:] + b[right:])[at : at + (1 << 17)]
+        for at in range(0, len(right), 1 << 17):
+            own = right[at : at + (1 << 17)]
+            x = e[own] + b[own]
             before = r[left[at : at + (1 << 17)]]
             z = np.stack([np.full(len(x), step[0, 0]), step[0, 1] + x, step[1, 0] + before, step[1, 1] + before + x])
             z = np.exp(z - z.max(axis=0))

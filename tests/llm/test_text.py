@@ -339,3 +339,38 @@ def test_random_copies_equal_brute_force(spark):
             n = aligned(w, t.split())
             seeded = any(" ".join(w[k : k + 8]) in t for k in range(len(w) - 7)) if len(w) >= 8 else n == len(w)
             assert ((i, j) in got) == (seeded and n >= max(0.6 * len(w), min(len(w), 8))), (i, j, n, len(w))
+
+
+def test_long_sentences_equal_a_plain_chain():
+    rng = np.random.default_rng(8)
+    sizes = (0, 1, 2, toxicity.PIECE - 1, toxicity.PIECE, toxicity.PIECE + 1, 5 * toxicity.PIECE, 1000, 3)
+    texts = [" ".join(f"w{rng.integers(0, 300)}" + ("." if n < 9 and rng.random() < 0.3 else "") for _ in range(n)) for n in sizes]
+    t = toxicity.Tokens(*column_bytes(pa.array(texts, pa.large_string())))
+    weight, step = 2 * rng.standard_normal((toxicity.FEATURES, 1 << toxicity.BITS)), np.array([[1.5, -1.0], [-0.7, 1.2]])
+    e = t.emissions(weight)
+    r, back = (v[t.at] for v in toxicity.forward_backward(e, t.base, step, t.links))
+    e = e[t.at]
+    (a, b), (c, d) = np.exp(step)
+    starts = np.append(np.setdiff1d(np.arange(len(t.h)), t.behind), len(t.h))
+    assert np.diff(starts).max() == 1000
+    for x, y in zip(starts[:-1], starts[1:], strict=True):
+        p, q = e[x:y].copy(), np.zeros(y - x)
+        for i in range(1, y - x):
+            o = np.exp(p[i - 1])
+            p[i] += np.log((b + d * o) / (a + c * o))
+        for i in range(y - x - 2, -1, -1):
+            o = np.exp(e[x + i + 1] + q[i + 1])
+            q[i] = np.log((c + d * o) / (a + b * o))
+        assert np.allclose(p, r[x:y], atol=1e-9) and np.allclose(q, back[x:y], atol=1e-9)
+
+
+def test_the_fit_does_not_hang_on_the_longest_sentence():
+    import time
+
+    words, took = [f"w{i % 3001}" for i in range(20_000)], []
+    for stop in (".", ""):
+        texts = [" ".join(w + (stop if i % 12 == 11 else "") for i, w in enumerate(words)), *(f"short text here. toxic word{i}" for i in range(40))]
+        began = time.perf_counter()
+        toxicity.fit_chain(texts, np.array([1, *(i % 2 for i in range(40))]))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
