@@ -334,11 +334,70 @@ def test_random_copies_equal_brute_force(spark):
         rows.append((i, " ".join(long_words(rng.randint(0, 30), 800 + i) + words + long_words(rng.randint(0, 30), 900 + i))))
     items = spark.createDataFrame([(j, " ".join(w)) for j, w in bank.items()], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
-    for i, t in rows:
-        for j, w in bank.items():
-            n = aligned(w, t.split())
-            seeded = any(" ".join(w[k : k + 8]) in t for k in range(len(w) - 7)) if len(w) >= 8 else n == len(w)
-            assert ((i, j) in got) == (seeded and n >= max(0.6 * len(w), min(len(w), 8))), (i, j, n, len(w))
+    want = {(i, j) for i, t in rows for j, w in bank.items() if aligned(w, t.split()) >= max(0.6 * len(w), min(len(w), 8))}
+    assert got <= want and len(got) >= 0.97 * len(want)  # what is edited in every third or fourth word may be missed
+
+
+def test_any_single_edit_of_an_item_is_found(spark):
+    rows, want = [], set()
+    bank = {n: long_words(n, 700 + n) for n in range(3, 41)}
+    for n, w in bank.items():
+        for k in range(n):
+            for kind, words in (("change", [*w[:k], "other", *w[k + 1 :]]), ("leave out", w[:k] + w[k + 1 :]), ("put in", [*w[:k], "other", *w[k:]])):
+                i = len(rows)
+                rows.append((i, " ".join(long_words(9, 5000 + i) + words + long_words(9, 9000 + i))))
+                best = n - (kind != "put in")  # over both sides of the edit
+                if kind == "put in" and k == 0:
+                    best = n
+                one_way = aligned(w, rows[-1][1].split())
+                if one_way >= max(0.6 * n, min(n, 8)) or n >= 14 and best >= max(0.6 * n, 8):
+                    want.add((i, n))
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in bank.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
+    assert want <= got and all(len(bank[j]) >= 8 or (i, j) in want for i, j in got)
+
+
+def test_short_items_with_other_numbers(spark):
+    items = spark.createDataFrame([(1, "What is 12 times 7"), (2, "12 and 7"), (3, "Is 12 more than 12 here")], "item_id long, text string")
+    other = " ".join(long_words(12, 77))
+    rows = [(1, f"{other}. What is 13 times 9? {other}"), (2, f"{other} 13 and 9"), (3, f"{other} is 4 more than 5 here"), (4, f"{other} is 4 more than 4 here"), (5, f"{other} what is 13 plus 9"), (6, "12 and 7")]
+    got = {(r["doc_id"], r["item_id"], r["changed_slots"]) for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
+    assert got == {(1, 1, 2), (4, 3, 2), (6, 2, 0)}
+
+
+def test_a_phrase_repeated_very_often_takes_bounded_memory(spark):
+    phrase, rest = long_words(10, 41), long_words(10, 42)
+    items = spark.createDataFrame([(1, " ".join(phrase + rest))], "item_id long, text string")
+    rows = [(1, " ".join(phrase * 20_000)), (2, " ".join(phrase * 300 + rest))]
+    got = {r["doc_id"]: r["matched"] for r in decontaminate.contamination(spark, documents(spark, rows), items).collect()}
+    assert got == {2: 20}
+
+
+def test_the_path_equals_its_definition():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        size, shifts = int(rng.integers(1, 14)), np.unique(rng.integers(-6, 12, int(rng.integers(1, 7))))
+        same = rng.random((len(shifts), size)) < 0.5
+        best = {}
+
+        def most(k, j, same=same, shifts=shifts, best=best):
+            """Tokens won by the best way that ends with token j on shift k."""
+            if j < 0:
+                return 0
+            if (k, j) not in best:
+                ways = [most(k, j - 1)]
+                for x in range(len(shifts)):
+                    if x != k:
+                        before = j - max(0, int(shifts[x] - shifts[k])) - 1
+                        ways.append((most(x, before) if before >= 0 else 0) - decontaminate.SWITCH)
+                best[k, j] = max(ways) + int(same[k, j])
+            return best[k, j]
+
+        path = decontaminate._path(same, shifts)
+        on = np.flatnonzero(path >= 0)
+        won = int(same[path[on], on].sum()) - decontaminate.SWITCH * int((np.diff(path[on]) != 0).sum())
+        assert won == max(most(k, size - 1) for k in range(len(shifts)))
+        assert (np.diff(on + shifts[path[on]]) > 0).all()
 
 
 def test_long_sentences_equal_a_plain_chain():
