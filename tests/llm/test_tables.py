@@ -191,3 +191,26 @@ def test_passing_tables_go_and_kept_ones_stay(spark):
         assert not here(gone) and here(kept) and here(outer) and df.count() == 3
         df = keep_outer(kept)  # what is kept belongs to the scope around
     assert not here(outer) and df.count() == 3
+
+
+@pytest.mark.parametrize("kind", ["plain", "log-normal norms", "a few huge norms", "256 dimensions", "clusters", "one direction"])
+def test_recall_on_ordinary_inputs(kind):
+    rng = np.random.default_rng(12)
+    n = 6000
+    x = rng.standard_normal((n, 256 if kind == "256 dimensions" else 64))
+    if kind == "log-normal norms":
+        x *= np.exp(rng.standard_normal((n, 1)))
+    elif kind == "a few huge norms":
+        x[:5] *= 100
+    elif kind == "clusters":
+        x = rng.standard_normal((40, 64))[rng.integers(0, 40, n)] + 0.3 * x
+    elif kind == "one direction":
+        x = x + 3
+    ids = np.arange(n)
+    asks = ids[::100]
+    i, j, score, verified = ann.search_block(x, ids, ids, x[asks], asks, 20, ann.candidates(n))
+    exact = x[asks] @ x.T
+    exact[np.arange(len(asks)), asks] = -np.inf
+    kth = np.sort(exact, axis=1)[:, -20]
+    assert (np.bincount(i) == 20).all() and (score >= kth[i] - 1e-9 * np.abs(kth[i])).mean() >= 0.9
+    assert np.allclose(score, (x[j] * x[asks][i]).sum(axis=1)) and (verified <= n).all()
