@@ -25,7 +25,7 @@ from ..sources.catalog import VIEWS, Catalog, shared_folder, view_sql
 from ..sources.commits import CommitLog
 from ..sources.declarations import check_operations, load
 from ..streaming import dedup as guards
-from ..streaming import upload
+from ..streaming import outbox, upload
 
 DECLARATION = load((Path(__file__).parent / "declaration.yaml").read_text())
 ROUTES = [(r.method, r.path, r.table) for r in DECLARATION.routes]
@@ -839,6 +839,14 @@ def _(cat):
     return over.affected("item", journal.append_table(rows, over.log))
 
 
+@query("Q86_outbox_stream", "SELECT client_id::varchar AS stream, request_id AS seq, CASE WHEN k % 7 <> 0 THEN http_status END AS http_status, kind, coalesce(done, false) AS done FROM first WHERE attempted", _SENT)
+def _(cat):
+    """The stateful upload answers what a pass over the same writes answers, and tells which transactions are through."""
+    rows = uploads(cat)
+    sent = streamed(cat, rows.coalesce(1), lambda live: outbox.outbox_stream(live, answer, "client_id", wait_ms=None))
+    return sent.select("stream", "seq", "http_status", "kind", "done")
+
+
 @query("Q69_activity_stream", "SELECT CASE WHEN method = 'GET' THEN 'request-handled' ELSE 'local-write' END AS type, count(*)::bigint AS n FROM request_log GROUP BY 1")
 def _(cat):
     """Activity rows reach a subscriber batch by batch."""

@@ -550,3 +550,46 @@ def test_a_slow_stream_keeps_nobody_waiting(spark, tmp_path):
         assert [c for c in order if c.startswith(f"s{u}-")] == [f"s{u}-{i}" for i in range(3 if u == 1 else 5)]
     assert order.index("s5-0") < order.index("s0-0") and len(answers) == 28
     assert acknowledged(spark, str(tmp_path / "out")).count() == 27 and took < 30
+
+
+def test_the_outbox_retries_by_a_timer_and_opens_on_a_resume(spark, tmp_path):
+    import time
+
+    from tamarack.streaming.outbox import outbox_stream
+
+    called, path = tmp_path / "called", str(tmp_path / "s")
+    called.mkdir()
+
+    def send(method, url, body, headers):
+        name = url.strip("/")
+        before = sum(p.name.endswith(f"-{name}") for p in called.iterdir())
+        (called / f"{time.time_ns()}-{name}").write_text(headers["Idempotency-Key"])
+        return {"b": [503, 503], "f": [401], "e": [422]}.get(name, [])[before] if before < len({"b": [503, 503], "f": [401], "e": [422]}.get(name, [])) else 200
+
+    spark.createDataFrame(writes([("a", 1, 1, "u"), ("a", 1, 2, "u"), ("b", 2, 3, "u"), ("c", 2, 4, "u"), ("x1", 5, 6, "v"), ("e", 5, 7, "v"), ("f", 6, 8, "v"), ("g", 7, 9, "v")]), WRITES).write.parquet(f"{path}/in")
+    spark.createDataFrame([], "stream string").write.parquet(f"{path}/open")
+    live = spark.readStream.schema(WRITES).parquet(f"{path}/in")
+    resumes = spark.readStream.schema("stream string").parquet(f"{path}/open")
+    out = outbox_stream(live, send, "user", wait_ms=200, resumes=resumes)
+    query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").trigger(processingTime="200 milliseconds").start()
+
+    def done(ids):
+        until = time.time() + 90
+        while time.time() < until:
+            try:
+                got = {(r["id"], r["kind"]) for r in spark.read.schema(out.schema).parquet(f"{path}/out").filter("done").collect()}
+            except Exception:  # noqa: BLE001 - nothing is written yet
+                got = set()
+            if {i for i, _ in got} >= ids:
+                return got
+            time.sleep(0.3)
+        raise AssertionError((got, query.exception()))
+
+    try:
+        assert done({"a", "b", "c", "x1", "e"}) == {("a", "ok"), ("b", "ok"), ("c", "ok"), ("x1", "reject"), ("e", "reject")}
+        assert calls(called).count("b") == 3 and calls(called).count("a") == 1 and "g" not in calls(called)
+        spark.createDataFrame([("v",)], "stream string").write.mode("append").parquet(f"{path}/open")
+        assert {("f", "ok"), ("g", "ok")} <= done({"f", "g"})
+    finally:
+        query.stop()
+    assert [c for c in calls(called) if c in "fg"] == ["f", "f", "g"]
