@@ -248,6 +248,21 @@ def metadata_of(method: str, url: str, operation: str, body: object = None) -> s
     return json.dumps(out if body is None else {**out, "body": body})
 
 
+def handled(requests: DataFrame, operations: Sequence[Operation], routes: Sequence[tuple[str, str, str]], prefixes: Mapping[str, str]) -> DataFrame:
+    """``requests`` (method, path) with ``handles``: whether an operation or a table answers them, or they go to the server."""
+    ops = routing.match_batch(requests, [(o.method, o.path, o.operation_id) for o in operations], decode=True)
+    ops = ops.withColumn("_op", F.col("status") == routing.MATCHED).drop("status", "target", "route_path", "params")
+    both = routing.match_batch(ops, routes).withColumn("_route", F.col("status") == routing.MATCHED).drop("status", "target", "route_path", "params")
+    under = F.lit(False)
+    if prefixes:
+        both = routing.prefix_batch(both, prefixes)
+        under = F.col("table").isNotNull()
+        both = both.withColumn("_under", under).drop("table", "prefix", "id", "collection")
+    else:
+        both = both.withColumn("_under", under)
+    return both.withColumn("handles", F.col("_op") | F.col("_route") | F.col("_under")).drop("_op", "_route", "_under")
+
+
 def intercept(requests: DataFrame, operations: Sequence[Operation], routes: Sequence[tuple[str, str, str]], prefixes: Mapping[str, str], window_ms: int = dedup.WINDOW_MS) -> DataFrame:
     """A table of requests (seq, at, method, path, body), each judged as :meth:`Engine.run` would: with (source, target, by, activity).
 

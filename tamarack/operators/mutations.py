@@ -67,6 +67,18 @@ def delete(columns: Sequence[str], row_id: str | None, metadata: str | None = No
     return [*mark, ("delete", {})]
 
 
+def assigned_id(body: Column, drawn: Column) -> Column:
+    """The id of an inserted row: that of the body (JSON text) if it is text, else the drawn one."""
+    own = F.variant_get(F.try_parse_json(body), "$.id", "variant")
+    return F.coalesce(F.when(F.schema_of_variant(own) == "STRING", F.variant_get(F.try_parse_json(body), "$.id", "string")), drawn)
+
+
+def refusal(method: Column, row_id: Column) -> Column:
+    """Why a write of a table can't be composed, null if it can: a method that isn't known, an update or delete without an id."""
+    kind = F.upper(method)
+    return F.when(~kind.isin("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE") | kind.isNull(), "unknown method").when(kind.isin("PUT", "PATCH") & row_id.isNull(), "an update needs an id").when((kind == "DELETE") & row_id.isNull(), "a delete needs an id")
+
+
 def kind_of(method: str) -> str:
     kinds = {"GET": "read", "HEAD": "read", "POST": "insert", "PUT": "update", "PATCH": "update", "DELETE": "delete"}
     if method.upper() not in kinds:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +108,17 @@ def latest_by_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), seq).alias("r")).select(key, "r.*")
 
 
+def dispatched(letters: DataFrame, handlers: ErrorHandlers, operation: str = "operation_id") -> DataFrame:
+    """``letters`` with ``heard``: handled by their operation's handler, by the default one, or failed in either; every handler runs where the rows are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch.to_dict("records")
+            yield batch.assign(heard=[handlers.handle(r[operation], r) for r in rows])
+
+    return letters.mapInPandas(run, f"{letters.schema.simpleString()[7:-1]}, heard string")
+
+
 class ErrorHandlers:
     """Handlers by operation; a name twice is an error, a handler's own failure is swallowed, unknown operations go to ``default``."""
 
@@ -119,8 +131,10 @@ class ErrorHandlers:
             raise ValueError(f"{operation} has a handler already")
         self._own[operation] = handler
 
-    def handle(self, operation: str, error: dict) -> None:
+    def handle(self, operation: str, error: dict) -> str:
+        """Which handler heard of it: ``own``, ``default``, or ``failed``, whichever it was."""
         try:
             self._own.get(operation, self._default)(error)
         except Exception:  # noqa: BLE001 - a handler never breaks the replay
-            return
+            return "failed"
+        return "own" if operation in self._own else "default"

@@ -55,6 +55,19 @@ def read_query(bucket: str, sql: str) -> Cited | None:
     return Cited(bucket, qualify(m[2]), plain)
 
 
+def read_queries(queries: DataFrame, sql: str = "sql") -> DataFrame:
+    """:func:`read_query` of a column: ``queries`` with (source, columns), ``columns`` an array of (column, name), null where only the structure can tell; rows that are no such query go."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(sql), ";+$", ""), r"(?is)\s+(?:where|group\s+by|order\s+by|limit|having)\b.*$", "")
+    whole = r'(?is)^\s*select\s+(.*?)\s+from\s+([\w."]+)(?:\s+(?:as\s+)?\w+)?'
+    items = F.transform(F.split(F.regexp_extract(bare, whole, 1), ","), lambda i: F.trim(i))
+    item = r'(?i)^(?:\w+\.)?"?(\w+)"?(?:\s+as\s+"?(\w+)"?)?$'
+    own = F.transform(items, lambda i: F.struct(F.regexp_extract(i, item, 1).alias("column"), F.coalesce(F.nullif(F.regexp_extract(i, item, 2), F.lit("")), F.regexp_extract(i, item, 1)).alias("name")))
+    parts = F.transform(F.split(F.regexp_extract(bare, whole, 2), r"\."), lambda p: F.btrim(p, F.lit('"')))
+    source = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.concat(F.lit("public."), parts[0]))
+    plain = F.forall(items, lambda i: i.rlike(item))
+    return queries.filter(bare.rlike(whole)).withColumn("source", source).withColumn("columns", F.when(plain, own))
+
+
 def read_rules(text: str) -> list[Cited]:
     """All tables that ``bucket_definitions`` or ``streams`` cite; entries that aren't text and empty buckets go."""
     data = yaml.safe_load(text) or {}

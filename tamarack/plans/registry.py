@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import activity, dedup, journal, mutations, params, reads, replay, routing, rules
-from ..operators.handlers import Engine, Registry, intercept
+from ..operators import activity, declared, dedup, journal, mutations, params, reads, replay, routing, rules
+from ..operators.handlers import Engine, Registry, handled, intercept
 from ..operators.overlay import Overlay
 from ..sources import http
 from ..sources.catalog import VIEWS, Catalog, shared_folder, view_sql
@@ -938,3 +938,121 @@ def _(cat):
 def _(cat):
     rows = [("path", i, p) for i, p in enumerate(DECLARATION.paths(), 1)] + [("table", i, t) for i, t in enumerate(DECLARATION.tables(), 1)]
     return cat.spark.createDataFrame(rows, "kind string, place int, name string")
+
+
+# -- declarations and rules as tables ------------------------------------------------------------------------------------------------
+def declared_tables(cat: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Prefixes and routes made of items, some of them wrong."""
+    i, text = cat["item"], lambda c: F.col(c).cast("string")
+    prefix = F.when(F.col("id") % 50 == 0, "x").when(F.col("id") % 50 == 1, "/").otherwise(F.concat(F.lit("/p/"), (F.col("id") % 700).cast("string")))
+    prefixes = i.filter("id % 3 = 0").select(F.col("id").alias("place"), F.concat(F.lit("t"), text("id")).alias("table"), prefix.alias("prefix"))
+    method = F.element_at(F.array(*map(F.lit, ("get", "POST", "", "BREW", "PUT"))), (F.col("id") % 5 + 1).cast("int"))
+    path = F.when(F.col("id") % 40 == 7, "no/slash").otherwise(F.concat(F.lit("/p/"), (F.col("id") % 900).cast("string"), F.when(F.col("id") % 2 == 0, "/{id}").otherwise("")))
+    routes = i.filter("id % 3 <> 0").select(F.col("id").alias("place"), F.concat(F.lit("t"), text("id")).alias("table"), method.alias("method"), path.alias("path"))
+    return prefixes, routes
+
+
+_DECLARED = """prefixes AS (SELECT id AS place, 't' || id AS "table", CASE id % 50 WHEN 0 THEN 'x' WHEN 1 THEN '/' ELSE '/p/' || (id % 700) END AS prefix FROM item WHERE id % 3 = 0),
+routes AS (SELECT id AS place, 't' || id AS "table", ['get', 'POST', '', 'BREW', 'PUT'][id % 5 + 1] AS method, CASE WHEN id % 40 = 7 THEN 'no/slash' ELSE '/p/' || (id % 900) || CASE WHEN id % 2 = 0 THEN '/{id}' ELSE '' END END AS path FROM item WHERE id % 3 <> 0),
+each AS (SELECT place, "table", path, unnest(CASE WHEN method = '' THEN ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'] ELSE [upper(method)] END) AS method FROM routes WHERE starts_with(path, '/')),
+known AS (SELECT *, row_number() OVER (PARTITION BY method, path ORDER BY place) AS nth FROM each WHERE method <> 'BREW'),
+good AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY place) AS nth FROM prefixes WHERE prefix NOT IN ('x', '/'))"""
+
+
+@query(
+    "Q87_declaration_faults",
+    """SELECT 'bad prefix' AS fault, "table", prefix AS what FROM prefixes WHERE prefix IN ('x', '/') UNION ALL SELECT 'prefix twice', "table", prefix FROM good WHERE nth > 1 UNION ALL SELECT 'bad path', "table", path FROM routes WHERE path = 'no/slash'
+    UNION ALL SELECT 'unknown method', "table", method || ' ' || path FROM each WHERE method = 'BREW' UNION ALL SELECT 'request twice', "table", method || ' ' || path FROM known WHERE nth > 1
+    UNION ALL SELECT DISTINCT 'prefix covers', g."table", g.prefix || ' ' || k.path FROM good g JOIN known k ON g.nth = 1 AND k.nth = 1 AND g."table" <> k."table" AND (k.path = g.prefix OR starts_with(k.path, g.prefix || '/'))""",
+    _DECLARED,
+)
+def _(cat):
+    """Everything wrong with a declaration of as many rules as there are items."""
+    out = declared.faults(*declared_tables(cat))
+    return out.filter("fault <> 'prefix covers'").union(out.filter("fault = 'prefix covers'").distinct())
+
+
+@query("Q88_declared_paths_of_tables", "SELECT 0 AS kind, min(place) AS first, prefix AS path FROM prefixes GROUP BY prefix UNION ALL SELECT 1, min(place), path FROM routes GROUP BY path", _DECLARED)
+def _(cat):
+    return declared.paths(*declared_tables(cat))
+
+
+@query("Q89_declared_tables_of_tables", 'SELECT DISTINCT "table", row_number() OVER (ORDER BY "table") AS place FROM (SELECT "table" FROM prefixes UNION SELECT "table" FROM routes)', _DECLARED)
+def _(cat):
+    return reads.numbered(declared.tables(*declared_tables(cat)).orderBy("table"))
+
+
+@query(
+    "Q90_operation_faults",
+    "SELECT 'missing' AS fault, id AS place FROM item WHERE id % 11 = 0 OR id % 13 = 0 UNION ALL SELECT 'connectivity', id FROM item WHERE id % 11 <> 0 AND id % 13 <> 0 AND id % 7 = 0 "
+    "UNION ALL SELECT 'twice', id FROM (SELECT id, row_number() OVER (PARTITION BY id % 3, id % 400 ORDER BY id) AS nth FROM item WHERE id % 11 <> 0 AND id % 13 <> 0) WHERE nth > 1",
+)
+def _(cat):
+    """An operation map of as many operations as items: the hole's name doesn't tell two requests apart."""
+    text = lambda c: F.col(c).cast("string")
+    name = F.when(F.col("id") % 11 != 0, F.concat(F.lit("op"), text("id")))
+    path = F.when(F.col("id") % 13 == 0, "").otherwise(F.concat(F.lit("/o/"), (F.col("id") % 400).cast("string"), F.lit("/{h"), text("id"), F.lit("}")))
+    method = F.element_at(F.array(*map(F.lit, ("get", "Put", "DELETE"))), (F.col("id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("id") % 7 == 0, "sometimes").when(F.col("id") % 2 == 0, "online").otherwise("offline")
+    return declared.operation_faults(cat["item"].select(F.col("id").alias("place"), name.alias("operation_id"), method.alias("method"), path.alias("path"), kind.alias("connectivity")))
+
+
+@query("Q91_handles", "SELECT request_id, method = 'GET' AND client_id % 5 = 0 OR client_id % 5 IN (1, 2) OR client_id % 5 = 3 AND method = 'PUT' AS handles FROM request_log")
+def _(cat):
+    """Operations, declared requests and prefixes: what any of them answers is handled."""
+    ops = check_operations([{"operation_id": "ping", "method": "GET", "path": "/ops/{name}", "connectivity": "online", "handle": "h"}])
+    path = F.element_at(F.array(*map(F.lit, ("/ops/%70ing?x=1", "/pre/fix", "/pre/fix/7", "/own/7", "/pre/fix/7/8"))), (F.col("client_id") % 5 + 1).cast("int"))
+    rows = cat["request_log"].withColumn("path", path)
+    return handled(rows, ops, [("PUT", "/own/{id}", "own")], {"/pre/fix": "item"}).select("request_id", "handles")
+
+
+@query("Q92_assigned_ids", "SELECT request_id, CASE k % 4 WHEN 0 THEN 's' || k ELSE 'drawn-' || request_id END AS id FROM request_log")
+def _(cat):
+    """A row's id is the body's if it is text; numbers, missing ids and broken bodies get the drawn one."""
+    k = F.col("k").cast("string")
+    body = F.when(F.col("k") % 4 == 0, F.concat(F.lit('{"id":"s'), k, F.lit('"}'))).when(F.col("k") % 4 == 1, F.concat(F.lit('{"id":'), k, F.lit("}"))).when(F.col("k") % 4 == 2, '{"name":"x"}').otherwise("{broken")
+    return cat["request_log"].select("request_id", mutations.assigned_id(body, F.concat(F.lit("drawn-"), F.col("request_id").cast("string"))).alias("id"))
+
+
+@query("Q93_refused_writes", f"SELECT request_id, CASE WHEN {_ITEM_ID} THEN NULL WHEN method IN ('PUT', 'PATCH') THEN 'an update needs an id' WHEN method = 'DELETE' THEN 'a delete needs an id' END AS refusal FROM request_log")
+def _(cat):
+    """Updates and deletes of a collection name no row."""
+    return routing.prefix_batch(cat["request_log"], PREFIXES).select("request_id", mutations.refusal(F.col("method"), F.col("id")).alias("refusal"))
+
+
+@query(
+    "Q94_bucket_queries",
+    "SELECT id, CASE id % 3 WHEN 0 THEN 's' || (id % 9) || '.t' || id WHEN 1 THEN 'public.t' || id ELSE 's.t' || id END AS source, CASE WHEN id % 4 IN (2, 3) THEN NULL ELSE 'id=id,c' || (id % 5) || '=' || CASE WHEN id % 4 = 0 THEN 'x' ELSE 'c' || (id % 5) END END AS columns FROM item WHERE id % 6 <> 5",
+)
+def _(cat):
+    """Bucket queries of all items: aliases, quotes, schemas, clauses that don't matter; stars and calls leave the columns to the structure."""
+    n, text = F.col("id"), lambda c: c.cast("string")
+    c5 = F.concat(F.lit("c"), text(n % 5))
+    chosen = F.when(n % 4 == 0, F.concat(F.lit("t.id, "), c5, F.lit(' AS "x"'))).when(n % 4 == 1, F.concat(F.lit('"id",'), c5)).when(n % 4 == 2, "*").otherwise("id, lower(name) AS name")
+    source = F.when(n % 3 == 0, F.concat(F.lit('db."s'), text(n % 9), F.lit('"."t'), text(n), F.lit('" AS t'))).otherwise(F.concat(F.when(n % 3 == 1, "t").otherwise("s.t"), text(n)))
+    sql = F.when(n % 6 == 5, "DELETE FROM t").otherwise(F.concat(F.lit(" select "), chosen, F.lit("\n FROM "), source, F.when(n % 2 == 0, " WHERE a = 1 ORDER BY id").otherwise(""), F.lit(";")))
+    rows = rules.read_queries(cat["item"].select("id", sql.alias("sql")))
+    pairs = F.transform("columns", lambda c: F.concat(c["column"], F.lit("="), c["name"]))
+    return rows.select("id", "source", F.array_join(pairs, ",").alias("columns"))
+
+
+@query("Q95_custom_classifier", f"SELECT request_id, CASE http_status WHEN 403 THEN 'retry' WHEN 409 THEN 'ok' ELSE {_KIND} END AS kind FROM request_log")
+def _(cat):
+    """A classifier of one's own comes first; what it doesn't know is classified as usual."""
+    own = lambda s: F.when(s == 403, replay.RETRY).when(s == 409, replay.OK)
+    return cat["request_log"].select("request_id", replay.classify(F.col("http_status"), own).alias("kind"))
+
+
+def _hear(error: dict) -> None:
+    if error["k"] % 5 == 0:
+        raise RuntimeError("a handler of its own trouble")
+
+
+@query("Q96_error_handlers", "SELECT request_id, CASE WHEN k % 5 = 0 AND method <> 'GET' THEN 'failed' WHEN method IN ('PUT', 'POST') THEN 'own' ELSE 'default' END AS heard FROM request_log WHERE http_status IN (403, 409, 422)")
+def _(cat):
+    """Rejected writes by operation: their own handler, else the default one; a handler that fails breaks nothing."""
+    own = replay.ErrorHandlers(lambda e: None if e["method"] == "GET" else _hear(e))
+    for operation in ("PUT", "POST"):
+        own.add(operation, _hear)
+    rejected = cat["request_log"].filter(replay.classify(F.col("http_status")) == replay.REJECT).select("request_id", "method", "k", F.col("method").alias("operation_id"))
+    return replay.dispatched(rejected, own).select("request_id", "heard")

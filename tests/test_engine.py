@@ -593,3 +593,24 @@ def test_the_outbox_retries_by_a_timer_and_opens_on_a_resume(spark, tmp_path):
     finally:
         query.stop()
     assert [c for c in calls(called) if c in "fg"] == ["f", "f", "g"]
+
+
+def test_rules_of_a_column_equal_rules_of_one_query(spark):
+    texts = ["SELECT id, t.name AS n FROM todo t WHERE x = 1;", 'select "a" as "b" from "s"."t" as q', "select * from x.y.z", "select count(*) from t", "delete from t", " select id\nfrom t\norder by id limit 3", "select id from t group by id", "", None, "select a b from t"]
+    got = {r["sql"]: r for r in rules.read_queries(spark.createDataFrame([(t,) for t in texts], "sql string")).collect()}
+    for t in texts:
+        one = rules.read_query("b", t) if t else None
+        assert (t in got) == (one is not None)
+        if one:
+            assert got[t]["source"] == one.source and (None if got[t]["columns"] is None else tuple(map(tuple, got[t]["columns"]))) == one.columns
+
+
+def test_declarations_in_tables_are_judged_as_the_yaml_is(spark):
+    from tamarack.operators import declared
+
+    prefixes = spark.createDataFrame([(1, "a", "/x"), (2, "b", "/x"), (3, "c", "y"), (4, "d", "//")], "place int, table string, prefix string")
+    routes = spark.createDataFrame([(5, "e", "GET", "/x/1"), (6, "e", None, "/z"), (7, "f", "post", "/z"), (8, "f", "BREW", "/z"), (9, "a", "GET", "/x/2"), (10, "g", "GET", "z"), (11, "h", "GET", "/xy")], "place int, table string, method string, path string")
+    got = {(r["fault"], r["table"], r["what"]) for r in declared.faults(prefixes, routes).collect()}
+    assert got == {("bad prefix", "c", "y"), ("bad prefix", "d", "//"), ("prefix twice", "b", "/x"), ("unknown method", "f", "BREW /z"), ("request twice", "f", "POST /z"), ("bad path", "g", "z"), ("prefix covers", "a", "/x /x/1")}
+    assert [r["path"] for r in declared.paths(prefixes, routes).orderBy("kind", "first").collect()] == ["/x", "y", "//", "/x/1", "/z", "/x/2", "z", "/xy"]
+    assert declared.faults(prefixes.limit(0), routes.limit(0)).count() == 0
