@@ -243,7 +243,7 @@ class Paths:
         v, live = lat.last[word], np.arange(len(word))
         at = np.arange(len(word)).astype(U)
         edges, who, j = [], [], 0
-        own = mix(seed + U(turn + 1) * U(0x632BE59BD9B4E019))  # each turn has draws of its own, however many places a word has
+        own = mix(seed + np.array([turn + 1], U) * U(0x632BE59BD9B4E019))  # each turn has draws of its own, however many places a word has
         while len(live):
             e = lat.draw(v[live], uniform(own[text[live]], at[live] - self._zero(text, live), j))
             edges.append(e)
