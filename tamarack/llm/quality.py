@@ -308,7 +308,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, trusted: DataFrame, held_
     """(doc_id, lang, trusted, n_chars, perplexity): ``trusted`` is 0 for other rows, 1 for those trained on, 2 for the held-out ones.
 
     ``trusted(doc_id)`` names the trusted rows. Null or empty texts have no characters and perplexity
-    null. Rows come one for one; other columns are ignored.
+    null. Rows come one for one, repeated or null ids too; other columns, of both tables, are ignored. Texts are taken whole at any length.
     """
     fold = F.when(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0, 2).otherwise(1)
     own = trusted.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct().withColumn("fold", fold)

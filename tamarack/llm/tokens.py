@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of ``docs``.
 
     Null texts count as empty: no bytes, no tokens. Repeated or null ids stay as they are; other columns
-    are ignored. ``path`` is a tokenizer file that every executor can read.
+    are ignored. Texts are taken whole at any length, one that is longer than a batch by itself. ``path`` is a tokenizer file that every executor can read.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(coalesce(octet_length(cast(text as string)), 0) as long) n_bytes")
     return rows.mapInArrow(_count(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

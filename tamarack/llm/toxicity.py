@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """(doc_id, score, spans): every row's score from 0 to 1 and the byte ranges of its toxic runs.
 
     A null or empty text has no spans and the score of the empty summary. Rows come one for one, so
-    repeated or null ids stay as they are; other columns are ignored.
+    repeated or null ids stay as they are; other columns are ignored. Texts are taken whole at any length, also as one sentence.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = "doc_id long, score double" + (", spans array<struct<start long, end long, marginal double>>" if spans else "")
