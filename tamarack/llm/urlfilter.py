@@ -8,7 +8,8 @@ the labelled pages from which all others are judged:
 2. sibling branches are merged into ``*`` as well that are alike in structure (the shares of the segments below them
    are those of all siblings together, by a chi-square test at three standard deviations) and not unlike in labels (no labels, or
    a purity within two standard errors of that of all siblings together), so branches without labels share those of the others;
-3. a template's purity is its share of allowed pages, smoothed by that of the same path shape on all hosts, that by its host's, that by
+3. the paths of all hosts together are generalised in the same two steps into one more tree, whose templates hold for every host;
+4. a template's purity is its share of allowed pages, smoothed by that of its path's template in the tree of all hosts, that by its host's, that by
    the last two labels of the host, that by the whole table's (``PULL`` pages each); templates under 0.5 are blocked.
 
 Everything after the first count works on distinct (host, path shape) rows, so a hot host is counted
@@ -49,7 +50,7 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, labelled), one row for each page.
 
-    ``labelled`` counts the pages with labels that the template or its path shape has: with none, only host, domain and table
+    ``labelled`` counts the pages with labels that the template has, on its host or in the tree of all hosts: with none, only host, domain and table
     decide. Null urls and urls without ``://`` have an empty host and path. Repeated and null ids stay rows of their
     own; other columns are ignored. With no labelled page at all everything without a rule is allowed.
     """
@@ -65,15 +66,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     shape = ["host", *segs]
     good, bad = F.count_if(F.col("own") == "allow"), F.count_if(F.col("own") == "block")
     tree = rows.groupBy(*shape).agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
+    tree = _generalised(tree)
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
+    # one row for each path shape of all hosts
+    common = _generalised(tree.groupBy(*segs).agg(*sums).withColumn("host", F.lit("")))
     spark = pages.sparkSession
-    tree = Scratch(spark, tree.withColumn("t0", F.lit("")), "shapes").df
-    for i in range(1, DEPTH + 2):  # each level is written, or the plan would hold every level many times
-        tree = Scratch(spark, _level(tree, i), "shapes").df
-    tree = tree.withColumn("template", F.col(f"t{DEPTH + 1}"))
     domain = F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)
     leaf = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("domain", domain)
     leaf = Scratch(spark, leaf, "templates").df
-    by_shape = tree.groupBy(*segs).agg(F.sum("good").alias("sg"), F.sum("bad").alias("sb"))
+    nodes = common.groupBy("template").agg(F.sum("good").alias("sg"), F.sum("bad").alias("sb"))
+    by_shape = common.select(*segs, "template").join(nodes, "template").drop("template")
     by_host = leaf.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     by_domain = leaf.groupBy("domain").agg(F.sum("good").alias("dg"), F.sum("bad").alias("db"))
     whole = leaf.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("wg"), F.coalesce(F.sum("bad"), F.lit(0)).alias("wb"))
@@ -87,6 +89,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.join(judged, shape).select("page_id", "host", "path", "rule", F.coalesce("own", method).alias("verdict"), "template", "labelled")
 
 
+def _generalised(shapes: DataFrame) -> DataFrame:
+    """``shapes(host, s1.., n, good, bad)`` with ``template``, the path of each in its host's tree."""
+    spark = shapes.sparkSession
+    tree = Scratch(spark, shapes.withColumn("t0", F.lit("")), "shapes").df
+    for i in range(1, DEPTH + 2):  # each level is written, or the plan would hold every level many times
+        tree = Scratch(spark, _level(tree, i), "shapes").df
+    return tree.withColumn("template", F.col(f"t{DEPTH + 1}")).drop(*[f"t{i}" for i in range(DEPTH + 2)])
+
+
 def _level(tree: DataFrame, i: int) -> DataFrame:
     """Adds t<i>, the template down to level i, by the two generalising steps."""
     up, seg = f"t{i - 1}", f"s{i}"
@@ -128,21 +139,23 @@ def _oracle() -> str:
     names = ", ".join(f"s{i}" for i in range(1, last + 1))
     shape = "host, " + names
     levels = ""
-    for i in range(1, last + 1):
+    for i, at in [(i, at) for at in ("", "g") for i in range(1, last + 1)]:  # each host's tree, then that of all hosts
+        if at and i == 1:
+            levels += f"gtree0 AS (SELECT '' AS host, {names}, sum(n) AS n, sum(good) AS good, sum(bad) AS bad, '' AS t0 FROM tree0 GROUP BY {names}),"
         below = f"s{i + 1}" if i < last else "''"
         levels += f"""
-c{i} AS (SELECT host, t{i - 1}, s{i}, {below} AS below, sum(n) AS cn, sum(good) AS cg, sum(bad) AS cb FROM tree{i - 1} GROUP BY ALL),
-k{i} AS (SELECT host, t{i - 1}, s{i}, sum(cn) AS kn, sum(cg) AS kg, sum(cb) AS kb FROM c{i} GROUP BY ALL),
-b{i} AS (SELECT host, t{i - 1}, below, sum(cn) AS bn FROM c{i} GROUP BY ALL),
-p{i} AS (SELECT host, t{i - 1}, count(*) AS many, sum(kn) AS pn, sum(kg) AS pg, sum(kb) AS pb FROM k{i} GROUP BY ALL),
-f{i} AS (SELECT host, t{i - 1}, count(*) - 1 AS free FROM b{i} GROUP BY ALL),
-x{i} AS (SELECT host, t{i - 1}, s{i}, sum(cn::double * cn / bn) AS fit FROM c{i} JOIN b{i} USING (host, t{i - 1}, below) GROUP BY ALL),
-n{i} AS (SELECT host, t{i - 1}, s{i}, t{i - 1} || '/' || CASE WHEN s{i} = '' OR contains(s{i}, '#') THEN s{i}
+{at}c{i} AS (SELECT host, t{i - 1}, s{i}, {below} AS below, sum(n) AS cn, sum(good) AS cg, sum(bad) AS cb FROM {at}tree{i - 1} GROUP BY ALL),
+{at}k{i} AS (SELECT host, t{i - 1}, s{i}, sum(cn) AS kn, sum(cg) AS kg, sum(cb) AS kb FROM {at}c{i} GROUP BY ALL),
+{at}b{i} AS (SELECT host, t{i - 1}, below, sum(cn) AS bn FROM {at}c{i} GROUP BY ALL),
+{at}p{i} AS (SELECT host, t{i - 1}, count(*) AS many, sum(kn) AS pn, sum(kg) AS pg, sum(kb) AS pb FROM {at}k{i} GROUP BY ALL),
+{at}f{i} AS (SELECT host, t{i - 1}, count(*) - 1 AS free FROM {at}b{i} GROUP BY ALL),
+{at}x{i} AS (SELECT host, t{i - 1}, s{i}, sum(cn::double * cn / bn) AS fit FROM {at}c{i} JOIN {at}b{i} USING (host, t{i - 1}, below) GROUP BY ALL),
+{at}n{i} AS (SELECT host, t{i - 1}, s{i}, t{i - 1} || '/' || CASE WHEN s{i} = '' OR contains(s{i}, '#') THEN s{i}
   WHEN (many > {WIDE} AND kn < {COMMON} * pn)
     OR (many > 1 AND fit * pn / kn - kn <= free + 3.0::DOUBLE * sqrt(2.0::DOUBLE * free) + 1e-9
       AND (kg + kb = 0 OR power(CAST(kg * (pg + pb) - pg * (kg + kb) AS DOUBLE), 2) <= 4.0::DOUBLE * CAST(pg AS DOUBLE) * pb * (kg + kb))) THEN '*'
-  ELSE s{i} END AS t{i} FROM k{i} JOIN x{i} USING (host, t{i - 1}, s{i}) JOIN p{i} USING (host, t{i - 1}) JOIN f{i} USING (host, t{i - 1})),
-tree{i} AS (SELECT * FROM tree{i - 1} JOIN n{i} USING (host, t{i - 1}, s{i})),"""
+  ELSE s{i} END AS t{i} FROM {at}k{i} JOIN {at}x{i} USING (host, t{i - 1}, s{i}) JOIN {at}p{i} USING (host, t{i - 1}) JOIN {at}f{i} USING (host, t{i - 1})),
+{at}tree{i} AS (SELECT * FROM {at}tree{i - 1} JOIN {at}n{i} USING (host, t{i - 1}, s{i})),"""
     p = "((wg + 1.0::DOUBLE) / (wg + wb + 1.0::DOUBLE))"
     for g, b in (("dg", "db"), ("hg", "hb"), ("sg", "sb"), ("good", "bad")):
         p = f"(({g} + {PULL}::DOUBLE * {p}) / ({g} + {b} + {PULL}::DOUBLE))"
@@ -154,7 +167,8 @@ flat AS (SELECT page_id, host, path, rule, own, {segs} FROM rows_),
 tree0 AS (SELECT {shape}, count(*) AS n, count(*) FILTER (WHERE own = 'allow') AS good, count(*) FILTER (WHERE own = 'block') AS bad, '' AS t0 FROM flat GROUP BY {shape}),{levels}
 named_ AS (SELECT *, t{last} AS template FROM tree{last}),
 leaf AS (SELECT host, template, sum(good) AS good, sum(bad) AS bad, regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain FROM named_ GROUP BY host, template),
-by_shape AS (SELECT {names}, sum(good) AS sg, sum(bad) AS sb FROM named_ GROUP BY {names}),
+nodes AS (SELECT t{last} AS template, sum(good) AS sg, sum(bad) AS sb FROM gtree{last} GROUP BY 1),
+by_shape AS (SELECT {names}, sg, sb FROM gtree{last} JOIN nodes ON t{last} = nodes.template),
 by_host AS (SELECT host, sum(good) AS hg, sum(bad) AS hb FROM leaf GROUP BY host),
 by_domain AS (SELECT domain, sum(good) AS dg, sum(bad) AS db FROM leaf GROUP BY domain),
 whole AS (SELECT coalesce(sum(good), 0) AS wg, coalesce(sum(bad), 0) AS wb FROM leaf),
