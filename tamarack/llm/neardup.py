@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
-from .words import U, Words, chunks, column_bytes, mix, shingles, signed
+from .words import U, Words, chunks, column_bytes, mix, release, shingles, signed
 
 PERMS, ROWS, TURNS = 80, 5, 1
 BANDS = 2 * PERMS // ROWS
@@ -99,6 +99,7 @@ def _sets(size: int):
                 node, hash_, own = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "hash", "own"))
                 out = pa.RecordBatch.from_arrays([node, b.cast(pa.binary())], names=["node", "words"])
                 yield out.filter(pa.array(hash_.to_numpy() == own.to_numpy()))
+                del x, b, out
 
     return run
 
@@ -134,7 +135,7 @@ def _block_links(percent: int):
         _, at = np.unique(np.concatenate(sets), return_inverse=True)
         who = np.repeat(np.arange(n), size)
         both = np.zeros((n, n), np.float32)
-        width = 1 << 14
+        width = 1 << 12  # columns of the product at a time
         order = np.argsort(at, kind="stable")
         at, who = at[order], who[order]
         for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
@@ -159,6 +160,8 @@ def _block_links(percent: int):
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((node[i], node[j]))
+        del sets, both, at, who, order
+        release()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
