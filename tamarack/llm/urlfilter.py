@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 DEPTH, WIDE, COMMON, PULL = 3, 8, 0.1, 2.0
+EVERY = "/"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,11 +67,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     shape = ["host", *segs]
     good, bad = F.count_if(F.col("own") == "allow"), F.count_if(F.col("own") == "block")
     tree = rows.groupBy(*shape).agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
-    tree = _generalised(tree)
-    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    # one row for each path shape of all hosts
-    common = _generalised(tree.groupBy(*segs).agg(*sums).withColumn("host", F.lit("")))
     spark = pages.sparkSession
+    tree = Scratch(spark, tree, "shapes").df
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
+    # the tree of all hosts is one more tree, of a host that no url can have
+    both = _generalised(tree.unionByName(tree.groupBy(*segs).agg(*sums).withColumn("host", F.lit(EVERY))))
+    tree, common = both.filter(F.col("host") != EVERY), both.filter(F.col("host") == EVERY)
     domain = F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)
     leaf = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("domain", domain)
     leaf = Scratch(spark, leaf, "templates").df
