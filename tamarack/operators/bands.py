@@ -3,16 +3,20 @@
 Intervals lie on levels by their length, a level's bins are as wide as its longest interval, so an interval touches two bins at
 most, however long it is. A point asks for its bin on every level that intervals use. The comparison itself stays in the join's condition, so bins decide
 cost and never results.
+
+Where the answer has an order, rows that share a bin travel as blocks: the root's of one place in the order and the other side's meet as two
+arrays, these are sorted, and pairs come of them behind the sort. So what is shuffled follows the blocks and not the pairs.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL, BIN = "_band_level", "_band_bin"
+ORDER, BLOCK = "_band_order", 1000  # rows of a block
 _BETWEEN = re.compile(r"^\s*ON\s+(?P<at>.+?)\s+BETWEEN\s+(?P<low>.+?)\s+AND\s+(?P<high>(?:(?!\b(?:AND|OR|NOT)\b).)+?)\s*$", re.I | re.S)
 _ALIAS = re.compile(r"\b([A-Za-z_]\w*)\s*\.")
 
@@ -44,3 +48,16 @@ def binned(points: DataFrame, at: Column, intervals: DataFrame, low: Column, hig
         return points.limit(0).withColumn(LEVEL, F.lit(0)).withColumn(BIN, F.lit(0).cast("long")), spread
     found = points.filter(finite(at) & ~F.isnan(at)).withColumn(LEVEL, F.explode(F.array(*map(F.lit, levels))))
     return found.withColumn(BIN, _bin(at, F.col(LEVEL))), spread
+
+
+def _gathered(rows: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """(keys, ``name``: up to BLOCK rows as an array of structs)."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    numbered = rows.select(*keys, F.struct(*columns).alias(name), F.floor((nth - 1) / BLOCK).alias("_block"))
+    return numbered.groupBy(*keys, "_block").agg(F.collect_list(name).alias(f"_{name}s")).drop("_block")
+
+
+def blocks(root: DataFrame, name: str, columns: list[str], order: Column, other: DataFrame, other_name: str, other_columns: list[str]) -> DataFrame:
+    """Both sides of :func:`binned` as (ORDER, ``_<name>s``, ``_<other name>s``): every pair that meets is in one row."""
+    mine = _gathered(root.withColumn(ORDER, order), [LEVEL, BIN, ORDER], columns, name)
+    return mine.join(_gathered(other, [LEVEL, BIN], other_columns, other_name), [LEVEL, BIN]).drop(LEVEL, BIN)

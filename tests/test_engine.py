@@ -614,3 +614,18 @@ def test_declarations_in_tables_are_judged_as_the_yaml_is(spark):
     assert got == {("bad prefix", "c", "y"), ("bad prefix", "d", "//"), ("prefix twice", "b", "/x"), ("unknown method", "f", "BREW /z"), ("request twice", "f", "POST /z"), ("bad path", "g", "z"), ("prefix covers", "a", "/x /x/1")}
     assert [r["path"] for r in declared.paths(prefixes, routes).orderBy("kind", "first").collect()] == ["/x", "y", "//", "/x/1", "/z", "/x/2", "z", "/xy"]
     assert declared.faults(prefixes.limit(0), routes.limit(0)).count() == 0
+
+
+def test_an_ordered_band_join_sorts_blocks_and_no_pairs(spark):
+    """Many equal prices and sizes: every pair comes, in order, and none of them is behind the join in a shuffle."""
+    points = spark.range(2500).selectExpr("id", "CAST(100 + id % 2 AS double) AS price", "date_add(DATE'2020-01-01', CAST(id % 7 AS int)) AS created_at")
+    items = spark.range(1200).selectExpr("id", "CAST(99 AS double) AS low", "CAST(1 + id % 3 AS int) AS size")
+    cat = Catalog(spark, {"point": points, "item": items})
+    own = d.load("entities: {point: [{path: /bands, method: GET, select: 'point.id AS id, item.id AS itemId, point.created_at AS day', joins: ['JOIN item ON point.price BETWEEN item.low AND item.low + item.size']}]}")
+    got = reads.read(cat, routing.resolve(own, "GET", "/bands"))[0]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Sort [") and "Sort" not in plan[: plan.index("Generate")]
+    rows = got.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("itemId").alias("d"))
+    assert {(r["id"] % 2, r["n"], r["d"]) for r in rows.collect()} == {(0, 1200, 1200), (1, 800, 800)} and rows.count() == 2500
+    days = [r["day"] for r in got.filter("itemId < 9").collect()]
+    assert days == sorted(days, reverse=True)
