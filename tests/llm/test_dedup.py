@@ -279,6 +279,32 @@ def test_an_edit_at_every_place_of_a_short_passage_is_found(spark):
         assert 40 <= r["start_word"] <= 45 and 85 <= r["end_word"] <= 90 and not r["exact"]
 
 
+def test_edited_passages_that_only_later_documents_share(spark):
+    """Every key of the shared passage lies in a smaller document that holds no more than a part of it."""
+    rows, want = [], set()
+    for j in range(12):
+        w = lambda n, k: long_words(n, 70_000 + 100 * j + k)  # noqa: B023, E731
+        left, right, base = w(22 + j, 1), w(44 - j, 2), 20 * j
+        rows.append((base + 1, " ".join(w(40, 3) + left + w(40, 4))))
+        rows.append((base + 2, " ".join(w(40, 5) + right + w(40, 6))))
+        for i in range(3, 7):  # another word between the parts in each
+            rows.append((base + i, " ".join(w(10 * i, 10 + i) + left + [f"edit{i}"] + right + w(30, 20 + i))))
+            if i > 3:
+                want.add((base + i, 10 * i, 10 * i + len(left) + 1 + len(right), base + 3))
+    found = {(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in substring.repeated_passages(spark, documents(spark, rows)).collect()}
+    assert found == want
+
+
+def test_an_edited_passage_of_a_document_that_an_earlier_one_covers(spark):
+    """2 is near enough to 1, 3 is near enough to 2 only."""
+    w = long_words(57, 81_000)
+    edited = lambda *at: [f"e{i}" if i in at else x for i, x in enumerate(w)]
+    texts = [edited(), edited(18), edited(18, 38), edited(18, 38, 8)]
+    rows = [(i + 1, " ".join(long_words(30, 81_100 + i) + t + long_words(30, 81_200 + i))) for i, t in enumerate(texts)]
+    found = {(r["doc_id"], r["first_doc_id"]) for r in substring.repeated_passages(spark, documents(spark, rows)).collect()}
+    assert found == {(2, 1), (3, 2), (4, 3)}
+
+
 @pytest.mark.parametrize("seed", [3, 4, 5])
 def test_texts_of_shuffled_pieces_equal_brute_force(spark, seed):
     import random
