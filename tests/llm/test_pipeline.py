@@ -71,3 +71,10 @@ def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_passage_stage_cuts_edited_passages_that_only_later_documents_share(spark):
+    left, right = long_words(30, 91), long_words(36, 92)
+    texts = [long_words(40, 93) + left, right + long_words(40, 94)] + [long_words(30, 95 + i) + left + [f"edit{i}"] + right + long_words(20, 99 + i) for i in range(2)]
+    out = corpus_pipeline.cut_repeated_passages(spark, documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), "")
+    assert {r["doc_id"]: len(r["text"].split()) for r in out.collect()} == {0: 70, 1: 76, 2: 117, 3: 50}
