@@ -305,6 +305,16 @@ def test_an_edited_passage_of_a_document_that_an_earlier_one_covers(spark):
     assert found == {(2, 1), (3, 2), (4, 3)}
 
 
+def test_an_edited_passage_goes_beyond_what_an_earlier_document_covers(spark):
+    """2 and 3 share 50 words with 1 and 46 more, which hold no unbroken run of 24 words."""
+    w = lambda n, k: long_words(n, 83_000 + k)
+    head, one, two = w(50, 1), w(22, 2), w(22, 3)
+    texts = [w(40, 4) + head + w(40, 5)] + [w(30, 6 + 3 * i) + head + [f"a{i}"] + one + [f"b{i}"] + two + w(30, 7 + 3 * i) for i in range(2)]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    found = {(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in substring.repeated_passages(spark, documents(spark, rows)).collect()}
+    assert found == {(2, 30, 80, 1), (3, 30, 126, 1)}
+
+
 @pytest.mark.parametrize("seed", [3, 4, 5])
 def test_texts_of_shuffled_pieces_equal_brute_force(spark, seed):
     import random
