@@ -7,6 +7,7 @@ nothing new has come; a reauth shuts the stream until a resume. A task that is r
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -19,70 +20,89 @@ from ..operators import replay
 from .upload import Send
 
 ANSWERS = "stream string, tx_id long, seq long, id string, http_status int, kind string, done boolean"
-_FIELDS = ("tx_id", "seq", "id", "send_method", "url", "send_body", "headers")
-_WRITE = StructType([StructField(c, LongType() if c in ("tx_id", "seq") else StringType()) for c in _FIELDS])
+_CHUNK = StructType([StructField("writes", StringType())])
 _NUMBER = StructType([StructField("n", LongType())])
+_PLACE = StructType([StructField(c, LongType()) for c in ("head", "skip", "tail", "shut")])
+_ANSWER = Row("stream", "tx_id", "seq", "id", "http_status", "kind", "done")
+CHUNK = 256  # writes of a state row
 
 
 class Outbox(StatefulProcessor):
-    """Pending writes by their place in the stream, from ``head`` to ``tail``; only those that are sent are read."""
+    """Pending writes as JSON lists of up to CHUNK, numbered from ``head`` to ``tail``; the first ``skip`` writes of the head are through.
+
+    What goes out at once is never put into the state, and what waits is put and read a list at a time: each call of the state
+    is a round trip between Python and the JVM.
+    """
 
     def __init__(self, send: Send, wait_ms: int | None) -> None:
         self.send, self.wait_ms = send, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", _NUMBER, _WRITE)
-        self.head, self.tail, self.shut = (handle.getValueState(n, _NUMBER) for n in ("head", "tail", "shut"))
-
-    @staticmethod
-    def _of(state) -> int:
-        return state.get()[0] if state.exists() else 0
+        self.rows = handle.getMapState("rows", _NUMBER, _CHUNK)
+        self.place = handle.getValueState("place", _PLACE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        fresh = [r for r in rows]  # the writes of one batch
-        if any(r["resume"] for r in fresh):
-            self.shut.clear()
-        tail = self._of(self.tail)
-        for r in sorted((r for r in fresh if not r["resume"]), key=lambda r: (r["tx_id"], r["seq"])):
-            self.rows.updateValue((tail,), tuple(r[c] for c in _FIELDS))
-            tail += 1
-        self.tail.update((tail,))
-        yield from self._deliver(key, timerValues)
+        fresh, resume = [], False  # the writes of one batch
+        for _, tx, seq, write in rows:
+            if write is None:
+                resume = True
+            else:
+                fresh.append((tx, seq, write))
+        fresh.sort(key=lambda w: w[:2])
+        yield from self._deliver(key, timerValues, [w for _, _, w in fresh], resume)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self._deliver(key, timerValues)
-
-    def _deliver(self, key, timer) -> Iterator[Row]:
-        head, tail = self._of(self.head), self._of(self.tail)
-        if self._of(self.shut):
-            return
-        at, stop = head, None
-        while at < tail and stop is None:
-            tx, first, sent, answers = None, at, set(), []
-            while at < tail and stop is None:  # one transaction
-                w = dict(zip(_FIELDS, self.rows.getValue((at,)), strict=True))
-                if tx is not None and w["tx_id"] != tx:
+        yield from self._deliver(key, timerValues, [], False)
+
+    def _deliver(self, key, timer, fresh: list[str], resume: bool) -> Iterator[Row]:
+        before = self.place.get()
+        head, skip, old, shut = before or (0, 0, 0, 0)
+        new = {old + i // CHUNK: fresh[i : i + CHUNK] for i in range(0, len(fresh), CHUNK)}
+        tail, first, stop = old + len(new), head, None
+        if resume:
+            shut = 0
+
+        def pending(at: int) -> Iterator[tuple[int, int, dict]]:
+            """Writes with the place behind each."""
+            for n in range(first, tail):
+                writes = [json.loads(w) for w in new[n]] if n in new else json.loads(self.rows.getValue((n,))[0])
+                for i in range(at, len(writes)):
+                    yield (n, i + 1, writes[i]) if i + 1 < len(writes) else (n + 1, 0, writes[i])
+                at = 0
+
+        if not shut:
+            for _, writes in itertools.groupby(pending(skip), lambda p: p[2].get("tx_id")):  # one transaction
+                sent, answers = set(), []
+                for n, i, w in writes:
+                    own = w.get("id")
+                    if own in sent:
+                        continue
+                    sent.add(own)
+                    method = w.get("send_method")
+                    status = None if method is None else self.send(method, w.get("url"), w.get("send_body"), w.get("headers") or {})
+                    kind = replay.REJECT if method is None else replay.kind_of(status)
+                    answers.append((w.get("tx_id"), w.get("seq"), own, status, kind))
+                    if kind in (replay.RETRY, replay.REAUTH):
+                        stop = kind
+                        break
+                for a in answers:
+                    yield _ANSWER(*key, *a, stop is None)
+                if stop is not None:
                     break
-                tx = w["tx_id"]
-                at += 1
-                if w["id"] in sent:
-                    continue
-                sent.add(w["id"])
-                status = None if w["send_method"] is None else self.send(w["send_method"], w["url"], w["send_body"], json.loads(w["headers"] or "{}"))
-                kind = replay.REJECT if w["send_method"] is None else replay.kind_of(status)
-                stop = kind if kind in (replay.RETRY, replay.REAUTH) else None
-                answers.append((tx, w["seq"], w["id"], status, kind))
-            for a in answers:
-                yield Row("stream", "tx_id", "seq", "id", "http_status", "kind", "done")(*key, *a, stop is None)
-            if stop is None:
-                for i in range(first, at):
-                    self.rows.removeKey((i,))
-                head = at
-        self.head.update((head,))
-        if stop == replay.REAUTH:
-            self.shut.update((1,))
-        elif stop == replay.RETRY and self.wait_ms is not None:
+                head, skip = n, i
+        for n in range(first, min(head, old)):
+            self.rows.removeKey((n,))
+        for n, writes in new.items():
+            if n >= head:
+                self.rows.updateValue((n,), (f"[{','.join(writes)}]",))
+        after = (head, skip, tail, 1 if shut or stop == replay.REAUTH else 0)
+        if head < tail or after[3]:
+            if before is None or tuple(before) != after:
+                self.place.update(after)
+        elif before is not None:  # nothing waits
+            self.place.clear()
+        if stop == replay.RETRY and self.wait_ms is not None:
             self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + self.wait_ms)
 
     def close(self) -> None:
@@ -96,8 +116,10 @@ def outbox_stream(writes: DataFrame, send: Send, stream: str, token: str | None
     the done rows are the acknowledgements and those of them that are rejected the dead letters. After a retry a stream is tried again ``wait_ms`` later, with None only when it gets new writes.
     """
     sent = replay.request_of(writes, token, base=base)
-    rows = sent.select(F.col(stream).cast("string").alias("stream"), F.col("tx_id").cast("long").alias("tx_id"), F.col("seq").cast("long").alias("seq"), F.col("id").cast("string").alias("id"), "send_method", "url", "send_body", F.to_json("headers").alias("headers"), F.lit(False).alias("resume"))
+    tx, seq = F.col("tx_id").cast("long").alias("tx_id"), F.col("seq").cast("long").alias("seq")
+    write = F.to_json(F.struct(tx, seq, F.col("id").cast("string").alias("id"), "send_method", "url", "send_body", "headers"))
+    rows = sent.select(F.col(stream).cast("string").alias("stream"), tx, seq, write.alias("write"))
     if resumes is not None:
-        none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
-        rows = rows.unionByName(resumes.select(F.col("stream").cast("string").alias("stream"), none("tx_id", "long"), none("seq", "long"), none("id"), none("send_method"), none("url"), none("send_body"), none("headers"), F.lit(True).alias("resume")))
+        none = F.lit(None).cast("long")
+        rows = rows.unionByName(resumes.select(F.col("stream").cast("string").alias("stream"), none.alias("tx_id"), none.alias("seq"), F.lit(None).cast("string").alias("write")))
     return rows.groupBy("stream").transformWithState(Outbox(send, wait_ms), ANSWERS, "append", "none" if wait_ms is None else "processingTime")

@@ -595,6 +595,67 @@ def test_the_outbox_retries_by_a_timer_and_opens_on_a_resume(spark, tmp_path):
     assert [c for c in calls(called) if c in "fg"] == ["f", "f", "g"]
 
 
+def test_the_outbox_calls_its_state_by_lists_of_writes():
+    """What goes out at once never meets the state; what waits is put and read by lists, over batches, inside a list and behind a transaction across two of them."""
+    import json
+
+    from tamarack.streaming import outbox
+
+    calls, sent, codes = [], [], {}
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def getValue(self, key):  # noqa: N802
+            calls.append("get")
+            return (self.held[key],)
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append("put")
+            self.held[key] = value[0]
+
+        def removeKey(self, key):  # noqa: N802
+            calls.append("remove")
+            del self.held[key]
+
+        def get(self):
+            calls.append("get")
+            return self.held.get(0)
+
+        def update(self, value):
+            calls.append("put")
+            self.held[0] = value
+
+        def clear(self):
+            calls.append("remove")
+            self.held = {}
+
+    def send(method, url, body, headers):
+        sent.append(url)
+        return codes.get(url, 200)
+
+    box = outbox.Outbox(send, None)
+    box.init(type("Handle", (), {"getMapState": lambda *_: State(), "getValueState": lambda *_: State()})())
+
+    def batch(ids, resume=False):
+        rows = [("u", i // 3, i, json.dumps({"tx_id": i // 3, "seq": i, "id": str(i), "send_method": "PUT", "url": str(i)})) for i in ids]
+        calls.clear()
+        sent.clear()
+        return [(a["seq"], a["kind"], a["done"]) for a in box.handleInputRows(("u",), iter(rows + [("u", None, None, None)] * resume), None)]
+
+    assert [a[0] for a in batch(reversed(range(900)))] == list(range(900)) and len(calls) == 1
+    codes.update({"1300": 503, "1900": 401})
+    got = batch(range(900, 2000))  # 1299 and 1300 are of one transaction, behind 399 writes
+    assert got[-2:] == [(1299, "ok", False), (1300, "retry", False)] and len(got) == 401 and len(calls) < 12
+    codes.pop("1300")
+    got = batch(range(2000, 2002))
+    assert [a[0] for a in got] == list(range(1299, 1901)) and got[-1] == (1900, "reauth", False) and all(a[2] for a in got[:-2]) and len(calls) < 16
+    assert batch([2002]) == [] and sent == [] and len(calls) < 4
+    codes.pop("1900")
+    assert [a[0] for a in batch([], True)] == list(range(1899, 2003)) and not box.rows.held and not box.place.held
+
+
 def test_rules_of_a_column_equal_rules_of_one_query(spark):
     texts = ["SELECT id, t.name AS n FROM todo t WHERE x = 1;", 'select "a" as "b" from "s"."t" as q', "select * from x.y.z", "select count(*) from t", "delete from t", " select id\nfrom t\norder by id limit 3", "select id from t group by id", "", None, "select a b from t"]
     got = {r["sql"]: r for r in rules.read_queries(spark.createDataFrame([(t,) for t in texts], "sql string")).collect()}
