@@ -268,13 +268,15 @@ def intercept(requests: DataFrame, operations: Sequence[Operation], routes: Sequ
 
     ``source`` is operation, entity or server; ``by`` is the seq of the request whose answer it gets (its own if it runs, null
     if it goes to the server); ``activity`` is the kind of row that a request which runs leaves.
+    Each (method, path) is judged once, and every request gets its judgement by a join.
     """
-    ops = routing.match_batch(requests, [(o.method, o.path, o.operation_id) for o in operations], decode=True).withColumnRenamed("target", "_op").drop("status", "route_path", "params")
+    asked = requests.select("method", "path").distinct()
+    ops = routing.match_batch(asked, [(o.method, o.path, o.operation_id) for o in operations], decode=True).withColumnRenamed("target", "_op").drop("status", "route_path", "params")
     both = routing.match_batch(ops, routes).withColumnRenamed("target", "_route").drop("status", "route_path", "params")
     both = routing.prefix_batch(both, prefixes) if prefixes else both.withColumn("table", F.lit(None).cast("string"))
     known = F.upper("method").isin("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE")
     entity = F.coalesce("_route", F.when(known, F.col("table")))
-    out = both.withColumn("source", F.when(F.col("_op").isNotNull(), "operation").when(entity.isNotNull(), "entity").otherwise("server")).withColumn("target", F.coalesce("_op", entity))
+    judged = both.withColumn("source", F.when(F.col("_op").isNotNull(), "operation").when(entity.isNotNull(), "entity").otherwise("server")).withColumn("target", F.coalesce("_op", entity))
     window = F.lit(window_ms)
     read = F.upper("method").isin("GET", "HEAD")
     kind = F.when(F.col("source") == "entity", F.when(read, "request-handled").otherwise("local-write"))
@@ -282,9 +284,11 @@ def intercept(requests: DataFrame, operations: Sequence[Operation], routes: Sequ
         if o.dedup_window_ms is not None:
             window = F.when(F.col("_op") == o.operation_id, o.dedup_window_ms).otherwise(window)
         kind = F.when(F.col("_op") == o.operation_id, "local-write" if o.connectivity == "offline" else "request-handled").otherwise(kind)
-    out = out.withColumn("activity", kind).withColumn("_window", window.cast("long") * 1000)
+    judged = judged.select(F.col("method").alias("_m"), F.col("path").alias("_p"), "source", "target", kind.alias("activity"), (window.cast("long") * 1000).alias("_window"))
+    # every request has a judgement; a left join, so that only the judgements are ever broadcast
+    out = requests.join(judged, requests["method"].eqNullSafe(F.col("_m")) & requests["path"].eqNullSafe(F.col("_p")), "left")
     names = [*requests.columns, "source", "target", "activity"]
-    mine = out.filter("source <> 'server'").withColumn("_print", dedup.fingerprint(F.col("method"), F.col("path"), F.col("body")))
+    mine = out.filter(~F.col("source").eqNullSafe("server")).withColumn("_body", dedup.canonical(F.col("body"))).withColumn("_print", dedup.digest(F.col("method"), F.col("path"), F.col("_body")))
     mine = dedup.answered(mine.select(*names, F.col("_window").alias("_w"), "_print"), ["_print"], "at", "seq", F.col("_w")).select(*names, "by")
     mine = mine.withColumn("activity", F.when(F.col("by") == F.col("seq"), F.col("activity")))
-    return mine.unionByName(out.filter("source = 'server'").select(*names, F.lit(None).cast("long").alias("by")))
+    return mine.unionByName(out.filter(F.col("source").eqNullSafe("server")).select(*names, F.lit(None).cast("long").alias("by")))

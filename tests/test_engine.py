@@ -656,6 +656,21 @@ def test_the_outbox_calls_its_state_by_lists_of_writes():
     assert [a[0] for a in batch([], True)] == list(range(1899, 2003)) and not box.rows.held and not box.place.held
 
 
+def test_the_interceptor_judges_each_method_and_path_once(spark):
+    """Routes are held against distinct requests; missing methods and paths are judged too, and a body is parsed once."""
+    from tamarack.operators.handlers import intercept
+    from tamarack.sources.declarations import check_operations
+
+    ops = check_operations([{"operation_id": "put_item", "method": "PUT", "path": "/items/{id}", "connectivity": "offline", "handle": "h", "dedup_window_ms": 0}])
+    rows = [(1, "PUT", "/items/1", '{"a":1}'), (2, "PUT", "/items/1", '{"a":1}'), (3, "GET", "/items", None), (4, "GET", "/items", None), (5, None, "/items", None), (6, "GET", None, None), (7, "GET", "/none", "x")]
+    asked = spark.createDataFrame([(i, 1.0 + i / 1000, *r) for i, *r in rows], "seq long, at double, method string, path string, body string").withColumn("at", F.col("at").cast("timestamp"))
+    out = intercept(asked, ops, [("GET", "/items", "item")], {})
+    assert {(r["seq"], r["source"], r["target"], r["by"]) for r in out.collect()} == {(1, "operation", "put_item", 1), (2, "operation", "put_item", 2), (3, "entity", "item", 3), (4, "entity", "item", 3), (5, "server", None, None), (6, "server", None, None), (7, "server", None, None)}
+    plan = out.filter("source <> 'server'")._jdf.queryExecution().optimizedPlan().toString()
+    mine = plan[: plan.index("MapInArrow", plan.index("MapInArrow") + 1)] if plan.count("MapInArrow") > 1 else plan
+    assert mine.index("Join") < mine.index("array_min") and mine[mine.index("Join") :].count("Aggregate") and mine.count("parseJson") == 1
+
+
 def test_rules_of_a_column_equal_rules_of_one_query(spark):
     texts = ["SELECT id, t.name AS n FROM todo t WHERE x = 1;", 'select "a" as "b" from "s"."t" as q', "select * from x.y.z", "select count(*) from t", "delete from t", " select id\nfrom t\norder by id limit 3", "select id from t group by id", "", None, "select a b from t"]
     got = {r["sql"]: r for r in rules.read_queries(spark.createDataFrame([(t,) for t in texts], "sql string")).collect()}
