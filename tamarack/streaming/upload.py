@@ -13,11 +13,13 @@ one that died before it left nothing that readers see.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections import deque
-from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from queue import SimpleQueue
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -110,17 +112,24 @@ def _deliver(send: Send, streams: int, waiting: int):
     """Answers of a partition's requests. Up to ``streams`` requests are out at a time, one of each stream, so a slow stream keeps nobody else waiting.
 
     Rows come by their place in their stream, all first ones first; what has to wait for the answer before it is held, ``waiting`` rows at most.
+    A thread gets all rows that its stream has by then and sends them one after the other, so handing over costs little where answers come quickly.
     """
 
-    def attempt(r) -> tuple[int | None, str]:
-        if r.send_method is None:
-            return None, replay.REJECT
-        status = send(r.send_method, r.url, r.send_body, dict(r.headers or {}))
-        return status, replay.kind_of(status)
+    def drain(rows: Iterable) -> list[tuple]:
+        out = []
+        for r in rows:
+            status = None if r.send_method is None else send(r.send_method, r.url, r.send_body, json.loads(r.headers or "{}"))
+            kind = replay.REJECT if r.send_method is None else replay.kind_of(status)
+            out.append((r.stream, r.tx_id, r.seq, r.id, status, kind))
+            if kind in (replay.RETRY, replay.REAUTH):
+                break
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queues: dict[str, deque] = {}  # of streams with a request out
-        flying: dict[Future, object] = {}
+        queues: dict[str, deque] = {}  # rows that are held, by stream
+        ready: deque[str] = deque()  # streams that have rows and no thread
+        flying: dict[str, int] = {}  # how many rows wait behind the first one that a thread has
+        landed: SimpleQueue[tuple[str, Future]] = SimpleQueue()
         stopped: set[str] = set()
         held = 0
 
@@ -129,45 +138,56 @@ def _deliver(send: Send, streams: int, waiting: int):
 
         with ThreadPoolExecutor(streams) as pool:
 
-            def launch(r) -> None:
-                flying[pool.submit(attempt, r)] = r
+            def launch() -> None:
+                nonlocal held
+                while ready and len(flying) < streams:
+                    stream = ready.popleft()
+                    rows = queues.pop(stream)
+                    held -= 1
+                    flying[stream] = len(rows) - 1
+                    pool.submit(drain, rows).add_done_callback(lambda f, s=stream: landed.put((s, f)))
 
             def land() -> list[tuple]:
-                """Wait for an answer or more; the streams they belong to go on."""
+                """Wait for a stream's answers; it goes on if it has more rows."""
                 nonlocal held
-                out = []
-                for done in wait(flying, return_when=FIRST_COMPLETED)[0]:
-                    r = flying.pop(done)
-                    status, kind = done.result()
-                    out.append((r.stream, r.tx_id, r.seq, r.id, status, kind))
-                    queue = queues[r.stream]
-                    if kind in (replay.RETRY, replay.REAUTH):
-                        stopped.add(r.stream)
-                        held -= len(queue)
-                        queue.clear()
-                    if queue:
-                        held -= 1
-                        launch(queue.popleft())
-                    else:
-                        del queues[r.stream]
+                stream, done = landed.get()
+                held -= flying.pop(stream)
+                out = done.result()
+                if out[-1][-1] in (replay.RETRY, replay.REAUTH):
+                    stopped.add(stream)
+                    held -= len(queues.pop(stream, ()))
+                elif stream in queues:
+                    ready.append(stream)
+                launch()
                 return out
 
             for batch in batches:
                 out: list[tuple] = []
                 for r in batch.itertuples(index=False):
-                    while r.stream not in stopped and (held >= waiting if r.stream in queues else len(flying) >= streams):
-                        out += land()
                     if r.stream in stopped:
                         continue
                     if r.stream in queues:
                         queues[r.stream].append(r)
-                        held += 1
                     else:
-                        queues[r.stream] = deque()
-                        launch(r)
+                        queues[r.stream] = deque([r])
+                        if r.stream not in flying:
+                            ready.append(r.stream)
+                    held += 1
+                    if held >= waiting:
+                        launch()
+                    while held >= waiting:
+                        out += land()
+                launch()
+                while not landed.empty():
+                    out += land()
                 yield frame(out)
+            out = []
             while flying:
-                yield frame(land())
+                out += land()
+                if len(out) >= waiting:
+                    yield frame(out)
+                    out = []
+            yield frame(out)
 
     return run
 
@@ -187,7 +207,7 @@ def one_pass(spark: SparkSession, writes: DataFrame, send: Send, path: str, name
     rows = writes.join(acknowledged(spark, path).select("id"), "id", "left_anti").withColumn("stream", own)
     rows = rows.join(shut_streams(spark, path), "stream", "left_anti")
     rows = replay.request_of(replay.send_once(rows, key="id"), token, base=base)
-    rows = rows.select("stream", "tx_id", "seq", "id", "send_method", "url", "send_body", "headers")
+    rows = rows.select("stream", "tx_id", "seq", "id", "send_method", "url", "send_body", F.to_json("headers").alias("headers"))
     place = F.row_number().over(Window.partitionBy("stream").orderBy("tx_id", "seq"))
     ready = rows.withColumn("_place", place).repartition("stream").sortWithinPartitions("_place", "stream").drop("_place")
     ready.mapInPandas(_deliver(send, at_once, waiting), ANSWERS).write.parquet(f"{path}/answers/{attempt}")

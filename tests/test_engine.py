@@ -552,6 +552,34 @@ def test_a_slow_stream_keeps_nobody_waiting(spark, tmp_path):
     assert acknowledged(spark, str(tmp_path / "out")).count() == 27 and took < 30
 
 
+def test_a_thread_gets_all_rows_that_its_stream_has(monkeypatch):
+    """Few hand-overs and frames for many quick answers; order, stops and the limit on held rows stay."""
+    import pandas as pd
+
+    from tamarack.streaming import upload
+
+    handed = []
+
+    class Pool(upload.ThreadPoolExecutor):
+        def submit(self, f, rows):
+            handed.append(len(rows))
+            return super().submit(f, rows)
+
+    monkeypatch.setattr(upload, "ThreadPoolExecutor", Pool)
+    rows = [(f"u{i % 50}", i, i, str(i), None if i % 7 == 0 else "PUT", str(i), None, None) for i in range(5000)]
+    batches = [pd.DataFrame(rows[i : i + 1000], columns=["stream", "tx_id", "seq", "id", "send_method", "url", "send_body", "headers"]) for i in range(0, 5000, 1000)]
+    for waiting in (10_000, 30):
+        handed.clear()
+        frames = list(upload._deliver(lambda m, url, b, h: {"1003": 503, "2010": 401, "2504": 422}.get(url, 200), 4, waiting)(iter(batches)))
+        got = pd.concat(frames)
+        for u, own in got.groupby("stream"):
+            end = {"u3": 1003, "u10": 2010}.get(u, 4999)
+            assert own["seq"].tolist() == [i for i in range(int(u[1:]), 5000, 50) if i <= end]
+        assert dict(zip(got["seq"], got["kind"], strict=True))[2504] == "reject" and max(handed) <= waiting
+        if waiting == 10_000:
+            assert len(handed) < 1000 and len(frames) < 10
+
+
 def test_the_outbox_retries_by_a_timer_and_opens_on_a_resume(spark, tmp_path):
     import time
 
