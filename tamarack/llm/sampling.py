@@ -33,7 +33,10 @@ SAMPLES = 2
 BATCH = 4 << 20  # bytes of text whose distinct words share one lattice
 SHARPNESS = 2.0
 FADED = -45.0  # log mass of a prefix beyond which no double-precision draw lets a branch compete
+NEAR, PARTED = 128, 1024  # steps of a path that are looked at first, texts whose steps are looked at together
 _C = U(0x9E3779B97F4A7C15)
+BUCKETS = 16  # bits: pieces of one length are looked up in so many buckets
+_SHIFT = U(64 - BUCKETS)
 
 
 class Vocabulary:
@@ -74,7 +77,25 @@ class Vocabulary:
             # every beginning of a piece stays in its length's table, with id -1 unless it is a piece: a trie by levels
             own = dict(rows.get(size, []))
             keys = np.array(sorted(begins[size]), U)
-            self.table[size] = (keys, np.array([own.get(int(h), -1) for h in keys], np.int64))
+            bucket = keys * _C >> _SHIFT
+            keys, bucket = keys[np.argsort(bucket, kind="stable")], np.sort(bucket)
+            first = np.searchsorted(bucket, np.arange(1 << BUCKETS, dtype=U)).astype(np.int32)
+            first = np.minimum(first, len(keys) - 1)
+            self.table[size] = (keys, np.array([own.get(int(h), -1) for h in keys], np.int32), first, int(np.unique(bucket, return_counts=True)[1].max()))
+
+    def find(self, size: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes ``h`` begin a piece after ``size`` characters, and the ids of these (-1: only begin one)."""
+        keys, ids, first, most = self.table[size]
+        at = first[h * _C >> _SHIFT]
+        known = keys[at] == h
+        for j in range(1, most):  # a bucket holds a few keys at most
+            rest = np.flatnonzero(~known)
+            more = np.minimum(at[rest] + j, len(keys) - 1)
+            hit = keys[more] == h[rest]
+            at[rest[hit]] = more[hit]
+            known[rest[hit]] = True
+        known = np.flatnonzero(known)
+        return known, ids[at[known]]
 
     def decode_all(self, many: list[np.ndarray]) -> list[str]:
         """The texts of id sequences: pieces and byte pieces joined, marks turned into spaces, the added first space taken off."""
@@ -115,28 +136,33 @@ class Lattice:
         nodes = int(self.base[-1])
         word = np.repeat(np.arange(len(size)), size)
         nth = np.arange(len(cp)) - off[:-1][word]
-        place = self.base[nth] + rank[word]  # the node before each character
+        place = (self.base[nth] + rank[word]).astype(np.int32)  # the node before each character
         self.last = self.base[size] + rank
+        after = np.append(place[1:], np.int32(0))  # the node behind each character
+        after[off[1:][size > 0] - 1] = self.last[size > 0]
+        room = np.minimum(off[1:][word] - np.arange(len(cp)), voc.longest).astype(np.uint8)  # characters up to the word's end
         start, end, piece = [], [], []
-        live = np.arange(len(cp))
-        last = off[1:][word]
+        live = np.arange(len(cp), dtype=np.int32)
         h = np.zeros(len(cp), U)
         single = np.zeros(len(cp), bool)
+        code = cp.astype(U) + U(1)
+        long_ = []
         for n in range(1, voc.longest + 1):
-            live = live[live + n <= last[live]]
+            on = np.flatnonzero(room[live] >= n)
+            live, h = live[on], h[on]
             if not len(live):
                 break
-            h[live] = h[live] * _C + cp[live + n - 1].astype(U) + U(1)
-            keys, ids = voc.table[n]
-            at = np.minimum(np.searchsorted(keys, h[live]), len(keys) - 1)
-            known = keys[at] == h[live]
-            live, got = live[known], ids[at[known]]
-            hit = got >= 0
-            start.append(place[live[hit]])
-            end.append(self.base[nth[live[hit]] + n] + rank[word[live[hit]]])
+            h = h * _C + code[live + n - 1]
+            known, got = voc.find(n, h)
+            live, h = live[known], h[known]
+            hit = np.flatnonzero(got >= 0)
+            of = live[hit]
+            start.append(place[of])
+            end.append(after[of + (n - 1)])
             piece.append(got[hit])
+            long_.append(np.full(len(hit), n, np.uint8))
             if n == 1:
-                single[live[hit]] = True
+                single[of] = True
         lone = np.flatnonzero(~single)  # characters without a piece of their own: bytes
         self.has_bytes = bool(len(lone))
         if len(lone):
@@ -147,13 +173,17 @@ class Lattice:
             self.byte_ids = np.concatenate([np.array(s) for s in seqs])
             cost = np.array([sum(voc.logp[b] for b in s) for s in seqs])
             start.append(place[lone])
-            end.append(self.base[nth[lone] + 1] + rank[word[lone]])
+            end.append(after[lone])
             piece.append(-2 - which)
+            long_.append(np.full(len(lone), 1, np.uint8))
         start, end, piece = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (start, end, piece))
-        order = np.argsort(end, kind="stable")
-        self.start, self.piece = start[order], piece[order]
-        end = end[order]
-        del start, piece, order, place, word, nth, live, h
+        # an end and a length make one edge, so whole numbers of these and the edge's index need no stable sort
+        bits = U(max(1, len(end).bit_length()))
+        size = np.concatenate(long_) if long_ else np.zeros(0, np.uint8)
+        key = np.sort((end.astype(U) * U(voc.longest + 1) + size << bits) | np.arange(len(end), dtype=U))
+        order = (key & ((U(1) << bits) - U(1))).astype(np.int32)
+        self.start, self.piece, end = start[order], piece[order], end[order]
+        del start, piece, order, key, size, long_, place, after, room, word, nth, live, h, code
         score = np.where(self.piece >= 0, voc.logp[np.maximum(self.piece, 0)], 0.0)
         if len(lone):
             own = self.piece <= -2
@@ -179,18 +209,20 @@ class Lattice:
         self.share = np.exp(total)
         # cumulative shares inside each node, added in order, so that they don't depend on the batch
         self.end = ends = np.repeat(np.arange(nodes, dtype=np.int32), np.diff(self.into))
-        nth = (np.arange(len(ends)) - self.into[ends]).astype(np.int8)
         self.cum = self.share.copy()
-        for j in range(1, int(nth.max()) + 1 if len(nth) else 0):
-            e = np.flatnonzero(nth == j)
-            self.cum[e] += self.cum[e - 1]
         best = np.full(nodes, -1, np.int32)
         top = np.zeros(nodes)
-        for j in range(int(nth.max()) + 1 if len(nth) else 0):
-            e = np.flatnonzero(nth == j)
-            e = e[self.share[e] > top[ends[e]]]
-            top[ends[e]] = self.share[e]
-            best[ends[e]] = e
+        left = np.diff(self.into)  # edges into each node from the one at hand on
+        e = self.into[:-1][left > 0].astype(np.int32)
+        left = left[left > 0]
+        while len(e):
+            v, share = ends[e], self.share[e]
+            more = np.flatnonzero(share > top[v])
+            top[v[more]] = share[more]
+            best[v[more]] = e[more]
+            on = np.flatnonzero(left > 1)
+            e, left = e[on] + np.int32(1), left[on] - 1
+            self.cum[e] += self.cum[e - 1]
         self.best = best
 
     def draw(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -244,25 +276,27 @@ class Paths:
         at = np.arange(len(word)).astype(U)
         edges, who, j = [], [], 0
         own = mix(seed + np.array([turn + 1], U) * U(0x632BE59BD9B4E019))  # each turn has draws of its own, however many places a word has
+        own, at = own[text], at - self._zero(text)
+        steps = np.zeros(len(word), np.int32)
         while len(live):
-            e = lat.draw(v[live], uniform(own[text[live]], at[live] - self._zero(text, live), j))
+            e = lat.draw(v, uniform(own, at, j))
             edges.append(e)
             who.append(live)
-            v[live] = lat.start[e]
-            live = live[v[live] >= lat.words]
+            steps[live] += 1
+            v = lat.start[e]
+            on = np.flatnonzero(v >= lat.words)
+            live, v, own, at = live[on], v[on], own[on], at[on]
             j += 1
-        e = np.concatenate(edges) if edges else np.zeros(0, np.int64)
-        w = np.concatenate(who) if who else np.zeros(0, np.int64)
-        order = np.argsort(w, kind="stable")
-        self.edge = e[order].astype(np.int32)
-        self.off = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(word)))])
+        self.off = np.concatenate([[0], np.cumsum(steps)])
+        self.edge = np.empty(int(self.off[-1]), np.int32)
+        for j, (e, w) in enumerate(zip(edges, who, strict=True)):
+            self.edge[self.off[w] + j] = e
 
-    def _zero(self, text: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """The index of each text's first word, so that draws depend on places within the text only."""
-        if not hasattr(self, "_first"):
-            n = int(text[-1]) + 1 if len(text) else 0
-            self._first = np.searchsorted(text, np.arange(n)).astype(U)
-        return self._first[text[live]]
+    @staticmethod
+    def _zero(text: np.ndarray) -> np.ndarray:
+        """The index of each word's text's first word, so that draws depend on places within the text only."""
+        n = int(text[-1]) + 1 if len(text) else 0
+        return np.searchsorted(text, np.arange(n)).astype(U)[text]
 
 
 def sample_batch(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -287,7 +321,7 @@ def sample_batch(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int) ->
     wstart = np.flatnonzero(new)
     wend = np.append(wstart[1:], len(cp))
     wlen = wend - wstart
-    wtext = np.searchsorted(toff, wstart, "right") - 1
+    wtext = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(wstart, toff)))
     # distinct words of the batch by a 128-bit hash, some words at a time
     h, h2 = np.empty(len(wstart), U), np.empty(len(wstart), U)
     at = 0
@@ -312,31 +346,34 @@ def sample_batch(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int) ->
     seed = mix(keys.astype(np.int64).view(U) + U(77))
     paths = [Paths(lat, word, wtext, seed, s) for s in range(k)]
     first = np.searchsorted(wtext, np.arange(len(texts) + 1))
-    empty = np.zeros(0, np.int64)
-    drawn = [_search(lat, paths, int(first[i]), int(first[i + 1]), int(seed[i]), k) if length[i] else [(empty, 0.0, 0.0, 1.0)] for i in range(len(texts))]
+    drawn = _search(lat, paths, first, seed, k)
     ids = iter(_ids(lat, [x[0] for one in drawn for x in one]))
     return [[(next(ids), *x[1:]) for x in one] for one in drawn]
 
 
-def _search(lat: Lattice, paths: list[Paths], w0: int, w1: int, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
-    """Best-first search over sets of paths. A set is named by a path, a step, the log mass before the step and the edges at that step that are out of it."""
-    ready: list[float] = []
-    used = 0
+class _Text:
+    """One text of a search: its words, the sets it has open, the paths found and the uniform draws it has ready."""
 
-    def u() -> float:
-        nonlocal used
-        if used == len(ready):
-            ready.extend(uniform(seed ^ 0x5DEECE66D, np.arange(used, used + 64)).tolist())
-        used += 1
-        return ready[used - 1]
+    def __init__(self, w0: int, w1: int, seed: int) -> None:
+        self.w0, self.w1, self.seed = w0, w1, seed
+        self.heap: list[tuple] = []
+        self.found: list[tuple[np.ndarray, float, float]] = []
+        self.ready: list[float] = []
+        self.used = 0
 
-    def one(v: int, gone: tuple[int, ...]) -> tuple[int, float]:
+    def u(self) -> float:
+        if self.used == len(self.ready):
+            self.ready.extend(uniform(self.seed ^ 0x5DEECE66D, np.arange(self.used, self.used + 16)).tolist())
+        self.used += 1
+        return self.ready[self.used - 1]
+
+    def one(self, lat: Lattice, v: int, gone: tuple[int, ...]) -> tuple[int, float]:
         """An edge into ``v`` by shares, none of ``gone``; and the share that is left then."""
         lo, hi = int(lat.into[v]), int(lat.into[v + 1])
         share = lat.share[lo:hi].tolist()
         for e in gone:
             share[e - lo] = 0.0
-        t = u() * math.fsum(share)
+        t = self.u() * math.fsum(share)
         pick = -1
         for i, p in enumerate(share):
             if p:
@@ -347,53 +384,91 @@ def _search(lat: Lattice, paths: list[Paths], w0: int, w1: int, seed: int, k: in
         share[pick] = 0.0
         return lo + pick, math.fsum(share)
 
-    heap: list[tuple] = []
-    found: list[tuple[np.ndarray, float, float]] = []
-
-    def part(edge: np.ndarray, frm: int, mass: float, top: float) -> None:
-        """Push the sets that part from the newest path at its steps from ``frm`` on; of these at most k + 1 can come up."""
-        log = lat.logshare[edge[frm:]]
-        before = mass + np.cumsum(log) - log
-        near = int(np.searchsorted(-before, -FADED))
-        rest = 1.0 - lat.share[edge[frm : frm + near]]
-        open_ = np.flatnonzero(rest > 1e-15)
-        if not len(open_):
-            return
-        g = under(gumbels(uniform(seed + len(found), open_, 1), before[open_] + np.log(rest[open_])), top)
-        most = k + 1 - len(found) + 1
-        for j in np.argsort(-g, kind="stable")[:most].tolist():
-            at = int(open_[j])
-            heapq.heappush(heap, (-float(g[j]), len(found) - 1, frm + at, float(before[at]), (int(edge[frm + at]),)))
-
-    whole = paths[0].edge[paths[0].off[w0] : paths[0].off[w1]]
-    g = -math.log(-math.log(max(u(), 2.0**-53)))
-    found.append((whole, float(lat.logshare[whole].sum()), g))
-    part(whole, 0, 0.0, g)
-    while heap and len(found) < k:
-        g, name, step, before, gone = heapq.heappop(heap)
+    def next(self, lat: Lattice, paths: list[Paths]) -> tuple[int, float, float]:
+        """Find the path of the best open set; returns the step behind the one it parts at, the mass before that step and the path's perturbed one."""
+        g, name, step, before, gone = heapq.heappop(self.heap)
         g = -g
-        old = found[name][0]
-        e, rest = one(int(lat.end[old[step]]), gone)
+        old = self.found[name][0]
+        e, rest = self.one(lat, int(lat.end[old[step]]), gone)
         # the word in which the paths part is finished by new draws; all later words are those of an own whole path
-        word = w0 + int((lat.start[old[:step]] < lat.words).sum())
+        word = self.w0 + int((lat.start[old[:step]] < lat.words).sum())
         head = [e]
         node = int(lat.start[e])
         while node >= lat.words:
-            x, _ = one(node, ())
+            x, _ = self.one(lat, node, ())
             head.append(x)
             node = int(lat.start[x])
-        own = paths[len(found)]
-        edge = np.concatenate([old[:step], np.array(head, np.int64), own.edge[own.off[word + 1] : own.off[w1]]])
+        own = paths[len(self.found)]
+        edge = np.concatenate([old[:step], np.array(head, np.int32), own.edge[own.off[word + 1] : own.off[self.w1]]])
         if rest > 1e-15:
-            again = under(gumbels(np.array([u()]), np.array([before + math.log(rest)])), g)
-            heapq.heappush(heap, (-float(again[0]), name, step, before, (*gone, e)))
-        found.append((edge, float(lat.logshare[edge].sum()), g))
-        part(edge, step + 1, before + float(lat.logshare[e]), g)
-    threshold = -heap[0][0] if heap else None
-    out = []
-    for edge, logp, g in found:
-        score = 1.0 if threshold is None else -math.expm1(-math.exp(min(50.0, logp - threshold)))
-        out.append((edge, logp, g, score))
+            again = under(gumbels(np.array([self.u()]), np.array([before + math.log(rest)])), g)
+            heapq.heappush(self.heap, (-float(again[0]), name, step, before, (*gone, e)))
+        self.found.append((edge, float(lat.logshare[edge].sum()), g))
+        return step + 1, before + float(lat.logshare[e]), g
+
+
+def _part(lat: Lattice, new: list[tuple[_Text, int, float, float]], k: int, size: int = NEAR) -> None:
+    """For each (text, first step, mass before it, bound) push the sets that part from the text's newest path at its steps from the first on; of these at most k + 1 can come up.
+
+    Masses fall along a path, so only ``size`` steps are looked at first, and four times as many where that doesn't do.
+    """
+    again = []
+    for at in range(0, len(new), PARTED):
+        block = new[at : at + PARTED]
+        edges = [t.found[-1][0][frm : frm + size] for t, frm, _, _ in block]
+        n = np.array([len(e) for e in edges])
+        step = np.arange(max(1, int(n.max())))
+        inside = step < n[:, None]
+        grid = np.zeros(inside.shape, np.int32)
+        grid[inside] = np.concatenate(edges)
+        log = lat.logshare[grid]
+        before = np.array([m for _, _, m, _ in block])[:, None] + np.cumsum(log, axis=1) - log
+        inside &= before > FADED
+        longer = (n == size) & inside[:, -1]
+        again += [x for x, more in zip(block, longer.tolist(), strict=True) if more]
+        rest = 1.0 - lat.share[grid]
+        inside &= (rest > 1e-15) & ~longer[:, None]
+        nth = len(block[0][0].found)
+        seed = np.array([t.seed for t, _, _, _ in block], U) + U(nth)
+        row, at_ = np.nonzero(inside)
+        g = np.full(inside.shape, -np.inf)
+        g[inside] = gumbels(uniform(seed[row], at_, 1), before[inside] + np.log(rest[inside]))
+        most = k + 1 - nth + 1
+        if g.shape[1] > most:
+            col = np.argpartition(-g, most, axis=1)[:, :most]
+        else:
+            col = np.broadcast_to(step, g.shape)
+        row = np.repeat(np.arange(len(block)), col.shape[1])
+        col = col.reshape(-1)
+        keep = inside[row, col]
+        row, col = row[keep], col[keep]
+        bound = under(g[row, col], np.array([x for _, _, _, x in block])[row])  # keeps their order
+        for i, j, x, mass, e in zip(row.tolist(), col.tolist(), bound.tolist(), before[row, col].tolist(), grid[row, col].tolist(), strict=True):
+            t, frm, _, _ = block[i]
+            heapq.heappush(t.heap, (-x, nth - 1, frm + j, mass, (e,)))
+    if again:
+        _part(lat, again, k, 4 * size)
+
+
+def _search(lat: Lattice, paths: list[Paths], first: np.ndarray, seed: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """Best-first search over sets of paths, in all texts at once. A set is named by a path, a step, the log mass before the step and the edges at that step that are out of it."""
+    first, out = first.tolist(), []
+    texts = [_Text(a, b, x) for a, b, x in zip(first[:-1], first[1:], seed.tolist(), strict=True)]
+    live = [t for t in texts if t.w1 > t.w0]
+    new = []
+    for t in live:
+        whole = paths[0].edge[paths[0].off[t.w0] : paths[0].off[t.w1]]
+        g = -math.log(-math.log(max(t.u(), 2.0**-53)))
+        t.found.append((whole, float(lat.logshare[whole].sum()), g))
+        new.append((t, 0, 0.0, g))
+    while new:
+        _part(lat, new, k)
+        new = [(t, *t.next(lat, paths)) for t, *_ in new if t.heap and len(t.found) < k]
+    for t in texts:
+        threshold = -t.heap[0][0] if t.heap else None
+        found = t.found or [(np.zeros(0, np.int32), 0.0, 0.0)]
+        score = lambda x, limit=threshold: 1.0 if limit is None else -math.expm1(-math.exp(min(50.0, x - limit)))
+        out.append([(edge, logp, g, score(logp)) for edge, logp, g in found])
     return out
 
 
@@ -403,7 +478,7 @@ def _ids(lat: Lattice, many: list[np.ndarray]) -> list[np.ndarray]:
     stop = np.flatnonzero(lat.start[edge] < lat.words)  # the edge from a word's first node ends its stretch
     begin = np.concatenate([[0], stop[:-1] + 1])[: len(stop)]
     n = stop - begin + 1
-    order = np.repeat(stop, n) - (np.arange(len(edge)) - np.repeat(begin, n))
+    order = np.repeat(stop + begin, n) - np.arange(len(edge))
     p = lat.piece[edge[order]]
     off = np.concatenate([[0], np.cumsum([len(x) for x in many])])
     if lat.has_bytes:

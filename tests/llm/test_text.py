@@ -123,6 +123,25 @@ def test_second_draws_and_inclusion_follow_the_law():
             assert abs(weight.get(k, 0) - p) < 0.25 * p
 
 
+
+def test_texts_of_a_batch_are_searched_together(monkeypatch):
+    voc = sampling.vocabulary(sampling.model_path())
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "a", "日本 ü"] + [" ".join(rng.choice(["the", "erstwhile", "thing", "onhalyti", "é1"], n)) for n in (1, 2, 40, 700) for _ in range(20)]
+    keys = np.arange(len(texts))
+    calls = []
+    plain = sampling.uniform
+    monkeypatch.setattr(sampling, "uniform", lambda *a: calls.append(1) or plain(*a))
+    drawn = sampling.sample_batch(voc, texts, keys, 2)
+    assert len(calls) < 1.5 * len(texts)  # one for a text and those of the batch
+    part = sampling._part
+    for size, block in ((1, 1), (3, 7), (4096, 4096)):
+        monkeypatch.setattr(sampling, "PARTED", block)
+        monkeypatch.setattr(sampling, "_part", lambda lat, new, k, near=size: part(lat, new, k, near))
+        for a, b in zip(drawn, sampling.sample_batch(voc, texts, keys, 2), strict=True):
+            assert [(x[0].tolist(), *x[1:]) for x in a] == [(x[0].tolist(), *x[1:]) for x in b]
+
+
 def test_draws_of_a_very_long_word_are_independent():
     voc = sampling.vocabulary(sampling.model_path())
     one, two = sampling.sample_batch(voc, ["the" * 9000], np.array([5]), 2)[0]
