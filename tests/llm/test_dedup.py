@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from tamarack.llm import neardup, substring
@@ -315,6 +316,44 @@ def test_an_edited_passage_goes_beyond_what_an_earlier_document_covers(spark):
     assert found == {(2, 30, 80, 1), (3, 30, 126, 1)}
 
 
+def test_a_family_of_edited_copies_is_compared_in_one_step(spark, monkeypatch):
+    """Each document is near enough to the one before it only."""
+    w, places = long_words(57, 85_000), (18, 38, 8, 28, 48)
+    texts = [[f"e{i}" if i in places[:n] else x for i, x in enumerate(w)] for n in range(len(places) + 1)]
+    rows = [(i + 1, " ".join(long_words(30, 85_100 + i) + t + long_words(30, 85_200 + i))) for i, t in enumerate(texts)]
+    steps, checked = [], substring._checked
+    monkeypatch.setattr(substring, "_checked", lambda *a, **k: steps.append(1) or checked(*a, **k))
+    found = {(r["doc_id"], r["first_doc_id"]) for r in substring.repeated_passages(spark, documents(spark, rows)).collect()}
+    assert found == {(i + 1, i) for i in range(1, 6)} and len(steps) == 1
+
+
+@pytest.mark.parametrize("words", [100_000, 3])
+def test_stretches_that_are_left_out_hold_nothing_more(words):
+    """Families of edited copies, of different words and of a few words: the comparisons that are made find what all pairs have."""
+    rng = np.random.default_rng(words)
+    for _ in range(6):
+        base, texts = rng.integers(0, words, 160).tolist(), []
+        for _ in range(24):
+            t = base[: rng.integers(60, 161)]
+            for _ in range(rng.integers(0, 12)):
+                at = rng.integers(0, len(t))
+                t[at : at + rng.integers(0, 3)] = rng.integers(0, words + 50, rng.integers(0, 4)).tolist()
+            texts.append(t[rng.integers(0, 40) :])
+        cuts = [np.array([hash(tuple(t[i : i + 5])) & 0xFFFFFFFF for i in range(len(t) - 4)], np.uint32) for t in texts]
+        node = np.arange(len(cuts))
+        keep = [j for j in node if len(cuts[j]) >= substring.RUN]
+        node, cuts = node[: len(keep)], [cuts[j] for j in keep]
+        want, got = ([np.zeros(len(c), bool) for c in cuts] for _ in range(2))
+        for j in node:
+            for i in node[:j]:
+                for s, e, _ in substring.spans(cuts[i], cuts[j])[0]:
+                    want[j][s : e + 1] = True
+        for j, _, found in substring._among(node, cuts, [np.ones(len(c), bool) for c in cuts]):
+            for s, e, _ in found:
+                got[j][s : e + 1] = True
+        assert all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
 @pytest.mark.parametrize("seed", [3, 4, 5])
 def test_texts_of_shuffled_pieces_equal_brute_force(spark, seed):
     import random
