@@ -60,4 +60,5 @@ def _gathered(rows: DataFrame, keys: list[str], columns: list[str], name: str) -
 def blocks(root: DataFrame, name: str, columns: list[str], order: Column, other: DataFrame, other_name: str, other_columns: list[str]) -> DataFrame:
     """Both sides of :func:`binned` as (ORDER, ``_<name>s``, ``_<other name>s``): every pair that meets is in one row."""
     mine = _gathered(root.withColumn(ORDER, order), [LEVEL, BIN, ORDER], columns, name)
-    return mine.join(_gathered(other, [LEVEL, BIN], other_columns, other_name), [LEVEL, BIN]).drop(LEVEL, BIN)
+    # arrays look small to the optimizer, but as a broadcast they would go through the driver
+    return mine.join(_gathered(other, [LEVEL, BIN], other_columns, other_name).hint("merge"), [LEVEL, BIN]).drop(LEVEL, BIN)

@@ -733,3 +733,13 @@ def test_an_ordered_band_join_sorts_blocks_and_no_pairs(spark):
     assert {(r["id"] % 2, r["n"], r["d"]) for r in rows.collect()} == {(0, 1200, 1200), (1, 800, 800)} and rows.count() == 2500
     days = [r["day"] for r in got.filter("itemId < 9").collect()]
     assert days == sorted(days, reverse=True)
+
+
+def test_an_ordered_band_join_sends_no_blocks_through_the_driver(spark):
+    points = spark.range(900).selectExpr("id", "CAST(id AS double) AS price", "date_add(DATE'2020-01-01', CAST(id % 7 AS int)) AS created_at")
+    items = spark.range(300).selectExpr("id", "CAST(3 * id AS double) AS low", "2 AS size")
+    own = d.load("entities: {point: [{path: /bands, method: GET, select: 'point.id AS id, item.id AS itemId', joins: ['JOIN item ON point.price BETWEEN item.low AND item.low + item.size']}]}")
+    got = reads.read(Catalog(spark, {"point": points, "item": items}), routing.resolve(own, "GET", "/bands"))[0]
+    assert sorted((r["id"], r["itemId"]) for r in got.collect()) == [(i, i // 3) for i in range(900)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
